@@ -23,11 +23,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fields, texts_of, with_new
+
 MAX_CACHED = 800_000
 GROUP_CHARS = 1 << 20
 WORD_END = "</w>"
@@ -401,18 +403,18 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, for every document."""
     shared = SharedEncoder(docs.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         for batch in batches:
             n, digest, decoded = [], [], []
-            for ids in encoder.encode_groups(batch.pop("_text").tolist()):
+            for ids in encoder.encode_groups(texts_of(batch)):
                 n.append(len(ids))
                 digest.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-            yield batch.assign(n_tokens=np.array(n, dtype=np.int64), ids_sha256=digest, decoded_sha256=decoded)
+            yield with_new(batch, ("doc_id",), {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, fields(rows, "doc_id") + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -420,13 +422,13 @@ def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", keep
     shared = SharedEncoder(docs.sparkSession, path)
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         for batch in batches:
-            ids = [x.astype(np.int32) for x in encoder.encode_groups(batch.pop("_text").tolist())]
-            yield batch.assign(ids=ids)
+            ids = [x.astype(np.int32) for x in encoder.encode_groups(texts_of(batch))]
+            yield with_new(batch, keep, {"ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return rows.mapInPandas(run, ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in keep), "ids array<int>"]))
+    return rows.mapInArrow(run, f"{fields(rows, *keep)}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str | None = None, *, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -434,9 +436,9 @@ def decode(rows: DataFrame, path: str | None = None, *, ids: str = "ids", keep:
     shared = SharedEncoder(rows.sparkSession, path)
     picked = rows.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("_ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         for batch in batches:
-            yield batch.assign(decoded=[encoder.decode(np.asarray(x)).decode() for x in batch.pop("_ids")])
+            yield with_new(batch, keep, {"decoded": pa.array([encoder.decode(np.array(x, dtype=np.int64)).decode() for x in texts_of(batch, "_ids")], pa.string())})
 
-    return picked.mapInPandas(run, ", ".join([*(f"`{c}` {dict(picked.dtypes)[c]}" for c in keep), "decoded string"]))
+    return picked.mapInArrow(run, f"{fields(picked, *keep)}, decoded string")

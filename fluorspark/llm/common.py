@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,22 @@ def text_or_empty(c: str = "text") -> Column:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: documents can be long, so a batch must stay small in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def fields(df: DataFrame, *names: str) -> str:
+    """The schema text of some columns of ``df``."""
+    types = dict(df.dtypes)
+    return ", ".join(f"`{n}` {types[n]}" for n in names)
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "_text") -> list[str | None]:
+    return batch.column(name).to_pylist()
+
+
+def with_new(batch: pa.RecordBatch, keep: tuple[str, ...], new: dict, repeat: list[int] | None = None) -> pa.RecordBatch:
+    """The columns ``keep`` of an Arrow batch, each row ``repeat`` times, and new ones; nulls and types stay as they are."""
+    kept = [batch.column(n) for n in keep]
+    if repeat is not None:
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), repeat))
+        kept = [c.take(rows) for c in kept]
+    return pa.RecordBatch.from_arrays([*kept, *(x if isinstance(x, pa.Array) else pa.array(x) for x in new.values())], names=[*keep, *new])

@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fields, texts_of, with_new
+
 #: n-gram lengths, hash buckets, and the bound on the labelled sample: expected documents for each language.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -118,14 +121,12 @@ def predict(docs: DataFrame, model: dict, *, text: str = "text", keep: tuple[str
     kept = list(dict.fromkeys(keep))
     inner = docs.select(*kept, F.col(text).alias("_text"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predict_text(x, shared.value) for x in batch.pop("_text")]
-            yield batch.assign(lang_pred=[x for x, _ in found], score=np.array([s for _, s in found], dtype=np.float64))
+            found = [predict_text(x, shared.value) for x in texts_of(batch)]
+            yield with_new(batch, tuple(kept), {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
 
-    types = dict(docs.select(*kept).dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double"])
-    return inner.mapInPandas(score, schema)
+    return inner.mapInArrow(score, f"{fields(docs, *kept)}, lang_pred string, score double")
 
 
 def fold() -> object:

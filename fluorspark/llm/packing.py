@@ -17,11 +17,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SharedEncoder
+from .common import fields, texts_of, with_new
 
 MAX_LENGTH = 2048
 SEPARATOR = 1
@@ -43,13 +44,12 @@ def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, se
         raise ValueError("the longest sequence must be a power of two")
     shared = SharedEncoder(docs.sparkSession, path)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         for batch in batches:
             sizes, starts, digests, totals, cuts, tokens = [], [], [], [], [], []
-            for ids in encoder.encode_groups(batch["_text"].tolist()):
+            for ids in encoder.encode_groups(texts_of(batch)):
                 ids = np.append(ids, np.uint32(separator)).astype("<u4")
                 own = lengths(len(ids), most)
                 begin = np.cumsum(own) - own
@@ -64,13 +64,10 @@ def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, se
             if not cuts:
                 continue
             length = np.concatenate(sizes)
-            out = pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), cuts), "start": np.concatenate(starts), "length": length, "ids_crc32": np.array(digests, dtype=np.int64), "doc_tokens": np.concatenate(totals)})
-            out["bucket"] = np.log2(length).astype(np.int32)
-            if with_ids:
-                out["ids"] = tokens
-            yield out
+            new = {"start": np.concatenate(starts), "length": length, "ids_crc32": np.array(digests, dtype=np.int64), "doc_tokens": np.concatenate(totals), "bucket": np.log2(length).astype(np.int32)}
+            yield with_new(batch, ("doc_id",), new | ({"ids": tokens} if with_ids else {}), cuts)
 
-    pieces = rows.mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids)
+    pieces = rows.mapInArrow(run, fields(rows, "doc_id") + ", start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
