@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing
+from . import bpe, hyperminhash, langid, packing
 from .common import small_batches, table
 
 
@@ -20,13 +20,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op6_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op6_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
