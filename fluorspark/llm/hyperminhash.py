@@ -207,4 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each group: the one with the smallest id, once."""
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id IS NULL"))
