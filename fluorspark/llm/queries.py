@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hyperminhash, langid, line_dedup, packing, topk
+from . import bpe, hyperminhash, langid, line_dedup, packing, spotsigs, topk
 from .common import small_batches, table
 
 
@@ -50,14 +50,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op6_bpe_round_trip, op7_exact_topk, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op6_bpe_round_trip, op7_exact_topk, op9_spot_signatures, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
