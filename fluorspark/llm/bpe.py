@@ -247,10 +247,12 @@ class Merges:
 class Encoder:
     """Texts to ids and back for one tokenizer file with the word-ending kind of byte pairs."""
 
-    def __init__(self, raw: bytes) -> None:
+    def __init__(self, raw: bytes, special: bool = True) -> None:
+        """``special``: whether special tokens that are spelled in a text get their id, or are ordinary text."""
         spec = json.loads(raw)
         self.merges = Merges(spec)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        named = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = named if special else {}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         kinds = spec["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(kinds[0]["pattern"]["Regex"])
@@ -259,7 +261,7 @@ class Encoder:
         self.library = Tokenizer.from_str(raw.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        names = {**{v: k for k, v in spec["model"]["vocab"].items()}, **{v: k for k, v in self.special.items()}}
+        names = {**{v: k for k, v in spec["model"]["vocab"].items()}, **{v: k for k, v in named.items()}}
         spelled = [(names.get(k, "") + " ").encode() for k in range(max(names) + 1)]
         self.bytes_at = np.r_[0, np.cumsum([len(x) for x in spelled])]
         self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
@@ -380,14 +382,15 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(raw: bytes) -> Encoder:
-    return Encoder(raw)
+def _encoder(raw: bytes, special: bool) -> Encoder:
+    return Encoder(raw, special)
 
 
 class SharedEncoder:
     """A tokenizer file read on the driver and broadcast; each worker builds the encoder once."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, special: bool = True) -> None:
+        self.special = special
         if path is None:
             import public_tokenizers
 
@@ -396,7 +399,7 @@ class SharedEncoder:
             self.raw = spark.sparkContext.broadcast(file.read())
 
     def get(self) -> Encoder:
-        return _encoder(self.raw.value)
+        return _encoder(self.raw.value, self.special)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

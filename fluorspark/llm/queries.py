@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hyperminhash, langid, line_dedup, packing, spotsigs, topk
+from . import bpe, chat_format, hyperminhash, langid, line_dedup, packing, spotsigs, token_counts, topk
 from .common import small_batches, table
 
 
@@ -25,6 +25,16 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat_format.link(calls, results, chat_format.REPLY)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -60,8 +70,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op6_bpe_round_trip, op7_exact_topk, op9_spot_signatures, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op9_spot_signatures, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_tool_calls": chat_format.ORACLE_SQL, "op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
