@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, hyperminhash, langid, line_dedup, packing, spotsigs, token_counts, topk
+from . import bpe, chat_format, hyperminhash, langid, license_scan, line_dedup, packing, spotsigs, token_counts, topk
 from .common import small_batches, table
 
 
@@ -60,6 +60,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op9_spot_signatures, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op8_license_scan, op9_spot_signatures, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
