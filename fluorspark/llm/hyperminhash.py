@@ -5,7 +5,7 @@ smallest value as its number of leading zeros (6 bits) and the 10 mantissa bits
 first one. Empty registers borrow from full ones in a fixed order. Four registers packed in 64 bits
 form a band. Within a bucket of equal bands every document is compared with the bucket's
 smallest id, and, where that leaves the bucket in several components, with the documents of
-other components too, block against block. Pairs must pass the collision-corrected estimate
+other components too, block against block within the tasks. Pairs must pass the collision-corrected estimate
 and are then confirmed on full shingle sets, so hashing decides only which pairs are looked at.
 A pair at the threshold shares no band with probability (1 - 0.75**4)**32, about 5 in a million.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of, with_new
+from .common import cut, texts_of, with_new, work_folder
 from .components import connected_components
 from .shingles import links, shingle_set
 
@@ -40,7 +40,8 @@ MANTISSA = 10
 COLLISION = 0.169919487159739093975315012348 / (1 << MANTISSA)
 #: The estimate may miss the threshold by five standard deviations; smaller sets are always verified.
 SURE = 256
-SALT_ROWS, BLOCK = 256, 256
+#: Partners that one copy of a document meets; documents and shingles of a block.
+SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 64, 1024, 1_000_000
 _U = np.uint64
 
 
@@ -102,10 +103,8 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     return (100 * small >= percent * np.maximum(n_a, n_b)) & ((estimate >= target - margin) | (small < SURE))
 
 
-def _registers(column: pa.Array | pd.Series) -> np.ndarray:
-    if isinstance(column, pa.Array):
-        return column.flatten().to_numpy().view("<u2").reshape(-1, REGISTERS)
-    return np.concatenate(column.to_numpy()).view("<u2").reshape(-1, REGISTERS)
+def _registers(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view("<u2").reshape(-1, REGISTERS)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -121,15 +120,14 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(run, "a long, b long, size long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold.
 
     Each ``a`` is streamed before its ``b``s; the rows of an ``a`` with many partners are
     spread over several groups, each with its own copy of it.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / SALT_ROWS)))
-    asked = salted.select("a", "salt", F.col("b").alias("doc_id"), F.lit(1).alias("turn")).union(salted.select("a", "salt", F.col("a").alias("doc_id"), F.lit(0).alias("turn")).distinct())
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").alias("_text"))
+    asked = salted.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("turn")).union(salted.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("turn")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=np.uint64)
@@ -145,37 +143,55 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = asked.join(texts, "doc_id").select("a", "salt", "doc_id", "turn", "_text")
+    rows = asked.join(texts, "node").select("a", "salt", "node", "turn", "_text")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of documents that share a bucket but not a component.
+def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents that share a bucket but no component yet.
 
-    A bucket is dealt out as pairs of blocks of bounded size; only pairs that pass the estimate leave a task.
+    A bucket of several components is dealt out as pairs of blocks of bounded size. A pair is looked
+    at in the first band it shares; if sizes and estimate allow it, its full sets are compared
+    there, and only links that join two components leave the task.
     """
     placed = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = cut(placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key"))
-    rows = placed.where("size > 2").join(mixed, ["band", "key"]).where("node != center").join(nodes, "node")
-    rows = rows.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # of a bucket of two, the pair has been compared
+    rows = placed.where("size > 2").join(mixed, ["band", "key"]).where("node != center")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets every block j: its rows go to the cells (min, max)
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("band", "key", "i", "j", "block", "label", "node")
+    whole = dealt.join(nodes.select("node", "n_shingles", "bands"), "node").join(texts, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        regs, n = _registers(rows["bands"]), rows["n_shingles"].to_numpy()
-        label, node, block = rows["label"].to_numpy(), rows["node"].to_numpy(), rows["block"].to_numpy()
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for x in left:
-            y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
-            y = y[likely(regs[x][None, :], regs[y], n[x], n[y], percent)] if len(y) else y
-            out.append(np.c_[np.minimum(node[y], node[x]), np.maximum(node[y], node[x])])
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "size": np.int64(1)})
-
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long, size long").distinct()
+        rows = rows.drop_duplicates(["node", "n_shingles", "_text"])
+        bands = np.stack(rows["bands"].to_numpy())
+        regs, n = bands.view("<u2").reshape(len(rows), -1), rows["n_shingles"].to_numpy()
+        label, node, block = rows["label"].tolist(), rows["node"].to_numpy(), rows["block"].to_numpy()
+        band, i, j = (rows[c].iloc[0] for c in ("band", "i", "j"))
+        sets = [shingle_set(t or "") for t in rows["_text"]]
+        root = {x: x for x in label}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out, right = [], np.flatnonzero(block == j)
+        for x in np.flatnonzero(block == i):
+            y = right[right > x] if i == j else right
+            same = bands[y] == bands[x]
+            y = y[(same.argmax(axis=1) == band) & same[:, band] & likely(regs[x][None, :], regs[y], n[x], n[y], percent)]
+            for k in y.tolist():
+                mine, other = find(label[x]), find(label[k])
+                if mine != other and links(sets[x], sets[k], percent):
+                    root[max(mine, other)] = min(mine, other)
+                    out.append((node[x], node[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return whole.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -186,15 +202,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = cut(usable.join(sets, ["high", "low"]).where("doc_id = node").select("node", "high", "low", "n_shingles", "bands").dropDuplicates(["node", "high", "low"]))
     # an id seen with several sets represents or belongs to each of them
     same = usable.join(sets, ["high", "low"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = cut(banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1"))
-    members = cut(banded.join(buckets, ["band", "key"]))
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    buckets = cut(buckets.withColumn("blocks", blocks).drop("weight"))
+    members = cut(banded.drop("n_shingles").join(buckets, ["band", "key"]))
+    folder = work_folder(docs.sparkSession, "near")
+    docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("text").alias("_text")).join(members.select("node").distinct(), "node", "left_semi").write.parquet(folder)
+    texts = docs.sparkSession.read.parquet(folder)
     star = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    edges = cut(verified(estimated(star, nodes, percent), docs, percent))
+    edges = cut(verified(estimated(star, nodes, percent), texts, percent))
     labels = connected_components(edges)
-    more = cut(across(members, nodes, labels, percent))
+    more = cut(across(members, nodes, texts, labels, percent))
     if not more.isEmpty():
-        labels = connected_components(edges.union(verified(more, docs, percent)))
+        labels = connected_components(edges.union(more))
     repeated = usable.groupBy("doc_id").agg(F.min("high").alias("h0"), F.max("high").alias("h1")).where("h0 != h1").select("doc_id")
     if not repeated.isEmpty():
         joined = same.join(repeated, same["b"] == repeated["doc_id"], "left_semi")
