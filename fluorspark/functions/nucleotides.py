@@ -10,7 +10,7 @@ from fluorspark.model import MAX_PHRED, MAX_QUALITY, MIN_PHRED
 
 def base_code(char: Column) -> Column:
     """0..3 for ACGT in either case, 4 for all else."""
-    at = F.instr(F.lit("ACGT"), F.upper(char))
+    at = F.instr(F.lit("ACGT"), F.translate(char, "acgt", "ACGT"))
     return F.when((F.length(char) == 1) & (at > 0), at - 1).otherwise(4).cast("tinyint")
 
 
@@ -21,7 +21,7 @@ def base_char(code: Column) -> Column:
 
 def parse(text: Column) -> Column:
     """The text with ACGT upper-cased and N for every other character."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "N")
+    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
 def codes(text: Column) -> Column:

@@ -61,12 +61,13 @@ def called(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters with first calls, brightness and weight on the raw signal (weights vary by cluster)."""
     rows = clusters(spark, sf_dir).withColumn("calls", sig.initial_calls(F.col("signal")))
     rows = rows.withColumn("brightness", sig.brightness_ols(F.transform("signal", lambda v: v.cast("double")), F.col("calls")))
-    return rows.withColumn("weight", 1.0 / (1 + F.col("cluster_idx") % 3))
+    # cut, as a fit's state is: else calls are made anew for every element that names them
+    return fits.shared_cut(rows.withColumn("weight", 1.0 / (1 + F.col("cluster_idx") % 3)))
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
-    """Rounded for comparison, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Rounded for comparison, off the ties and without a negative zero."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1.7e-6, digits) + F.lit(0.0)
 
 
 def text(signal: Column) -> Column:
@@ -140,12 +141,12 @@ def argmax_call(spark, sf_dir):
     return clusters(spark, sf_dir).select("cluster_idx", nuc.chars(sig.initial_calls(F.col("signal"))).alias("bases"))
 
 
-@query("SELECT doc_id, md5(reverse(translate(regexp_replace(upper(text), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))) AS digest FROM documents")
+@query("SELECT doc_id, md5(reverse(translate(regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))) AS digest FROM documents")
 def revcomp_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(nuc.reverse_complement(F.col("text"))).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(length(u) - length(replace(u, 'A', '')) AS BIGINT) AS a, CAST(length(u) - length(replace(u, 'C', '')) AS BIGINT) AS c, CAST(length(u) - length(replace(u, 'G', '')) AS BIGINT) AS g, CAST(length(u) - length(replace(u, 'T', '')) AS BIGINT) AS t, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n FROM (SELECT doc_id, upper(text) AS u FROM documents)")
+@query("SELECT doc_id, CAST(length(u) - length(replace(u, 'A', '')) AS BIGINT) AS a, CAST(length(u) - length(replace(u, 'C', '')) AS BIGINT) AS c, CAST(length(u) - length(replace(u, 'G', '')) AS BIGINT) AS g, CAST(length(u) - length(replace(u, 'T', '')) AS BIGINT) AS t, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n FROM (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS u FROM documents)")
 def nuc_parse(spark, sf_dir):
     parsed = nuc.parse(F.col("text"))
     count = lambda ch: (F.length("p") - F.length(F.replace("p", F.lit(ch), F.lit("")))).cast("bigint")
@@ -328,22 +329,22 @@ def wbar(spark, sf_dir):
     return called(spark, sf_dir).groupBy("tile").agg(F.round(F.sum("weight"), 6).alias("wbar"))
 
 
-@query(f"WITH {STATE} SELECT l.tile AS tile, l.cycle * 4 + l.ch AS pos, round(sum(w * v), 4) + 0.0 AS ibar FROM long l JOIN st USING (cluster_idx) GROUP BY 1, 2")
+@query(f"WITH {STATE} SELECT l.tile AS tile, l.cycle * 4 + l.ch AS pos, round(sum(w * v) + 1.7e-6, 4) + 0.0 AS ibar FROM long l JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def ibar(spark, sf_dir):
     return suff.signal_sums(called(spark, sf_dir), ["tile"]).select("tile", "pos", r("ibar").alias("ibar"))
 
 
-@query(f"WITH {STATE} SELECT c.tile AS tile, c.cycle * 4 + c.base AS pos, round(sum(w * lam), 4) + 0.0 AS sbar FROM call c JOIN st USING (cluster_idx) GROUP BY 1, 2")
+@query(f"WITH {STATE} SELECT c.tile AS tile, c.cycle * 4 + c.base AS pos, round(sum(w * lam) + 1.7e-6, 4) + 0.0 AS sbar FROM call c JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def sbar(spark, sf_dir):
     return suff.call_sums(called(spark, sf_dir), ["tile"]).select("tile", "pos", r("sbar").alias("sbar"))
 
 
-@query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, b.cycle * 4 + b.base AS j, round(sum(w * lam * lam) / 1000, 3) + 0.0 AS v FROM call a JOIN call b USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
+@query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, b.cycle * 4 + b.base AS j, round(sum(w * lam * lam) / 1000 + 1.7e-6, 3) + 0.0 AS v FROM call a JOIN call b USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def gram_j(spark, sf_dir):
     return suff.gram(called(spark, sf_dir), []).select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
 
 
-@query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, l.cycle * 4 + l.ch AS j, round(sum(w * lam * l.v) / 1000, 3) + 0.0 AS v FROM call a JOIN long l USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
+@query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, l.cycle * 4 + l.ch AS j, round(sum(w * lam * l.v) / 1000 + 1.7e-6, 3) + 0.0 AS v FROM call a JOIN long l USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def cross_k(spark, sf_dir):
     return suff.cross(called(spark, sf_dir), []).select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
 
@@ -351,13 +352,13 @@ def cross_k(spark, sf_dir):
 _REST = STATE + ", rest AS (SELECT cluster_idx, l.cycle, l.cycle * 4 + l.ch AS i, l.v - CASE WHEN l.ch = c.base THEN lam ELSE 0 END AS x, w FROM long l JOIN call c USING (cluster_idx, cycle) JOIN st USING (cluster_idx))"
 
 
-@query(f"WITH {_REST} SELECT a.i AS i, b.i AS j, round(sum(a.w * a.x * b.x) / sum(a.w), 3) + 0.0 AS v FROM rest a JOIN rest b ON a.cluster_idx = b.cluster_idx AND abs(a.cycle - b.cycle) <= 1 GROUP BY 1, 2")
+@query(f"WITH {_REST} SELECT a.i AS i, b.i AS j, round(sum(a.w * a.x * b.x) / sum(a.w) + 1.7e-6, 3) + 0.0 AS v FROM rest a JOIN rest b ON a.cluster_idx = b.cluster_idx AND abs(a.cycle - b.cycle) <= 1 GROUP BY 1, 2")
 def band_covariance(spark, sf_dir):
     rows = called(spark, sf_dir).withColumn("processed", F.transform("signal", lambda v: v.cast("double")))
     return suff.band_covariance(rows, []).select("i", "j", r("v", 3).alias("v"))
 
 
-@query(f"WITH {_REST} SELECT cycle, round(sum(w * x * x) / (sum(w) / 4), 3) + 0.0 AS variance FROM rest GROUP BY 1")
+@query(f"WITH {_REST} SELECT cycle, round(sum(w * x * x) / (sum(w) / 4) + 1.7e-6, 3) + 0.0 AS variance FROM rest GROUP BY 1")
 def cycle_variance(spark, sf_dir):
     rows = called(spark, sf_dir).withColumn("processed", F.transform("signal", lambda v: v.cast("double")))
     own = suff.band_covariance(rows, []).where("i = j")
@@ -371,34 +372,34 @@ _P = ", ".join(f"({' + '.join(f'({w!r}) * s[{k + 1}]' for k, w in enumerate(row)
 PROC = CALL + f", pr AS (SELECT cluster_idx, tile, cycle, [{_P}] AS p FROM (SELECT cluster_idx, tile, cycle, list(v ORDER BY ch) AS s FROM long GROUP BY 1, 2, 3)), pc AS (SELECT cluster_idx, cycle, p, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS b FROM pr)"
 
 
-@query(f"WITH {PROC} SELECT cluster_idx, cycle, round(p[1], 4) + 0.0 AS a, round(p[2], 4) + 0.0 AS c, round(p[3], 4) + 0.0 AS g, round(p[4], 4) + 0.0 AS t FROM pr")
+@query(f"WITH {PROC} SELECT cluster_idx, cycle, round(p[1] + 1.7e-6, 4) + 0.0 AS a, round(p[2] + 1.7e-6, 4) + 0.0 AS c, round(p[3] + 1.7e-6, 4) + 0.0 AS g, round(p[4] + 1.7e-6, 4) + 0.0 AS t FROM pr")
 def process_intensities(spark, sf_dir):
     rows = clusters(spark, sf_dir).select("cluster_idx", sig.unmix(F.col("signal"), INVERSE).alias("p"))
     each = rows.select("cluster_idx", F.posexplode(sig.per_cycle(F.col("p"), lambda ch: ch)).alias("cycle", "q"))
     return each.select("cluster_idx", "cycle", *(r(F.col("q")[k]).alias(n) for k, n in enumerate("acgt")))
 
 
-@query(f"WITH {PROC} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases, round(greatest(0, avg(list_max(p))), 4) + 0.0 AS brightness FROM pc GROUP BY 1")
+@query(f"WITH {PROC} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases, round(greatest(0, avg(list_max(p))) + 1.7e-6, 4) + 0.0 AS brightness FROM pc GROUP BY 1")
 def quick_calls(spark, sf_dir):
     rows = entry.quick_calls(clusters(spark, sf_dir))
     return rows.select("cluster_idx", nuc.chars(F.col("calls")).alias("bases"), r("brightness").alias("brightness"))
 
 
-_X = "[" + ", ".join("[" + ", ".join(map(repr, row)) + "]" for row in INITIAL_CROSSTALK) + "]"
+_X = "CAST([" + ", ".join("[" + ", ".join(map(repr, row)) + "]" for row in INITIAL_CROSSTALK) + "] AS DOUBLE[][])"
 FITTED = PROC + f", lam AS (SELECT cluster_idx, greatest(0, sum(list_dot_product(s.s, ({_X})[b + 1])) / sum(list_dot_product(({_X})[b + 1], ({_X})[b + 1]))) AS lam FROM pc JOIN (SELECT cluster_idx, cycle, list(v ORDER BY ch) AS s FROM long GROUP BY 1, 2) s USING (cluster_idx, cycle) GROUP BY 1)"
 
 
-@query(f"WITH {FITTED} SELECT cluster_idx, round(lam, 4) + 0.0 AS brightness, round(sum(list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam) / 1e6, 4) AS lse FROM pc JOIN lam USING (cluster_idx) GROUP BY cluster_idx, lam")
+@query(f"WITH {FITTED} SELECT cluster_idx, round(lam + 1.7e-6, 4) + 0.0 AS brightness, round(sum(list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam) / 1e6 + 1.7e-6, 4) + 0.0 AS lse FROM pc JOIN lam USING (cluster_idx) GROUP BY cluster_idx, lam")
 def lambda_a(spark, sf_dir):
     rows = entry.quick_calls(clusters(spark, sf_dir))
     model = sig.expected(F.col("calls"), F.lit(1.0), crosstalk().tolist())
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     lam = F.greatest(F.lit(0.0), dot(F.transform("signal", lambda v: v.cast("double")), F.col("m")) / dot(F.col("m"), F.col("m")))
     rows = rows.withColumn("m", model).withColumn("brightness", lam)
-    return rows.select("cluster_idx", r("brightness").alias("brightness"), F.round(sig.squared_error(F.col("processed"), F.col("calls"), F.col("brightness")) / 1e6, 4).alias("lse"))
+    return rows.select("cluster_idx", r("brightness").alias("brightness"), r(sig.squared_error(F.col("processed"), F.col("calls"), F.col("brightness")) / 1e6).alias("lse"))
 
 
-@query(f"WITH {PROC}, o AS (SELECT cluster_idx, greatest(0, avg(p[b + 1])) AS lam FROM pc GROUP BY 1), e AS (SELECT cluster_idx, p[b + 1] AS y, list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam AS sse FROM pc JOIN o USING (cluster_idx)) SELECT cluster_idx, round(greatest(0, sum(y / (1 + sse / 90000)) / sum(1 / (1 + sse / 90000))), 4) + 0.0 AS brightness FROM e GROUP BY 1")
+@query(f"WITH {PROC}, o AS (SELECT cluster_idx, greatest(0, avg(p[b + 1])) AS lam FROM pc GROUP BY 1), e AS (SELECT cluster_idx, p[b + 1] AS y, list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam AS sse FROM pc JOIN o USING (cluster_idx)) SELECT cluster_idx, round(greatest(0, sum(y / (1 + sse / 90000)) / sum(1 / (1 + sse / 90000))) + 1.7e-6, 4) + 0.0 AS brightness FROM e GROUP BY 1")
 def lambda_wls(spark, sf_dir):
     rows = entry.quick_calls(clusters(spark, sf_dir))
     each = rows.select("cluster_idx", "brightness", F.posexplode(sig.per_cycle(F.col("processed"), lambda ch: ch)).alias("cycle", "p"), "calls")
