@@ -395,8 +395,8 @@ def lambda_a(spark, sf_dir):
     model = sig.expected(F.col("calls"), F.lit(1.0), crosstalk().tolist())
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     lam = F.greatest(F.lit(0.0), dot(F.transform("signal", lambda v: v.cast("double")), F.col("m")) / dot(F.col("m"), F.col("m")))
-    rows = rows.withColumn("m", model).withColumn("brightness", lam)
-    return rows.select("cluster_idx", r("brightness").alias("brightness"), r(sig.squared_error(F.col("processed"), F.col("calls"), F.col("brightness")) / 1e6).alias("lse"))
+    rows = rows.withColumn("m", model).withColumn("lam", lam)
+    return rows.select("cluster_idx", r("lam").alias("brightness"), r(sig.squared_error(F.col("processed"), F.col("calls"), F.col("lam")) / 1e6).alias("lse"))
 
 
 @query(f"WITH {PROC}, o AS (SELECT cluster_idx, greatest(0, avg(p[b + 1])) AS lam FROM pc GROUP BY 1), e AS (SELECT cluster_idx, p[b + 1] AS y, list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam AS sse FROM pc JOIN o USING (cluster_idx)) SELECT cluster_idx, round(greatest(0, sum(y / (1 + sse / 90000)) / sum(1 / (1 + sse / 90000))) + 1.7e-6, 4) + 0.0 AS brightness FROM e GROUP BY 1")
