@@ -53,6 +53,16 @@ def fields(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {types[n]}" for n in names)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and their names by the old ones, so that no own column can clash with them."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{old}`").alias(new) for old, new in names.items())), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "_text") -> list[str | None]:
     return batch.column(name).to_pylist()
 

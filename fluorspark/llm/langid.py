@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, texts_of, with_new
+from .common import fields, numbered, restored, texts_of, with_new
 
 #: n-gram lengths, hash buckets, and the bound on the labelled sample: expected documents for each language.
 ORDERS = (1, 2, 3)
@@ -143,4 +143,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is known: neither ``und`` nor predicted with a score under ``least``."""
     model = fit(docs, train=F.coalesce(fold() != 0, F.lit(False)))
-    return predict(docs, model, keep=tuple(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    rows, names = numbered(docs)
+    found = predict(rows, model, text=names["text"], keep=tuple(rows.columns))
+    return restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), names)

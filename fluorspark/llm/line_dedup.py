@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of, with_new
+from .common import cut, fields, numbered, restored, texts_of, with_new
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -213,17 +213,17 @@ def kept_text(text: str, gone: set[bytes], min_chars: int = MIN_CHARS) -> tuple[
     return len(lines), len(lines) - len(rest), text if len(rest) == len(lines) else "\n".join(rest)
 
 
-def _applied(docs: DataFrame, surplus: DataFrame, columns: tuple[str, ...], schema: str, new) -> DataFrame:
+def _applied(docs: DataFrame, surplus: DataFrame, columns: tuple[str, ...], schema: str, new, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Maps every document with the keys it is to lose."""
     gone = surplus.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("high", "low")).alias("_gone"))
-    rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left").select(*columns, F.coalesce(docs["text"], F.lit("")).alias("_text"), F.col("_gone.high").alias("_high"), F.col("_gone.low").alias("_low"))
+    rows = docs.join(gone, docs[doc_id] == gone["_id"], "left").select(*columns, F.coalesce(docs[text], F.lit("")).alias("_text"), F.col("_gone.high").alias("_high"), F.col("_gone.low").alias("_low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text, high, low in zip(*(texts_of(batch, c) for c in ("_text", "_high", "_low")), strict=True):
+            for value, high, low in zip(*(texts_of(batch, c) for c in ("_text", "_high", "_low")), strict=True):
                 keys = {h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little", signed=True) for h, x in zip(high or (), low or (), strict=True)}
-                found.append(kept_text(text, keys))
+                found.append(kept_text(value, keys))
             yield with_new(batch, columns, new(found))
 
     return rows.mapInArrow(run, schema)
@@ -243,13 +243,13 @@ def line_report(docs: DataFrame, store: Store | None = None) -> DataFrame:
 def without_repeats(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """The documents with their surplus lines gone and ``n_chars``, if there is one, made anew."""
     store = store or Store.build(docs)
-    kept = tuple(c for c in docs.columns if c != "text")
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string"])
-    out = _applied(docs, store.surplus(), kept, schema, lambda found: {"text": pa.array([x[2] for x in found], pa.string())})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(types["n_chars"]))
-    return out.select(*docs.columns)
+    rows, names = numbered(docs)
+    text = names["text"]
+    kept = tuple(c for c in rows.columns if c != text)
+    out = _applied(rows, store.surplus(), kept, f"{fields(rows, *kept)}, {text} string", lambda found: {text: pa.array([x[2] for x in found], pa.string())}, names["doc_id"], text)
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return restored(out, names)
 
 
 ORACLE_SQL = r"""
