@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fluorspark.functions.signal import let
 from fluorspark.model import AMBIGUOUS
 
 # The default calibration. Rows of PRIOR by the base before, of NEXT by the base after,
@@ -68,5 +69,5 @@ def adjusted(quality: Column, prior: Column, base: Column, next_: Column, table:
 
 def calibrate(qualities: Column, calls: Column, brightness: Column, table: Table = Table()) -> Column:
     """All qualities of a cluster; a cluster without brightness keeps its own."""
-    new = F.transform(qualities, lambda q, c: adjusted(q, F.when(c > 0, F.get(calls, c - 1)), F.get(calls, c), F.get(calls, c + 1), table))
+    new = let(calls, lambda k: F.transform(qualities, lambda q, c: adjusted(q, F.when(c > 0, F.get(k, c - 1)), F.get(k, c), F.get(k, c + 1), table)))
     return F.when(brightness == 0, qualities).otherwise(new)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fluorspark.model import CHANNELS, INT_MAX, INT_MIN
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clip(value: Column) -> Column:
     """Rounded half away from zero and saturated to 16 bits."""
     return F.greatest(F.lit(INT_MIN), F.least(F.lit(INT_MAX), F.round(value))).cast("smallint")
@@ -35,7 +42,7 @@ def cut(signal: Column, parts: list[tuple[int, int]]) -> Column:
 
 def per_cycle(signal: Column, use) -> Column:
     """An array with ``use`` of each cycle's channels."""
-    return F.transform(F.sequence(F.lit(0), cycles(signal) - 1), lambda c: use(cycle(signal, c)))
+    return let(signal, lambda s: F.transform(F.sequence(F.lit(0), cycles(s) - 1), lambda c: let(cycle(s, c), use)))
 
 
 def argmax(channels: Column) -> Column:
@@ -44,7 +51,7 @@ def argmax(channels: Column) -> Column:
 
 
 def initial_calls(signal: Column) -> Column:
-    return F.when(F.size(signal) >= CHANNELS, per_cycle(signal, argmax)).otherwise(F.array().cast("array<tinyint>"))
+    return let(signal, lambda s: F.when(F.size(s) >= CHANNELS, per_cycle(s, argmax)).otherwise(F.array().cast("array<tinyint>")))
 
 
 def dark_cycles(signal: Column) -> Column:
@@ -84,17 +91,17 @@ def expected(calls: Column, brightness: Column, mix: list[list[float]]) -> Colum
 
 def called(processed: Column, calls: Column) -> Column:
     """The processed intensity of each called base; null for an ambiguous one."""
-    return F.transform(calls, lambda b, c: F.when(b < CHANNELS, F.get(processed, (c * CHANNELS + b).cast("int"))))
+    return let(processed, lambda p: F.transform(calls, lambda b, c: F.when(b < CHANNELS, F.get(p, (c * CHANNELS + b).cast("int")))))
 
 
 def brightness_ols(processed: Column, calls: Column) -> Column:
     """Mean of the called channels, not below 0; 0 if all bases are ambiguous."""
-    seen = F.array_compact(called(processed, calls))
-    total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(seen) > 0, F.greatest(F.lit(0.0), total / F.size(seen))).otherwise(0.0)
+    total = lambda seen: F.aggregate(seen, F.lit(0.0), lambda a, x: a + x)
+    return let(F.array_compact(called(processed, calls)), lambda seen: F.when(F.size(seen) > 0, F.greatest(F.lit(0.0), total(seen) / F.size(seen))).otherwise(0.0))
 
 
 def squared_error(processed: Column, calls: Column, brightness: Column) -> Column:
     """Sum of squares of processed intensities less the brightness at the called bases."""
-    rest = F.transform(processed, lambda p, k: p - F.when(F.get(calls, F.floor(k / CHANNELS).cast("int")).cast("int") == k % CHANNELS, brightness).otherwise(0.0))
+    known = F.struct(calls.alias("calls"), brightness.alias("brightness"))
+    rest = let(known, lambda s: F.transform(processed, lambda p, k: p - F.when(F.get(s["calls"], F.floor(k / CHANNELS).cast("int")).cast("int") == k % CHANNELS, s["brightness"]).otherwise(0.0)))
     return F.aggregate(rest, F.lit(0.0), lambda a, x: a + x * x)
