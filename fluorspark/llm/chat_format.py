@@ -1,9 +1,9 @@
 """Tool-call linking for chat data, in DataFrame functions only.
 
 Calls and results are hash-joined by conversation and call id. A call's level in the topological
-order is one more than the highest level it depends on; levels are found in rounds, each
-settling the calls whose dependencies are all settled, so the number of rounds is the
-longest chain of calls; what never settles is cyclic. Arguments are parsed once, checked
+order is one more than the highest level it depends on. Chains of calls with one dependency each are
+passed by pointer doubling, so a chain of n calls takes log n rounds; calls with several dependencies are
+settled in rounds, when all they depend on are; what never settles is cyclic. Arguments are parsed once, checked
 against the tool's schema and written as canonical JSON: keys sorted, no blanks.
 
 Defined results: a call without a result is ``unanswered``, a result without a call is
@@ -74,14 +74,47 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = calls.select(*CALL_KEY, F.explode(F.array_distinct("after")).alias("before"))
     edges = cut(edges.join(keys.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi").select("conv_id", "call_id", "before"))
     needs = edges.groupBy(*CALL_KEY).agg(F.count("*").alias("needs"))
-    state = cut(keys.join(needs, CALL_KEY, "left").select(*CALL_KEY, F.coalesce("needs", F.lit(0)).alias("needs"), F.when(F.col("needs").isNull(), 0).alias("level")))
+    state = cut(keys.join(needs, CALL_KEY, "left").select(*CALL_KEY, F.coalesce("needs", F.lit(0)).alias("needs")))
+    steps = _chains(state, edges)
+    # what stands at the ends of chains: calls without a dependency, and those with several
+    heads = state.where("needs != 1").select(*CALL_KEY, "needs", F.when(F.col("needs") == 0, 0).alias("level"))
+    if not heads.where("needs > 1").isEmpty():
+        heads = _settled(cut(heads), edges.join(state.where("needs > 1"), CALL_KEY, "left_semi"), steps)
+    ends = heads.select("conv_id", F.col("call_id").alias("to"), "level")
+    behind = steps.join(ends, ["conv_id", "to"]).select(*CALL_KEY, (F.col("level") + F.col("far")).cast("int").alias("level"))
+    known = heads.select(*CALL_KEY, F.col("level").cast("int").alias("level")).unionByName(behind)
+    return state.select(*CALL_KEY).join(known, CALL_KEY, "left")
+
+
+def _chains(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each call with one dependency the first call back along the chain that has none or several (``to``), and how far it is.
+
+    Pointers double in every round; what never arrives is on or behind a cycle and is left out.
+    """
+    single = edges.join(state.where("needs = 1"), CALL_KEY, "left_semi")
+    ends = state.select("conv_id", F.col("call_id").alias("before"), (F.col("needs") != 1).alias("done"))
+    steps = cut(single.join(ends, ["conv_id", "before"]).select(*CALL_KEY, F.col("before").alias("to"), F.lit(1).cast("long").alias("far"), "done"))
     while True:
-        done = state.where("level IS NOT NULL").select("conv_id", F.col("call_id").alias("before"), "level")
-        ready = edges.join(done, ["conv_id", "before"]).groupBy(*CALL_KEY).agg(F.count("*").alias("met"), (F.max("level") + 1).alias("next"))
-        step = cut(state.join(ready, CALL_KEY, "left").select(*CALL_KEY, "needs", F.coalesce("level", F.when(F.col("met") == F.col("needs"), F.col("next"))).alias("level"), (F.col("level").isNull() & (F.col("met") == F.col("needs"))).alias("moved")))
-        state = step.drop("moved")
+        on = steps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("done").alias("there"))
+        moved = cut(steps.where("NOT done").join(on, ["conv_id", "to"]).select(*CALL_KEY, F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("there").alias("done")))
+        # distances along a chain have no gaps: a round in which none arrives is the last
+        if moved.where("done").isEmpty():
+            return steps.where("done").drop("done")
+        steps = cut(steps.where("done").unionByName(moved))
+
+
+def _settled(heads: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """Levels of the calls with several dependencies, in rounds: a call is settled when all it depends on are."""
+    direct = heads.select("conv_id", F.col("call_id").alias("before"), F.col("call_id").alias("to"), F.lit(0).cast("long").alias("far"))
+    through = steps.select("conv_id", F.col("call_id").alias("before"), "to", "far")
+    need = cut(edges.join(direct.unionByName(through), ["conv_id", "before"]).select("conv_id", "call_id", "to", "far"))
+    while True:
+        done = heads.where("level IS NOT NULL").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("at"))
+        ready = need.join(done, ["conv_id", "to"]).groupBy(*CALL_KEY).agg(F.count("*").alias("met"), (F.max(F.col("at") + F.col("far")) + 1).alias("next"))
+        step = cut(heads.join(ready, CALL_KEY, "left").select(*CALL_KEY, "needs", F.coalesce("level", F.when(F.col("met") == F.col("needs"), F.col("next"))).alias("level"), (F.col("level").isNull() & (F.col("met") == F.col("needs"))).alias("moved")))
+        heads = step.drop("moved")
         if step.where("moved").isEmpty():
-            return state.drop("needs")
+            return heads
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -289,6 +289,18 @@ def test_tool_calls(spark):
     assert all(json.loads(r["record"]) for r in rows)
 
 
+def test_levels_of_a_random_graph(spark):
+    rng = np.random.default_rng(13)
+    after = {k: sorted({int(x) for x in rng.integers(0, k, rng.choice([0, 1, 1, 1, 2, 3]))}) if k else [] for k in range(120)}
+    after |= {120: []} | {k: [k - 1] for k in range(121, 300)} | {300: [301], 301: [302], 302: [300], 303: [302], 304: [303, 5]}
+    rows = [(1, f"c{k}", [f"c{x}" for x in own]) for k, own in after.items()]
+    want = {}
+    for k, own in after.items():
+        want[k] = None if k >= 300 else max((want[x] + 1 for x in own), default=0)
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>"))
+    assert {int(r["call_id"][1:]): r["level"] for r in got.collect()} == want
+
+
 def test_embedded_calls(spark):
     messages = [(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "k", "name": "say", "arguments": '{"text":"x"}'}]})), (1, 1, "tool", json.dumps({"tool_call_id": "k", "content": "done"})), (1, 2, "assistant", "plain"), (1, 3, "assistant", None)]
     rows = chat_format.link(*chat_format.embedded(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")), {"say": {"text": ("string", True)}}).collect()
