@@ -72,7 +72,7 @@ def _start(param: Params | None, tile: int, rows: pa.RecordBatch) -> dict:
     return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(np.full(n, float(signal.shape[1]))), "quality": pa.array([None] * n, pa.string())}
 
 
-def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None = None) -> tuple[DataFrame, dict[int, Params | None]]:
+def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None = None, mix: np.ndarray | None = None) -> tuple[DataFrame, dict[int, Params | None]]:
     """Fits every tile of ``clusters`` (cluster_idx, tile, signal) and calls its bases.
 
     Returns the state of all clusters, with ``quality`` as text, and each tile's parameters. A tile
@@ -82,7 +82,7 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
     spark: SparkSession = clusters.sparkSession
     marked = training_mark(clusters, options, spiked)
     sizes = marked.groupBy("tile").agg(F.max(F.size("signal")).alias("n")).collect()
-    start = {r["tile"]: (options.fixed or Params.initial(r["n"] // CHANNELS)) for r in sizes}
+    start = {r["tile"]: (options.fixed or Params.initial(r["n"] // CHANNELS, mix)) for r in sizes}
     params: dict[int, Params | None] = dict(start)
     none = {"calls": "array<tinyint>", "brightness": "double", "lse": "double", "lss": "double", "quality": "string"}
     state = marked.select(*KEPT, "used", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))

@@ -25,17 +25,17 @@ def quick_calls(clusters: DataFrame) -> DataFrame:
     return rows.withColumn("brightness", sig.brightness_ols(F.col("processed"), F.col("calls")))
 
 
-def run(clusters: DataFrame, options: Options = Options()) -> DataFrame:
-    """Called bases and qualities of every cluster and block of ``clusters`` (cluster_idx, tile, signal)."""
+def run(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None) -> DataFrame:
+    """Called bases and qualities of every cluster and block of ``clusters`` (cluster_idx, tile, signal); ``mix``: an initial crosstalk."""
     parts = blocks.split(clusters, options.blocks) if options.blocks else clusters.withColumn("block", F.lit(0))
     n = len(blocks.parse(options.blocks)) if options.blocks else 1
     out = None
     for k in range(n):
-        state, _ = fit(parts.where(F.col("block") == k), replace(options, blocks=""))
+        state, _ = fit(parts.where(F.col("block") == k), replace(options, blocks=""), mix=mix)
         own = state.withColumn("block", F.lit(k))
         out = own if out is None else out.unionByName(own)
     if options.calibrate:
         values = F.transform(F.filter(F.split("quality", ""), lambda c: c != ""), lambda c: (F.ascii(c) - MIN_PHRED).cast("double"))
-        new = calibration.calibrate(values, F.col("calls"), F.col("brightness"))
+        new = calibration.calibrate(values, F.col("calls"), F.col("brightness"), table)
         out = out.withColumn("quality", F.array_join(F.transform(new, nuc.phred_char), ""))
     return out.withColumn("bases", nuc.chars(F.col("calls")))

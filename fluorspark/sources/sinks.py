@@ -34,3 +34,19 @@ def output_name(name: str, kind: str, block: int | None = None, sample: str | No
     """The output of an input file: its body before ``_int`` or its suffix, a block digit, the kind; or the sample's name."""
     body = sample or name.split("_int.txt")[0].rsplit(".cif", 1)[0]
     return body + ("" if block is None else str(block + 1)) + "." + kind
+
+
+def spike_text(counts: DataFrame) -> DataFrame:
+    """The counts by quality as lines of quality, differences and observations."""
+    return counts.orderBy("q").select(F.concat_ws("\t", "q", "diff", "obs").alias("value"))
+
+
+def simulation_text(cycles: int, location: float, scale: float, covariance: list[list[float]], command: str = "", version: int = 5) -> str:
+    """What a simulator needs of a fit: the logistic brightness and the residual covariance. Line breaks in the command stay comments."""
+    head = [f"# {version}", *(f"# {line}" for line in command.splitlines() if line)]
+    return "\n".join([*head, f"{cycles} L {location:.6f} {scale:.6f}", *(" ".join(f"{v:.6f}" for v in row) for row in covariance)]) + "\n"
+
+
+def final_values(state: DataFrame, folder: str) -> None:
+    """The fit's cluster state as Parquet, a folder for each tile."""
+    state.drop("signal").write.partitionBy("tile").parquet(folder)
