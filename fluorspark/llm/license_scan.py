@@ -25,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UNKNOWN = "unknown"
 COPIES, KEEP, LOSE = 48, 0.85, 0.2
 FALSE_RATE, SURE, CONFIRM = 0.005, 0.5, 0.6
@@ -114,19 +116,24 @@ def fit(spark: SparkSession) -> Model:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row and line number, and n-grams of the paragraphs that hold a licence word."""
-    marked = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    return marked.where(has_mark(F.col("paragraph"))).select("doc_id", "row", "line", grams(F.col("paragraph")).alias("grams"))
+    """doc_id, row and line number, and n-grams of the paragraphs that hold a licence word; a document without one has a single row without line."""
+    marked = F.filter(F.split("text", "\n"), has_mark)
+    each = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer(marked).alias("line", "paragraph"))
+    return each.select("doc_id", "row", "line", grams(F.col("paragraph")).alias("grams"))
 
 
 def has_mark(text: Column) -> Column:
-    return F.lower(text).rlike(rf"(?<![a-z0-9])(?:{'|'.join(licence_words())})(?![a-z0-9])")
+    """Whether a licence word occurs; the words are grouped by their first letter, so most places are passed at once."""
+    groups: dict[str, list[str]] = {}
+    for word in licence_words():
+        groups.setdefault(word[0], []).append(word[1:])
+    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in groups.items())})(?![a-z0-9])")
 
 
 def classified(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, row, line, family (or unknown), score and confirmed of every paragraph with a licence word."""
+    """doc_id, row, line, family (or unknown), score and confirmed of every paragraph with a licence word, and of one without a line for other documents."""
     key = ["doc_id", "row", "line"]
-    found = paragraphs(docs).select(*key, F.explode("grams").alias("gram"))
+    found = cut(paragraphs(docs)).select(*key, F.explode_outer("grams").alias("gram"))
     count = len(model.classes)
     sums = found.join(F.broadcast(model.weights), "gram", "left").groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(count)))
     scores = F.array(*(F.col(f"s{k}") + F.lit(model.intercepts[k] + (model.offset if k == count - 1 else 0.0)) for k in range(count)))
@@ -149,8 +156,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    seen = classified(rows.where(has_mark(F.col("text"))), model)
-    sure, said = F.col("confirmed") & (F.col("family") != UNKNOWN), F.col("family") != UNKNOWN
+    seen = classified(rows, model)
+    said = F.col("family") != UNKNOWN
+    sure = F.col("confirmed") & said
     of_row = seen.groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"),
         F.coalesce(F.max(F.when(sure, F.col("score"))), F.lit(0.0)).alias("confidence"),
@@ -158,6 +166,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.coalesce(F.max(said), F.lit(False)).alias("said"),
     )
     licence = F.when(F.size("families") > 0, F.array_join("families", ",")).when(F.col("said"), F.lit(UNKNOWN)).otherwise(F.lit("none"))
-    marked = of_row.select("doc_id", licence.alias("licence"), "confidence", "n_notices")
-    plain = rows.where(~has_mark(F.col("text"))).select("doc_id", F.lit("none").alias("licence"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_notices"))
-    return plain.unionByName(marked)
+    return of_row.select("doc_id", licence.alias("licence"), "confidence", "n_notices")
