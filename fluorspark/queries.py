@@ -515,3 +515,84 @@ def clamp_chars(spark, sf_dir):
     char = nuc.clamp_phred(F.substring(F.lit('\t"#'), (1 + F.col("vec_id") % 3).cast("int"), F.lit(1)))
     rows = read(spark, sf_dir, "embeddings").select(nuc.quality_of_char(char).alias("q"))
     return rows.agg((F.min("q") + MIN_PHRED).alias("lo"), (F.max("q") + MIN_PHRED).alias("hi"), F.count("*").alias("n"))
+
+
+# the row kernels and batch sums against SQL
+
+
+def _kernel(spark, sf_dir, schema, use):
+    """Runs ``use(signal, p, calls, brightness) -> columns`` on Arrow batches of clusters under the default crosstalk."""
+    start = Params.initial(16)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            signal = suff.matrix_of(batch.column("signal"))
+            p = kernels.processed(signal, start.a, start.n)
+            calls = kernels.strongest(p)
+            new = use(signal, p, calls, kernels.brightness(signal, calls, start.a, start.n))
+            yield pa.RecordBatch.from_arrays([batch.column("cluster_idx"), *(pa.array(v) for v in new.values())], names=["cluster_idx", *new])
+
+    return clusters(spark, sf_dir).select("cluster_idx", "signal").mapInArrow(run, f"cluster_idx long, {schema}")
+
+
+@query(f"WITH {FITTED} SELECT cluster_idx, round(sum(list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam) / 1e6 + 1.7e-6, 4) + 0.0 AS score FROM pc JOIN lam USING (cluster_idx) GROUP BY cluster_idx")
+def sequence_score(spark, sf_dir):
+    """The score of the strongest channels' sequence under an independent precision: its squared error."""
+    out = _kernel(spark, sf_dir, "score double", lambda s, p, calls, lam: {"score": kernels.path_score(p, lam, np.eye(64), calls)})
+    return out.select("cluster_idx", r(F.col("score") / 1e6).alias("score"))
+
+
+@query(f"WITH {FITTED} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases FROM pc JOIN lam USING (cluster_idx) WHERE lam > 0 GROUP BY 1")
+def viterbi_independent(spark, sf_dir):
+    """Under an independent precision the best sequence is the strongest channel of every cycle."""
+
+    def use(signal, p, calls, lam):
+        best, _ = kernels.best_path(p, lam, np.eye(64))
+        return {"bases": ["".join("ACGT"[b] for b in row) for row in best], "lam": lam}
+
+    return _kernel(spark, sf_dir, "bases string, lam double", use).where("lam > 0").select("cluster_idx", "bases")
+
+
+@query(f"WITH {PROC} SELECT cluster_idx, round(greatest(0, avg(p[b + 1])) + 1.7e-6, 4) + 0.0 AS brightness FROM pc GROUP BY 1")
+def lambda_ols(spark, sf_dir):
+    out = _kernel(spark, sf_dir, "brightness double", lambda s, p, calls, lam: {"brightness": kernels.brightness_ols(p, calls)})
+    return out.select("cluster_idx", r("brightness").alias("brightness"))
+
+
+@query(f"WITH {FITTED} SELECT cluster_idx, cycle, round(lam * ({_X})[b + 1][1] + 1.7e-6, 4) + 0.0 AS a, round(lam * ({_X})[b + 1][4] + 1.7e-6, 4) + 0.0 AS t FROM pc JOIN lam USING (cluster_idx)")
+def expected_signal(spark, sf_dir):
+    out = _kernel(spark, sf_dir, "e array<double>", lambda s, p, calls, lam: {"e": list(kernels.expected(calls, lam, Params.initial(16).a, np.zeros(64)))})
+    each = out.select("cluster_idx", F.posexplode(sig.per_cycle(F.col("e"), lambda ch: ch)).alias("cycle", "q"))
+    return each.select("cluster_idx", "cycle", r(F.col("q")[0]).alias("a"), r(F.col("q")[3]).alias("t"))
+
+
+@query(f"WITH {STATE} SELECT a.tile AS tile, a.cycle * 4 + a.base AS i, b.cycle * 4 + b.base AS j, round(sum(w * lam * lam) / 1000 + 1.7e-6, 3) + 0.0 AS v FROM call a JOIN call b USING (cluster_idx) JOIN st USING (cluster_idx) WHERE lam > 0 GROUP BY 1, 2, 3 HAVING sum(w * lam * lam) > 0")
+def batch_gram(spark, sf_dir):
+    """J of every tile by the batch sums that the fit uses."""
+    rows = called(spark, sf_dir)
+    sums = suff.partial_sums(rows, ["signal", "calls", "brightness", "weight"], lambda tile, c: suff.batch_sums(suff.matrix_of(c[0]), suff.matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
+    out = [(tile, int(i), int(j), float(solve.unpacked(v)[0][i, j])) for tile, v in sums.items() for i, j in zip(*np.nonzero(solve.unpacked(v)[0]), strict=True)]
+    made = spark.createDataFrame(out, "tile int, i int, j int, v double")
+    return made.select("tile", "i", "j", r(F.col("v") / 1000, 3).alias("v"))
+
+
+@query(f"WITH {_COUNTS}, a AS (SELECT q, greatest(0, least(93, CAST(floor(-10 * log10((diff + pow(10, -q / 10.0)) / (obs + 1)) + 0.5) AS INTEGER))) AS actual FROM c) SELECT actual AS q, count(*) AS n FROM lineitem JOIN a ON CAST(l_quantity AS INTEGER) = a.q GROUP BY 1")
+def recalibrated_qualities(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("q"))
+    return joins.recalibrated(rows, _counts(spark, sf_dir)).groupBy("q").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS cluster_idx, c_custkey * 7 % 1794 AS x, c_nationkey + 1000 AS y FROM customer")
+def coordinates_by_position(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    places = rows.select(F.col("c_custkey").alias("cluster_idx"), (F.col("c_custkey") * 7 % 1794).alias("x"), (F.col("c_nationkey") + 1000).alias("y"))
+    return joins.with_coordinates(rows.select(F.col("c_custkey").alias("cluster_idx")), places, ["cluster_idx"]).select("cluster_idx", "x", "y")
+
+
+@query("SELECT o_orderpriority, CAST(floor(o_totalprice / 100000) AS BIGINT) AS category, count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_totalprice > 1000 GROUP BY 1, 2")
+def split_categories(spark, sf_dir):
+    """Rows that pass a predicate, dealt to categories by a function of the row."""
+    rows = read(spark, sf_dir, "orders").where("o_totalprice > 1000").withColumn("category", F.floor(F.col("o_totalprice") / 100000))
+    return rows.groupBy("o_orderpriority", "category").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
