@@ -68,12 +68,15 @@ def has_letter(text: str) -> bool:
 
 def labelled(docs: DataFrame, text: str, label: str, train: object, most: int) -> DataFrame:
     """Labelled rows to learn from: a hash sample of about ``most`` documents for each language."""
-    rows = docs.where(train & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"))
+    rows = docs.where(train & F.col(label).isNotNull() & F.col(text).isNotNull())
+    # the id spreads the copies of a text; it only says whether a row is in the sample
+    spread = F.xxhash64(*(c for c in ("doc_id", text) if c in docs.columns))
+    rows = rows.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.pmod(spread, F.lit(1 << 20)).alias("part"))
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
-        return rows.limit(0)
+        return rows.limit(0).drop("part")
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))))
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    return rows.where(F.col("part") < share[F.col("lang")] * (1 << 20)).drop("part")
 
 
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train=None, most: int = MAX_TRAIN_DOCS_PER_LANG, buckets: int = BUCKETS) -> dict:
