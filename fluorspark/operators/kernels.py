@@ -19,6 +19,17 @@ def expected(calls: np.ndarray, brightness: np.ndarray, a: np.ndarray, n: np.nda
     return brightness[:, None] * (one_hot(calls) @ a.T) + n
 
 
+def separable_processed(signal: np.ndarray, mix: np.ndarray, phase: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Un-mixing under the older model, in which a 4 x 4 mix acts on channels and a C x C phasing on cycles."""
+    x = (signal - n).reshape(len(signal), -1, CHANNELS)
+    return np.einsum("bk,nck,cd->ndb", np.linalg.inv(mix), x, np.linalg.inv(phase), optimize=True).reshape(len(signal), -1)
+
+
+def separable_expected(calls: np.ndarray, brightness: np.ndarray, mix: np.ndarray, phase: np.ndarray, n: np.ndarray) -> np.ndarray:
+    s = one_hot(calls).reshape(len(calls), -1, CHANNELS)
+    return brightness[:, None] * np.einsum("kb,ncb,cd->ndk", mix, s, phase, optimize=True).reshape(len(calls), -1) + n
+
+
 def strongest(p: np.ndarray) -> np.ndarray:
     return p.reshape(len(p), -1, CHANNELS).argmax(axis=2).astype(np.int8)
 

@@ -82,6 +82,12 @@ def batch_sums(signal: np.ndarray, calls: np.ndarray, brightness: np.ndarray, we
     return np.concatenate([((s * (wl * brightness)[:, None]).T @ s).ravel(), ((s * wl[:, None]).T @ signal).ravel(), wl @ s, weight @ signal, [weight.sum()]])
 
 
+def by_base_pairs(matrix: np.ndarray) -> np.ndarray:
+    """J or K (4C x 4C) with a row for each pair of bases (or base and channel) and a column for each pair of cycles: the form of the separable model."""
+    c = len(matrix) // CHANNELS
+    return matrix.reshape(c, CHANNELS, c, CHANNELS).transpose(1, 3, 0, 2).reshape(CHANNELS * CHANNELS, c * c)
+
+
 def matrix_of(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     """Arrow lists of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)

@@ -7,7 +7,7 @@ import pytest
 
 from fluorspark.model import Params, crosstalk
 from fluorspark.operators import kernels, solve
-from fluorspark.operators.sufficient import batch_sums, one_hot
+from fluorspark.operators.sufficient import batch_sums, by_base_pairs, one_hot
 
 
 def chain(rng, cycles):
@@ -93,4 +93,15 @@ def test_first_sums_of_five_clusters():
     lam = np.array([2.852168, 11.890647, 10.675880, 5.542096, 3.245923])
     j, k, s, i, total = solve.unpacked(batch_sums(np.ones((5, 12)), calls, lam, w))
     assert round(total, 2) == 1.52
+    pairs = by_base_pairs(j)
+    assert np.allclose(pairs[0], [1.34, 0, 0, 0, 0.52, 0, 0, 0, 0], atol=0.006) and np.allclose(pairs[15], [136.33, 42.30, 93.51, 42.30, 42.30, 0, 93.51, 0, 94.86], atol=0.006)
+    assert by_base_pairs(k).shape == (16, 9)
     assert np.allclose(s.reshape(3, 4).T, [[0.24, 0.16, 0.00], [0.00, 8.75, 3.56], [0.00, 0.94, 0.16], [13.17, 3.56, 9.69]], atol=0.006)
+
+
+def test_separable_round_trip():
+    rng = np.random.default_rng(14)
+    calls, lam, n = rng.integers(0, 4, (6, 3)).astype(np.int8), rng.uniform(1, 2, 6), rng.normal(size=12)
+    phase = np.eye(3) + 0.1 * rng.random((3, 3))
+    signal = kernels.separable_expected(calls, lam, crosstalk(), phase, n)
+    assert np.allclose(kernels.separable_processed(signal, crosstalk(), phase, n), lam[:, None] * one_hot(calls))
