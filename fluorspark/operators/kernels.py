@@ -124,3 +124,21 @@ def quality_text(quality: np.ndarray) -> list[str]:
     bounded = np.nan_to_num(quality, nan=0.0, posinf=MAX_PHRED, neginf=0.0) + MIN_PHRED + 0.5
     codes = np.clip(np.floor(bounded), MIN_PHRED, MAX_PHRED).astype(np.uint8)
     return [row.tobytes().decode() for row in codes]
+
+
+def single_cycle_call(p: np.ndarray, lam: np.ndarray, omega: np.ndarray, penalty: np.ndarray, mu: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Call and quality of one cycle on its own (p: n x 4, a 4 x 4 precision, a penalty for each base).
+
+    The best base's likelihood is weighed against the others' and against ``mu``, the chance of an
+    intensity that fits no base. Without brightness the call is A with quality 0.
+    """
+    rest = p[:, None, :] - lam[:, None, None] * np.eye(CHANNELS)
+    form = np.einsum("nbi,ij,nbj->nb", rest, omega, rest) + penalty
+    call = form.argmin(axis=1)
+    least = form.min(axis=1)
+    # numerator and denominator over the best likelihood, or over mu where that is the larger
+    top = np.maximum(-0.5 * least, np.log(mu))
+    best, odd = np.exp(-0.5 * least - top), np.exp(np.log(mu) - top)
+    share = (np.exp(-0.5 * penalty[call]) * odd + best) / (CHANNELS * odd + best * np.exp(-0.5 * (form - least[:, None])).sum(axis=1))
+    dark = lam == 0
+    return np.where(dark, 0, call).astype(np.int8), np.where(dark, 0.0, -10 * np.log1p(-share) / np.log(10))

@@ -105,3 +105,12 @@ def test_separable_round_trip():
     phase = np.eye(3) + 0.1 * rng.random((3, 3))
     signal = kernels.separable_expected(calls, lam, crosstalk(), phase, n)
     assert np.allclose(kernels.separable_processed(signal, crosstalk(), phase, n), lam[:, None] * one_hot(calls))
+
+
+def test_single_cycle_call():
+    p, lam = np.array([[10.0, 0.1, 0.0, 0.2], [0.0, 0.0, 5.0, 4.9], [1.0, 2.0, 3.0, 4.0], [1e4, 0.0, 0.0, 0.0]]), np.array([10.0, 5.0, 0.0, 1.0])
+    call, quality = kernels.single_cycle_call(p, lam, np.eye(4), np.zeros(4))
+    assert call.tolist() == [0, 2, 0, 0] and quality[2] == 0.0
+    like = np.exp(-0.5 * np.array([((p[0] - 10 * np.eye(4)[b]) ** 2).sum() for b in range(4)]))
+    assert np.isclose(quality[0], -10 * np.log10(1 - (1e-5 + like[0]) / (4e-5 + like.sum())))
+    assert quality[1] < 5 and np.isclose(quality[3], -10 * np.log10(0.75))
