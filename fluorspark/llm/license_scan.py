@@ -7,11 +7,16 @@ copies the unknown class is calibrated, so that of unknown copies at most ``FALS
 A paragraph without a feature is unknown by construction, so paragraphs without any licence word are not
 looked at further. What is predicted as a family must also hold most n-grams of one of its templates.
 
+A paragraph is a line, or a window over neighbouring lines without an empty one among them, so notices that
+are wrapped are found: windows begin and end at lines with a licence word or beside one and reach as far as a notice of the longest
+template can. Of a family's confirmed windows as many count as do not overlap. Headings such as ``MIT License`` and SPDX tags are too short to be
+learned; a line that is one, as a whole, names its families with confidence 1.
+
 The weights and template n-grams come from the templates alone, so their size does not
 depend on the corpus; they are the only data that are broadcast.
 
 Defined results: null, empty and licence-free texts have licence ``none``; a text with several
-families names them all in alphabetical order; rows with null or repeated ids are scanned
+families names them all in alphabetical order; a line without a letter or digit counts as empty; an SPDX tag counts once for each of its families; rows with null or repeated ids are scanned
 row by row; other columns are ignored; an empty table gives an empty result. Texts are scanned whole.
 """
 
@@ -46,6 +51,23 @@ TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 }
+#: Lines that name a family when nothing else stands in them, as patterns over words with one blank between.
+HEADINGS = {
+    "AGPL-3.0": "gnu affero general public license( (version 3|v3))?",
+    "Apache-2.0": "(the )?apache (software )?license( (version 2( 0)?|2 0|v2))?( january 2004)?",
+    "BSD": "(the )?([0-9] clause )?((new|modified|simplified|revised) )?bsd( [0-9] clause)?( (new|modified|simplified|revised))? license",
+    "CC-BY": "(creative commons )?(attribution|cc by) 4 0( international)?( license)?",
+    "CC-BY-NC": "(creative commons )?(attribution noncommercial|cc by nc) 4 0( international)?( license)?",
+    "CC-BY-SA": "(creative commons )?(attribution sharealike|cc by sa) 4 0( international)?( license)?",
+    "CC0": "(creative commons )?cc0 1 0( universal)?",
+    "GPL": "(the )?gnu (general public license|gpl)( (version|v) ?[23]( 0)?)?( or later)?",
+    "ISC": "(the )?isc license( isc)?",
+    "LGPL": "(the )?gnu (lesser|library) general public license( (version|v) ?[23]( [01])?)?( or later)?",
+    "MIT": "(the )?(mit|expat) license( mit)?",
+    "MPL-2.0": "mozilla public license( (version|v))?( 2 0)?",
+}
+#: SPDX identifiers of the families as patterns.
+SPDX = {"AGPL-3.0": "agpl-3[^ ]*", "Apache-2.0": "apache-2[^ ]*", "BSD": "bsd-[0-9][^ ]*", "CC-BY": "cc-by-[0-9][^ ]*", "CC-BY-NC": "cc-by-nc-[0-9][^ ]*", "CC-BY-SA": "cc-by-sa-[0-9][^ ]*", "CC0": "cc0-1[^ ]*", "GPL": "gpl-[0-9][^ ]*", "ISC": "isc", "LGPL": "lgpl-[0-9][^ ]*", "MIT": "mit", "MPL-2.0": "mpl-2[^ ]*"}
 #: Words of the notices that say nothing about licences.
 PLAIN = frozenset("a all an and any are as at be by can charge conditions either except extent fee following for form forms free from has implied in is it kind later law not of on or other person provided purpose related style that the this to under use v version waived with without work you may copy file files author deal met possible possible library program public".split())
 #: Sentences that use such words for other things.
@@ -63,10 +85,20 @@ def licence_words() -> list[str]:
     return sorted({w for notices in TEMPLATES.values() for t in notices for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 1 and w not in PLAIN and not w.isdigit()})
 
 
+def longest() -> int:
+    """Words of the longest template."""
+    import re
+
+    return max(len(re.findall("[a-z0-9]+", t.lower())) for notices in TEMPLATES.values() for t in notices)
+
+
 def grams(text: Column) -> Column:
     """Distinct word 1- to 3-grams that hold a licence word."""
+    return grams_of(words(text))
+
+
+def grams_of(w: Column) -> Column:
     marks = F.array(*map(F.lit, licence_words()))
-    w = words(text)
     two = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
     three = F.zip_with(F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, 3, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
     return F.filter(F.array_distinct(F.concat(w, two, three)), lambda g: F.arrays_overlap(F.split(g, " "), marks))
@@ -115,11 +147,41 @@ def fit(spark: SparkSession) -> Model:
     return Model(classes, intercepts, offset, weights, held_grams)
 
 
+def named(line: Column) -> Column:
+    """The families of a line that is a heading or holds an SPDX tag."""
+    whole = F.array_join(words(line), " ")
+    tag = F.regexp_replace(F.regexp_extract(F.lower(line), r"spdx-license-identifier:\s*(.*)", 1), "[^a-z0-9.+-]+", " ")
+    return F.array_compact(F.array(*(F.when(whole.rlike(f"^(?:{HEADINGS[f]})$") | tag.rlike(f"(?:^| )(?:{SPDX[f]})(?: |$)"), F.lit(f)) for f in sorted(TEMPLATES))))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row and line number, and n-grams of the paragraphs that hold a licence word; a document without one has a single row without line."""
-    marked = F.filter(F.split("text", "\n"), has_mark)
-    each = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer(marked).alias("line", "paragraph"))
-    return each.select("doc_id", "row", "line", grams(F.col("paragraph")).alias("grams"))
+    """doc_id, row, first and last line, n-grams, and families by name of the paragraphs that begin and end at a licence word's line or beside one; a document without one has a single row without lines.
+
+    Lines between the first and the last one belong to the notice as a whole, so they have fewer words than
+    the longest template, and of the first and last line that many words are enough.
+    """
+    n = longest()
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    marked = lines.withColumn("flags", F.transform("lines", has_mark))
+    sizes = marked.withColumn("sizes", F.when(F.array_contains("flags", True), F.transform("lines", lambda t: F.size(words(t)))))
+    flag = lambda i: F.coalesce(F.get("flags", i), F.lit(False))
+    sizes = sizes.withColumn("marks", F.array_compact(F.transform("sizes", lambda size, i: F.when((size > 0) & (flag(i - 1) | flag(i) | flag(i + 1)), i))))
+    none = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"), F.lit(True).alias("on"))
+
+    def further(at: Column, size: Column) -> Column:
+        on = at["on"] & (size > 0) & (at["words"] < n)
+        return F.struct((at["lines"] + on.cast("int")).alias("lines"), (at["words"] + size).alias("words"), on.alias("on"))
+
+    def near(i: Column, k: Column) -> Column:
+        reach = F.aggregate(F.slice("sizes", i + 2, F.lit(n)), none, further)["lines"]
+        ends = F.filter(F.transform(F.slice("marks", k + 1, F.lit(n + 1)), lambda j: j - i), lambda d: (d <= reach) & ((d > 0) | flag(i)))
+        return F.struct(i.alias("line"), F.slice("lines", i + 1, F.array_max(ends) + 1).alias("near"), ends.alias("ends"))
+
+    each = sizes.select("doc_id", "row", F.explode_outer(F.transform("marks", near)).alias("p")).select("doc_id", "row", "p.line", "p.ends", F.transform("p.near", words).alias("near"), named(F.col("p.near")[0]).alias("named"))
+    ends = each.select("doc_id", "row", "line", "near", "named", F.explode_outer("ends").alias("end")).where("line IS NULL OR end IS NOT NULL")
+    tail, head = F.slice(F.col("near")[0], F.greatest(F.lit(1), F.size(F.col("near")[0]) - n + 1), F.lit(n)), F.slice(F.get("near", F.col("end")), 1, n)
+    window = F.when(F.col("end") == 0, F.col("near")[0]).otherwise(F.concat(tail, F.flatten(F.slice("near", F.lit(2), F.col("end") - 1)), head))
+    return ends.select("doc_id", "row", "line", (F.col("line") + F.col("end")).alias("last"), grams_of(window).alias("grams"), F.when(F.col("end") == 0, F.col("named")).alias("named"))
 
 
 def has_mark(text: Column) -> Column:
@@ -131,9 +193,10 @@ def has_mark(text: Column) -> Column:
 
 
 def classified(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, row, line, family (or unknown), score and confirmed of every paragraph with a licence word, and of one without a line for other documents."""
-    key = ["doc_id", "row", "line"]
-    found = cut(paragraphs(docs)).select(*key, F.explode_outer("grams").alias("gram"))
+    """doc_id, row, line, last, family (or unknown), score and confirmed of every paragraph with a licence word, and of one without a line for other documents; paragraphs by name have a row for each family."""
+    key = ["doc_id", "row", "line", "last"]
+    parts = cut(paragraphs(docs))
+    found = parts.select(*key, F.explode_outer("grams").alias("gram"))
     count = len(model.classes)
     sums = found.join(F.broadcast(model.weights), "gram", "left").groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(count)))
     scores = F.array(*(F.col(f"s{k}") + F.lit(model.intercepts[k] + (model.offset if k == count - 1 else 0.0)) for k in range(count)))
@@ -145,7 +208,22 @@ def classified(docs: DataFrame, model: Model) -> DataFrame:
     held = found.join(F.broadcast(model.templates.withColumnRenamed("family", "of")), "gram").groupBy(*key, "template", "of").agg((F.count("*") / F.max("n")).alias("share"))
     best = held.groupBy(*key, F.col("of").alias("family")).agg(F.max("share").alias("share"))
     joined = known.alias("k").join(best.alias("b"), [*(F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key), F.col("k.family") == F.col("b.family")], "left")
-    return joined.select(*(f"k.{c}" for c in key), "k.family", "score", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
+    by_name = parts.select(*key, F.explode("named").alias("family"), F.lit(1.0).alias("score"), F.lit(True).alias("confirmed"))
+    return joined.select(*(f"k.{c}" for c in key), "k.family", "score", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed")).unionByName(by_name)
+
+
+def _apart(windows: Column) -> Column:
+    """The number of windows that hold no other one and do not overlap; ``windows`` are sorted by their last first line, then by their last line.
+
+    Going back, the window that ends first among those behind a place is taken, so each step needs the begin of the one taken before only.
+    """
+    start = F.struct(F.lit(1 << 31).cast("long").alias("begin"), F.lit(0).cast("long").alias("n"))
+
+    def step(at: Column, w: Column) -> Column:
+        free = w["last"] < at["begin"]
+        return F.struct(F.when(free, -w["back"]).otherwise(at["begin"]).cast("long").alias("begin"), (at["n"] + free.cast("long")).alias("n"))
+
+    return F.aggregate(windows, start, step)["n"]
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -158,11 +236,13 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = classified(rows, model)
     said = F.col("family") != UNKNOWN
-    sure = F.col("confirmed") & said
-    of_row = seen.groupBy("doc_id", "row").agg(
-        F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"),
-        F.coalesce(F.max(F.when(sure, F.col("score"))), F.lit(0.0)).alias("confidence"),
-        F.count_if(sure).alias("n_notices"),
+    # a document's paragraphs that count are as many as its lines at most
+    of_family = seen.groupBy("doc_id", "row", "family").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed") & said, F.struct((-F.col("line")).alias("back"), "last")))).alias("windows"), F.max(F.when(F.col("confirmed") & said, F.col("score"))).alias("score"))
+    counted = of_family.withColumn("n", _apart(F.col("windows")))
+    of_row = counted.groupBy("doc_id", "row").agg(
+        F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.col("family")))).alias("families"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("confidence"),
+        F.sum("n").alias("n_notices"),
         F.coalesce(F.max(said), F.lit(False)).alias("said"),
     )
     licence = F.when(F.size("families") > 0, F.array_join("families", ",")).when(F.col("said"), F.lit(UNKNOWN)).otherwise(F.lit("none"))

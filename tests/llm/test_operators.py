@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -362,6 +363,23 @@ def test_licences(spark, docs, odd, none):
         assert r["licence"] == (",".join(sorted(v for k, v in marked.items() if k in r["text"])) or "none")
 
 
+@pytest.mark.parametrize("width", [32, 50, 72])
+def test_wrapped_licences(spark, width):
+    wrapped = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, width))
+    long = [(f, t) for f, own in license_scan.TEMPLATES.items() for t in own if len(t) > width]
+    rows = [(k, f"Some words about nothing.\n\n{wrapped(t, ' * ' if k % 2 else '')}\n\nMore words.") for k, (_, t) in enumerate(long)]
+    both = f"{wrapped(license_scan.TEMPLATES['MIT'][2])}\n\n{wrapped(license_scan.TEMPLATES['Apache-2.0'][1])}\n\n{wrapped(license_scan.TEMPLATES['MIT'][2])}"
+    short = {"MIT License": "MIT", "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)": "Apache-2.0,GPL", "    GNU AFFERO GENERAL PUBLIC LICENSE": "AGPL-3.0", "The studio of MIT has no license": "", "A license\n\nof MIT": "", "SPDX-License-Identifier: Zlib": ""}
+    model = license_scan.fit(spark)
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, [*rows, (100, both), *((200 + k, t) for k, t in enumerate(short)), *((300 + k, t) for k, (_, t) in enumerate(long))]), model).collect()}
+    # wrapped notices are found as they are in one line
+    assert [(got[k]["licence"], got[k]["n_notices"]) for k in range(len(long))] == [(got[300 + k]["licence"], got[300 + k]["n_notices"]) for k in range(len(long))]
+    assert np.mean([(got[k]["licence"], got[k]["n_notices"]) == (f, 1) for k, (f, _) in enumerate(long)]) > 0.9
+    assert (got[100]["licence"], got[100]["n_notices"]) == ("Apache-2.0,MIT", 3)
+    for k, want in enumerate(short.values()):
+        assert got[200 + k]["licence"] == want if want else got[200 + k]["licence"] in ("none", "unknown")
+
+
 # spot signatures
 
 
