@@ -7,8 +7,8 @@ settled in rounds, when all they depend on are; what never settles is cyclic. Ar
 against the tool's schema and written as canonical JSON: keys sorted, no blanks.
 
 Defined results: a call without a result is ``unanswered``, a result without a call is
-``orphan``; of calls or results that repeat an id the first (by turn, then text) is linked and
-the rest are ``repeated``; a null conversation or call id is linked with nothing; unknown
+``orphan``; of calls or results that repeat an id the first (by turn, text, then the other columns) is linked and
+the rest are ``repeated``, each in a row of its own, exact copies too (``link_all``; ``link`` leaves out the results among them); a null conversation or call id is linked with nothing; unknown
 dependencies are ignored; arguments that are null or no JSON object are an error, as is an unknown
 tool. Other columns are ignored; an empty table gives an empty result.
 """
@@ -63,7 +63,7 @@ def errors_of(parsed: Column, keys: Column, name: Column, schemas: Schemas) -> C
 
 
 def firsts(rows: DataFrame, text: str) -> DataFrame:
-    """The first row of each call id by (turn, text), and ``rows``' number of that id."""
+    """The first row of each call id by (turn, text, other columns), and ``rows``' number of that id; ``_row`` is the last column, so it decides between exact copies only."""
     known = rows.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
     return known.groupBy(*CALL_KEY).agg(F.min(F.struct(F.col("turn"), F.col(text), *(c for c in rows.columns if c not in (*CALL_KEY, "turn", text)))).alias("first"), F.count("*").alias("n"))
 
@@ -118,23 +118,35 @@ def _settled(heads: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """conv_id, call_id, status, level, errors and the canonical JSON record of every call and unlinked result."""
-    one_call = cut(firsts(calls, "arguments").select(*CALL_KEY, "first.turn", "first.arguments", "first.name", "first.after", F.col("n").alias("n_calls")))
-    one_result = firsts(results, "content").select(*CALL_KEY, F.col("first.content").alias("content"), F.lit(True).alias("answered"), F.col("n").alias("n_results"))
+    """``link_all`` without the results that repeat an id."""
+    return _linked(calls, results, schemas, False)
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """conv_id, call_id, status, level, errors and the canonical JSON record of every call and every result that is not linked."""
+    return _linked(calls, results, schemas, True)
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: Schemas, every: bool) -> DataFrame:
+    # the numbers tell exact copies apart, so they are settled before they are used
+    calls = cut(calls.select(*CALL_KEY, "turn", "arguments", "name", "after", F.monotonically_increasing_id().alias("_row")))
+    results = cut(results.select(*CALL_KEY, "turn", "content", F.monotonically_increasing_id().alias("_row")))
+    one_call = cut(firsts(calls, "arguments").select(*CALL_KEY, "first.arguments", "first.name", "first.after", "first._row", F.col("n").alias("n_calls")))
+    one_result = firsts(results, "content").select(*CALL_KEY, F.col("first.content").alias("content"), F.lit(True).alias("answered"), "first._row")
+    kept_results = one_result.select("_row")
+    one_result = one_result.drop("_row")
     ordered = one_call.join(levels(one_call), CALL_KEY, "left")
     joined = ordered.hint("shuffle_hash").join(one_result, CALL_KEY, "full")
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
     linked = joined.select(*CALL_KEY, status.alias("status"), "level", "name", "arguments", "content")
-    # what repeats an id, and what has none, is kept as it came
-    extra = F.struct("turn", "arguments")
-    again = calls.join(one_call.select(*CALL_KEY, F.struct("turn", "arguments").alias("kept"), "n_calls").where("n_calls > 1"), CALL_KEY).where(~extra.eqNullSafe(F.col("kept")))
-    loose = calls.where("conv_id IS NULL OR call_id IS NULL")
-    adrift = results.where("conv_id IS NULL OR call_id IS NULL")
+    # what repeats an id, and what has none, is kept as it came; rows meet by their numbers, so no id's rows meet in one task
     none = lambda kind: F.lit(None).cast(kind)
-    row = lambda rows, state: rows.select(*CALL_KEY, F.lit(state).alias("status"), none("int").alias("level"), "name", "arguments", none("string").alias("content"))
-    everything = linked.unionByName(row(again, "repeated")).unionByName(row(loose, "unanswered")).unionByName(adrift.select(*CALL_KEY, F.lit("orphan").alias("status"), none("int").alias("level"), none("string").alias("name"), none("string").alias("arguments"), "content"))
+    keyless = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    rest_calls = calls.join(one_call.select("_row"), "_row", "left_anti").select(*CALL_KEY, F.when(keyless, "unanswered").otherwise("repeated").alias("status"), none("int").alias("level"), "name", "arguments", none("string").alias("content"))
+    rest_results = results.where(F.lit(every) | keyless).join(kept_results, "_row", "left_anti").select(*CALL_KEY, F.when(keyless, "orphan").otherwise("repeated").alias("status"), none("int").alias("level"), none("string").alias("name"), none("string").alias("arguments"), "content")
+    everything = linked.withColumn("_result", F.col("status") == "orphan").unionByName(rest_calls.withColumn("_result", F.lit(False))).unionByName(rest_results.withColumn("_result", F.lit(True)))
     parsed = everything.withColumn("parsed", F.try_parse_json("arguments")).withColumn("keys", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), F.json_object_keys("arguments")))
-    checked = parsed.withColumn("errors", F.when(F.col("status") == "orphan", F.array().cast("array<string>")).otherwise(errors_of(F.col("parsed"), F.col("keys"), F.col("name"), schemas)))
+    checked = parsed.withColumn("errors", F.when(F.col("_result"), F.array().cast("array<string>")).otherwise(errors_of(F.col("parsed"), F.col("keys"), F.col("name"), schemas)))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     value = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(quoted(c))
     arguments = F.when(F.col("keys").isNotNull(), F.to_json("parsed")).otherwise(value(F.col("arguments")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import json
@@ -290,6 +291,20 @@ def test_tool_calls(spark):
     assert all(json.loads(r["record"]) for r in rows)
 
 
+def test_repeated_calls_and_results(spark):
+    schemas = {"say": {"text": ("string", True)}, "sing": {"text": ("string", True)}}
+    said = '{"text":"t"}'
+    calls = [(1, 0, "x", "say", said, [])] * 3 + [(1, 0, "x", "sing", said, []), (1, 0, "x", "say", said, ["w"]), (1, 4, "w", "say", said, []), (None, 0, "x", "say", said, []), (None, 0, "x", "say", said, [])]
+    results = [(1, 1, "x", "a")] * 2 + [(1, 2, "x", "b"), (1, 2, "lost", "c"), (1, 2, "lost", "c"), (1, 2, None, "d"), (1, 2, None, "d")]
+    rows = chat_format.link_all(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), schemas).collect()
+    # every call has a row, and every result but the linked one
+    got = collections.Counter((r["conv_id"], r["call_id"], r["status"], json.loads(r["record"])["name"], json.loads(r["record"])["result"], r["errors"]) for r in rows)
+    assert got == {
+        (1, "x", "linked", "say", "a", ""): 1, (1, "x", "repeated", "say", None, ""): 3, (1, "x", "repeated", "sing", None, ""): 1, (1, "w", "unanswered", "say", None, ""): 1, (None, "x", "unanswered", "say", None, ""): 2,
+        (1, "x", "repeated", None, "a", ""): 1, (1, "x", "repeated", None, "b", ""): 1, (1, "lost", "orphan", None, "c", ""): 1, (1, "lost", "repeated", None, "c", ""): 1, (1, None, "orphan", None, "d", ""): 2,
+    }
+
+
 def test_levels_of_a_random_graph(spark):
     rng = np.random.default_rng(13)
     after = {k: sorted({int(x) for x in rng.integers(0, k, rng.choice([0, 1, 1, 1, 2, 3]))}) if k else [] for k in range(120)}
