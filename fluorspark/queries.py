@@ -321,6 +321,14 @@ def mixnormal_em(spark, sf_dir):
     return spark.createDataFrame([(j, round(p, 5), round(m, 5), round(s, 5)) for j, (p, m, s) in enumerate(parts)], "component int, share double, mean double, sd double")
 
 
+@query()
+def mixnormal_em_whole(spark, sf_dir):
+    """The mixture with the operator's own components and rounds; ``mixnormal_em`` has as few as SQL can unroll."""
+    rows = fits.shared_cut(read(spark, sf_dir, "events").select(F.log(F.col("value") + 1).alias("v")))
+    parts, _ = stats.mixture_fit(rows, "v")
+    return spark.createDataFrame([(j, round(p, 5), round(m, 5), round(s, 5)) for j, (p, m, s) in enumerate(parts)], "component int, share double, mean double, sd double")
+
+
 # sufficient statistics
 
 
@@ -495,7 +503,7 @@ def _with_chain(spark, sf_dir):
 @query()
 def fit_tile(spark, sf_dir):
     """The whole fit, tile by tile: bases, qualities and brightness."""
-    out = entry.run(clusters(spark, sf_dir), Options(iterations=3))
+    out = entry.run(clusters(spark, sf_dir), Options())
     return out.select("tile", "cluster_idx", "bases", "quality", F.round("brightness", 3).alias("brightness"))
 
 
@@ -544,15 +552,27 @@ def sequence_score(spark, sf_dir):
     return out.select("cluster_idx", r(F.col("score") / 1e6).alias("score"))
 
 
-@query(f"WITH {FITTED} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases FROM pc JOIN lam USING (cluster_idx) WHERE lam > 0 GROUP BY 1")
-def viterbi_independent(spark, sf_dir):
-    """Under an independent precision the best sequence is the strongest channel of every cycle."""
+def _best(spark, sf_dir):
+    """The best sequence of every cluster under an independent precision, and its brightness."""
 
     def use(signal, p, calls, lam):
         best, _ = kernels.best_path(p, lam, np.eye(64))
         return {"bases": ["".join("ACGT"[b] for b in row) for row in best], "lam": lam}
 
-    return _kernel(spark, sf_dir, "bases string, lam double", use).where("lam > 0").select("cluster_idx", "bases")
+    return _kernel(spark, sf_dir, "bases string, lam double", use)
+
+
+@query(f"WITH {FITTED} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases FROM pc JOIN lam USING (cluster_idx) WHERE lam > 0 GROUP BY 1")
+def viterbi_independent(spark, sf_dir):
+    """Under an independent precision the best sequence is the strongest channel of every cycle."""
+
+    return _best(spark, sf_dir).where("lam > 0").select("cluster_idx", "bases")
+
+
+@query(f"WITH {FITTED} SELECT cluster_idx, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY cycle) AS bases FROM pc JOIN lam USING (cluster_idx) GROUP BY 1")
+def viterbi_independent_whole(spark, sf_dir):
+    """The same for all clusters: without brightness the strongest channels still decide, as the cost is divided by the brightness, and ties go to the lower base."""
+    return _best(spark, sf_dir).select("cluster_idx", "bases")
 
 
 @query(f"WITH {PROC} SELECT cluster_idx, round(greatest(0, avg(p[b + 1])) + 1.7e-6, 4) + 0.0 AS brightness FROM pc GROUP BY 1")
