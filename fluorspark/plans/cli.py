@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     add("-g", dest="generr", type=float, default=38.0)
     add("-i", dest="input", default=".")
     add("-o", dest="output", default=".")
-    add("-K", dest="spikes", help="folder of spike-in truth")
+    add("-K", dest="spikes", help="folder of spike-in truth, a file for each tile and block; or the file of a single tile")
     add("-k", dest="spike_calibrate", action="store_true")
     add("-n", dest="iterations", type=int, default=5)
     add("-p", dest="partitions", type=int, help="shuffle partitions")
@@ -111,6 +111,36 @@ def read_folder(spark: SparkSession, root: str, ranges: list[str]) -> DataFrame:
     return out.withColumns({"x": x, "y": y})
 
 
+def read_truth(spark: SparkSession, location: str, places: DataFrame, cycles: list[int]) -> DataFrame:
+    """lane, tile, block, cluster_idx, truth and line of the truth files of a folder, or of one file; ``cycles`` are the blocks'.
+
+    A file whose name has no lane and tile is that of the run's only tile and block.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    alone = store.getFileStatus(path).isFile()
+    names = [path.getName()] if alone else [n for n in _listed(spark, location) if "spike" in n.lower()]
+    root = str(path.getParent()) if alone else location
+    found = {n: text.spike_place(n, len(cycles)) for n in names}
+    if not found:
+        raise ValueError(f"no spike-in truth in {location}")
+    if None in found.values():
+        tiles = places.select("lane", "tile").distinct().limit(2).collect()
+        if len(found) > 1 or len(tiles) > 1 or len(cycles) > 1:
+            raise ValueError(f"no lane and tile in the name of {[n for n, at in found.items() if at is None][0]}")
+        found = dict.fromkeys(found, (tiles[0]["lane"], tiles[0]["tile"], 0))
+    if len(set(found.values())) < len(found):
+        raise ValueError(f"several truth files of one tile and block in {location}")
+    keys = spark.createDataFrame([(n, *at) for n, at in found.items()], "name string, lane int, tile int, block int")
+    out = None
+    for block, n in enumerate(cycles):
+        own = [f"{root}/{name}" for name, at in found.items() if at[2] == block]
+        if own:
+            rows = text.read_spikes(spark, own, n)
+            out = rows if out is None else out.unionByName(rows)
+    return out.join(F.broadcast(keys), F.col("file") == F.col("name")).select("lane", "tile", "block", "cluster_idx", "truth", "line")
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Reads, fits, calls and writes; returns the calls."""
     clusters = read(spark, args)
@@ -124,9 +154,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     places = keyed.select("cluster_idx", "key", "lane", F.col("tile").alias("of"), "x", "y")
     out = calls.withColumnRenamed("tile", "key").join(places, ["key", "cluster_idx"]).withColumnRenamed("of", "tile")
     if args.spikes:
-        cycles = width // CHANNELS
-        truth = text.read_spikes(spark, args.spikes, cycles)
-        each = joins.with_truth(out, truth, ["cluster_idx"]).where("spiked").select(F.explode(F.sequence(F.lit(1), F.lit(cycles))).alias("c"), "bases", "truth", "quality")
+        cycles = [sum(n for _, n in own) for own in blocks.parse(options.blocks)] if options.blocks else [width // CHANNELS]
+        truth = read_truth(spark, args.spikes, places.select("lane", F.col("of").alias("tile")), cycles)
+        each = joins.with_truth(out, truth, ["lane", "tile", "block", "cluster_idx"]).where("spiked").select(F.explode(F.sequence(F.lit(1), F.length("truth"))).alias("c"), "bases", "truth", "quality")
         counts = joins.quality_counts(each.select(F.substring("bases", F.col("c"), F.lit(1)).alias("call"), F.substring("truth", F.col("c"), F.lit(1)).alias("truth"), (F.ascii(F.substring("quality", F.col("c"), F.lit(1))) - 33).alias("q")))
         sinks.spike_text(counts).coalesce(1).write.text(f"{args.output}/qspike")
     if args.working:

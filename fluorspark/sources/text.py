@@ -79,14 +79,35 @@ def calibration_text(table: Table, comment: str = "calibration") -> str:
     return f"# {comment}\n\n" + "".join(map(matrix_text, parts))
 
 
-def read_spikes(spark: SparkSession, path: str, cycles: int) -> DataFrame:
-    """``cluster_idx`` (from 0), ``truth`` cut to the cycles, and ``line``. One bad line makes the whole file unusable."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("f")).where(F.col("f")[0] != "")
-    good = rows.select("line", F.expr("try_cast(f[0] AS BIGINT)").alias("number"), F.upper(F.get("f", F.lit(1))).alias("truth"))
+def read_spikes(spark: SparkSession, path: str | list[str], cycles: int) -> DataFrame:
+    """``cluster_idx`` (from 0), ``truth`` cut to the cycles, ``line`` and ``file`` (its name). One bad line makes the whole file unusable."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("f")).where(F.col("f")[0] != "")
+    good = rows.select("file", "line", F.expr("try_cast(f[0] AS BIGINT)").alias("number"), F.upper(F.get("f", F.lit(1))).alias("truth"))
     bad = good.where(F.col("number").isNull() | (F.col("number") < 1) | F.col("truth").isNull() | (F.length("truth") < cycles) | F.col("truth").rlike("[^ACGTN]"))
     if not bad.isEmpty():
         raise ValueError(f"bad spike-in lines in {path}: {[r['line'] for r in bad.limit(3).collect()]}")
-    return good.select((F.col("number") - 1).alias("cluster_idx"), F.substring("truth", 1, cycles).alias("truth"), "line")
+    return good.select((F.col("number") - 1).alias("cluster_idx"), F.substring("truth", 1, cycles).alias("truth"), "line", "file")
+
+
+def spike_place(name: str, blocks: int = 1) -> tuple[int, int, int] | None:
+    """Lane, tile and block (from 0) of a truth file's name; None if it names no lane and tile.
+
+    Truth stands beside ``s_1_2_int.txt`` as ``s_1_2_spike.txt`` and beside ``s_1_2.cif`` as ``s_1_2.spike``; with several
+    blocks their number from 1 follows the tag in the first, and is the last digit before the dot in the second.
+    """
+    import re
+
+    tagged = re.search(r"(\d+)_(\d+)_spike(\d*)(?:\.|$)", name)
+    if tagged:
+        lane, tile, block = tagged.groups()
+    else:
+        plain = re.search(r"(\d+)_(\d+?)(\d?)\.spike" if blocks > 1 else r"(\d+)_(\d+)()", name)
+        if not plain:
+            return None
+        lane, tile, block = plain.groups()
+    if bool(block) != (blocks > 1) or (block and not 1 <= int(block) <= blocks):
+        raise ValueError(f"no block of {blocks} in {name}")
+    return int(lane), int(tile), int(block or 1) - 1
 
 
 def lane_and_tile(name: Column) -> tuple[Column, Column]:

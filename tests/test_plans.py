@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fluorspark.plans import cli
-from fluorspark.sources import cif
+from fluorspark.sources import cif, text
 from fluorspark.streaming import cycles
 
 
@@ -44,6 +44,27 @@ def test_command_line_on_text_in_blocks(spark, tmp_path):
         cli.options_of(spark, cli.parser().parse_args(["-A", "x", "a"]))
 
 
+def test_truth_by_tile_and_block(spark, tmp_path):
+    truth = {}
+    (tmp_path / "truth").mkdir()
+    for tile_, seed in ((2, 3), (3, 8)):
+        truth[tile_], signal = tile(30, 5, seed)
+        (tmp_path / f"s_1_{tile_}.cif").write_bytes(cif.encoded(signal))
+    letters = lambda calls: "".join("ACGT"[b] for b in calls)
+    for tile_, calls in truth.items():
+        for block, at in enumerate((slice(0, 2), slice(3, 5))):
+            # the same clusters in both tiles; the last truth of a cluster counts
+            (tmp_path / f"truth/s_1_{tile_}{block + 1}.spike").write_text("1\tNN\n" + "".join(f"{k + 1}\t{letters(calls[k][at])}\n" for k in range(10)))
+    run = lambda out, *more: cli.run(spark, cli.parser().parse_args(["-i", str(tmp_path), "-o", str(tmp_path / out), "-n", "2", "-K", str(tmp_path / "truth"), *more, "s_1+"]))
+    calls = run("out", "-b", "R2I1R2").collect()
+    counts = [[int(v) for v in r["value"].split("\t")] for r in spark.read.text(str(tmp_path / "out/qspike")).collect()]
+    want = [(a, b) for r in calls if r["cluster_idx"] < 10 for a, b in zip(r["bases"], letters(truth[r["tile"]][r["cluster_idx"]][slice(0, 2) if r["block"] == 0 else slice(3, 5)]), strict=True)]
+    assert sum(c[2] for c in counts) == len(want) == 80 and sum(c[1] for c in counts) == sum(a != b for a, b in want)
+    with pytest.raises(ValueError):
+        text.spike_place("s_1_2_spike.txt", 2)
+    assert text.spike_place("s_1_0002_spike2.txt", 2) == (1, 2, 1) and text.spike_place("s_1_2.spike") == (1, 2, 0) and text.spike_place("truth") is None
+
+
 def test_run_folder(spark, tmp_path):
     _, signal = tile(6, 3)
     for c in range(3):
