@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fluorspark.llm import hyperminhash, langid, line_dedup, packing
-from fluorspark.llm.common import small_batches, table, work_folder
+from fluorspark.llm.common import table, work_folder
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; ``und`` and undecided ones go."""
-    small_batches(spark)
     return langid.accepted(docs)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; every document stays."""
-    small_batches(spark)
     return line_dedup.without_repeats(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    small_batches(spark)
     return hyperminhash.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, in sequences of power-of-two length."""
-    small_batches(spark)
     return packing.pack(docs)
 
 
