@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fields, texts_of, with_new
+from .common import fields, slices, texts_of, with_new
 
 MAX_CACHED = 800_000
 GROUP_CHARS = 1 << 20
@@ -408,7 +408,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, decoded = [], [], []
             for ids in encoder.encode_groups(texts_of(batch)):
                 n.append(len(ids))
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str | None = None, *, text: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x.astype(np.int32) for x in encoder.encode_groups(texts_of(batch))]
             yield with_new(batch, keep, {"ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -441,7 +441,7 @@ def decode(rows: DataFrame, path: str | None = None, *, ids: str = "ids", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
-        for batch in batches:
+        for batch in slices(batches):
             yield with_new(batch, keep, {"decoded": pa.array([encoder.decode(np.array(x, dtype=np.int64)).decode() for x in texts_of(batch, "_ids")], pa.string())})
 
     return picked.mapInArrow(run, f"{fields(picked, *keep)}, decoded string")

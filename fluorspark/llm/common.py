@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a fresh local folder is used.
+    Where the session names none a fresh folder serves on one machine; a cluster must name its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return named or sc.getCheckpointDir()
 
@@ -38,13 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(c: str = "text") -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
+def long_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` with whole-number ids as longs; ids of other types are an error."""
+    kind = dict(df.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} must be a whole number, not {kind}")
+    return df.withColumn(name, F.col(name).cast("long"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: documents can be long, so a batch must stay small in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, so that few texts at a time become Python objects; Spark bounds a batch's bytes itself."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def fields(df: DataFrame, *names: str) -> str:

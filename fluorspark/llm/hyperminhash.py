@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of, with_new, work_folder
+from .common import cut, slices, texts_of, with_new, work_folder
 from .components import connected_components
 from .shingles import links, shingle_set
 
@@ -79,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, high, low, bands = [], [], [], []
             for text in texts_of(batch):
                 found = shingle_set(text)
@@ -111,7 +111,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, size) whose sketches agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 ok = likely(_registers(batch.column("bands_a")), _registers(batch.column("bands_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
                 yield batch.select(["a", "b", "size"]).filter(pa.array(ok))
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, salt, b, turn, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 found = shingle_set(text or "")

@@ -2,7 +2,9 @@
 
 Training counts n-grams in Spark tasks and sums them by (language, bucket) in one
 aggregation. The log-probability matrix has ``buckets`` x languages cells, whatever
-the size of the corpus, and is broadcast; scoring is a sparse gather-and-sum in numpy.
+the size of the corpus, and is broadcast; it is bounded by ``MAX_LANGUAGES``, and more labels than
+that are an error. A batch of documents becomes one sparse block (document, bucket, count in compressed
+rows), which is multiplied by the matrix in numpy.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows with a
 null id are scored too but never trained on; duplicates are scored row by row; an empty
@@ -13,16 +15,14 @@ Columns other than the id, text and label are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, numbered, restored, texts_of, with_new
+from .common import fields, numbered, restored, slices, texts_of, with_new
 
 #: n-gram lengths, hash buckets, and the bound on the labelled sample: expected documents for each language.
 ORDERS = (1, 2, 3)
@@ -30,6 +30,9 @@ BUCKETS = 1 << 15
 MAX_TRAIN_DOCS_PER_LANG = 4000
 SMOOTHING = 0.5
 CHUNK = 1 << 18
+#: The most languages a model may have (64 MB at the default buckets), and the products of a sparse block that are held at once.
+MAX_LANGUAGES = 256
+BLOCK = 1 << 22
 
 
 @functools.cache
@@ -72,7 +75,9 @@ def labelled(docs: DataFrame, text: str, label: str, train: object, most: int) -
     # the id spreads the copies of a text; it only says whether a row is in the sample
     spread = F.xxhash64(*(c for c in ("doc_id", text) if c in docs.columns))
     rows = rows.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.pmod(spread, F.lit(1 << 20)).alias("part"))
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return rows.limit(0).drop("part")
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))))
@@ -82,20 +87,20 @@ def labelled(docs: DataFrame, text: str, label: str, train: object, most: int) -
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train=None, most: int = MAX_TRAIN_DOCS_PER_LANG, buckets: int = BUCKETS) -> dict:
     """A model: languages, log-priors and the log-probability matrix (buckets x languages)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
-        for batch in batches:
-            for lang, value in zip(batch["lang"], batch["text"], strict=True):
+        for batch in slices(batches):
+            for lang, value in zip(texts_of(batch, "lang"), texts_of(batch, "text"), strict=True):
                 total = seen.setdefault(lang, np.zeros(buckets, dtype=np.int64))
                 docs_of[lang] = docs_of.get(lang, 0) + 1
                 for run in bucket_runs(value, buckets):
                     total += np.bincount(run, minlength=buckets)
         for lang, total in seen.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": np.r_[-1, at], "n": np.r_[docs_of[lang], total[at]]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.r_[-1, at]), pa.array(np.r_[docs_of[lang], total[at]])], names=["lang", "bucket", "n"])
 
-    rows = labelled(docs, text, label, F.lit(True) if train is None else train, most).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled(docs, text, label, F.lit(True) if train is None else train, most).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts, priors = np.zeros((buckets, len(langs))), np.zeros(len(langs))
     for k, lang in enumerate(langs):
@@ -107,15 +112,50 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train=None,
     return {"langs": langs, "prior": np.log(np.maximum(priors, 1) / max(1, priors.sum())), "logp": np.log(weight / weight.sum(axis=0)) if langs else weight}
 
 
-def predict_text(value: str | None, model: dict) -> tuple[str, float]:
-    """The language of one whole text and its posterior probability."""
-    if value is None or not model["langs"] or not has_letter(value):
-        return "und", 0.0
-    total = model["prior"].copy()
-    for run in bucket_runs(value, len(model["logp"])):
-        total += model["logp"][run].sum(axis=0)
-    best = int(total.argmax())
-    return model["langs"][best], float(min(1.0, 1.0 / math.fsum(np.exp(np.minimum(total - total[best], 0.0)))))
+def sparse_rows(values: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' n-gram counts as compressed sparse rows: where each text begins (and the end), buckets, counts.
+
+    Null texts and texts without a letter have empty rows.
+    """
+    sizes, at, n = [0], [], []
+    for value in values:
+        total = None
+        if value is not None and has_letter(value):
+            for run in bucket_runs(value, buckets):
+                part = np.bincount(run, minlength=buckets)
+                total = part if total is None else total + part
+        own = np.flatnonzero(total) if total is not None else np.zeros(0, dtype=np.int64)
+        sizes.append(len(own))
+        at.append(own)
+        n.append(total[own] if total is not None else own)
+    return np.cumsum(sizes), np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.concatenate([np.zeros(0, dtype=np.int64), *n])
+
+
+def log_likelihoods(rows: tuple[np.ndarray, np.ndarray, np.ndarray], model: dict) -> np.ndarray:
+    """Sparse block times log-probability matrix, plus log-priors: documents x languages."""
+    begin, at, n = rows
+    out = np.tile(model["prior"], (len(begin) - 1, 1))
+    first, most = 0, BLOCK // len(model["langs"])
+    while first < len(begin) - 1:
+        # as many whole rows as fit in a block; a row has at most as many entries as there are buckets
+        last = max(first + 1, int(np.searchsorted(begin, begin[first] + most, side="right")) - 1)
+        part = slice(begin[first], begin[last])
+        if begin[last] > begin[first]:
+            full = np.flatnonzero(np.diff(begin[first : last + 1]))
+            out[first + full] += np.add.reduceat(n[part, None] * model["logp"][at[part]], begin[first + full] - begin[first], axis=0)
+        first = last
+    return out
+
+
+def predict_texts(values: list[str | None], model: dict) -> tuple[list[str], list[float]]:
+    """The languages of whole texts and their posterior probabilities."""
+    if not model["langs"]:
+        return ["und"] * len(values), [0.0] * len(values)
+    rows = sparse_rows(values, len(model["logp"]))
+    total = log_likelihoods(rows, model)
+    empty, best, top = np.diff(rows[0]) == 0, total.argmax(axis=1), total.max(axis=1, keepdims=True)
+    score = np.minimum(1.0, 1.0 / np.exp(np.minimum(total - top, 0.0)).sum(axis=1))
+    return ["und" if e else model["langs"][k] for e, k in zip(empty.tolist(), best.tolist(), strict=True)], np.where(empty, 0.0, score).tolist()
 
 
 def predict(docs: DataFrame, model: dict, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -125,9 +165,9 @@ def predict(docs: DataFrame, model: dict, *, text: str = "text", keep: tuple[str
     inner = docs.select(*kept, F.col(text).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [predict_text(x, shared.value) for x in texts_of(batch)]
-            yield with_new(batch, tuple(kept), {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
+        for batch in slices(batches):
+            langs, scores = predict_texts(texts_of(batch), shared.value)
+            yield with_new(batch, tuple(kept), {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return inner.mapInArrow(score, f"{fields(docs, *kept)}, lang_pred string, score double")
 

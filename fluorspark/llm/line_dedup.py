@@ -1,12 +1,12 @@
-"""Reversible line deduplication: cuckoo filters by shard over exact reference counts.
+"""Reversible line deduplication: sharded cuckoo filters over exact reference counts.
 
 A store keeps two exact tables, the postings (which document holds which line) and the
 reference counts summed from them, so documents can be inserted and deleted and every
-decision undone. Cuckoo filters over the frequent keys, one for each shard of bounded size,
-are rebuilt or edited from the counts; they tell for most lines at the scan, without a
-shuffle, that nothing is to be done, and what they let through is confirmed against the counts.
-The filters travel to the tasks only if their size, known from the count of frequent keys,
-is within ``FILTER_BYTES``; beyond it all postings go to the exact join, with the same result.
+decision undone, and a third table with a cuckoo filter of the frequent keys for each shard.
+Inserting and deleting documents edits the filters of the shards in which a key became
+frequent or ceased to be; a filter that is full is built anew, larger, from the counts.
+Postings meet their shard's filter in a co-grouped shuffle, those of a busy shard in several parts,
+each with a copy of the filter; what the filters let through is confirmed against the counts.
 
 Defined results: a null or empty text is one empty line; rows with a null id keep all lines
 and are not counted; rows that share an id are one document and count once; ties cannot occur,
@@ -21,18 +21,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fields, numbered, restored, texts_of, with_new
+from .common import cut, fields, numbered, restored, slices, texts_of, with_new
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS = 1 << 16
-FILTER_BYTES = 32 << 20
+#: Frequent keys of a shard, the most shards (beyond them shards grow), and postings that meet one copy of a filter.
+SHARD_KEYS, MOST_SHARDS, PART_ROWS = 1 << 16, 1 << 20, 1 << 20
 _U = np.uint64
 
 
@@ -61,7 +60,7 @@ class CuckooFilter:
         capacity = max(4, len(keys))
         while True:
             made = cls(capacity)
-            if all(made.insert(int(k)) for k in keys):
+            if made.insert_all(keys):
                 return made
             capacity *= 2
 
@@ -82,7 +81,7 @@ class CuckooFilter:
         first = (mixed >> _U(8)).astype(np.int64) & (self.n_buckets - 1)
         return mark, first, first ^ self._shift(mark)
 
-    def _shift(self, mark: np.ndarray) -> np.ndarray:
+    def _shift(self, mark: np.ndarray | int) -> np.ndarray | int:
         return ((mark * 0x5BD1E995) >> 3) & (self.n_buckets - 1)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
@@ -91,7 +90,13 @@ class CuckooFilter:
 
     def insert(self, key: int) -> bool:
         """False if no place was found; the filter is then to be built larger."""
-        mark, a, b = (x[0] for x in self._places(np.array([key])))
+        return self.insert_all(np.array([key]))
+
+    def insert_all(self, keys: np.ndarray) -> bool:
+        """Inserts keys one after another; False if one found no place, which leaves the filter without some key."""
+        return all(self._put(*at) for at in zip(*(x.tolist() for x in self._places(keys)), strict=True))
+
+    def _put(self, mark: int, a: int, b: int) -> bool:
         for at in (a, b):
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
@@ -99,9 +104,9 @@ class CuckooFilter:
                 return True
         at = b
         for kick in range(self.KICKS):
-            slot = (int(mark) + kick) % self.SLOTS
+            slot = (mark + kick) % self.SLOTS
             mark, self.table[at, slot] = int(self.table[at, slot]), mark
-            at = at ^ self._shift(np.array([mark]))[0]
+            at ^= int(self._shift(mark))
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
                 self.table[at, free[0]] = mark
@@ -123,7 +128,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, high, low: the keys that each document holds, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, keys = [], []
             for text in texts_of(batch):
                 own = {key for line in text.split("\n") if (key := line_key(line, min_chars))}
@@ -143,67 +148,104 @@ def counted(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """The exact tables of the documents inserted so far, and the number of filter shards."""
+    """The exact tables of the documents inserted so far, and the filters of their frequent keys by shard."""
 
     postings: DataFrame
     counts: DataFrame
+    filters: DataFrame
+    shards: int
     min_docs: int = MIN_DOCS
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> Store:
         held = cut(postings(docs, min_chars))
-        return cls(held, cut(counted(held)), min_docs)
+        return cls._of(held, cut(counted(held)), min_docs)
+
+    @classmethod
+    def _of(cls, held: DataFrame, counts: DataFrame, min_docs: int) -> Store:
+        n = counts.where(F.col("n_docs") >= min_docs).count()
+        shards = min(MOST_SHARDS, max(1, -(-n // SHARD_KEYS)))
+        made = cls(held, counts, held.limit(0), shards, min_docs)
+        made.filters = cut(made._built(made.frequent()))
+        return made
 
     def insert(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> Store:
         """The store with more documents; what a document holds already is not counted twice."""
         new = cut(postings(docs, min_chars).join(self.postings, ["doc_id", "high", "low"], "left_anti"))
-        counts = self.counts.unionByName(counted(new)).groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        return Store(cut(self.postings.unionByName(new)), cut(counts), self.min_docs)
+        counts = cut(self.counts.unionByName(counted(new)).groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")))
+        return self._edited(cut(self.postings.unionByName(new)), counts, new.select("high", "low").distinct())
 
     def delete(self, doc_ids: DataFrame) -> Store:
         """The store without some documents: counts of the keys they held are made anew from the postings."""
         ids = doc_ids.select("doc_id").distinct()
-        gone = self.postings.join(ids, "doc_id", "left_semi").select("high", "low").distinct()
+        gone = cut(self.postings.join(ids, "doc_id", "left_semi").select("high", "low").distinct())
         rest = cut(self.postings.join(ids, "doc_id", "left_anti"))
         same = self.counts.join(gone, ["high", "low"], "left_anti")
-        return Store(rest, cut(same.unionByName(counted(rest.join(gone, ["high", "low"], "left_semi")))), self.min_docs)
+        return self._edited(rest, cut(same.unionByName(counted(rest.join(gone, ["high", "low"], "left_semi")))), gone)
+
+    def _edited(self, held: DataFrame, counts: DataFrame, touched: DataFrame) -> Store:
+        """The store with new tables, in which only the ``touched`` keys' counts differ; filters are edited."""
+        known = lambda rows, name: rows.where(F.col("n_docs") >= self.min_docs).select("high", "low", F.lit(True).alias(name))
+        turned = touched.join(known(self.counts, "was"), ["high", "low"], "left").join(known(counts, "is"), ["high", "low"], "left")
+        turned = turned.select("high", "low", F.col("is").isNotNull().alias("add")).where(F.col("was").isNotNull() != F.col("is").isNotNull())
+        keys = cut(turned.select(self._shard(), "low", "add"))
+        if counts.where(F.col("n_docs") >= self.min_docs).count() > 2 * SHARD_KEYS * self.shards and self.shards < MOST_SHARDS:
+            return Store._of(held, counts, self.min_docs)
+        made = Store(held, counts, self.filters, self.shards, self.min_docs)
+
+        def edit(filters: pa.Table, keys: pa.Table) -> pa.Table:
+            shard = (filters if filters.num_rows else keys).column("shard")[0].as_py()
+            table = CuckooFilter.load(filters.column("filter")[0].as_py()) if filters.num_rows else CuckooFilter(4)
+            low, add = keys.column("low").to_numpy(), keys.column("add").to_numpy(zero_copy_only=False)
+            whole = all([table.delete(int(k)) for k in low[~add]]) and table.insert_all(low[add])
+            return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([table.dump() if whole else None], pa.binary())})
+
+        out = cut(self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(edit, "shard int, filter binary"))
+        full = out.where("filter IS NULL").select("shard")
+        if not full.isEmpty():
+            again = made._built(made.frequent().join(full, made._shard() == full["shard"], "left_semi"))
+            out = cut(out.where("filter IS NOT NULL").unionByName(again))
+        made.filters = out
+        return made
 
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
-    def filters(self, shards: int) -> DataFrame:
-        """A cuckoo filter of the frequent keys for each shard: shard, filter."""
+    def _shard(self) -> Column:
+        return F.pmod("high", F.lit(self.shards)).cast("int").alias("shard")
 
-        def build(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:  # a shard holds about SHARD_KEYS keys
-            return pd.DataFrame({"shard": [key[0]], "filter": [CuckooFilter.of(rows["low"].to_numpy()).dump()]})
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """A cuckoo filter of the keys for each shard that has any: shard, filter."""
 
-        return self.frequent().select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "low").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+        def build(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:  # a shard holds about SHARD_KEYS keys
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([CuckooFilter.of(rows.column("low").to_numpy()).dump()], pa.binary())})
+
+        return keys.select(self._shard(), "low").groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
     def surplus(self, held: DataFrame | None = None) -> DataFrame:
         """doc_id, high, low of the lines to drop: frequent keys outside their largest document."""
-        held = self.postings if held is None else held
-        n = self.frequent().count()
-        shards = max(1, -(-n // SHARD_KEYS))
-        # at most 8 buckets of 2 bytes for each key of a shard, as the table size is a power of two
-        if n * 16 <= FILTER_BYTES:
-            held = self._let_through(held, shards)
+        held = self._let_through(self.postings if held is None else held)
         return held.join(self.frequent().select("high", "low", "last_doc"), ["high", "low"]).where("doc_id != last_doc").select("doc_id", "high", "low")
 
-    def _let_through(self, held: DataFrame, shards: int) -> DataFrame:
-        tables = {r["shard"]: bytes(r["filter"]) for r in self.filters(shards).collect()}
-        shared = held.sparkSession.sparkContext.broadcast(tables)
+    def _let_through(self, held: DataFrame) -> DataFrame:
+        """The postings that pass their shard's filter.
+
+        A shard's postings are dealt to parts of about PART_ROWS rows by document, so a key that most documents
+        hold fills several parts. The numbers of parts are at most MOST_SHARDS pairs of integers: they are broadcast.
+        """
+        load = self.counts.groupBy(self._shard()).agg(F.ceil(F.sum("n_docs") / PART_ROWS).cast("int").alias("parts"))
+        load = load.join(self.filters.select("shard"), "shard", "left_semi")
+        dealt = held.withColumn("shard", self._shard()).join(F.broadcast(load), "shard")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).select("doc_id", "high", "low", "shard", "part")
+        copies = self.filters.join(F.broadcast(load), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loaded = {k: CuckooFilter.load(raw) for k, raw in shared.value.items()}
-            for batch in batches:
-                high, low = batch.column("high").to_numpy(), batch.column("low").to_numpy()
-                shard, ok = np.mod(high, shards), np.zeros(len(high), dtype=bool)
-                for k, table in loaded.items():
-                    own = np.flatnonzero(shard == k) if shards > 1 else slice(None)
-                    ok[own] = table.contains(low[own])
-                yield batch.filter(pa.array(ok))
+        def probe(rows: pa.Table, filters: pa.Table) -> pa.Table:
+            rows = rows.select(["doc_id", "high", "low"])
+            if not filters.num_rows or not rows.num_rows:
+                return rows.slice(0, 0)
+            return rows.filter(pa.array(CuckooFilter.load(filters.column("filter")[0].as_py()).contains(rows.column("low").to_numpy())))
 
-        return held.mapInArrow(run, held.schema)
+        return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, held.select("doc_id", "high", "low").schema)
 
 
 def kept_text(text: str, gone: set[bytes], min_chars: int = MIN_CHARS) -> tuple[int, int, str]:
@@ -219,7 +261,7 @@ def _applied(docs: DataFrame, surplus: DataFrame, columns: tuple[str, ...], sche
     rows = docs.join(gone, docs[doc_id] == gone["_id"], "left").select(*columns, F.coalesce(docs[text], F.lit("")).alias("_text"), F.col("_gone.high").alias("_high"), F.col("_gone.low").alias("_low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for value, high, low in zip(*(texts_of(batch, c) for c in ("_text", "_high", "_low")), strict=True):
                 keys = {h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little", signed=True) for h, x in zip(high or (), low or (), strict=True)}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SharedEncoder
-from .common import fields, texts_of, with_new
+from .common import fields, slices, texts_of, with_new
 
 MAX_LENGTH = 2048
 SEPARATOR = 1
@@ -47,7 +47,7 @@ def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, starts, digests, totals, cuts, tokens = [], [], [], [], [], []
             for ids in encoder.encode_groups(texts_of(batch)):
                 ids = np.append(ids, np.uint32(separator)).astype("<u4")
@@ -68,9 +68,17 @@ def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, se
             yield with_new(batch, ("doc_id",), new | ({"ids": tokens} if with_ids else {}), cuts)
 
     pieces = rows.mapInArrow(run, fields(rows, "doc_id") + ", start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    first = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    rest = [c for c in pieces.columns if c not in first]
+    return pieces.select(*first, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *rest)
 
 
 def write_buckets(pieces: DataFrame, folder: str) -> None:
-    """The sequences as Parquet, a folder for each length; pieces of a length are one batchable set."""
-    pieces.write.partitionBy("bucket").parquet(folder)
+    """The sequences as Parquet, a folder for each length; pieces of a length are one batchable set.
+
+    Rows are dealt out by length and a hash of the sequence first, so a task writes a few large files of one
+    length and no length is a single task's.
+    """
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(parts, "bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, parts // 4))))
+    dealt.write.partitionBy("bucket").parquet(folder)

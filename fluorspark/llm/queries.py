@@ -7,26 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat_format, hyperminhash, langid, license_scan, line_dedup, packing, spotsigs, token_counts, topk
-from .common import small_batches, table
+from .common import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
@@ -36,12 +32,10 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 8)
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
@@ -69,7 +63,6 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import SharedEncoder
-from .common import cut, fields, texts_of, with_new, work_folder
+from .common import cut, fields, slices, texts_of, with_new, work_folder
 
 BLOCK_BYTES = 4 << 20
 SEPARATOR = 49407
@@ -44,16 +44,22 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, *,
         encoder, out, ordinal = shared.get(), None, 0
         store, base = fs.FileSystem.from_uri(folder)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-        for batch in batches:
-            if out is None:
-                store.create_dir(base)
-                out = store.open_output_stream(f"{base}/{name}")
-            for ids in encoder.encode_groups(texts_of(batch)):
-                out.write(np.append(ids, np.uint32(separator)).astype(dtype).tobytes())
-            yield with_new(batch, ("doc_id",), {"file": pa.array([name] * batch.num_rows), "ordinal": np.arange(ordinal, ordinal + batch.num_rows)})
-            ordinal += batch.num_rows
-        if out is not None:
-            out.close()
+        done = False
+        try:
+            for batch in slices(batches):
+                if out is None:
+                    store.create_dir(base)
+                    out = store.open_output_stream(f"{base}/{name}")
+                for ids in encoder.encode_groups(texts_of(batch)):
+                    out.write(np.append(ids, np.uint32(separator)).astype(dtype).tobytes())
+                yield with_new(batch, ("doc_id",), {"file": pa.array([name] * batch.num_rows), "ordinal": np.arange(ordinal, ordinal + batch.num_rows)})
+                ordinal += batch.num_rows
+            done = True
+        finally:
+            if out is not None:
+                out.close()
+                if not done:  # an attempt that failed leaves no file behind
+                    store.delete_file(f"{base}/{name}")
 
     return cut(rows.mapInArrow(run, fields(rows, "doc_id") + ", file string, ordinal long"))
 
@@ -68,7 +74,7 @@ def scan(spark: SparkSession, folder: str, *, separator: int = SEPARATOR, dtype:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        for batch in batches:
+        for batch in slices(batches):
             ends = []
             for name, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{name}") as file:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluorspark.llm import bpe, chat_format, hyperminhash, langid, license_scan, line_dedup, packing, queries, shingles, spotsigs, token_counts, topk
-from fluorspark.llm.common import small_batches, table
+from fluorspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, node long, score double, bucket int, label string, row long, _id long"
@@ -33,7 +33,6 @@ ODD = [(1, "The cat sat on the mat near the old red house."), (1, "The cat sat o
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    small_batches(spark)
     return documents(spark, ODD)
 
 
@@ -44,7 +43,6 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    small_batches(spark)
     return table(spark, SF, "documents")
 
 
@@ -84,6 +82,48 @@ def test_language_of_odd_documents(odd, none, docs):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def naive_buckets(text):
+    """The buckets of a text's n-grams, one at a time in whole numbers."""
+    mask, out = (1 << 64) - 1, []
+    letters = " " + "".join(c if c.isalpha() else " " for c in text.lower())
+    for n in langid.ORDERS:
+        for k in range(len(letters) - n + 1):
+            if letters[k + n - 1] != " " and k + n > 1:
+                h = n
+                for c in letters[k : k + n]:
+                    h = ((h * 0x9E3779B97F4A7C15) & mask) ^ ord(c)
+                out.append((((h * 0xBF58476D1CE4E5B9) & mask) >> 40) % langid.BUCKETS)
+    return out
+
+
+def test_language_equals_naive_counts_and_sums(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 5000)
+    rows = [r for r in docs.collect() if r["text"] and len(r["text"]) < 3000][:60]
+    counts, own = {}, {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            own[r["lang"]] = own.get(r["lang"], 0) + 1
+            counts.setdefault(r["lang"], collections.Counter()).update(naive_buckets(r["text"]))
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, docs.schema)).collect()}
+    for r in rows:
+        seen = collections.Counter(naive_buckets(r["text"]))
+        logs = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + langid.SMOOTHING * langid.BUCKETS
+            logs[lang] = np.log(own[lang] / sum(own.values())) + sum(n * np.log((c[b] + langid.SMOOTHING) / total) for b, n in seen.items())
+        best = max(sorted(logs), key=logs.get)
+        if seen:
+            assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-6
+        else:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+
+
+def test_too_many_languages(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+
+
 def test_language_runs_equal_whole():
     text = ("abc déf " * 90_000)[: langid.CHUNK * 2 + 77]
     counted = sum(np.bincount(x, minlength=langid.BUCKETS) for x in langid.bucket_runs(text))
@@ -207,7 +247,6 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     rows = [*texts.items(), *((10_000 + 100 * k + j, edited(rng, w, share)) for k, w in enumerate(base) for j, share in enumerate(rng.uniform(0, 0.06, 60)))]
     rows += [(20_000, "a b c d"), (20_001, "A  b\tC d"), (20_002, "a b c"), (20_003, ""), (20_004, None), (20_005, "")]
     want, sizes = components(rows), {i: len(shingle_words(t)) for i, t in rows}
-    small_batches(spark)
     got = hyperminhash.near_duplicates(documents(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -338,7 +377,6 @@ def best(vectors, queries, k):
 
 
 def test_topk_with_ties_and_odd_vectors(spark, monkeypatch):
-    small_batches(spark, 8)
     monkeypatch.setattr(topk, "CAND_BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "BLOCKS_A_CELL", 2)
@@ -354,7 +392,6 @@ def test_topk_with_ties_and_odd_vectors(spark, monkeypatch):
 
 
 def test_topk_with_large_components(spark):
-    small_batches(spark, 8)
     df = spark.createDataFrame([(1, [3e38, 1.0]), (2, [1.0, 2.0]), (3, [-3e38, 5.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in topk.search(df, df.where("vec_id = 2"), 5).orderBy("rank").collect()] == [(2, 1), (2, 3)]
 
@@ -455,11 +492,11 @@ def report(frame, store=None):
     return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.line_report(frame, store).collect())
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_lines_equal_brute_force(spark, odd, none, monkeypatch, broadcast):
-    small_batches(spark)
-    if not broadcast:
-        monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+@pytest.mark.parametrize("small", [False, True])
+def test_lines_equal_brute_force(spark, odd, none, monkeypatch, small):
+    if small:  # several shards, and several parts of each
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+        monkeypatch.setattr(line_dedup, "PART_ROWS", 4)
     rows = shared_lines(12) + ODD + [(11, shared_lines(12)[11][1]), (None, shared_lines(1)[0][1])]
     assert report(documents(spark, rows)) == without(rows)
     assert report(none) == []
@@ -475,6 +512,30 @@ def test_line_store_is_reversible(spark):
     assert key(back) == key(store)
 
 
+@pytest.mark.parametrize("shard_keys", [1 << 16, 60])
+def test_edited_filters_answer_as_rebuilt_ones(spark, monkeypatch, shard_keys):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    rng = np.random.default_rng(21)
+    lines = [f"line number {k} which has forty letters or more in it" for k in range(300)]
+    rows = [(i, "\n".join(rng.choice(lines, 40, replace=False))) for i in range(90)]
+    store = line_dedup.Store.build(documents(spark, rows[:40]))
+    held = set(range(40))
+    for step in range(4):
+        if step % 2:
+            gone = set(rng.choice(sorted(held), 25, replace=False).tolist())
+            store, held = store.delete(documents(spark, [(i, "") for i in gone])), held - gone
+        else:
+            more = set(rng.choice(90, 35, replace=False).tolist()) - held
+            store, held = store.insert(documents(spark, [rows[i] for i in more])), held | more
+        frequent = store.frequent().collect()
+        tables = {r["shard"]: line_dedup.CuckooFilter.load(bytes(r["filter"])) for r in store.filters.collect()}
+        # a place for every frequent key and none for another
+        assert sum(int((t.table > 0).sum()) for t in tables.values()) == len(frequent)
+        assert all(tables[r["high"] % store.shards].contains(np.array([r["low"]])).all() for r in frequent)
+        own = [rows[i] for i in sorted(held)]
+        assert report(documents(spark, own), store) == without(own)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(12)
     keys = rng.integers(-(1 << 62), 1 << 62, 5000)
@@ -504,7 +565,6 @@ def test_matches_sql(spark, tmp_path, name):
 def test_pipeline(spark, docs, library):
     import corpus_pipeline
 
-    small_batches(spark)
     pieces = corpus_pipeline.run(spark, SF).collect()
     known = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if known[r["doc_id"]]["lang_pred"] != "und" and known[r["doc_id"]]["score"] >= 0.5)
