@@ -4,18 +4,22 @@ A document's shingle hashes fall into 128 registers by their first bits; a regis
 smallest value as its number of leading zeros (6 bits) and the 10 mantissa bits after the
 first one. Empty registers borrow from full ones in a fixed order. Four registers packed in 64 bits
 form a band. Within a bucket of equal bands every document is compared with the bucket's
-smallest id, and, where that leaves the bucket in several components, with the documents of
-other components too, block against block within the tasks. Pairs must pass the collision-corrected estimate
-and are then confirmed on full shingle sets, so hashing decides only which pairs are looked at.
-A pair at the threshold shares no band with probability (1 - 0.75**4)**32, about 5 in a million.
+smallest id. Pairs must pass the collision-corrected estimate and are then confirmed on full
+shingle sets, so hashing decides only which pairs are looked at: first one pair of each document,
+then the pairs that do not lie in one component by then. A bucket that is left in several components is dealt
+out as pairs of blocks; blocks of sketches come first, and texts are fetched only of the documents
+that have a likely partner in another component.
+
+A pair at the threshold is lost, unless other documents link it, if it shares no band, with probability
+(1 - 0.75**4)**32, about 5 in a million, or if its estimate is more than five standard deviations too low.
 
 Documents with one shingle set are represented by the smallest id; copies are never paired.
 Hot buckets and copies meet only in partial aggregates and in joins that Spark can split.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; rows
 with a null id are linked with nothing, their component is null and they are kept; rows
-that share an id are one document (their classes join); ties go to the smallest id; other
-columns are ignored; an empty table gives an empty result.
+that share an id are one document (their classes join); ties go to the smallest id; ids are whole
+numbers, others are an error; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +28,12 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of, with_new, work_folder
+from .common import cut, long_ids, numbered, restored, slices, texts_of, with_new
 from .components import connected_components
 from .shingles import links, shingle_set
 
@@ -38,10 +41,10 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: Expected share of registers that agree by chance at 10 mantissa bits (HyperMinHash paper, large sets).
 COLLISION = 0.169919487159739093975315012348 / (1 << MANTISSA)
-#: The estimate may miss the threshold by five standard deviations; smaller sets are always verified.
-SURE = 256
+#: The estimate may miss the threshold by as many standard deviations; in small sets, whose registers borrow, those are up to 1.4 times as large.
+DEVIATIONS, BORROWED = 5, 0.4
 #: Partners that one copy of a document meets; documents and shingles of a block.
-SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 64, 1024, 1_000_000
+SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 64, 2048, 2_000_000
 _U = np.uint64
 
 
@@ -99,8 +102,8 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     target, small = percent / 100, np.minimum(n_a, n_b)
     agree = (a == b).mean(axis=1)
     estimate = (agree - COLLISION) / (1 - COLLISION)
-    margin = 5 * np.sqrt(target * (1 - target) / REGISTERS)
-    return (100 * small >= percent * np.maximum(n_a, n_b)) & ((estimate >= target - margin) | (small < SURE))
+    margin = DEVIATIONS * np.sqrt(target * (1 - target) / REGISTERS) * (1 + BORROWED * np.exp(-small / REGISTERS))
+    return (100 * small >= percent * np.maximum(n_a, n_b)) & (estimate >= target - margin)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -147,30 +150,60 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(run, "a long, b long").distinct()
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """The rows (with band, key, block, blocks) of every bucket dealt to the pairs of its blocks: block i meets every block j in the cell (min, max)."""
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _partners(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For the rows of a cell, one after another, the later rows of other labels that are likely partners and whose first equal band is the cell's."""
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    regs, n = bands.view("<u2").reshape(len(rows), -1), rows.column("n_shingles").to_numpy()
+    label, block = rows.column("label").to_numpy(), rows.column("block").to_numpy()
+    band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+    right = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        y = right[right > x] if i == j else right
+        y = y[label[y] != label[x]]
+        same = bands[y] == bands[x]
+        yield x, y[(same.argmax(axis=1) == band) & same[:, band] & likely(regs[x][None, :], regs[y], n[x], n[y], percent)]
+
+
 def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between documents that share a bucket but no component yet.
 
     A bucket of several components is dealt out as pairs of blocks of bounded size. A pair is looked
-    at in the first band it shares; if sizes and estimate allow it, its full sets are compared
-    there, and only links that join two components leave the task.
+    at in the first band it shares. Blocks of sketches name the documents that have a likely partner; in the same
+    cells the full sets of those are compared, and only links that join two components leave the task.
     """
     placed = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = cut(placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key"))
     # of a bucket of two, the pair has been compared
     rows = placed.where("size > 2").join(mixed, ["band", "key"]).where("node != center")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block i meets every block j: its rows go to the cells (min, max)
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("band", "key", "i", "j", "block", "label", "node")
-    whole = dealt.join(nodes.select("node", "n_shingles", "bands"), "node").join(texts, "node")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["node", "n_shingles", "_text"])
-        bands = np.stack(rows["bands"].to_numpy())
-        regs, n = bands.view("<u2").reshape(len(rows), -1), rows["n_shingles"].to_numpy()
-        label, node, block = rows["label"].tolist(), rows["node"].to_numpy(), rows["block"].to_numpy()
-        band, i, j = (rows[c].iloc[0] for c in ("band", "i", "j"))
-        sets = [shingle_set(t or "") for t in rows["_text"]]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("band", "key", "block", "blocks", "label", "node")
+    cell = ["band", "key", "i", "j"]
+    sketched = rows.join(nodes.select("node", "n_shingles", "bands"), "node")
+
+    def hopeful(rows: pa.Table) -> pa.Table:
+        seen = np.zeros(len(rows), dtype=bool)
+        for x, y in _partners(rows, percent):
+            if len(y):
+                seen[x] = True
+                seen[y] = True
+        return rows.filter(pa.array(seen))
+
+    kept = ", ".join(f"{c} {t}" for c, t in _cells(sketched).dtypes)
+    hopes = cut(_cells(sketched).groupBy(*cell).applyInArrow(hopeful, kept))
+    whole = hopes.join(texts, "node")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        # an id that repeats with one text is one row
+        texts = rows.column("_text").to_pylist()
+        first = {x: k for k, x in reversed(list(enumerate(zip(rows.column("node").to_pylist(), texts, strict=True))))}
+        rows, texts = rows.take(pa.array(sorted(first.values()))), [texts[k] for k in sorted(first.values())]
+        label, node = rows.column("label").to_pylist(), rows.column("node").to_numpy()
+        sets = [shingle_set(t or "") for t in texts]
         root = {x: x for x in label}
 
         def find(x: int) -> int:
@@ -179,23 +212,39 @@ def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataF
                 x = root[x]
             return x
 
-        out, right = [], np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i):
-            y = right[right > x] if i == j else right
-            same = bands[y] == bands[x]
-            y = y[(same.argmax(axis=1) == band) & same[:, band] & likely(regs[x][None, :], regs[y], n[x], n[y], percent)]
-            for k in y.tolist():
-                mine, other = find(label[x]), find(label[k])
-                if mine != other and links(sets[x], sets[k], percent):
+        out = []
+        for x, partners in _partners(rows, percent):
+            for y in partners.tolist():
+                mine, other = find(label[x]), find(label[y])
+                if mine != other and links(sets[x], sets[y], percent):
                     root[max(mine, other)] = min(mine, other)
-                    out.append((node[x], node[k]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                    out.append((node[x], node[y]))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+    return whole.groupBy(*cell).applyInArrow(compare, "a long, b long")
 
-    return whole.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long")
+
+def _joined(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components of links between documents, given the components found so far."""
+    return connected_components(edges.union(labels.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))))
+
+
+def starred(star: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Components by the likely pairs (a, b, size) of documents and their buckets' smallest ids.
+
+    Every document is compared with its smallest partner first; of the other pairs only those between components are left.
+    """
+    first = cut(star.groupBy("b").agg(F.min(F.struct("a", "size")).alias("m")).select("m.a", "b", "m.size"))
+    labels = connected_components(cut(verified(first, texts, percent)))
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"at_{x}"))
+    rest = star.join(first.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    more = cut(verified(rest.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b", "size"), texts, percent))
+    return labels if more.isEmpty() else _joined(more, labels)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept for every row."""
+    docs = long_ids(docs)
     seen = cut(features(docs.select("doc_id", "text")))
     usable = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
     sets = cut(usable.groupBy("high", "low").agg(F.min("doc_id").alias("node")))
@@ -207,28 +256,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     buckets = cut(buckets.withColumn("blocks", blocks).drop("weight"))
     members = cut(banded.drop("n_shingles").join(buckets, ["band", "key"]))
-    folder = work_folder(docs.sparkSession, "near")
-    docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("text").alias("_text")).join(members.select("node").distinct(), "node", "left_semi").write.parquet(folder)
-    texts = docs.sparkSession.read.parquet(folder)
+    # kept in partitions by node, in which the joins below find them without moving them again
+    shared = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("_text")).where("node IS NOT NULL")
+    texts = cut(shared.hint("merge").join(members.select("node").distinct(), "node", "left_semi"))
     star = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    edges = cut(verified(estimated(star, nodes, percent), texts, percent))
-    labels = connected_components(edges)
+    labels = starred(cut(estimated(star, nodes, percent)), texts, percent)
     more = cut(across(members, nodes, texts, labels, percent))
     if not more.isEmpty():
-        labels = connected_components(edges.union(more))
+        labels = _joined(more, labels)
     repeated = usable.groupBy("doc_id").agg(F.min("high").alias("h0"), F.max("high").alias("h1")).where("h0 != h1").select("doc_id")
     if not repeated.isEmpty():
         joined = same.join(repeated, same["b"] == repeated["doc_id"], "left_semi")
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joined))
+        labels = _joined(joined, labels)
     home = seen.join(sets, ["high", "low"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     out = home.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group: the one with the smallest id, once."""
-    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group: the one with the smallest id, once; rows with a null id stay.
+
+    Of rows that share an id the one with the smallest digest of all its columns stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    rows, names = numbered(docs)
+    known, at = rows.where(F.col(names["doc_id"]).isNotNull()), F.col(names["doc_id"])
+    out = known.join(kept, at == F.col("_id"), "left_semi")
+    repeated = cut(known.groupBy(at.alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    if not repeated.isEmpty():
+        marked = out.withColumn("_digest", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+        least = marked.join(repeated, at == F.col("_id"), "left_semi").groupBy(at.alias("_id")).agg(F.min("_digest").alias("_least"))
+        # what is left of an id are equal rows
+        out = marked.join(least, at == F.col("_id"), "left").where("_least IS NULL OR _least = _digest").select(*rows.columns).dropDuplicates([names["doc_id"]])
+    return restored(out.unionByName(rows.where(at.isNull())), names)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fluorspark.llm import bpe, chat_format, hyperminhash, langid, license_scan, line_dedup, packing, queries, shingles, spotsigs, token_counts, topk
 from fluorspark.llm.common import table
+from fluorspark.llm.components import connected_components as components_of
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, node long, score double, bucket int, label string, row long, _id long"
@@ -254,14 +255,55 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
 
 
 def test_near_duplicates_with_a_hot_bucket(spark, monkeypatch):
-    """Many unlike members in a bucket, dealt out in several blocks."""
+    """Many unlike members in a bucket, dealt out in several blocks; few links and few texts leave the tasks."""
     monkeypatch.setattr(hyperminhash, "BLOCK_ROWS", 16)
+    counts, cut = [], hyperminhash.cut
+    monkeypatch.setattr(hyperminhash, "cut", lambda df: (made := cut(df), counts.append((made.columns, made.count())))[0])
     rng = np.random.default_rng(9)
     words = [f"w{rng.integers(500)}" for _ in range(150)]
     rows = [(k, edited(rng, words, rng.uniform(0.02, 0.07))) for k in range(250)]
     want = components(rows)
     assert 1 < len(set(want.values())) < 250
     assert {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()} == want
+    # links: one for each document in each of a bucket's cells at most, and no pair of documents that are joined already
+    assert max(n for columns, n in counts if columns == ["a", "b"]) < 3 * len(rows)
+
+
+def test_unlike_members_fetch_no_texts(spark, monkeypatch):
+    """Documents that share a third of their shingles meet in buckets, but their sketches tell them apart."""
+    monkeypatch.setattr(hyperminhash, "BLOCK_ROWS", 16)
+    counts, cut = [], hyperminhash.cut
+    monkeypatch.setattr(hyperminhash, "cut", lambda df: (made := cut(df), counts.append((made.columns, made.count())))[0])
+    rng = np.random.default_rng(19)
+    shared = [f"s{rng.integers(5000)}" for _ in range(300)]
+    rows = [(k, " ".join(shared + [f"w{rng.integers(100000)}" for _ in range(290)])) for k in range(200)]
+    assert {r["component_id"] == r["doc_id"] for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()} == {True}
+    fetched = [n for columns, n in counts if "block" in columns and "bands" in columns]
+    assert fetched == [0] or sum(fetched) < len(rows)
+
+
+def test_estimates_of_every_size_let_pairs_at_the_threshold_pass():
+    rng = np.random.default_rng(22)
+    for n in (3, 6, 12, 30, 90, 240, 600):
+        a, b, m, k = [], [], [], []
+        for _ in range(300):
+            hashes = rng.integers(0, 1 << 63, n + n // 3, dtype=np.uint64) << np.uint64(1)
+            at = n + int(rng.integers(0, n // 3 + 1))
+            left, right = np.unique(hashes[:at]), np.unique(np.r_[hashes[:n], hashes[at:]])
+            for held, size, own in ((a, m, left), (b, k, right)):
+                held.append(hyperminhash.sketch(own))
+                size.append(len(own))
+        assert hyperminhash.likely(np.array(a), np.array(b), np.array(m), np.array(k), 75).all()
+    # unlike small sets are told apart by the estimate too
+    one, two = (np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(2))
+    assert not hyperminhash.likely(hyperminhash.sketch(one)[None], hyperminhash.sketch(two)[None], np.array([40]), np.array([40]), 75).any()
+
+
+def test_components_of_odd_edges(spark):
+    edges = [(1, 2), (2, 1), (2, 2), (9, 9), (None, 3), (5, 4), (4, 6), (7, 8), (8, 5), *((k, k + 1) for k in range(100, 160))]
+    got = {r["node"]: r["component"] for r in components_of(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, **dict.fromkeys((4, 5, 6, 7, 8), 4), **dict.fromkeys(range(100, 161), 100)}
+    assert components_of(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_duplicates_of_odd_rows(odd, none, spark):
@@ -276,6 +318,21 @@ def test_near_duplicates_of_odd_rows(odd, none, spark):
     assert {r["component_id"] for r in hyperminhash.near_duplicates(two).collect()} == {1}
 
 
+def test_ids_of_other_types_and_choice_among_repeats(spark, odd):
+    with pytest.raises(TypeError):
+        hyperminhash.near_duplicates(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+    ints = odd.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert hyperminhash.near_duplicates(ints).count() == len(ODD) and hyperminhash.deduplicated(ints).schema == ints.schema
+    two = spark.createDataFrame([(1, t, {"k": t}) for t in ("b c", "a c", "d e", "d e")], "doc_id long, text string, _id map<string,string>")
+    assert {hyperminhash.deduplicated(x).first()["text"] for x in (two, two.orderBy("text"), two.repartition(3))} == {hyperminhash.deduplicated(two).first()["text"]} and hyperminhash.deduplicated(two).count() == 1
+
+
+def test_words_made_to_collide(spark):
+    odd = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in odd) for flip in (0, 1))
+    assert shingles.word_hashes(a) != shingles.word_hashes(b)
+
+
 def test_word_hashes_over_chunks(monkeypatch):
     text = " ".join(f"Word{k}\t{k % 7}" for k in range(3000)) + " " + "y" * 900
     whole = shingles.word_hashes(text)
