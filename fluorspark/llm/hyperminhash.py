@@ -8,7 +8,9 @@ smallest id. Pairs must pass the collision-corrected estimate and are then confi
 shingle sets, so hashing decides only which pairs are looked at: first one pair of each document,
 then the pairs that do not lie in one component by then. A bucket that is left in several components is dealt
 out as pairs of blocks; blocks of sketches come first, and texts are fetched only of the documents
-that have a likely partner in another component.
+that have a likely partner in another component. They are fetched from those that a bitmap of fixed size let
+through in one scan: all that share a bucket, and few others while members are fewer than its bits. Texts
+travel, not shingle sets, which are larger than compressed texts.
 
 A pair at the threshold is lost, unless other documents link it, if it shares no band, with probability
 (1 - 0.75**4)**32, about 5 in a million, or if its estimate is more than five standard deviations too low.
@@ -45,6 +47,8 @@ COLLISION = 0.169919487159739093975315012348 / (1 << MANTISSA)
 DEVIATIONS, BORROWED = 5, 0.4
 #: Partners that one copy of a document meets; documents and shingles of a block.
 SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 64, 2048, 2_000_000
+#: Bits of the bitmap of documents that share a bucket: 8 MB, whatever the corpus.
+BITMAP_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -123,6 +127,28 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(run, "a long, b long, size long")
 
 
+def shared_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node and text of all documents in ``members``, and of few others: one scan, no shuffle."""
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("node"), F.lit(BITMAP_BITS))
+    # the functions count values from 1
+    rows = members.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for r in rows:  # at most BITMAP_BITS / 32768 of them
+        begin = (r["bucket"] - 1) * len(r["bits"])
+        bitmap[begin : begin + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: len(bitmap) - begin]
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in slices(batches):
+            at = batch.column("_at").to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["node", "_text"])
+
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_at", place)
+    return cut(texts.mapInArrow(run, "node long, _text string"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold.
 
@@ -137,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in slices(batches):
             out = []
             for a, salt, b, turn, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                found = shingle_set(text or "")
+                found = shingle_set(text)
                 if turn == 0:
                     # an id that repeats with several texts stands for all of them
                     own = [*own, found] if now == (a, salt) else [found]
@@ -200,10 +226,9 @@ def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataF
     def compare(rows: pa.Table) -> pa.Table:
         # an id that repeats with one text is one row
         texts = rows.column("_text").to_pylist()
-        first = {x: k for k, x in reversed(list(enumerate(zip(rows.column("node").to_pylist(), texts, strict=True))))}
-        rows, texts = rows.take(pa.array(sorted(first.values()))), [texts[k] for k in sorted(first.values())]
+        first = sorted({x: k for k, x in reversed(list(enumerate(zip(rows.column("node").to_pylist(), texts, strict=True))))}.values())
+        rows, own = rows.take(pa.array(first)), [shingle_set(texts[k]) for k in first]
         label, node = rows.column("label").to_pylist(), rows.column("node").to_numpy()
-        sets = [shingle_set(t or "") for t in texts]
         root = {x: x for x in label}
 
         def find(x: int) -> int:
@@ -216,7 +241,7 @@ def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataF
         for x, partners in _partners(rows, percent):
             for y in partners.tolist():
                 mine, other = find(label[x]), find(label[y])
-                if mine != other and links(sets[x], sets[y], percent):
+                if mine != other and links(own[x], own[y], percent):
                     root[max(mine, other)] = min(mine, other)
                     out.append((node[x], node[y]))
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
@@ -256,9 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     buckets = cut(buckets.withColumn("blocks", blocks).drop("weight"))
     members = cut(banded.drop("n_shingles").join(buckets, ["band", "key"]))
-    # kept in partitions by node, in which the joins below find them without moving them again
-    shared = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("_text")).where("node IS NOT NULL")
-    texts = cut(shared.hint("merge").join(members.select("node").distinct(), "node", "left_semi"))
+    texts = shared_texts(docs, members)
     star = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
     labels = starred(cut(estimated(star, nodes, percent)), texts, percent)
     more = cut(across(members, nodes, texts, labels, percent))
