@@ -62,13 +62,18 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search side of ``op9_spot_signatures``: every document's class of equal fingerprints and its links at 0.75 or more."""
+    return spotsigs.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op8_license_scan, op9_spot_signatures, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op8_license_scan, op9_spot_signatures, op10_line_dedup, near_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_tool_calls": chat_format.ORACLE_SQL, "op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_tool_calls": chat_format.ORACLE_SQL, "op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "near_fingerprints": spotsigs.near_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}

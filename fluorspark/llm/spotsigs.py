@@ -5,15 +5,16 @@ the content word after that; common words between the two are passed over. A doc
 fingerprint is the sorted set of its signatures' hashes, eight hexadecimal digits each, so two fingerprints can be
 compared without the texts. A text without a signature has the hash of its whole text for one.
 
-``near_pairs`` joins documents by set: copies of a fingerprint are represented by the smallest id, sets are
-partitioned by length so that a set meets only its own and the next partition, and only the
-first signatures of each set (those that a pair at the threshold must share) are matched;
-pairs that pass the length bound are confirmed by their full Jaccard likeness.
+``near_pairs`` joins documents by set: copies of a fingerprint are represented by the smallest id; sets are
+partitioned by length so that a set meets only its own and the next partition; only a set's rarest
+signatures (as many as a pair at the threshold must share one of) are matched, and a pair only at the first
+that it shares. Signatures that many sets have among their rarest are dealt out as pairs of blocks.
+Pairs that pass the length bound are confirmed by their full Jaccard likeness.
 
 Defined results: a null text is an empty one; rows with a null id stand before the smallest id
-and rows that share an id follow one another by text; the document after the last is the first,
-a single document is its own next; other columns are ignored; an empty table gives an empty
-result. Texts are taken whole.
+and rows that share an id follow one another by a hash of the text; the document after the last is the first,
+a single document is its own next; ids are whole numbers, others are an error; other columns are ignored;
+an empty table gives an empty result; rows with a null id are in no pair. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, long_ids
+
 #: Common words of English, French, German and Spanish that anchor the signatures.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in is it not of on or she that the their they this to was were which with you "
@@ -31,7 +34,10 @@ ANCHORS = (
     "als auf aus das dem den der die ein eine einer für ich im ist mit nicht sich sie sind und von war wie zu zum "
     "al como con del el ella es lo los las más no para pero por si su sus y"
 ).split()
-ROWS_A_BUCKET, MOST_BUCKETS = 512, 100_000
+#: Rows of an id range, the most ranges (beyond them ranges grow; they are sorted and may spill), and sampled rows of a range.
+ROWS_A_BUCKET, MOST_BUCKETS, SAMPLE = 512, 4096, 20
+#: Sets of a block, and copies of a signature's frequency.
+BLOCK_ROWS, SALTS = 1024, 16
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -41,16 +47,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signature hashes of a text."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    anchor = f" ({'|'.join(dict.fromkeys(ANCHORS))}) "
+    anchor = lambda w: w.isin(ANCHORS)
     chain = lambda head, after: F.when(F.contains(head, F.lit("_")) & after.isNotNull(), F.substring(F.md5(F.concat(head, F.lit(" "), after)), 1, 8))
 
-    def chains(spaced: Column) -> Column:
-        glued = F.split(F.trim(F.replace(F.regexp_replace(spaced, anchor, "$1_"), F.lit("_ "), F.lit("_"))), " +")
-        content = F.split(F.trim(F.regexp_replace(spaced, anchor, "")), " +")
+    def chains(words: Column) -> Column:
+        # a run of anchors is glued to the word that it stands before
+        glued = F.split(F.array_join(F.transform(words, lambda w: F.concat(w, F.when(anchor(w), F.lit("_")).otherwise(F.lit(" ")))), ""), " ")
+        content = F.filter(words, lambda w: ~anchor(w))
         return F.array_sort(F.array_distinct(F.array_compact(F.zip_with(glued, F.slice(content, 2, 1 << 30), chain))))
 
-    found = let(F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" ")), chains)
+    found = let(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " "), chains)
     return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.substring(F.md5(text), 1, 8))))
 
 
@@ -59,35 +65,40 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """The place of ``_id`` among the sorted bounds, by binary search."""
-    array = F.array(*map(F.lit, bounds)) if len(bounds) < 2 else F.lit(bounds)
-    middle = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+def _bucket(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds are not above (``_id``, ``_tie``), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    ids, ties = (F.array(*map(F.lit, x)) if len(x) < 2 else F.lit(list(x)) for x in zip(*bounds, strict=True))
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    step = lambda s, _: F.when(F.col("_id") >= F.element_at(array, middle(s) + 1), F.struct(middle(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
-    rounds = max(1, math.ceil(math.log2(max(2, len(bounds)))))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["lo"]
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        at, tie = F.get(ids, middle), F.get(ties, middle)
+        over = (F.col("_id") > at) | ((F.col("_id") == at) & (F.col("_tie") >= tie))
+        return F.when(s["lo"] >= s["hi"], s).when(over, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step)["lo"]
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
     """doc_id, text and a window over ascending ids in which the next row is the next document.
 
-    Rows are dealt to id ranges of bounded size; the first rows of a range stand, marked
-    ``ghost``, at the end of the range before it, and the first of all after the last.
+    Rows are dealt to ranges of (id, hash of the text), whose bounds are a sample's, so ids that repeat are
+    split too; the first row of a range stands, marked ``ghost``, at the end of the range before it, and the first of all after the last.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"))
-    n = rows.count()
+    rows = long_ids(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).withColumn("_tie", F.xxhash64("text"))
+    n = docs.count()
     wanted = max(1, min(MOST_BUCKETS, n // ROWS_A_BUCKET))
-    parts = [k / wanted for k in range(wanted)]
-    found = rows.agg(F.min("_id").alias("least"), F.percentile_approx("_id", parts, max(10_000, 20 * wanted)).alias("at")).first()
-    bounds = sorted({found["least"], *(found["at"] or [])} - {None}) or [0]
-    first = rows.withColumn("_bucket", _bucket(bounds))
-    starts = F.element_at(F.lit(bounds) if len(bounds) > 1 else F.array(F.lit(bounds[0])), F.col("_bucket") + 1) == F.col("_id")
-    before = F.pmod(F.col("_bucket") - 1, F.lit(len(bounds)))
-    here = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost"))
-    dealt = first.withColumn("_at", F.explode(F.when(starts, F.array(here, F.struct(before.cast("int").alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(here))))
-    dealt = dealt.select("doc_id", "text", "_id", F.col("_at.b").alias("_bucket"), F.col("_at.ghost").alias("ghost"))
-    return dealt, Window.partitionBy("_bucket").orderBy("ghost", "_id", "text")
+    share = int(min(1.0, wanted * SAMPLE / max(1, n)) * (1 << 30))
+    # at most about MOST_BUCKETS * SAMPLE keys
+    seen = sorted(tuple(r) for r in rows.select("_id", "_tie").where(F.pmod(F.xxhash64("_tie", "_id"), F.lit(1 << 30)) < share).distinct().collect()) if wanted > 1 else []
+    bounds = sorted({seen[k * len(seen) // wanted] for k in range(1, wanted)} - set(seen[:1])) if seen else []
+    dealt = rows.withColumn("_bucket", _bucket(bounds))
+    first = dealt.groupBy("_bucket").agg(F.min(F.struct("_id", "_tie", "text", "doc_id")).alias("f"))
+    ghosts = first.select("f.doc_id", "f.text", "f._id", "f._tie", F.pmod(F.col("_bucket") - 1, F.lit(len(bounds) + 1)).alias("_bucket"), F.lit(True).alias("ghost"))
+    both = dealt.select("doc_id", "text", "_id", "_tie", "_bucket", F.lit(False).alias("ghost")).unionByName(ghosts)
+    return both, Window.partitionBy("_bucket").orderBy("ghost", "_id", "_tie", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,20 +123,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of unlike fingerprints at the threshold or more, by representatives, and the
     membership (doc_id, representative) of all documents with an id."""
-    known = fingerprints(docs).where("doc_id IS NOT NULL")
-    classes = known.groupBy("fingerprint").agg(F.min("doc_id").alias("representative"), F.first("sigs").alias("sigs"))
-    members = known.select("doc_id", "fingerprint").join(classes.select("fingerprint", "representative"), "fingerprint").select("doc_id", "representative")
-    part = F.floor(F.log(F.size("sigs")) / F.lit(math.log(1 / threshold)) + 1e-9)
-    sized = classes.select(F.col("representative").alias("id"), "sigs", part.alias("part"))
-    prefix = F.size("sigs") - F.ceil(F.size("sigs") * threshold) + 1
-    heads = sized.select("id", F.size("sigs").alias("n"), "part", F.explode(F.slice("sigs", F.lit(1), prefix.cast("int"))).alias("sig"))
-    left = heads.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("meet"))
-    right = heads.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("meet"), "sig")
+    known = fingerprints(long_ids(docs.select("doc_id", "text"))).where("doc_id IS NOT NULL").select("doc_id", "sigs", F.md5("fingerprint").alias("set"))
+    classes = cut(known.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")))
+    members = known.select("doc_id", "set").join(classes.select("set", F.col("id").alias("representative")), "set").select("doc_id", "representative").distinct()
+    sized = classes.select("set", "id", "sigs", F.size("sigs").alias("n"))
+    # every signature's frequency, in copies, as some are in most sets
+    each = sized.select("set", "n", F.explode("sigs").alias("sig"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).alias("salt"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often")).select("sig", "often", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ranked = each.join(often, ["sig", "salt"]).groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("order"))
+    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    part = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / threshold)) + 1e-9)
+    rarest = cut(ranked.select("set", "n", part.alias("part"), F.transform(F.slice("order", F.lit(1), length), lambda s: s["sig"]).alias("head")))
+    heads = rarest.select("set", "n", "part", "head", F.explode("head").alias("sig"))
+    left = heads.withColumn("meet", F.explode(F.array("part", F.col("part") + 1)))
+    right = heads.withColumn("meet", F.col("part"))
+    blocks = lambda rows, name: rows.groupBy("meet", "sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    cells = cut(blocks(left, "n_left").join(blocks(right, "n_right"), ["meet", "sig"]))
+    own = lambda name: F.pmod(F.xxhash64("set"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    side = lambda rows, x: rows.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"p_{x}"), F.col("head").alias(f"head_{x}"), "meet", "sig", "i", "j")
+    a = side(left.join(cells, ["meet", "sig"]).withColumn("i", own("n_left")).withColumn("j", every("n_right")), "a")
+    b = side(right.join(cells, ["meet", "sig"]).withColumn("j", own("n_right")).withColumn("i", every("n_left")), "b")
     apart = (F.col("meet") > F.col("p_a")) | (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["meet", "sig"]).where((F.col("a") != F.col("b")) & apart & (F.col("n_a") >= threshold * F.col("n_b"))).select("a", "b").distinct()
-    side = lambda x: sized.select(F.col("id").alias(x), F.col("sigs").alias(f"sigs_{x}"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"))).where(F.col("likeness") >= threshold)
-    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), members
+    here = F.get(F.array_intersect("head_a", "head_b"), F.lit(0)) == F.col("sig")
+    pairs = a.join(b, ["meet", "sig", "i", "j"]).where(apart & (F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & here).select("a", "b")
+    whole = lambda x: sized.select(F.col("set").alias(x), F.col("id").alias(f"id_{x}"), F.col("sigs").alias(f"sigs_{x}"))
+    alike = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"))).where(F.col("likeness") >= threshold)
+    return alike.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "likeness"), members
+
+
+def near_fingerprints(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """doc_id, class_id (smallest id with the same fingerprint) and n_links (unlike fingerprints at the threshold or more) of every document with an id."""
+    pairs, members = near_pairs(docs, threshold)
+    pairs = cut(pairs)
+    links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("representative")).agg(F.count("*").alias("n_links"))
+    return members.join(links, "representative", "left").select("doc_id", F.col("representative").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 _SIGS_OF = (
@@ -133,24 +165,38 @@ _SIGS_OF = (
 )
 
 
-def oracle_sql() -> str:
-    """DuckDB SQL for ``edited_fingerprints`` of documents with distinct ids."""
+def _sigs(name: str, source: str, text: str) -> str:
+    """A SQL table of the signature sets of ``source``'s rows."""
     anchor = f" ({'|'.join(dict.fromkeys(ANCHORS))}) "
-
-    def sigs(name: str, source: str, text: str) -> str:
-        return f"""{name} AS (
+    return f"""{name} AS (
   SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [md5(t)[:8]] END AS s FROM (SELECT doc_id, t, {_SIGS_OF} AS s FROM (
     SELECT doc_id, t, string_split_regex(trim(replace(regexp_replace(w, '{anchor}', '\\1_', 'g'), '_ ', '_')), ' +') AS g,
            string_split_regex(trim(regexp_replace(w, '{anchor}', '', 'g')), ' +') AS c
     FROM (SELECT doc_id, t, ' ' || replace(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' ' AS w FROM (SELECT doc_id, {text} AS t FROM {source})))))"""
 
+
+def near_sql(threshold: float = 0.75) -> str:
+    """DuckDB SQL for ``near_fingerprints`` of documents with distinct ids."""
+    return f"""
+WITH {_sigs("a", "documents", "coalesce(text, '')")},
+m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS class_id FROM a),
+c AS (SELECT doc_id, s, len(s) AS n FROM m WHERE doc_id = class_id),
+e AS (SELECT doc_id, n, unnest(s) AS g FROM c),
+p AS (SELECT x.doc_id AS a, count(*) / CAST(x.n + y.n - count(*) AS DOUBLE) AS likeness FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id AND x.n >= {threshold} * y.n AND y.n >= {threshold} * x.n GROUP BY x.doc_id, y.doc_id, x.n, y.n),
+l AS (SELECT a, count(*) AS n_links FROM p WHERE likeness >= {threshold} GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l ON class_id = a
+"""
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``edited_fingerprints`` of documents with distinct ids."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nt,
              coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS ni FROM d),
 e AS (SELECT doc_id, ni, n, text, substr(text, 1, n - n // 2) || substr(nt, 1, n // 2) AS edited FROM o),
-{sigs("a", "e", "text")},
-{sigs("b", "e", "edited")}
+{_sigs("a", "e", "text")},
+{_sigs("b", "e", "edited")}
 SELECT e.doc_id AS doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
        len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) AS near_edited,
        len(list_intersect(a.s, x.s)) / CAST(len(a.s) + len(x.s) - len(list_intersect(a.s, x.s)) AS DOUBLE) AS near_next

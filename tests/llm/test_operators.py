@@ -512,13 +512,40 @@ def test_edited_texts_over_buckets(spark, docs, texts, monkeypatch):
         assert got[i]["near_next"] == 1.0 or got[i]["fingerprint"] != got[order[(k + 1) % len(order)]]["fingerprint"]
 
 
-def test_spot_pairs_equal_brute_force(spark, docs):
-    known = {r["doc_id"]: set(r["sigs"]) for r in spotsigs.fingerprints(docs).collect()}
+@pytest.mark.parametrize("block", [1024, 3])
+def test_spot_pairs_equal_brute_force(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(14)
+    words = [str(w) for w in rng.choice(["the", "of", "in", *(f"w{k}" for k in range(40))], 300)]
+    more = documents(spark, [(50_000 + k, edited(rng, words, share)) for k, share in enumerate(rng.uniform(0, 0.08, 40))] + [(None, "a cat sat"), (60_000, ""), (60_001, None)])
+    docs = docs.select("doc_id", "text").unionByName(more.select("doc_id", "text"))
+    known = {r["doc_id"]: set(r["sigs"]) for r in spotsigs.fingerprints(docs).collect() if r["doc_id"] is not None}
     pairs, members = spotsigs.near_pairs(docs, 0.6)
     first = {r["doc_id"]: r["representative"] for r in members.collect()}
+    assert all(first[i] == min(j for j in known if known[j] == known[i]) for i in known) and len(first) == len(known)
     tops = sorted(set(first.values()))
     want = {(a, b) for a, b in itertools.combinations(tops, 2) if len(known[a] & known[b]) >= 0.6 * len(known[a] | known[b])}
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(first) == len(known)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_spot_ids_that_repeat(spark, none, monkeypatch):
+    """A null id and one id on many rows are split over ranges; every row has the next one's first half."""
+    monkeypatch.setattr(spotsigs, "ROWS_A_BUCKET", 3)
+    rows = [(None, f"null text {k}") for k in range(25)] + [(7, f"text of seven {k}") for k in range(25)] + [(9, "nine"), (9, "nine")]
+    df = spark.createDataFrame([(i, t, 1, False) for i, t in rows], "doc_id long, text string, _bucket int, ghost boolean")
+    ties = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in spotsigs.edited_fingerprints(df).collect()) == collections.Counter(want)
+    dealt, _ = spotsigs.with_next(df)
+    assert max(r["count"] for r in dealt.groupBy("_bucket").count().collect()) < 20
+    with pytest.raises(TypeError):
+        spotsigs.edited_fingerprints(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert spotsigs.near_fingerprints(none).count() == 0
 
 
 # line dedup
