@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier confirmed by template comparison, in DataFrame functions only.
 
 Training rows are made from the templates below: copies that lost a few words belong to the
-family, copies that lost most words are unknown. A multinomial logistic regression over
+family; copies that lost most words, sentences that merely mention a licence and sentences that use its words for
+other things are unknown. A multinomial logistic regression over
 sparse word 1- to 3-grams (each with a licence word in it) learns the families; on held-out
 copies the unknown class is calibrated, so that of unknown copies at most ``FALSE_RATE`` pass.
 A paragraph without a feature is unknown by construction, so paragraphs without any licence word are not
@@ -10,7 +11,11 @@ looked at further. What is predicted as a family must also hold most n-grams of
 A paragraph is a line, or a window over neighbouring lines without an empty one among them, so notices that
 are wrapped are found: windows begin and end at lines with a licence word or beside one and reach as far as a notice of the longest
 template can. Of a family's confirmed windows as many count as do not overlap. Headings such as ``MIT License`` and SPDX tags are too short to be
-learned; a line that is one, as a whole, names its families with confidence 1.
+learned; a line that is one, as a whole, names its families with confidence 1. A grant that is denied (``not licensed
+under``) is no grant: the words that deny it, over line ends too, become a mark on the line of what they deny, and a
+paragraph with the mark is unknown.
+
+The model depends on the templates only; it is trained once for each Spark application, on one cached partition.
 
 The weights and template n-grams come from the templates alone, so their size does not
 depend on the corpus; they are the only data that are broadcast.
@@ -42,36 +47,68 @@ TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied"),
     "BSD": ("Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "Artistic-2.0": ("Licensed under the Artistic License 2.0.", "You may use and distribute it under the terms of the Artistic License, version 2.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Use, modification and distribution are subject to the Boost Software License, Version 1.0"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights and dedicated this work to the public domain"),
+    "EPL-2.0": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "EUPL-1.2": ("Licensed under the EUPL, Version 1.2.", "Provided under the terms of the European Union Public Licence, version 1.2 or later"),
     "GPL": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL, version 2 or later."),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
+    "Unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain"),
+    "WTFPL": ("Licensed under the WTFPL, version 2.", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    "Zlib": ("Licensed under the zlib License.", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 }
 #: Lines that name a family when nothing else stands in them, as patterns over words with one blank between.
 HEADINGS = {
     "AGPL-3.0": "gnu affero general public license( (version 3|v3))?",
     "Apache-2.0": "(the )?apache (software )?license( (version 2( 0)?|2 0|v2))?( january 2004)?",
+    "Artistic-2.0": "(the )?artistic license( (version )?2( 0)?)?",
     "BSD": "(the )?([0-9] clause )?((new|modified|simplified|revised) )?bsd( [0-9] clause)?( (new|modified|simplified|revised))? license",
+    "BSL-1.0": "(the )?boost software license( (version )?1 0)?",
     "CC-BY": "(creative commons )?(attribution|cc by) 4 0( international)?( license)?",
     "CC-BY-NC": "(creative commons )?(attribution noncommercial|cc by nc) 4 0( international)?( license)?",
+    "CC-BY-ND": "(creative commons )?(attribution noderivatives|cc by nd) 4 0( international)?( license)?",
     "CC-BY-SA": "(creative commons )?(attribution sharealike|cc by sa) 4 0( international)?( license)?",
     "CC0": "(creative commons )?cc0 1 0( universal)?",
+    "EPL-2.0": "(the )?eclipse public license( (version|v))?( 2 0)?",
+    "EUPL-1.2": "(the )?(european union public licence|eupl)( (version|v))?( 1 2)?",
     "GPL": "(the )?gnu (general public license|gpl)( (version|v) ?[23]( 0)?)?( or later)?",
     "ISC": "(the )?isc license( isc)?",
     "LGPL": "(the )?gnu (lesser|library) general public license( (version|v) ?[23]( [01])?)?( or later)?",
     "MIT": "(the )?(mit|expat) license( mit)?",
     "MPL-2.0": "mozilla public license( (version|v))?( 2 0)?",
+    "Unlicense": "(the )?unlicense",
+    "WTFPL": "(the )?(wtfpl|do what the fuck you want to public license)( (version )?2)?",
+    "Zlib": "(the )?zlib license",
 }
 #: SPDX identifiers of the families as patterns.
-SPDX = {"AGPL-3.0": "agpl-3[^ ]*", "Apache-2.0": "apache-2[^ ]*", "BSD": "bsd-[0-9][^ ]*", "CC-BY": "cc-by-[0-9][^ ]*", "CC-BY-NC": "cc-by-nc-[0-9][^ ]*", "CC-BY-SA": "cc-by-sa-[0-9][^ ]*", "CC0": "cc0-1[^ ]*", "GPL": "gpl-[0-9][^ ]*", "ISC": "isc", "LGPL": "lgpl-[0-9][^ ]*", "MIT": "mit", "MPL-2.0": "mpl-2[^ ]*"}
+SPDX = {
+    "AGPL-3.0": "agpl-3[^ ]*", "Apache-2.0": "apache-2[^ ]*", "Artistic-2.0": "artistic-2[^ ]*", "BSD": "bsd-[0-9][^ ]*", "BSL-1.0": "bsl-1[^ ]*", "CC-BY": "cc-by-[0-9][^ ]*", "CC-BY-NC": "cc-by-nc-[0-9][^ ]*",
+    "CC-BY-ND": "cc-by-nd-[0-9][^ ]*", "CC-BY-SA": "cc-by-sa-[0-9][^ ]*", "CC0": "cc0-1[^ ]*", "EPL-2.0": "epl-2[^ ]*", "EUPL-1.2": "eupl-1[^ ]*", "GPL": "gpl-[0-9][^ ]*", "ISC": "isc", "LGPL": "lgpl-[0-9][^ ]*",
+    "MIT": "mit", "MPL-2.0": "mpl-2[^ ]*", "Unlicense": "unlicense", "WTFPL": "wtfpl", "Zlib": "zlib",
+}
 #: Words of the notices that say nothing about licences.
-PLAIN = frozenset("a all an and any are as at be by can charge conditions either except extent fee following for form forms free from has implied in is it kind later law not of on or other person provided purpose related style that the this to under use v version waived with without work you may copy file files author deal met possible possible library program public".split())
+PLAIN = frozenset("a all an and any are as at be by can charge conditions either except extent fee following for form forms free from has implied in is it kind later law not of on or other person provided purpose related style that the this to under use v version waived with without work you may copy file files author deal met possible possible library program public accompanying any arising damages do event held held in liable materials no use want what will work works allowed changed changing everyone into long made name".split())
+#: Licence words that are common words elsewhere (German ``mit``) or mere letters. They count in features, but do not mark a line: no notice has only them.
+WEAK = frozenset("mit nc nd sa".split())
 #: Sentences that use such words for other things.
 OTHERS = ("The driver renewed the licence at the office.", "The public library keeps the source of the general rule.", "Warranties were discussed and terms were set.", "The foundation published a notice about its software.", "He studied at MIT and moved to Berkeley.", "The Mozilla browser and the Apache server were installed.", "GNU tools are distributed with the system.", "Creative people share the international stage.", "A copyright dispute about the song was settled.", "Permission was granted to leave the room.")
+#: The families' names, and sentences that mention one of them without granting it.
+NAMES = {
+    "AGPL-3.0": "GNU Affero General Public License", "Apache-2.0": "Apache License", "Artistic-2.0": "Artistic License", "BSD": "BSD License", "BSL-1.0": "Boost Software License", "CC-BY": "Creative Commons Attribution license",
+    "CC-BY-NC": "CC BY-NC license", "CC-BY-ND": "CC BY-ND license", "CC-BY-SA": "CC BY-SA license", "CC0": "CC0 dedication", "EPL-2.0": "Eclipse Public License", "EUPL-1.2": "European Union Public Licence", "GPL": "GNU General Public License",
+    "ISC": "ISC License", "LGPL": "GNU Lesser General Public License", "MIT": "MIT License", "MPL-2.0": "Mozilla Public License", "Unlicense": "Unlicense", "WTFPL": "WTFPL", "Zlib": "zlib License",
+}
+MENTIONS = ("The talk compared the {} with other texts.", "He wrote a paper about the {}.", "A history of the {} was printed last year.", "Lawyers argued over the {} in court.", "They discussed the {} and its terms at the meeting.")
+#: Words that deny a grant up to the word before the licence, over at most one line end each; and the mark that replaces them.
+DENIAL = r"(?i)\b(?:not|never|no longer|neither|isn't|wasn't|nor)\s+(?:\w+\s+){0,3}?(?:licen[sc]ed|released|distributed|available|covered|offered|published|provided)\s+(?:under|by|with)\s+"
+DENIED = "grantdenied"
 
 
 def words(text: Column) -> Column:
@@ -117,19 +154,41 @@ class Model:
 
 def training_rows(spark: SparkSession) -> DataFrame:
     """label, copy and text: the templates' copies that lost a few or most words, and the other sentences'."""
-    rows = [(family, t) for family, notices in TEMPLATES.items() for t in notices] + [(UNKNOWN, t) for t in OTHERS]
-    base = spark.createDataFrame(rows, "label string, notice string").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2 * COPIES - 1))))
+    other = [*OTHERS, *(m.format(NAMES[f]) for f in sorted(NAMES) for m in MENTIONS)]
+    rows = [(family, t) for family, notices in TEMPLATES.items() for t in notices] + [(UNKNOWN, t) for t in other]
+    base = spark.createDataFrame(rows, "label string, notice string").coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2 * COPIES - 1))))
     few = F.col("copy") < COPIES
+    # a mention is the same for every family: few copies say so
+    base = base.where((F.col("label") != UNKNOWN) | (F.col("copy") % 8 < 2))
     share = F.when(F.col("copy") % COPIES == 0, F.when(few, 1.0).otherwise(0.0)).when(few, KEEP).otherwise(LOSE)
     kept = F.filter(words(F.col("notice")), lambda w, i: F.pmod(F.xxhash64(w, i, "copy", "notice"), F.lit(1000)) < share * 1000)
     return base.select(F.when(few, F.col("label")).otherwise(UNKNOWN).alias("label"), "copy", F.array_join(kept, " ").alias("text"))
 
 
+#: The learned numbers by Spark application.
+_TRAINED: dict[str, tuple] = {}
+
+
 def fit(spark: SparkSession) -> Model:
+    """The trained model; its numbers are learned once for each application."""
+    key = spark.sparkContext.applicationId
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = _learned(spark)
+    vocabulary, matrix, intercepts, offset = _TRAINED[key]
+    classes = [*sorted(TEMPLATES), UNKNOWN]
+    weights = spark.createDataFrame([(g, row) for g, row in zip(vocabulary, matrix, strict=True)], "gram string, w array<double>")
+    notices = spark.createDataFrame([(f"{family} {k}", family, t) for family, texts in TEMPLATES.items() for k, t in enumerate(texts)], "template string, family string, notice string").coalesce(1)
+    held_grams = notices.withColumn("gs", grams(F.col("notice"))).select("template", "family", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
+    return Model(classes, intercepts, offset, weights, held_grams)
+
+
+def _learned(spark: SparkSession) -> tuple[list[str], list[list[float]], list[float], float]:
+    """The vocabulary, each n-gram's weights by class, the intercepts and the offset of the unknown class."""
     rows = training_rows(spark).withColumn("grams", grams(F.col("text")))
     classes = [*sorted(TEMPLATES), UNKNOWN]
     place = F.create_map(*(x for k, c in enumerate(classes) for x in (F.lit(c), F.lit(float(k)))))
-    rows = rows.withColumn("y", place[F.col("label")])
+    rows = rows.withColumn("y", place[F.col("label")]).select("label", "copy", "grams", "y").cache()
     learn, held = rows.where("copy % 4 != 1"), rows.where("copy % 4 = 1")
     vectorizer = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=2, vocabSize=1 << 14).fit(learn)
     model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.001, maxIter=40).fit(vectorizer.transform(learn))
@@ -137,14 +196,18 @@ def fit(spark: SparkSession) -> Model:
     raw = model.transform(vectorizer.transform(held.where(F.col("label") == UNKNOWN))).select(vector_to_array("rawPrediction").alias("r"))
     margin = F.array_max(F.slice("r", 1, last)) - F.col("r")[last]
     least = raw.agg(F.percentile(margin, 1 - FALSE_RATE)).first()[0] or 0.0
+    rows.unpersist()
     # the empty paragraph must be unknown too
     intercepts = [float(x) for x in model.interceptVector]
     offset = max(0.0, least, max(intercepts[:last]) - intercepts[last])
-    matrix = model.coefficientMatrix.toArray()
-    weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vectorizer.vocabulary)], "gram string, w array<double>")
-    notices = spark.createDataFrame([(f"{family} {k}", family, t) for family, texts in TEMPLATES.items() for k, t in enumerate(texts)], "template string, family string, notice string")
-    held_grams = notices.withColumn("gs", grams(F.col("notice"))).select("template", "family", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
-    return Model(classes, intercepts, offset, weights, held_grams)
+    return list(vectorizer.vocabulary), model.coefficientMatrix.toArray().T.tolist(), intercepts, offset
+
+
+def calibration(spark: SparkSession, model: Model) -> DataFrame:
+    """How sure and how right the model is on the held-out copies: tenth of the score, number, and share whose class is right."""
+    rows = training_rows(spark).where("copy % 4 = 1").withColumn("doc_id", F.monotonically_increasing_id())
+    seen = classified(rows.select("doc_id", "text"), model).where("line IS NOT NULL").groupBy("doc_id").agg(F.max_by("family", "score").alias("family"), F.max("score").alias("score"))
+    return rows.select("doc_id", "label").join(seen, "doc_id").groupBy(F.floor(F.col("score") * 10).alias("tenth")).agg(F.count("*").alias("n"), F.avg((F.col("family") == F.col("label")).cast("int")).alias("right"))
 
 
 def named(line: Column) -> Column:
@@ -161,7 +224,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     the longest template, and of the first and last line that many words are enough.
     """
     n = longest()
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    # texts without a licence word are not split
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(has_mark(F.col("text")), F.split(F.regexp_replace("text", DENIAL, f"{DENIED} "), "\n")).alias("lines"))
     marked = lines.withColumn("flags", F.transform("lines", has_mark))
     sizes = marked.withColumn("sizes", F.when(F.array_contains("flags", True), F.transform("lines", lambda t: F.size(words(t)))))
     flag = lambda i: F.coalesce(F.get("flags", i), F.lit(False))
@@ -181,13 +245,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     ends = each.select("doc_id", "row", "line", "near", "named", F.explode_outer("ends").alias("end")).where("line IS NULL OR end IS NOT NULL")
     tail, head = F.slice(F.col("near")[0], F.greatest(F.lit(1), F.size(F.col("near")[0]) - n + 1), F.lit(n)), F.slice(F.get("near", F.col("end")), 1, n)
     window = F.when(F.col("end") == 0, F.col("near")[0]).otherwise(F.concat(tail, F.flatten(F.slice("near", F.lit(2), F.col("end") - 1)), head))
-    return ends.select("doc_id", "row", "line", (F.col("line") + F.col("end")).alias("last"), grams_of(window).alias("grams"), F.when(F.col("end") == 0, F.col("named")).alias("named"))
+    return ends.select("doc_id", "row", "line", (F.col("line") + F.col("end")).alias("last"), F.when(~F.array_contains(window, DENIED), grams_of(window)).alias("grams"), F.when((F.col("end") == 0) & ~F.array_contains(F.col("near")[0], DENIED), F.col("named")).alias("named"))
 
 
 def has_mark(text: Column) -> Column:
     """Whether a licence word occurs; the words are grouped by their first letter, so most places are passed at once."""
     groups: dict[str, list[str]] = {}
     for word in licence_words():
+        if word in WEAK:
+            continue
         groups.setdefault(word[0], []).append(word[1:])
     return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in groups.items())})(?![a-z0-9])")
 

@@ -478,7 +478,7 @@ def test_wrapped_licences(spark, width):
     long = [(f, t) for f, own in license_scan.TEMPLATES.items() for t in own if len(t) > width]
     rows = [(k, f"Some words about nothing.\n\n{wrapped(t, ' * ' if k % 2 else '')}\n\nMore words.") for k, (_, t) in enumerate(long)]
     both = f"{wrapped(license_scan.TEMPLATES['MIT'][2])}\n\n{wrapped(license_scan.TEMPLATES['Apache-2.0'][1])}\n\n{wrapped(license_scan.TEMPLATES['MIT'][2])}"
-    short = {"MIT License": "MIT", "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)": "Apache-2.0,GPL", "    GNU AFFERO GENERAL PUBLIC LICENSE": "AGPL-3.0", "The studio of MIT has no license": "", "A license\n\nof MIT": "", "SPDX-License-Identifier: Zlib": ""}
+    short = {"MIT License": "MIT", "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)": "Apache-2.0,GPL", "    GNU AFFERO GENERAL PUBLIC LICENSE": "AGPL-3.0", "The studio of MIT has no license": "", "A license\n\nof MIT": "", "SPDX-License-Identifier: Zlib": "Zlib", "SPDX-License-Identifier: NASA-1.3": ""}
     model = license_scan.fit(spark)
     got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, [*rows, (100, both), *((200 + k, t) for k, t in enumerate(short)), *((300 + k, t) for k, (_, t) in enumerate(long))]), model).collect()}
     # wrapped notices are found as they are in one line
@@ -489,6 +489,68 @@ def test_wrapped_licences(spark, width):
         assert got[200 + k]["licence"] == want if want else got[200 + k]["licence"] in ("none", "unknown")
 
 
+#: Texts written for the test, none a copy of a template: a licence granted, and licences denied, mentioned or unknown.
+GRANTED = {
+    "MIT": ("The code in this repository is distributed under the MIT license.", "This module, like the rest of the project,\nis released under the MIT License (see LICENSE.txt)."),
+    "Apache-2.0": ("All source files are licensed under the Apache License, Version 2.0; see NOTICE.", "# Licensed to the project under the Apache\n# License, Version 2.0. You may obtain a copy of the License at\n# http://www.apache.org/licenses/LICENSE-2.0"),
+    "GPL": ("The tool is free software, licensed under the GNU General Public License, version 3 or later.", " * This file is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License"),
+    "LGPL": ("The bindings are licensed under the GNU Lesser General Public License, version 2.1.", "// SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "AGPL-3.0": ("The server is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License v3"),
+    "BSD": ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", "Copyright 2020 the authors. Released under the BSD 3-Clause License."),
+    "CC-BY": ("The photographs are licensed under CC BY 4.0.", "Text is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA": ("Our course notes are licensed under CC BY-SA 4.0.", "The map data is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC": ("Slides: licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC-BY-ND": ("The essay is licensed under CC BY-ND 4.0.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+    "CC0": ("The tables are released under CC0 1.0 Universal.", "CC0 1.0 Universal"),
+    "ISC": ("The driver is released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the notice appears"),
+    "MPL-2.0": ("The browser is licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed, get one."),
+    "EPL-2.0": ("The plug-in is licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License 2.0"),
+    "EUPL-1.2": ("Files are licensed under the EUPL, Version 1.2.", "EUPL v 1.2"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0. (See the file.)", "Boost Software License - Version 1.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.\nAnyone is free to use it.", "The Unlicense"),
+    "WTFPL": ("The script is licensed under the WTFPL, version 2.", "SPDX-License-Identifier: WTFPL"),
+    "Zlib": ("The archive code is licensed under the zlib License.", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."),
+    "Artistic-2.0": ("The package is licensed under the Artistic License 2.0.", "Artistic License 2.0"),
+}
+NOT_GRANTED = (
+    "This software is not licensed under the MIT License.", "The firmware is no longer released under\nthe GNU General Public License.", "Our data are not, and never were, published.", "She gave a lecture on the Apache License and software law.",
+    "The journal reviewed the GNU General Public License in March.", "A comparison of the MIT License with the BSD License fills chapter two.", "Students at MIT released a study.", "The licence office is open until five.", "All rights reserved.",
+    "Licensed under the Moon Treaty, Version 9.", "A driving license is required.", "The public domain was the subject of the debate.", "It was never distributed under the Mozilla Public\nLicense.", "The foundation renewed its mission.", "Permission to enter was granted by the guard.",
+)
+
+
+def test_licences_of_other_texts(spark):
+    """Precision and recall on texts that are no copies of the training rows."""
+    rows = [(k, f, t) for k, (f, t) in enumerate((f, t) for f, own in GRANTED.items() for t in own)]
+    others = [(1000 + k, "", t) for k, t in enumerate(NOT_GRANTED)]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(documents(spark, [(k, f"First words.\n\n{t}\n\nLast words.") for k, _, t in rows + others])).collect()}
+    found = [k for k, v in got.items() if v not in ("none", "unknown")]
+    right = [k for k, f, _ in rows if got[k] == f]
+    precision, recall = len(right) / len(found), len(right) / len(rows)
+    wrong = [(t, got[k]) for k, f, t in rows + others if got[k] != f and (f or got[k] not in ("none", "unknown"))]
+    print("precision", precision, "recall", recall)
+    assert precision >= 0.95 and recall >= 0.9, wrong
+
+
+def test_licence_scores_equal_brute_force(spark):
+    """Scores of one-line texts from the learned numbers, one text at a time; and the held-out copies are as right as they are sure."""
+    model = license_scan.fit(spark)
+    weights = {r["gram"]: np.array(r["w"]) for r in model.weights.collect()}
+    marks = set(license_scan.licence_words())
+    texts = [t for own in GRANTED.values() for t in own if "\n" not in t]
+    got = {(r["doc_id"], r["line"]): r for r in license_scan.classified(documents(spark, list(enumerate(texts))), model).where("line = last").collect() if not (r["confirmed"] and r["score"] == 1.0)}
+    assert len(got) > 15
+    for (k, _), r in got.items():
+        w = re.findall("[a-z0-9]+", texts[k].lower())
+        grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        total = np.array(model.intercepts) + sum(weights[g] for g in grams if g in weights and set(g.split()) & marks)
+        total[-1] += model.offset
+        share = np.exp(total - total.max())
+        assert abs(r["score"] - share.max() / share.sum()) < 1e-9
+    table = {r["tenth"]: r for r in license_scan.calibration(spark, model).collect()}
+    assert sum(r["n"] for r in table.values()) > 100 and sum(r["n"] * r["right"] for k, r in table.items() if k >= 9) > 0.95 * sum(r["n"] for k, r in table.items() if k >= 9)
+
+
 # spot signatures
 
 
