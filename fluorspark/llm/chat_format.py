@@ -8,7 +8,8 @@ against the tool's schema and written as canonical JSON: keys sorted, no blanks.
 
 Defined results: a call without a result is ``unanswered``, a result without a call is
 ``orphan``; of calls or results that repeat an id the first (by turn, text, then the other columns) is linked and
-the rest are ``repeated``, each in a row of its own, exact copies too (``link_all``; ``link`` leaves out the results among them); a null conversation or call id is linked with nothing; unknown
+the rest are ``repeated``, each in a row of its own, exact copies too (``link_all``; ``link`` leaves out the results among them), so every call comes out
+once, and every result once, linked results in their call's row; a null conversation or call id is linked with nothing; unknown
 dependencies are ignored; arguments that are null or no JSON object are an error, as is an unknown
 tool. Other columns are ignored; an empty table gives an empty result.
 """

@@ -401,6 +401,35 @@ def test_repeated_calls_and_results(spark):
     }
 
 
+def test_calls_and_results_come_out_once(spark):
+    """Random calls and results with repeats, equal repeats and null ids, beside columns of any name and type, against brute force."""
+    rng = np.random.default_rng(23)
+    name = lambda: rng.choice(["a", "b", "c", "d", None])
+    calls = [(rng.choice([1, 2, None]), int(rng.integers(0, 4)), name(), "say", f'{{"text":"{rng.integers(3)}"}}', [x for x in (name() for _ in range(2)) if x]) for _ in range(80)]
+    results = [(rng.choice([1, 2, None]), int(rng.integers(0, 4)), name(), str(rng.integers(3))) for _ in range(60)]
+    extra = lambda df: df.withColumns({"kept": F.lit(1), "first": F.create_map(F.lit("k"), F.lit(1)), "_row": F.lit("x"), "n": F.lit(None), "status": F.lit("s"), "level": F.lit(0.5), "record": F.array(F.lit(1)), "errors": F.lit(1)})
+    rows = chat_format.link_all(extra(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")), extra(spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")), {"say": {"text": ("string", True)}}).collect()
+    want = collections.Counter()
+    known = lambda r: r[0] is not None and r[2] is not None
+    ids = {(r[0], r[2]) for r in calls + results if known(r)}
+    for key in ids:
+        own, answers = (sorted((r for r in x if known(r) and (r[0], r[2]) == key), key=lambda r: (r[1], r[at])) for x, at in ((calls, 4), (results, 3)))
+        want[(*key, "orphan" if not own else "linked" if answers else "unanswered", own[0][4] if own else None, answers[0][3] if answers else None)] += 1
+        for r in own[1:]:
+            want[(*key, "repeated", r[4], None)] += 1
+        for r in answers[1:]:
+            want[(*key, "repeated", None, r[3])] += 1
+    for r in calls:
+        if not known(r):
+            want[(r[0], r[2], "unanswered", r[4], None)] += 1
+    for r in results:
+        if not known(r):
+            want[(r[0], r[2], "orphan", None, r[3])] += 1
+    compact = lambda a: None if a is None else json.dumps(a, separators=(",", ":"))
+    got = collections.Counter((r["conv_id"], r["call_id"], r["status"], compact(json.loads(r["record"])["arguments"]), json.loads(r["record"])["result"]) for r in rows)
+    assert got == want
+
+
 def test_levels_of_a_random_graph(spark):
     rng = np.random.default_rng(13)
     after = {k: sorted({int(x) for x in rng.integers(0, k, rng.choice([0, 1, 1, 1, 2, 3]))}) if k else [] for k in range(120)}
@@ -720,3 +749,31 @@ def test_pipeline(spark, docs, library):
     kept = {i for i, c in components(sorted(cut.items())).items() if i == c}
     assert {p["doc_id"] for p in pieces} == kept
     assert all(p["doc_tokens"] == len(expected_ids(library, cut[p["doc_id"]])) + 1 for p in pieces)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, none):
+    """Odd, repeated and clashing rows pass every stage; all but the last keep the columns; an empty table stays one."""
+    import corpus_pipeline
+
+    rows = ODD + [(i, t) for i, t in shared_lines(9)] + [(30, "The same words of a long enough text stand here twice over."), (31, "The same words of a long enough text stand here twice over.")]
+    frame = documents(spark, rows).withColumns({"lang": F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"), "a.b": F.create_map(F.lit("k"), F.col("doc_id"))})
+    texts, seen = None, frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, SF).columns == none.columns and stage(spark, none, SF).count() == 0, name
+        seen = spark.createDataFrame(stage(spark, seen, SF).collect(), frame.schema)
+        assert seen.columns == frame.columns
+        texts = [(r["doc_id"], r["text"]) for r in seen.collect()]
+        if name == "language ID":
+            letters = [(i, t) for i, t in rows if t and any(map(str.isalpha, t))]
+            assert {i for i, _ in texts} <= {i for i, _ in letters} and {5, 6, 9, 30, 31, None} <= {i for i, _ in texts}
+            kept = texts
+        if name == "line dedup":
+            assert sorted((i or 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts) == sorted((i, h) for _, i, _, _, h in without(kept))
+            kept = texts
+    # one row of an id, and one document of a group
+    same = components([(i, t) for i, t in kept])
+    want = {i for i, c in same.items() if i == c}
+    assert sorted(i for i, _ in texts if i is not None) == sorted(want) and any(i is None for i, _ in texts)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
+    assert collections.Counter(p["doc_id"] for p in pieces if p["start"] == 0) == collections.Counter(i for i, _ in texts)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
