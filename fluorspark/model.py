@@ -31,11 +31,16 @@ def crosstalk() -> np.ndarray:
 
 @dataclass
 class Params:
-    """Model parameters of one tile: vec(signal) = brightness * A vec(sequence) + N, precision Omega."""
+    """Model parameters of one tile: vec(signal) = brightness * A vec(sequence) + N, precision Omega.
+
+    ``scale`` is what brightness took over when A was normalised, ``freedom`` the degrees of freedom of the error.
+    """
 
     a: np.ndarray
     n: np.ndarray
     omega: np.ndarray | None = None
+    scale: float | None = None
+    freedom: float | None = None
 
     @classmethod
     def initial(cls, cycles: int, mix: np.ndarray | None = None) -> Params:

@@ -1,35 +1,28 @@
-"""The model fit: alternating robust weighted sums over all clusters with small solves on the driver.
+"""The model fit: alternating robust weighted sums over all clusters with a small solve for each tile.
 
-All tiles of a table are fitted side by side. Clusters never leave their tasks: per iteration two
-aggregates bring a tile's sums to the driver and one broadcast takes its parameters back, and
-the clusters' state is cut in the shared folder, so the plan does not grow with the iterations.
+All tiles of a table are fitted side by side, and nothing of a tile passes through the driver. Per iteration two aggregates
+bring a tile's sums to the task that solves for its parameters and writes them to the shared folder, and one
+map calls the clusters, its tasks reading the parameters of the tiles they meet. Clusters are never
+moved, and their state is cut in the shared folder, so the plan does not grow with the iterations.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorspark.functions import signal as sig
 from fluorspark.model import CHANNELS, Options, Params
 from fluorspark.operators import kernels, solve
-from fluorspark.operators.sufficient import batch_sums, matrix_of, one_hot, partial_sums, robust_weights
+from fluorspark.operators.parameters import ParameterFiles, shared_cut
+from fluorspark.operators.sufficient import band_matrix, band_sums, batch_sums, matrix_of, one_hot, partial_sums, robust_weights, unpacked_width
 
-STATE = "cluster_idx long, tile int, signal array<smallint>, calls array<tinyint>, brightness double, lse double, lss double, used boolean, quality string"
-KEPT = ("cluster_idx", "tile", "signal")
-
-
-def shared_cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+STATE = "cluster_idx long, tile int, signal array<smallint>, truth array<tinyint>, calls array<tinyint>, brightness double, lse double, lss double, used boolean, quality string"
+SUMMED = ["signal", "calls", "brightness", "weight"]
 
 
 def training_mark(clusters: DataFrame, options: Options, spiked: str | None = None) -> DataFrame:
@@ -38,9 +31,8 @@ def training_mark(clusters: DataFrame, options: Options, spiked: str | None = No
     return clusters.withColumn("used", keep | F.coalesce(F.col(spiked), F.lit(False)) if spiked else keep)
 
 
-def _rows(batch: pa.RecordBatch, at: np.ndarray, new: dict) -> pa.RecordBatch:
-    own = batch.take(pa.array(at))
-    values = {c: own.column(c) for c in own.schema.names} | new
+def _rows(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:
+    values = {c: batch.column(c) for c in batch.schema.names} | new
     names = [f.split()[0] for f in STATE.split(", ")]
     return pa.RecordBatch.from_arrays([values[c] for c in names], names=names)
 
@@ -49,90 +41,119 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.array(list(values.astype(np.int8)), pa.list_(pa.int8()))
 
 
-def mapped(state: DataFrame, params: dict[int, Params | None], kernel) -> DataFrame:
-    """Applies ``kernel(params, tile, columns) -> new columns`` to the state, a batch and tile at a time."""
-    shared = state.sparkSession.sparkContext.broadcast(params)
+def mapped(state: DataFrame, kernel) -> DataFrame:
+    """Applies ``kernel(tile, columns) -> new columns`` to the state, a batch and tile at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tiles = batch.column("tile").to_numpy()
             for tile in np.unique(tiles):
-                at = np.flatnonzero(tiles == tile)
-                yield _rows(batch, at, kernel(shared.value.get(int(tile)), int(tile), batch.take(pa.array(at))))
+                own = batch.take(pa.array(np.flatnonzero(tiles == tile)))
+                yield _rows(own, kernel(int(tile), own))
 
     return state.mapInArrow(run, STATE)
 
 
-def _start(param: Params | None, tile: int, rows: pa.RecordBatch) -> dict:
-    signal = matrix_of(rows.column("signal"))
-    p = kernels.processed(signal, param.a, param.n)
-    calls = kernels.strongest(p)
-    lam = kernels.brightness(signal, calls, param.a, param.n)
-    n = len(signal)
-    return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(np.full(n, float(signal.shape[1]))), "quality": pa.array([None] * n, pa.string())}
+def _truth(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are spiked, and their bases."""
+    column = rows.column("truth")
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    return at, matrix_of(column.take(pa.array(at)), np.int8) if len(at) else np.zeros((0, 0), dtype=np.int8)
+
+
+def _solved(sums: DataFrame, use) -> None:
+    """Runs ``use(tile, vector, row)`` in the task of each tile's sums; a solve that fails leaves the tile without parameters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for k, tile in enumerate(batch.column("tile").to_pylist()):
+                try:
+                    use(tile, batch.column("v")[k].values.to_numpy(), {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "v"})
+                    done.append(True)
+                except np.linalg.LinAlgError:
+                    done.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(done)], names=["tile", "done"])
 
+    shared_cut(sums.mapInArrow(run, "tile int, done boolean"))
 
-def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None = None, mix: np.ndarray | None = None) -> tuple[DataFrame, dict[int, Params | None]]:
+
+def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None = None, mix: np.ndarray | None = None, truth: str | None = None) -> tuple[DataFrame, ParameterFiles]:
     """Fits every tile of ``clusters`` (cluster_idx, tile, signal) and calls its bases.
 
-    Returns the state of all clusters, with ``quality`` as text, and each tile's parameters. A tile
+    Returns the state of all clusters, with ``quality`` as text, and the tiles' parameters. A tile
     whose solve fails has none; its clusters are called A with the least quality. The
-    signals of a tile have one length.
+    signals of a tile have one length. ``truth`` names a column of base codes, null for most clusters: where it is known
+    it stands for the calls in all iterations but the last, and such clusters are never thinned; ``spiked`` names a column
+    of clusters that are not thinned either.
     """
-    spark: SparkSession = clusters.sparkSession
-    marked = training_mark(clusters, options, spiked)
-    sizes = marked.groupBy("tile").agg(F.max(F.size("signal")).alias("n")).collect()
-    start = {r["tile"]: (options.fixed or Params.initial(r["n"] // CHANNELS, mix)) for r in sizes}
-    params: dict[int, Params | None] = dict(start)
+    files = ParameterFiles(clusters.sparkSession)
+    known = F.col(truth).cast("array<tinyint>") if truth else F.lit(None).cast("array<tinyint>")
+    rows = clusters.select("cluster_idx", "tile", "signal", known.alias("truth"), (F.col(spiked) if spiked else F.lit(False)).alias("_spiked"))
+    marked = training_mark(rows.withColumn("_spiked", F.col("_spiked") | F.col("truth").isNotNull()), options, "_spiked")
     none = {"calls": "array<tinyint>", "brightness": "double", "lse": "double", "lss": "double", "quality": "string"}
-    state = marked.select(*KEPT, "used", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
-    state = shared_cut(mapped(state.select(*(f.split()[0] for f in STATE.split(", "))), params, _start))
+    state = marked.select("cluster_idx", "tile", "signal", "truth", "used", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    def first(cycles: int) -> Params:
+        return options.fixed or Params.initial(cycles, mix)
+
+    def start(tile: int, rows: pa.RecordBatch) -> dict:
+        signal = matrix_of(rows.column("signal"))
+        param, n = first(signal.shape[1] // CHANNELS), len(signal)
+        p = kernels.processed(signal, param.a, param.n)
+        calls = kernels.strongest(p)
+        at, bases = _truth(rows)
+        if len(at):
+            calls[at] = bases
+        lam = kernels.brightness(signal, calls, param.a, param.n)
+        return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(np.full(n, float(signal.shape[1]))), "quality": pa.array([None] * n, pa.string())}
+
+    state = shared_cut(mapped(state.select(*(f.split()[0] for f in STATE.split(", "))), start))
     for step in range(options.iterations):
-        last = step + 1 == options.iterations
         used = robust_weights(state.where("used"), ["tile"])
-        freedom = {r["tile"]: r["m"] for r in state.where("used").groupBy("tile").agg(F.median("lss").alias("m")).collect()}
-        sums = partial_sums(used, ["signal", "calls", "brightness", "weight"], lambda tile, c: batch_sums(matrix_of(c[0]), matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
-        scale: dict[int, float] = {}
-        for tile in start:
-            try:
-                fitted = start[tile] if options.fixed else solve.mixing(sums[tile], start[tile].a, options.ridge, options.delta)
-                a, scale[tile] = solve.normalised(fitted.a)
-                params[tile] = Params(fitted.a if options.fixed else a, fitted.n)
-            except (KeyError, np.linalg.LinAlgError):
-                params[tile] = None
-        ready = spark.sparkContext.broadcast((dict(params), dict(scale)))
-
-        def covariance(tile: int, c: list[pa.Array], ready=ready) -> np.ndarray:
-            found, factor = ready.value[0][tile], ready.value[1].get(tile, 1.0)
+        sums = partial_sums(used, SUMMED, lambda tile, c: batch_sums(matrix_of(c[0]), matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
+
+        def mixed(tile: int, v: np.ndarray, row: dict, step: int = step) -> None:
+            begin = first(unpacked_width(v) // CHANNELS)
+            found = begin if options.fixed else solve.mixing(v, begin.a, options.ridge, options.delta)
+            a, scale = solve.normalised(found.a)
+            files.put(f"{step}-mixing", tile, Params(found.a if options.fixed else a, found.n, scale=scale))
+
+        _solved(sums, mixed)
+
+        def spread(tile: int, c: list[pa.Array], step: int = step) -> np.ndarray:
+            found = files.get(f"{step}-mixing", tile)
             signal, calls, w = matrix_of(c[0]), matrix_of(c[1], np.int8), c[3].to_numpy()
             if found is None:
-                return np.zeros(signal.shape[1] ** 2 + 1)
-            r = kernels.processed(signal, found.a, found.n) - (c[2].to_numpy() * factor)[:, None] * one_hot(calls)
-            return np.r_[((r * w[:, None]).T @ r).ravel(), w.sum()]
+                return band_sums(np.zeros_like(signal), np.zeros(len(signal)))
+            return band_sums(kernels.processed(signal, found.a, found.n) - (c[2].to_numpy() * found.scale)[:, None] * one_hot(calls), w)
 
-        spread = partial_sums(used, ["signal", "calls", "brightness", "weight"], covariance)
-        for tile, total in spread.items():
-            if params[tile] is not None:
-                try:
-                    m = len(params[tile].a)
-                    params[tile].omega = solve.precision((total[:-1] / total[-1]).reshape(m, m))
-                except np.linalg.LinAlgError:
-                    params[tile] = None
+        freedom = state.where("used").groupBy("tile").agg(F.median("lss").alias("freedom"))
+
+        def precise(tile: int, v: np.ndarray, row: dict, step: int = step) -> None:
+            found = files.get(f"{step}-mixing", tile)
+            if found is not None:
+                files.put(str(step), tile, Params(found.a, found.n, solve.precision(band_matrix(v)), found.scale, row["freedom"]))
+
+        _solved(partial_sums(used, SUMMED, spread).join(freedom, "tile"), precise)
 
-        def call(param: Params | None, tile: int, rows: pa.RecordBatch, last=last, freedom=freedom, g=options.generalised_error) -> dict:
+        def call(tile: int, rows: pa.RecordBatch, step: int = step, last: bool = step + 1 == options.iterations, g: float = options.generalised_error) -> dict:
             signal, n = matrix_of(rows.column("signal")), rows.num_rows
-            cycles = signal.shape[1] // CHANNELS
-            if param is None or param.omega is None:
+            cycles, param = signal.shape[1] // CHANNELS, files.get(str(step), tile)
+            if param is None:
                 return {"calls": _lists(np.zeros((n, cycles))), "brightness": pa.array(np.zeros(n)), "lse": pa.array(np.zeros(n)), "lss": pa.array(np.zeros(n)), "quality": pa.array(["!" * cycles] * n)}
             p = kernels.processed(signal, param.a, param.n)
             lam = kernels.brightness(signal, matrix_of(rows.column("calls"), np.int8), param.a, param.n)
             calls, lss = kernels.best_path(p, lam, param.omega)
             text = pa.array([None] * n, pa.string())
             if last:
-                text = pa.array(kernels.quality_text(kernels.posterior_quality(p, lam, param.omega, freedom[tile], calls, g)))
+                text = pa.array(kernels.quality_text(kernels.posterior_quality(p, lam, param.omega, param.freedom, calls, g)))
             else:
+                at, bases = _truth(rows)
+                if len(at):
+                    calls[at], lss[at] = bases, kernels.path_score(p[at], lam[at], param.omega, bases)
                 lam = kernels.brightness(signal, calls, param.a, param.n)
             return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(lss), "quality": text}
 
-        state = shared_cut(mapped(state, params, call))
-    return state, params
+        state, files.last = shared_cut(mapped(state, call)), str(step)
+    return state, files

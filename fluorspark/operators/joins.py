@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluorspark.model import MAX_QUALITY
+from fluorspark.model import MAX_QUALITY, MIN_PHRED
 
 
 def last_wins(spikes: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,11 +23,12 @@ def unmatched(spikes: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFr
     return spikes.join(clusters.select(*keys), keys, "left_anti")
 
 
-def quality_counts(calls: DataFrame) -> DataFrame:
-    """``q``, ``diff``, ``obs`` for every integer quality, those unseen as zeros; rows have call, truth and q."""
-    seen = calls.groupBy("q").agg(F.sum((F.col("call") != F.col("truth")).cast("bigint")).alias("diff"), F.count("*").alias("obs"))
-    every = calls.sparkSession.range(MAX_QUALITY + 1).select(F.col("id").cast("int").alias("q"))
-    return every.join(seen, "q", "left").select("q", F.coalesce("diff", F.lit(0)).alias("diff"), F.coalesce("obs", F.lit(0)).alias("obs"))
+def quality_counts(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``q``, ``diff``, ``obs`` for every integer quality (of each group ``by``), those unseen as zeros; rows have call, truth and q."""
+    seen = calls.groupBy(*by, "q").agg(F.sum((F.col("call") != F.col("truth")).cast("bigint")).alias("diff"), F.count("*").alias("obs"))
+    groups = calls.select(*by).distinct() if by else calls.sparkSession.range(1).select()
+    every = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(MAX_QUALITY))).alias("q"))
+    return every.join(seen, [*by, "q"], "left").select(*by, "q", F.coalesce("diff", F.lit(0)).alias("diff"), F.coalesce("obs", F.lit(0)).alias("obs"))
 
 
 def observed_quality(counts: DataFrame) -> DataFrame:
@@ -41,12 +42,22 @@ def recalibrated(calls: DataFrame, counts: DataFrame) -> DataFrame:
     return calls.join(observed_quality(counts).select("q", "actual"), "q").withColumn("q", F.greatest(F.lit(0), F.least(F.lit(MAX_QUALITY), "actual"))).drop("actual")
 
 
+def recalibrated_text(calls: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """Calls whose ``quality`` text has every quality replaced by what its group's counts show; groups without counts stay as they are."""
+    actual = observed_quality(counts).select(*by, "q", F.greatest(F.lit(0), F.least(F.lit(MAX_QUALITY), "actual")).alias("actual"))
+    tables = actual.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "actual"))), lambda s: s["actual"]).alias("_table"))
+    letters = F.filter(F.split("quality", ""), lambda c: c != "")
+    new = F.array_join(F.transform(letters, lambda c: F.char(F.get("_table", F.ascii(c) - MIN_PHRED) + MIN_PHRED)), "")
+    return calls.join(tables, by, "left").withColumn("quality", F.when(F.col("_table").isNull(), F.col("quality")).otherwise(new)).drop("_table")
+
+
 def with_coordinates(clusters: DataFrame, coordinates: DataFrame, keys: list[str]) -> DataFrame:
-    """Clusters with x and y by position; unequal numbers are an error."""
-    a, b = clusters.count(), coordinates.count()
-    if a != b:
-        raise ValueError(f"{b} coordinates for {a} clusters")
-    return clusters.drop("x", "y").join(coordinates.select(*keys, "x", "y"), keys)
+    """Clusters with x and y by position; a cluster without coordinates, or the other way round, is an error when the rows are computed."""
+    places = coordinates.select(*keys, "x", "y", F.lit(True).alias("_there"))
+    both = clusters.drop("x", "y").withColumn("_here", F.lit(True)).join(places, keys, "full")
+    odd = F.concat(F.lit("numbers of clusters and coordinates differ at "), F.to_json(F.struct(*keys)))
+    x = F.when(F.col("_here").isNull() | F.col("_there").isNull(), F.raise_error(odd).cast("bigint")).otherwise(F.col("x"))
+    return both.withColumn("x", x).drop("_here", "_there")
 
 
 def lanes_and_tiles(spark, lanes: tuple[int, int], tiles: tuple[int, int]) -> DataFrame:

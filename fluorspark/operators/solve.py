@@ -1,15 +1,16 @@
-"""Small dense solves on the driver: matrices of a tile's cycles, never of its clusters."""
+"""Small dense solves in the task that holds a tile's sums: matrices of a tile's cycles, never of its clusters."""
 
 from __future__ import annotations
 
 import numpy as np
 
 from fluorspark.model import CHANNELS, Params
+from fluorspark.operators.sufficient import unpacked_width
 
 
 def unpacked(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """J, K, call sums, signal sums and weight sum of a flat vector."""
-    m = int(round((np.sqrt(1 + 2 * (len(sums) - 1)) - 1) / 2))
+    m = unpacked_width(sums)
     j, k, s, i, w = np.split(sums, np.cumsum([m * m, m * m, m, m]))
     return j.reshape(m, m), k.reshape(m, m), s, i, float(w[0])
 

@@ -82,6 +82,11 @@ def batch_sums(signal: np.ndarray, calls: np.ndarray, brightness: np.ndarray, we
     return np.concatenate([((s * (wl * brightness)[:, None]).T @ s).ravel(), ((s * wl[:, None]).T @ signal).ravel(), wl @ s, weight @ signal, [weight.sum()]])
 
 
+def unpacked_width(sums: np.ndarray) -> int:
+    """The number of positions, 4C, of a vector of ``batch_sums``."""
+    return int(round((np.sqrt(1 + 2 * (len(sums) - 1)) - 1) / 2))
+
+
 def by_base_pairs(matrix: np.ndarray) -> np.ndarray:
     """J or K (4C x 4C) with a row for each pair of bases (or base and channel) and a column for each pair of cycles: the form of the separable model."""
     c = len(matrix) // CHANNELS
@@ -93,9 +98,29 @@ def matrix_of(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def partial_sums(df: DataFrame, columns: list[str], kernel) -> dict[int, np.ndarray]:
-    """Sums by tile of ``kernel(tile, arrays)``, a flat vector: each task adds up its rows, and the sums of tasks are
-    added in Spark; only a tile's few numbers come to the driver."""
+def band_sums(rest: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted products of residuals of one cycle and of neighbouring cycles (all that a chain's precision needs), and the weights' sum, as one flat vector."""
+    r = rest.reshape(len(rest), -1, CHANNELS)
+    w = r * weight[:, None, None]
+    return np.concatenate([np.einsum("nci,ncj->cij", w, r).ravel(), np.einsum("nci,ncj->cij", w[:, :-1], r[:, 1:]).ravel(), [weight.sum()]])
+
+
+def band_matrix(sums: np.ndarray) -> np.ndarray:
+    """The covariance of ``band_sums``, zero off the band."""
+    size = CHANNELS * CHANNELS
+    cycles = (len(sums) - 1 + size) // (2 * size)
+    v = sums[:-1].reshape(-1, CHANNELS, CHANNELS) / sums[-1]
+    out = np.zeros((cycles, CHANNELS, cycles, CHANNELS))
+    for c in range(cycles):
+        out[c, :, c, :] = v[c]
+        if c:
+            out[c - 1, :, c, :], out[c, :, c - 1, :] = v[cycles + c - 1], v[cycles + c - 1].T
+    return out.reshape(cycles * CHANNELS, -1)
+
+
+def partial_sums(df: DataFrame, columns: list[str], kernel) -> DataFrame:
+    """``tile`` and ``v``, the sum of ``kernel(tile, arrays)``, a flat vector: each task adds up its rows, and the sums of
+    tasks are added in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -110,5 +135,4 @@ def partial_sums(df: DataFrame, columns: list[str], kernel) -> dict[int, np.ndar
 
     parts = df.select("tile", *columns).mapInArrow(run, "tile int, v array<double>")
     sums = parts.select("tile", F.posexplode("v").alias("pos", "x")).groupBy("tile", "pos").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v")).collect()
-    return {r["tile"]: np.array(r["v"]) for r in rows}
+    return sums.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))

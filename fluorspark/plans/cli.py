@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluorspark.functions import calibration
-from fluorspark.model import CHANNELS, Options, Params
-from fluorspark.operators import joins
+from fluorspark.model import CHANNELS, MIN_PHRED, Options, Params
+from fluorspark.operators import joins, parameters
 from fluorspark.plans import blocks, entry
 from fluorspark.sources import cif, sinks, text
 
@@ -19,6 +21,21 @@ log = logging.getLogger("fluorspark")
 TILES_A_LANE = 100_000
 
 
+VERSION = "fluorspark 0.2"
+LICENCE = "See the file LICENSE of the distribution, if there is one; there is no warranty."
+WORKING = ("none", "matrices", "values", "processed")
+
+
+def uint(text: str) -> int:
+    """A whole number as the C library reads it with base 0: 0x for hexadecimal, a leading 0 for octal; what is negative counts as 0."""
+    m = re.fullmatch(r"\s*([+-]?)(?:0[xX]([0-9a-fA-F]+)|0([0-7]*)|([1-9][0-9]*))", text)
+    if not m:
+        raise argparse.ArgumentTypeError(f"no number: {text!r}")
+    sign, sixteen, eight, ten = m.groups()
+    value = int(sixteen, 16) if sixteen else int(eight or "0", 8) if ten is None else int(ten)
+    return 0 if sign == "-" else value
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fluorspark", description="Call bases and qualities from intensities.")
     add = p.add_argument
@@ -27,7 +44,8 @@ def parser() -> argparse.ArgumentParser:
     add("-N", dest="noise", help="fixed noise matrix; needs -A")
     add("-M", dest="crosstalk", help="initial crosstalk matrix")
     add("-b", dest="blocks", default="", help="block string such as R76I1R76")
-    add("-d", dest="dataformat", choices=("txt", "cif"), default="cif")
+    add("-c", dest="concatenate", action="store_true", help="one output for the sample, behind what is there")
+    add("-d", dest="dataformat", type=str.lower, choices=("txt", "cif"), default="cif")
     add("-e", dest="logfile")
     add("-l", dest="loglevel", default="warning", type=str.lower, choices=("none", "fatal", "error", "information", "warning", "debug"))
     add("-f", dest="format", default="fastq", type=str.lower, choices=[a + b for a in ("fasta", "fastq") for b in ("", ".gz", ".bz2")])
@@ -35,16 +53,20 @@ def parser() -> argparse.ArgumentParser:
     add("-i", dest="input", default=".")
     add("-o", dest="output", default=".")
     add("-K", dest="spikes", help="folder of spike-in truth, a file for each tile and block; or the file of a single tile")
-    add("-k", dest="spike_calibrate", action="store_true")
-    add("-n", dest="iterations", type=int, default=5)
-    add("-p", dest="partitions", type=int, help="shuffle partitions")
+    add("-k", dest="spike_calibrate", action="store_true", help="with -K: replace qualities by what the spike-ins show, instead of writing the counts")
+    add("-m", dest="mu", type=float, default=1e-5, help="chance of an intensity that fits no base, of single-cycle calls only")
+    add("-n", dest="iterations", type=uint, default=5)
+    add("-p", dest="partitions", type=uint, help="shuffle partitions")
     add("-q", dest="no_calibration", action="store_true")
     add("-Q", dest="calibration", help="calibration table")
     add("-r", dest="run_folder", action="store_true")
+    add("-s", dest="simulation", help="write simulation files with this header")
     add("-S", dest="sample", default="Sample")
-    add("-t", dest="thin", type=int, default=1)
-    add("-w", dest="working", action="store_true", help="keep the fit's state")
-    add("-z", dest="zero_thin", type=int, default=3)
+    add("-t", dest="thin", type=uint, default=1)
+    add("-w", dest="working", nargs="?", const="processed", default="none", type=str.lower, choices=WORKING, help="working outputs; each level has those before it")
+    add("-z", dest="zero_thin", type=uint, default=3)
+    p.add_argument("--version", action="version", version=VERSION)
+    p.add_argument("--licence", "--license", action="version", version=LICENCE, help="show the licence and stop")
     return p
 
 
@@ -78,37 +100,54 @@ def read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         raise ValueError(f"no files for {args.pattern} in {args.input}")
     paths = [f"{args.input}/{n}" for n in names]
     if args.dataformat == "txt":
-        parts = [text.read_intensities(spark, p) for p in paths]
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out.drop("ncycle")
+        return text.read_intensities(spark, paths).drop("ncycle")
     spark.dataSource.register(cif.CifSource)
     lane, tile = text.lane_and_tile(F.element_at(F.split("file", "/"), -1))
     rows = spark.read.format("intensity").option("path", ",".join(paths)).load()
     return rows.select(lane.alias("lane"), tile.alias("tile"), "cluster_idx", "x", "y", "signal")
 
 
+def _globbed(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(x.getPath().toString().replace("file:/", "file:///") for x in found)
+
+
 def read_folder(spark: SparkSession, root: str, ranges: list[str]) -> DataFrame:
-    """Tiles of a run folder, whose cycles stand in files of their own; tiles that are missing are skipped."""
-    spark.dataSource.register(cif.CifSource)
-    out = None
-    for lanes, tiles in map(text.parse_range, ranges):
+    """Tiles of a run folder, whose cycles stand in files of their own; tiles that are missing are skipped.
+
+    Coordinates come from the tile's position file; a tile without one has synthetic coordinates.
+    """
+    spark.dataSource.register(cif.FolderSource)
+    tiles, positions = {}, []
+    for lanes, numbers in map(text.parse_range, ranges):
         for lane in range(lanes[0], lanes[1] + 1):
-            for tile in range(tiles[0], tiles[1] + 1):
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/Data/Intensities/L{lane:03d}/C*.1/s_{lane}_{tile}.cif")
-                store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-                found = [x.getPath().toString().replace("file:/", "file:///") for x in store.globStatus(path)]
-                if not found:
+            held: dict[int, list[str]] = {}
+            for name in _globbed(spark, f"{root}/Data/Intensities/L{lane:03d}/C*.1/s_{lane}_*.cif*"):
+                m = re.fullmatch(rf"s_{lane}_(\d+)\.cif(?:\.gz|\.bz2)?", name.rsplit("/", 1)[-1])
+                if m:
+                    held.setdefault(int(m[1]), []).append(name)
+            placed = {int(re.search(r"_(\d+)_pos\.txt$", n)[1]): n for n in _globbed(spark, f"{root}/Data/Intensities/s_{lane}_[0-9][0-9][0-9][0-9]_pos.txt")}
+            for tile in range(numbers[0], numbers[1] + 1):
+                if tile not in held:
                     log.warning("no cycles for lane %d tile %d", lane, tile)
                     continue
-                rows = spark.read.format("intensity").option("path", ",".join(found)).load().withColumns({"lane": F.lit(lane), "tile": F.lit(tile)})
-                whole = cif.stitched(rows, ["lane", "tile"])
-                out = whole if out is None else out.unionByName(whole)
-    if out is None:
+                tiles[lane, tile] = held[tile]
+                if tile in placed:
+                    positions.append((lane, tile, placed[tile]))
+                else:
+                    log.warning("no coordinates for lane %d tile %d", lane, tile)
+    if not tiles:
         raise ValueError(f"no tiles for {ranges}")
-    x, y = entry.sig.synthetic_xy(F.col("cluster_idx"))
-    return out.withColumns({"x": x, "y": y})
+    rows = spark.read.format("intensity_folder").option("tiles", json.dumps([[*at, paths] for at, paths in tiles.items()])).load()
+    if not positions:
+        return rows
+    known = F.lit(False)
+    for lane in sorted({p[0] for p in positions}):
+        known = known | ((F.col("lane") == lane) & F.col("tile").isin([p[1] for p in positions if p[0] == lane]))
+    places = text.read_positions(spark, [p[2] for p in dict.fromkeys(positions)])
+    with_places = joins.with_coordinates(rows.where(known), places, ["lane", "tile", "cluster_idx"])
+    return with_places.select(*rows.columns).unionByName(rows.where(~known))
 
 
 def read_truth(spark: SparkSession, location: str, places: DataFrame, cycles: list[int]) -> DataFrame:
@@ -150,23 +189,61 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         raise ValueError(f"{width // CHANNELS} cycles; at least {options.min_cycles} are needed")
     keyed = clusters.withColumn("key", F.col("lane") * TILES_A_LANE + F.col("tile"))
     table = calibration.Table() if not args.calibration else text.parse_calibration(text._lines(spark, args.calibration))
-    calls = entry.run(keyed.select("cluster_idx", F.col("key").alias("tile"), "signal"), options, table, text.read_matrix(spark, args.crosstalk) if args.crosstalk else None)
     places = keyed.select("cluster_idx", "key", "lane", F.col("tile").alias("of"), "x", "y")
-    out = calls.withColumnRenamed("tile", "key").join(places, ["key", "cluster_idx"]).withColumnRenamed("of", "tile")
+    truth = None
     if args.spikes:
         cycles = [sum(n for _, n in own) for own in blocks.parse(options.blocks)] if options.blocks else [width // CHANNELS]
-        truth = read_truth(spark, args.spikes, places.select("lane", F.col("of").alias("tile")), cycles)
-        each = joins.with_truth(out, truth, ["lane", "tile", "block", "cluster_idx"]).where("spiked").select(F.explode(F.sequence(F.lit(1), F.length("truth"))).alias("c"), "bases", "truth", "quality")
-        counts = joins.quality_counts(each.select(F.substring("bases", F.col("c"), F.lit(1)).alias("call"), F.substring("truth", F.col("c"), F.lit(1)).alias("truth"), (F.ascii(F.substring("quality", F.col("c"), F.lit(1))) - 33).alias("q")))
-        sinks.spike_text(counts).coalesce(1).write.text(f"{args.output}/qspike")
-    if args.working:
-        sinks.final_values(out, f"{args.output}/state")
+        truth = parameters.shared_cut(read_truth(spark, args.spikes, places.select("lane", F.col("of").alias("tile")), cycles))
+        odd = joins.unmatched(truth, keyed.select("lane", "tile", "cluster_idx"), ["lane", "tile", "cluster_idx"])
+        for row in odd.limit(10).collect():
+            log.warning("spike-in cluster %d is not in lane %d tile %d", row["cluster_idx"] + 1, row["lane"], row["tile"])
+    known = None if truth is None else truth.select((F.col("lane") * TILES_A_LANE + F.col("tile")).alias("tile"), "block", "cluster_idx", "truth", "line")
+    calls, files = entry.fitted(keyed.select("cluster_idx", F.col("key").alias("tile"), "signal"), options, table, text.read_matrix(spark, args.crosstalk) if args.crosstalk else None, known)
+    out = calls.withColumnRenamed("tile", "key").join(places, ["key", "cluster_idx"]).withColumnRenamed("of", "tile")
+    if truth is not None:
+        out = _by_spikes(out, truth, args)
+    elif options.calibrate:
+        spark.createDataFrame([(text.calibration_text(table).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/calibration")
+    _working(out, files, args)
     kind, _, packed = args.format.partition(".")
-    n = len(blocks.parse(options.blocks)) if options.blocks else 1
-    sinks.write_sequences(out, f"{args.output}/{options.sample}.{kind}", options.sample, fasta=kind == "fasta", compression={"": None, "gz": "gzip", "bz2": "bzip2"}[packed], blocks=n)
+    sinks.write_sequences(out, f"{args.output}/{options.sample}.{kind}", options.sample, fasta=kind == "fasta", compression={"": None, "gz": "gzip", "bz2": "bzip2"}[packed], blocks=len(files), concatenate=args.concatenate)
     return out
 
 
+def _by_spikes(calls: DataFrame, truth: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """Counts the spike-ins' calls by quality, for each lane, tile and block; writes the counts, or replaces all qualities by what they show."""
+    each = joins.with_truth(calls, truth, [*sinks.PLACE, "cluster_idx"]).where("spiked").select(*sinks.PLACE, F.explode(F.sequence(F.lit(1), F.length("truth"))).alias("c"), "bases", "truth", "quality")
+    letter = lambda name: F.substring(name, F.col("c"), F.lit(1))
+    counts = joins.quality_counts(each.select(*sinks.PLACE, letter("bases").alias("call"), letter("truth").alias("truth"), (F.ascii(letter("quality")) - MIN_PHRED).alias("q")), sinks.PLACE)
+    if args.spike_calibrate:
+        return joins.recalibrated_text(calls, counts, list(sinks.PLACE))
+    sinks.write_spike_counts(counts, f"{args.output}/qspike")
+    return calls
+
+
+def _working(calls: DataFrame, files: list[parameters.ParameterFiles], args: argparse.Namespace) -> None:
+    """The working outputs of the chosen level and of those before it, and the simulation files."""
+    level = WORKING.index(args.working)
+    for block, own in enumerate(files):
+        rows = calls.where(F.col("block") == block)
+        if level >= 1:
+            held = sinks.parameters(rows.select("key", *sinks.PLACE).distinct(), own)
+            sinks.write_matrices(held, args.output)
+            if level >= 2:
+                held.write.mode("append").parquet(f"{args.output}/final")
+        if level >= 3:
+            unmixed = sinks.processed(rows.select("key", *sinks.PLACE, "cluster_idx", "x", "y", "signal"), own).drop("signal").withColumnRenamed("processed", "signal")
+            if args.dataformat == "txt":
+                lines = unmixed.select(*sinks.PLACE, "cluster_idx", text.intensity_line(unmixed).alias("value"))
+                lines.repartition(*sinks.PLACE).sortWithinPartitions(*sinks.PLACE, "cluster_idx").drop("cluster_idx").write.mode("append").partitionBy(*sinks.PLACE).text(f"{args.output}/pif")
+            else:
+                cif.write(unmixed, f"{args.output}/pif", sinks.PLACE).write.mode("append").parquet(f"{args.output}/pif_files")
+        if args.simulation is not None:
+            sinks.write_simulation(rows, own, block, f"{args.output}/runfile", f"{args.simulation}\n{VERSION}\n{' '.join(map(str, args.pattern))}")
+    if level >= 2:
+        sinks.final_values(calls, f"{args.output}/state")
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     levels = {"none": 100, "fatal": 50, "error": 40, "warning": 30, "information": 20, "debug": 10}

@@ -11,7 +11,9 @@ from fluorspark.functions import calibration
 from fluorspark.functions import nucleotides as nuc
 from fluorspark.functions import signal as sig
 from fluorspark.model import MIN_PHRED, Options, crosstalk
+from fluorspark.operators import joins
 from fluorspark.operators.fit import fit
+from fluorspark.operators.parameters import ParameterFiles
 from fluorspark.plans import blocks
 
 
@@ -25,17 +27,30 @@ def quick_calls(clusters: DataFrame) -> DataFrame:
     return rows.withColumn("brightness", sig.brightness_ols(F.col("processed"), F.col("calls")))
 
 
-def run(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None) -> DataFrame:
+def run(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None, truth: DataFrame | None = None) -> DataFrame:
     """Called bases and qualities of every cluster and block of ``clusters`` (cluster_idx, tile, signal); ``mix``: an initial crosstalk."""
+    return fitted(clusters, options, table, mix, truth)[0]
+
+
+def fitted(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None, truth: DataFrame | None = None) -> tuple[DataFrame, list[ParameterFiles]]:
+    """``run`` and the parameters of each block.
+
+    ``truth`` (tile, block, cluster_idx, truth as text, line) holds spike-ins: their bases are known in the fit, and
+    qualities are left as the model gives them, for the counts to be taken.
+    """
     parts = blocks.split(clusters, options.blocks) if options.blocks else clusters.withColumn("block", F.lit(0))
+    if truth is not None:
+        own = joins.last_wins(truth, ["tile", "block", "cluster_idx"]).withColumn("truth", nuc.codes(F.col("truth")))
+        parts = parts.join(own, ["tile", "block", "cluster_idx"], "left")
     n = len(blocks.parse(options.blocks)) if options.blocks else 1
-    out = None
+    out, found = None, []
     for k in range(n):
-        state, _ = fit(parts.where(F.col("block") == k), replace(options, blocks=""), mix=mix)
-        own = state.withColumn("block", F.lit(k))
+        state, files = fit(parts.where(F.col("block") == k), replace(options, blocks=""), mix=mix, truth=None if truth is None else "truth")
+        found.append(files)
+        own = state.drop("truth").withColumn("block", F.lit(k))
         out = own if out is None else out.unionByName(own)
-    if options.calibrate:
+    if options.calibrate and truth is None:
         values = F.transform(F.filter(F.split("quality", ""), lambda c: c != ""), lambda c: (F.ascii(c) - MIN_PHRED).cast("double"))
         new = calibration.calibrate(values, F.col("calls"), F.col("brightness"), table)
         out = out.withColumn("quality", F.array_join(F.transform(new, nuc.phred_char), ""))
-    return out.withColumn("bases", nuc.chars(F.col("calls")))
+    return out.withColumn("bases", nuc.chars(F.col("calls"))), found

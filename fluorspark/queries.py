@@ -20,6 +20,7 @@ from fluorspark.operators import fit as fits
 from fluorspark.operators import joins, kernels, solve
 from fluorspark.operators import statistics as stats
 from fluorspark.operators import sufficient as suff
+from fluorspark.operators.parameters import shared_cut
 from fluorspark.plans import blocks, entry
 from fluorspark.sources import sinks
 from fluorspark.sources import text as sources
@@ -62,7 +63,7 @@ def called(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clusters(spark, sf_dir).withColumn("calls", sig.initial_calls(F.col("signal")))
     rows = rows.withColumn("brightness", sig.brightness_ols(F.transform("signal", lambda v: v.cast("double")), F.col("calls")))
     # cut, as a fit's state is: else calls are made anew for every element that names them
-    return fits.shared_cut(rows.withColumn("weight", 1.0 / (1 + F.col("cluster_idx") % 3)))
+    return shared_cut(rows.withColumn("weight", 1.0 / (1 + F.col("cluster_idx") % 3)))
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
@@ -316,7 +317,7 @@ def _mix_sql(rounds: int) -> str:
 
 @query(_mix_sql(4))
 def mixnormal_em(spark, sf_dir):
-    rows = fits.shared_cut(read(spark, sf_dir, "events").select(F.log(F.col("value") + 1).alias("v")))
+    rows = shared_cut(read(spark, sf_dir, "events").select(F.log(F.col("value") + 1).alias("v")))
     parts, _ = stats.mixture_fit(rows, "v", 2, 4)
     return spark.createDataFrame([(j, round(p, 5), round(m, 5), round(s, 5)) for j, (p, m, s) in enumerate(parts)], "component int, share double, mean double, sd double")
 
@@ -324,7 +325,7 @@ def mixnormal_em(spark, sf_dir):
 @query()
 def mixnormal_em_whole(spark, sf_dir):
     """The mixture with the operator's own components and rounds; ``mixnormal_em`` has as few as SQL can unroll."""
-    rows = fits.shared_cut(read(spark, sf_dir, "events").select(F.log(F.col("value") + 1).alias("v")))
+    rows = shared_cut(read(spark, sf_dir, "events").select(F.log(F.col("value") + 1).alias("v")))
     parts, _ = stats.mixture_fit(rows, "v")
     return spark.createDataFrame([(j, round(p, 5), round(m, 5), round(s, 5)) for j, (p, m, s) in enumerate(parts)], "component int, share double, mean double, sd double")
 
@@ -457,6 +458,13 @@ def spike_quality_counts(spark, sf_dir):
     return _counts(spark, sf_dir)
 
 
+@query("WITH g AS (SELECT DISTINCT l_linenumber FROM lineitem), q AS (SELECT l_linenumber, unnest(range(94)) AS q FROM g) SELECT l_linenumber, CAST(q AS INTEGER) AS q, count(l_orderkey) FILTER (WHERE l_returnflag <> CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END) AS diff, count(l_orderkey) AS obs FROM q LEFT JOIN (SELECT l_linenumber AS n, * FROM lineitem) l ON l.n = q.l_linenumber AND CAST(l.l_quantity AS INTEGER) = q.q GROUP BY 1, 2")
+def spike_counts_by_tile(spark, sf_dir):
+    """Counts for every quality of every tile (here: line number), as spike-in mode takes them."""
+    rows = read(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("call"), F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("truth"))
+    return joins.quality_counts(rows, ("l_linenumber",))
+
+
 @query(f"WITH {_COUNTS} SELECT q, CAST(floor(-10 * log10((diff + pow(10, -q / 10.0)) / (obs + 1)) + 0.5) AS INTEGER) AS actual FROM c")
 def empirical_quality(spark, sf_dir):
     return joins.observed_quality(_counts(spark, sf_dir)).select("q", "actual")
@@ -593,9 +601,8 @@ def batch_gram(spark, sf_dir):
     """J of every tile by the batch sums that the fit uses."""
     rows = called(spark, sf_dir)
     sums = suff.partial_sums(rows, ["signal", "calls", "brightness", "weight"], lambda tile, c: suff.batch_sums(suff.matrix_of(c[0]), suff.matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
-    out = [(tile, int(i), int(j), float(solve.unpacked(v)[0][i, j])) for tile, v in sums.items() for i, j in zip(*np.nonzero(solve.unpacked(v)[0]), strict=True)]
-    made = spark.createDataFrame(out, "tile int, i int, j int, v double")
-    return made.select("tile", "i", "j", r(F.col("v") / 1000, 3).alias("v"))
+    each = sums.select("tile", F.posexplode(F.slice("v", 1, 64 * 64)).alias("pos", "v")).where("v != 0")
+    return each.select("tile", F.floor(F.col("pos") / 64).cast("int").alias("i"), (F.col("pos") % 64).alias("j"), r(F.col("v") / 1000, 3).alias("v"))
 
 
 @query(f"WITH {_COUNTS}, a AS (SELECT q, greatest(0, least(93, CAST(floor(-10 * log10((diff + pow(10, -q / 10.0)) / (obs + 1)) + 0.5) AS INTEGER))) AS actual FROM c) SELECT actual AS q, count(*) AS n FROM lineitem JOIN a ON CAST(l_quantity AS INTEGER) = a.q GROUP BY 1")

@@ -1,15 +1,24 @@
-"""Binary intensity files as a Spark data source, and their writer.
+"""Binary intensity files as Spark data sources, and their writer.
 
 A file has a header of 13 bytes (the letters CIF, version, bytes of a value, first cycle, cycles, clusters)
 and then, for each cycle and channel, the values of all clusters. The reader deals ranges of
 clusters to tasks; a task reads its byte range of every cycle and channel, and nothing of
-the cycles it was not asked for.
+the cycles it was not asked for. Files that end in .gz or .bz2 are read whole, by one task each.
+
+A run folder has a file for each cycle. Its source deals ranges of a tile's clusters to tasks, too, and a task
+reads them from all cycles' files: no cluster's cycles have to meet in a shuffle. Cycles stand at their own place, so
+a cycle that is missing is zeros.
 """
 
 from __future__ import annotations
 
+import io
+import json
+import logging
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -24,6 +33,7 @@ from fluorspark.model import CHANNELS, INT_MAX, INT_MIN
 HEADER = struct.Struct("<3sBBHHI")
 KINDS = {1: "<i1", 2: "<i2", 4: "<i4"}
 SCHEMA = "file string, first_cycle int, cluster_idx long, x long, y long, signal array<smallint>"
+FOLDER_SCHEMA = "lane int, tile int, cluster_idx long, x long, y long, signal array<smallint>"
 CLUSTERS_A_TASK = 65536
 
 
@@ -41,41 +51,127 @@ def coordinates(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, 1 + idx - x * (x - 1) // 2
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int) -> None:
-        super().__init__((path, begin, end))
+@contextmanager
+def _opened(path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """A function (bytes, offset) -> content of a file; compressed files are read whole."""
+    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if path.endswith((".gz", ".bz2")):
+        with store.open_input_stream(name, compression="detect") as stream:
+            whole = io.BytesIO(stream.read())
+        yield lambda n, at: whole.getbuffer()[at : at + n]
+    else:
+        with store.open_input_file(name) as file:
+            yield file.read_at
+
+
+def _header_of(path: str) -> tuple[int, int, int, int] | Exception:
+    try:
+        with _opened(path) as read:
+            return header(bytes(read(HEADER.size, 0)))
+    except (OSError, ValueError, struct.error) as e:
+        return e
+
+
+def _values(path: str, begin: int, end: int, cycles: int = 0) -> tuple[int, np.ndarray]:
+    """First cycle and the values (clusters x 4C) of a file's clusters from ``begin`` to ``end``, of ``cycles`` or of all cycles."""
+    with _opened(path) as read:
+        width, first, held, clusters = header(bytes(read(HEADER.size, 0)))
+        wanted = cycles or held
+        out = np.empty((end - begin, wanted * CHANNELS), dtype=np.int64)
+        for k in range(wanted * CHANNELS):
+            out[:, k] = np.frombuffer(read((end - begin) * width, HEADER.size + (k * clusters + begin) * width), dtype=KINDS[width])
+    return first, out
+
+
+def _ranges(path: str, n: int) -> list[tuple[int, int]]:
+    step = n if path.endswith((".gz", ".bz2")) else CLUSTERS_A_TASK
+    return [(k, min(n, k + step)) for k in range(0, n, max(1, step))]
+
+
+def _signals(values: np.ndarray) -> pa.Array:
+    return pa.array(list(np.clip(values, INT_MIN, INT_MAX).astype(np.int16)), pa.list_(pa.int16()))
+
+
+class _Part(InputPartition):
+    def __init__(self, *value: object) -> None:
+        super().__init__(value)
 
 
 class _Reader(DataSourceReader):
+    """Reads files of all cycles; what cannot be opened or is no intensity file is skipped with a warning, as is a file of fewer cycles than were asked for."""
+
     def __init__(self, options: dict) -> None:
         self.paths = options["path"].split(",")
         self.cycles = int(options.get("cycles", 0))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in self.paths:
-            store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-            with store.open_input_file(name) as file:
-                n = header(file.read_at(HEADER.size, 0))[3]
-            out += [_Range(path, k, min(n, k + CLUSTERS_A_TASK)) for k in range(0, n, CLUSTERS_A_TASK)]
-        return out
+        with ThreadPoolExecutor(16) as pool:
+            for path, found in zip(self.paths, pool.map(_header_of, self.paths), strict=True):
+                if isinstance(found, Exception):
+                    logging.getLogger("fluorspark").warning("skipped %s: %s", path, found)
+                elif self.cycles <= found[2]:
+                    out += [_Part(path, *r) for r in _ranges(path, found[3])]
+        return out or [_Part("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path, begin, end = partition.value
-        store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        with store.open_input_file(name) as file:
-            width, first, cycles, clusters = header(file.read_at(HEADER.size, 0))
-            if self.cycles > cycles:
-                return
-            wanted = self.cycles or cycles
-            values = np.empty((end - begin, wanted * CHANNELS), dtype=np.int64)
-            for k in range(wanted * CHANNELS):
-                values[:, k] = np.frombuffer(file.read_at((end - begin) * width, HEADER.size + (k * clusters + begin) * width), dtype=KINDS[width])
-        idx = np.arange(begin, end)
+        if begin == end:
+            return
+        first, values = _values(path, begin, end, self.cycles)
+        idx, n = np.arange(begin, end), end - begin
         x, y = coordinates(idx)
-        signal = pa.array(list(np.clip(values, INT_MIN, INT_MAX).astype(np.int16)), pa.list_(pa.int16()))
-        n = end - begin
-        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([first] * n, pa.int32()), pa.array(idx), pa.array(x), pa.array(y), signal], names=["file", "first_cycle", "cluster_idx", "x", "y", "signal"])
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([first] * n, pa.int32()), pa.array(idx), pa.array(x), pa.array(y), _signals(values)], names=["file", "first_cycle", "cluster_idx", "x", "y", "signal"])
+
+
+class _FolderReader(DataSourceReader):
+    """Reads tiles of a run folder (option ``tiles``: a JSON list of lane, tile and files)."""
+
+    def __init__(self, options: dict) -> None:
+        self.tiles = json.loads(options["tiles"])
+
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        with ThreadPoolExecutor(16) as pool:
+            for lane, tile, paths in self.tiles:
+                heads = list(pool.map(_header_of, paths))
+                bad = [h for h in heads if isinstance(h, Exception)]
+                if bad:
+                    raise ValueError(f"lane {lane} tile {tile}: {bad[0]}")
+                if len({(h[0], h[3]) for h in heads}) > 1:
+                    raise ValueError(f"lane {lane} tile {tile}: files differ in value size or number of clusters")
+                places = [c for h in heads for c in range(h[1], h[1] + h[2])]
+                if min(places) < 1 or len(set(places)) < len(places):
+                    raise ValueError(f"lane {lane} tile {tile}: cycles below 1 or given twice")
+                step = "x.gz" if any(p.endswith((".gz", ".bz2")) for p in paths) else "x"
+                out += [_Part(lane, tile, paths, max(places), *r) for r in _ranges(step, heads[0][3])]
+        return out or [_Part(0, 0, [], 0, 0, 0)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        lane, tile, paths, cycles, begin, end = partition.value
+        if begin == end:
+            return
+        values = np.zeros((end - begin, cycles * CHANNELS), dtype=np.int64)
+        for path in paths:
+            first, own = _values(path, begin, end)
+            values[:, (first - 1) * CHANNELS : (first - 1) * CHANNELS + own.shape[1]] = own
+        idx, n = np.arange(begin, end), end - begin
+        x, y = coordinates(idx)
+        yield pa.RecordBatch.from_arrays([pa.array([lane] * n, pa.int32()), pa.array([tile] * n, pa.int32()), pa.array(idx), pa.array(x), pa.array(y), _signals(values)], names=["lane", "tile", "cluster_idx", "x", "y", "signal"])
+
+
+class FolderSource(DataSource):
+    """``spark.read.format("intensity_folder").option("tiles", json)`` after registration; see ``_FolderReader``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "intensity_folder"
+
+    def schema(self) -> str:
+        return FOLDER_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FolderReader(self.options)
 
 
 class CifSource(DataSource):
@@ -93,7 +189,7 @@ class CifSource(DataSource):
 
 
 def stitched(cycles: DataFrame, keys: list[str]) -> DataFrame:
-    """Clusters whose cycles stand in files of their own: the signals of a cluster joined in the order of ``first_cycle``."""
+    """Clusters whose cycles stand in rows of their own: the signals of a cluster joined in the order of ``first_cycle``, without gaps. A run folder's source needs no such shuffle."""
     parts = F.array_sort(F.collect_list(F.struct("first_cycle", "signal")))
     return cycles.groupBy(*keys, "cluster_idx").agg(F.flatten(F.transform(parts, lambda p: p["signal"])).alias("signal"))
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluorspark.functions import nucleotides as nuc
+from fluorspark.model import CHANNELS
+from fluorspark.operators import kernels
+from fluorspark.operators.parameters import ParameterFiles
+from fluorspark.operators.statistics import logistic_fit
+from fluorspark.operators.sufficient import matrix_of, one_hot, partial_sums, robust_weights
 
 
 def record_name(sample: str, blocks: int) -> Column:
@@ -21,10 +30,18 @@ def sequence_text(name: Column, bases: Column, quality: Column | None = None) ->
     return F.concat(F.lit("@"), name, F.lit("\n"), bases, F.lit("\n+\n"), quality)
 
 
-def write_sequences(calls: DataFrame, folder: str, sample: str = "Sample", *, fasta: bool = False, compression: str | None = None, blocks: int = 1) -> None:
-    """A folder for each lane, tile and block; within a tile records keep the order of clusters."""
+def write_sequences(calls: DataFrame, folder: str, sample: str = "Sample", *, fasta: bool = False, compression: str | None = None, blocks: int = 1, concatenate: bool = False) -> None:
+    """A folder for each lane, tile and block; within a tile records keep the order of clusters.
+
+    ``concatenate`` puts all records of the sample side by side, in their order, behind what the folder holds.
+    """
     text = sequence_text(record_name(sample, blocks), nuc.chars(F.col("calls")), None if fasta else F.col("quality"))
     rows = calls.select("lane", "tile", "block", "cluster_idx", text.alias("value"))
+    if concatenate:
+        order = ["lane", "tile", "block", "cluster_idx"]
+        writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("append")
+        (writer.option("compression", compression) if compression else writer).text(folder)
+        return
     ordered = rows.repartition("lane", "tile", "block").sortWithinPartitions("lane", "tile", "block", "cluster_idx").drop("cluster_idx")
     writer = ordered.write.partitionBy("lane", "tile", "block")
     (writer.option("compression", compression) if compression else writer).text(folder)
@@ -36,17 +53,101 @@ def output_name(name: str, kind: str, block: int | None = None, sample: str | No
     return body + ("" if block is None else str(block + 1)) + "." + kind
 
 
+PLACE = ("lane", "tile", "block")
+
+
 def spike_text(counts: DataFrame) -> DataFrame:
     """The counts by quality as lines of quality, differences and observations."""
     return counts.orderBy("q").select(F.concat_ws("\t", "q", "diff", "obs").alias("value"))
 
 
+def write_spike_counts(counts: DataFrame, folder: str) -> None:
+    """The counts of each lane, tile and block as 94 lines in quality order."""
+    rows = counts.select(*PLACE, "q", F.concat_ws("\t", "q", "diff", "obs").alias("value"))
+    rows.repartition(*PLACE).sortWithinPartitions(*PLACE, "q").drop("q").write.partitionBy(*PLACE).text(folder)
+
+
 def simulation_text(cycles: int, location: float, scale: float, covariance: list[list[float]], command: str = "", version: int = 5) -> str:
     """What a simulator needs of a fit: the logistic brightness and the residual covariance. Line breaks in the command stay comments."""
     head = [f"# {version}", *(f"# {line}" for line in command.splitlines() if line)]
     return "\n".join([*head, f"{cycles} L {location:.6f} {scale:.6f}", *(" ".join(f"{v:.6f}" for v in row) for row in covariance)]) + "\n"
 
 
+def write_simulation(calls: DataFrame, files: ParameterFiles, block: int, folder: str, command: str = "") -> None:
+    """A simulation file for each tile (``key``, lane, tile) of one block: the logistic fit of all brightness but zero, and
+    the whole weighted covariance of the residuals of the clusters that the fit used."""
+    used = robust_weights(calls.where("used").select(F.col("key").alias("tile"), "signal", "calls", "brightness", "lse"), ["tile"])
+
+    def spread(tile: int, c: list[pa.Array]) -> np.ndarray:
+        found, signal, w = files[tile], matrix_of(c[0]), c[3].to_numpy()
+        if found is None:
+            return np.zeros(signal.shape[1] ** 2 + 1)
+        r = kernels.processed(signal, found.a, found.n) - c[2].to_numpy()[:, None] * one_hot(matrix_of(c[1], np.int8))
+        return np.r_[((r * w[:, None]).T @ r).ravel(), w.sum()]
+
+    location, scale = logistic_fit(F.col("brightness"))
+    light = calls.where("brightness != 0").groupBy("key", *PLACE).agg(location.alias("location"), scale.alias("scale"))
+    sums = partial_sums(used, ["signal", "calls", "brightness", "weight"], spread).withColumnRenamed("tile", "key")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k in range(batch.num_rows):
+                v = batch.column("v")[k].values.to_numpy()
+                m = int(round((len(v) - 1) ** 0.5))
+                made.append(simulation_text(m // CHANNELS, batch.column("location")[k].as_py(), batch.column("scale")[k].as_py() or 0.0, (v[:-1] / max(v[-1], 1e-300)).reshape(m, m).tolist(), command).rstrip("\n"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PLACE), pa.array(made, pa.string())], names=[*PLACE, "value"])
+
+    light.join(sums, "key").select(*PLACE, "location", "scale", "v").mapInArrow(write, "lane int, tile int, block int, value string").write.mode("append").partitionBy(*PLACE).text(folder)
+
+
+def parameters(tiles: DataFrame, files: ParameterFiles) -> DataFrame:
+    """The fitted parameters of ``tiles`` (key, lane, tile, block), read by tasks: a (by rows), n, omega, scale and effdf; tiles without any are left out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [files[t] for t in batch.column("key").to_pylist()]
+            own = batch.filter(pa.array([p is not None for p in found], pa.bool_()))
+            found = [p for p in found if p is not None]
+            lists = lambda get: pa.array([get(p).ravel().tolist() for p in found], pa.list_(pa.float64()))
+            numbers = lambda get: pa.array([get(p) for p in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in PLACE), lists(lambda p: p.a), lists(lambda p: p.n), lists(lambda p: p.omega), numbers(lambda p: p.scale), numbers(lambda p: p.freedom)], names=[*PLACE, "a", "n", "omega", "scale", "effdf"])
+
+    return tiles.select("key", *PLACE).mapInArrow(read, "lane int, tile int, block int, a array<double>, n array<double>, omega array<double>, scale double, effdf double")
+
+
+def matrix_lines(values: Column, rows: int | Column) -> Column:
+    """A matrix, given by its rows, as the text of a matrix file: its size, then a column on each line."""
+    n = F.lit(rows) if isinstance(rows, int) else rows
+    m = F.floor(F.size(values) / n).cast("int")
+    column = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.format_string("%.6f", F.get(values, r * m + c))), " ")
+    return F.concat(n.cast("string"), F.lit(" "), m.cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), m - 1), column), "\n"))
+
+
+def write_matrices(held: DataFrame, folder: str) -> None:
+    """A and N of every tile as matrix files below ``A`` and ``N``; N has a column for each cycle."""
+    cycles = F.floor(F.size("n") / CHANNELS).cast("int")
+    by_channel = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda ch: F.transform(F.sequence(F.lit(0), cycles - 1), lambda c: F.get("n", c * CHANNELS + ch))))
+    for name, text in (("A", matrix_lines(F.col("a"), F.size("n"))), ("N", matrix_lines(by_channel, CHANNELS))):
+        held.select(*PLACE, text.alias("value")).write.mode("append").partitionBy(*PLACE).text(f"{folder}/{name}")
+
+
+def processed(calls: DataFrame, files: ParameterFiles) -> DataFrame:
+    """Adds ``processed``, the un-mixed intensities under the fitted parameters of each tile (``key``); tiles without any are left out."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in calls.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for key in np.unique(keys):
+                found, own = files[int(key)], batch.take(pa.array(np.flatnonzero(keys == key)))
+                if found is not None:
+                    p = kernels.processed(matrix_of(own.column("signal")), found.a, found.n)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(list(p), pa.list_(pa.float64()))], names=[*own.schema.names, "processed"])
+
+    return calls.mapInArrow(run, f"{schema}, processed array<double>")
+
+
 def final_values(state: DataFrame, folder: str) -> None:
     """The fit's cluster state as Parquet, a folder for each tile."""
     state.drop("signal").write.partitionBy("tile").parquet(folder)

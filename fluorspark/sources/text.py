@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluorspark.functions.calibration import Table
@@ -11,22 +11,31 @@ from fluorspark.functions.signal import clip
 from fluorspark.model import CHANNELS
 
 
-def read_intensities(spark: SparkSession, path: str, cycles: int = 0) -> DataFrame:
+def read_intensities(spark: SparkSession, path: str | list[str], cycles: int = 0) -> DataFrame:
     """Lines of lane, tile, x, y and a field of four reals for each cycle; plain, gzip or bzip2.
 
     ``cycles`` keeps the first ones only; lines with fewer are left out. ``cluster_idx`` counts a tile's lines
-    in their order: tiles are files in this format, and the order is that of the text source.
+    in their order: tiles are files in this format, and the order is that of the text source. Files that are missing or
+    cannot be unpacked are skipped.
     """
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_line"), parts.alias("f")).where(F.size("f") >= 4)
+    lines = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_line"), parts.alias("f")).where(F.size("f") >= 4)
     wanted = F.size("f") - 4 if not cycles else F.lit(cycles)
     numbers = F.flatten(F.transform(F.slice("f", F.lit(5), wanted), lambda c: F.split(F.trim(c), " +")))
     signal = F.transform(numbers, lambda v: clip(v.cast("double")))
     read = rows.where(F.size("f") - 4 >= wanted).select("file", "_line", F.col("f")[0].cast("int").alias("lane"), F.col("f")[1].cast("int").alias("tile"), F.col("f")[2].cast("bigint").alias("x"), F.col("f")[3].cast("bigint").alias("y"), signal.alias("signal"))
-    first = read.groupBy("file", "lane", "tile").agg(F.sort_array(F.collect_list("_line")).alias("lines"))
-    order = first.select("file", "lane", "tile", F.posexplode("lines").alias("cluster_idx", "_line"))
-    out = read.join(order, ["file", "lane", "tile", "_line"])
-    return out.select("lane", "tile", F.col("cluster_idx").cast("bigint").alias("cluster_idx"), "x", "y", F.floor(F.size("signal") / CHANNELS).cast("int").alias("ncycle"), "signal")
+    place = F.row_number().over(Window.partitionBy("file", "lane", "tile").orderBy("_line")) - 1
+    return read.select("lane", "tile", place.cast("bigint").alias("cluster_idx"), "x", "y", F.floor(F.size("signal") / CHANNELS).cast("int").alias("ncycle"), "signal")
+
+
+def read_positions(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """lane, tile, cluster_idx (by line), x and y of position files ``s_1_0002_pos.txt``: two reals a line, ten times each, rounded, plus 1000."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("_line"), F.split(F.trim("value"), "\\s+").alias("f")).where(F.size("f") >= 2)
+    lane, tile = lane_and_tile(F.col("name"))
+    at = lambda k: (F.round(F.col("f")[k].cast("float").cast("double") * 10) + 1000).cast("bigint")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_line")) - 1
+    return rows.select(lane.alias("lane"), tile.alias("tile"), place.cast("bigint").alias("cluster_idx"), at(0).alias("x"), at(1).alias("y"))
 
 
 def intensity_line(df: DataFrame) -> Column:

@@ -75,6 +75,170 @@ def test_run_folder(spark, tmp_path):
     assert [r["signal"] for r in rows] == signal.astype(int).tolist() and {r["tile"] for r in rows} == {8}
 
 
+def letters(calls):
+    return "".join("ACGTN"[b] for b in calls)
+
+
+def test_truth_stands_for_calls_in_the_fit(spark):
+    """Spike-ins are never thinned, keep their bases in all iterations but the last, and are called in the last."""
+    from pyspark.sql import functions as F
+
+    from fluorspark.model import Options
+    from fluorspark.operators.fit import fit
+
+    calls, signal = tile(60, 4)
+    wrong = (calls[0] + 1) % 4
+    rows = [(k, 1, [int(v) for v in s], [int(b) for b in (wrong if k == 1 else calls[k])] if k in (1, 3, 5) else None) for k, s in enumerate(signal)]
+    rows[5][3][0] = 4  # an ambiguous base in the truth
+    df = spark.createDataFrame(rows, "cluster_idx long, tile int, signal array<smallint>, truth array<tinyint>")
+    state, _ = fit(df, Options(iterations=1, thin=2), truth="truth")
+    got = {r["cluster_idx"]: r for r in state.collect()}
+    assert {k for k, r in got.items() if r["used"]} == {k for k in range(60) if k % 2 == 0} | {1, 3, 5}
+    assert np.mean([list(got[k]["calls"]) == calls[k].tolist() for k in range(60)]) > 0.9
+    # with an iteration to come, the truth is still there
+    import fluorspark.operators.fit as module
+
+    held, cut = [], module.shared_cut
+    module.shared_cut = lambda d: (made := cut(d), held.append(made))[0]
+    try:
+        fit(df, Options(iterations=2), truth="truth")
+    finally:
+        module.shared_cut = cut
+    states = [d for d in held if "calls" in d.columns]
+    first, second, last = ({r["cluster_idx"]: list(r["calls"]) for r in d.where(F.col("truth").isNotNull()).collect()} for d in states)
+    assert first == second == {k: rows[k][3] for k in (1, 3, 5)} and last[3] == calls[3].tolist()
+
+
+def test_spikes_of_one_tile_recalibrate_its_qualities(spark, tmp_path):
+    truth = {}
+    (tmp_path / "truth").mkdir()
+    for tile_, seed in ((2, 3), (3, 8)):
+        truth[tile_], signal = tile(30, 4, seed)
+        (tmp_path / f"s_1_{tile_}.cif").write_bytes(cif.encoded(signal))
+    (tmp_path / "truth/s_1_2.spike").write_text("".join(f"{k + 1}\t{letters(truth[2][k])}\n" for k in range(12)) + "99\tACGT\n")
+    run = lambda out, *more: cli.run(spark, cli.parser().parse_args(["-i", str(tmp_path), "-o", str(tmp_path / out), "-n", "2", "-K", str(tmp_path / "truth"), *more, "s_1+"]))
+    plain = {(r["tile"], r["cluster_idx"]): r for r in run("a").collect()}
+    counts = [(r["tile"], *map(int, r["value"].split("\t"))) for r in spark.read.text(str(tmp_path / "a/qspike")).collect()]
+    # only the tile with truth is counted, on qualities as the model gives them
+    want = {}
+    for k in range(12):
+        for a, b, q in zip(plain[2, k]["bases"], letters(truth[2][k]), plain[2, k]["quality"], strict=True):
+            diff, obs = want.get(ord(q) - 33, (0, 0))
+            want[ord(q) - 33] = (diff + (a != b), obs + 1)
+    assert {t for t, *_ in counts} == {2} and len(counts) == 94 and {q: (d, n) for _, q, d, n in counts if n} == want
+    actual = {q: int(np.floor(-10 * np.log10((d + 10 ** (-q / 10)) / (n + 1)) + 0.5)) for _, q, d, n in counts}
+    new = {(r["tile"], r["cluster_idx"]): r for r in run("b", "-k").collect()}
+    assert all(new[k]["quality"] == ("".join(chr(33 + min(93, max(0, actual[ord(q) - 33]))) for q in r["quality"]) if k[0] == 2 else r["quality"]) for k, r in plain.items())
+    assert any(new[2, k]["quality"] != plain[2, k]["quality"] for k in range(30)) and not (tmp_path / "b/qspike").exists()
+
+
+def run_folder(root, lane, tile_, cycles, **more):
+    for c, signal in cycles.items():
+        folder = root / f"Data/Intensities/L{lane:03d}/C{c}.1"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"s_{lane}_{tile_}.cif").write_bytes(cif.encoded(signal, first=c, **more))
+
+
+def test_run_folder_with_gaps_and_positions(spark, tmp_path):
+    import bz2
+    import gzip
+
+    _, signal = tile(6, 4)
+    at = lambda c: signal[:, 4 * c - 4 : 4 * c]
+    run_folder(tmp_path, 2, 8, {1: at(1), 3: at(3), 4: at(4)})
+    run_folder(tmp_path, 2, 9, {c: at(c) for c in (1, 2, 3, 4)})
+    for c, pack in ((1, gzip), (2, bz2)):
+        path = tmp_path / f"Data/Intensities/L002/C{c}.1/s_2_9.cif"
+        path.with_suffix(".cif.gz" if pack is gzip else ".cif.bz2").write_bytes(pack.compress(path.read_bytes()))
+        path.unlink()
+    (tmp_path / "Data/Intensities/s_2_0008_pos.txt").write_text("".join(f"{k}.25 {k * 2}.0\n" for k in range(6)))
+    rows = cli.read_folder(spark, str(tmp_path), ["L2T8-10"]).orderBy("tile", "cluster_idx").collect()
+    gap = signal.astype(int).copy()
+    gap[:, 4:8] = 0
+    assert [r["signal"] for r in rows] == gap.tolist() + signal.astype(int).tolist()
+    assert [(r["x"], r["y"]) for r in rows[:6]] == [(1000 + int(np.floor(10 * (k + 0.25) + 0.5)), 1000 + 20 * k) for k in range(6)] and (rows[6]["x"], rows[6]["y"]) == (1, 1)
+    (tmp_path / "Data/Intensities/s_2_0008_pos.txt").write_text("1 2\n")
+    with pytest.raises(Exception, match="numbers of clusters and coordinates differ"):
+        cli.read_folder(spark, str(tmp_path), ["L2T8"]).collect()
+    run_folder(tmp_path, 3, 1, {1: at(1), 2: at(2)[:4]})
+    with pytest.raises(Exception, match="number of clusters"):
+        cli.read_folder(spark, str(tmp_path), ["L3T1"]).collect()
+    run_folder(tmp_path, 3, 2, {1: at(1), 2: at(2)})
+    (tmp_path / "Data/Intensities/L003/C2.1/s_3_2.cif").write_bytes(cif.encoded(at(2), first=1))
+    with pytest.raises(Exception, match="given twice"):
+        cli.read_folder(spark, str(tmp_path), ["L3T2"]).collect()
+
+
+def test_files_that_cannot_be_opened_are_skipped(spark, tmp_path):
+    _, signal = tile(5, 3)
+    (tmp_path / "s_1_2.cif").write_bytes(cif.encoded(signal))
+    (tmp_path / "s_1_3.cif").write_bytes(b"nothing")
+    (tmp_path / "s_1_4.cif").write_bytes(b"XYZ" + cif.encoded(signal)[3:])
+    args = cli.parser().parse_args(["-i", str(tmp_path), "-d", "CIF", "s_1+"])
+    assert {r["tile"] for r in cli.read(spark, args).collect()} == {2}
+    line = "\t".join(["1", "3", "4", "7", "1 2 3 4", "5 6 7 8"])
+    (tmp_path / "a_int.txt").write_text(line + "\n")
+    (tmp_path / "a_int.txt.gz").write_bytes(b"\x1f\x8b no gzip")
+    args = cli.parser().parse_args(["-i", str(tmp_path), "-d", "Txt", "a_int+"])
+    assert [tuple(r) for r in cli.read(spark, args).collect()] == [(1, 3, 0, 4, 7, [1, 2, 3, 4, 5, 6, 7, 8])]
+
+
+def test_working_outputs_and_simulation(spark, tmp_path):
+    calls, signal = tile(40, 3)
+    (tmp_path / "s_1_2.cif").write_bytes(cif.encoded(signal))
+    run = lambda out, *more: cli.run(spark, cli.parser().parse_args(["-i", str(tmp_path), "-o", str(tmp_path / out), "-n", "0x2", *more, "s_1_2.cif"]))
+    out = run("w", "-w", "processed", "-s", "a header\n\nof lines").collect()
+    lines = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / "w" / name)).collect()]
+    a, n = text.parse_matrix(lines("A")), text.parse_matrix(lines("N"))
+    held = spark.read.parquet(str(tmp_path / "w/final")).first()
+    assert a.shape == (12, 12) and n.shape == (4, 3) and np.allclose(a.ravel(), held["a"], atol=1e-6) and np.allclose(n.T.ravel(), held["n"], atol=1e-6) and held["effdf"] > 0
+    spark.dataSource.register(cif.CifSource)
+    pif = {r["cluster_idx"]: r["signal"] for r in spark.read.format("intensity").option("path", str(tmp_path / "w/pif/s_1_2_0.cif")).load().collect()}
+    want = np.linalg.solve(a, (signal - np.array(held["n"])).T).T
+    assert np.abs(np.array([pif[k] for k in range(40)]) - want).max() < 0.51 + 1e-3 * np.abs(want).max()
+    runfile = lines("runfile")
+    head = [x for x in runfile if x.startswith("#")]
+    assert head[:3] == ["# 5", "# a header", "# of lines"] and len(runfile) == len(head) + 13
+    light = np.array([r["brightness"] for r in out if r["brightness"] != 0])
+    fields = runfile[len(head)].split()
+    assert fields[:2] == ["3", "L"] and np.allclose([float(x) for x in fields[2:]], [light.mean(), light.std(ddof=1) * 3**0.5 / np.pi], atol=1e-5)
+    v = np.array([[float(x) for x in row.split()] for row in runfile[len(head) + 1 :]])
+    assert np.allclose(v, v.T, atol=1e-4) and (np.diag(v) > 0).all()
+    assert spark.read.text(str(tmp_path / "w/calibration"), wholetext=True).count() == 1
+    run("m", "-w", "matrices")
+    assert (tmp_path / "m/A").exists() and not (tmp_path / "m/final").exists() and not (tmp_path / "m/pif").exists()
+    run("c", "-c", "-f", "fasta")
+    run("c", "-c", "-f", "fasta")
+    assert spark.read.text(str(tmp_path / "c/Sample.fasta")).count() == 160
+
+
+def test_whole_numbers_as_in_c():
+    assert [cli.uint(x) for x in ("12", "0x1F", "010", "0", "-3", "+7")] == [12, 31, 8, 0, 0, 7]
+    with pytest.raises(Exception):
+        cli.uint("twelve")
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--version"])
+
+
+def test_the_fit_is_the_same_for_many_tiles(spark):
+    """A tile's calls do not depend on the other tiles."""
+    from pyspark.sql import functions as F
+
+    from fluorspark.model import Options
+    from fluorspark.operators.fit import fit
+
+    _, signal = tile(30, 3)
+    one = spark.createDataFrame([(k, [int(v) for v in s]) for k, s in enumerate(signal)], "cluster_idx long, signal array<smallint>")
+    want = None
+    for n in (1, 10, 300):
+        many = one.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        state, files = fit(many.select("cluster_idx", "tile", "signal"), Options(iterations=2))
+        got = state.select("cluster_idx", F.transform("calls", lambda b: b.cast("int")).alias("c"), "quality").groupBy("cluster_idx", "c", "quality").count().collect()
+        assert len(got) == 30 and {r["count"] for r in got} == {n} and len(set(files)) == n
+        want = want or {(r["cluster_idx"], tuple(r["c"]), r["quality"]) for r in got}
+        assert want == {(r["cluster_idx"], tuple(r["c"]), r["quality"]) for r in got}
+
+
 def test_stream_of_cycles(spark, tmp_path):
     _, signal = tile(5, 3)
     schema = "tile int, cluster_idx long, cycle int, signal array<smallint>"
