@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluorspark.operators.parameters import shared_cut
+
 
 def weighted(value: Column, weight: Column) -> Column:
     return F.sum(weight * value) / F.sum(weight)
@@ -57,15 +59,35 @@ def logistic_fit(value: Column) -> tuple[Column, Column]:
     return F.avg(value), F.sqrt(3 * F.var_samp(value)) / math.pi
 
 
+def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds ``rank``, the place (from 1) of a row in its group by ``value``, and ``n``, the group's size.
+
+    Rows are dealt to ranges of (group, value), a large group to many; places in a range follow those of the ranges before
+    it. Rows of one value are told apart by their number, so one value may fill several ranges too.
+    """
+    own = df.withColumn("_row", F.monotonically_increasing_id())
+    dealt = shared_cut(own.repartitionByRange(*by, value, "_row").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    places = parts.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(value, "_row"))
+    return dealt.withColumn("_within", within).join(places, [*by, "_part"]).select(*df.columns, (F.col("_before") + F.col("_within")).alias("rank"), "n")
+
+
+def median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The median of each group's values that are known, by rank: no group has to fit in one task."""
+    rows = ranked(df.where(F.col(value).isNotNull()).select(*by, value), by, value)
+    middle = (2 * F.col("rank")).between(F.col("n"), F.col("n") + 2)
+    return rows.where(middle & (F.col("rank") >= F.floor((F.col("n") + 1) / 2)) & (F.col("rank") <= F.floor(F.col("n") / 2) + 1)).groupBy(*by).agg(F.avg(value).alias("median"))
+
+
 def weibull_fit(df: DataFrame, by: list[str], value: str, weighted_fit: bool = False) -> DataFrame:
     """``shape`` and ``scale`` from the line through the order statistics on Weibull paper.
 
     The weighted fit counts each point by the inverse variance of its plotting position.
     """
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    p = (F.row_number().over(order) / (n + 1)).alias("p")
-    points = df.where(F.col(value) > 0).select(*by, value, p)
+    p = (F.col("rank") / (F.col("n") + 1)).alias("p")
+    points = ranked(df.select(*by, value), by, value).where(F.col(value) > 0).select(*by, value, p)
     points = points.select(*by, F.log(value).alias("lx"), F.log(-F.log1p(-F.col("p"))).alias("ly"), (F.pow((1 - F.col("p")) * F.log1p(-F.col("p")), 2) / (F.col("p") * (1 - F.col("p")))).alias("pw"))
     line = line_fit(points, by, "lx", "ly", F.col("pw") if weighted_fit else None)
     return line.select(*by, F.col("slope").alias("shape"), F.exp(-F.col("intercept") / F.col("slope")).alias("scale"))

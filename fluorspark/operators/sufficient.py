@@ -1,4 +1,4 @@
-"""Sufficient statistics of the mixing model, in long form for Catalyst and in batches for wide signals.
+"""Sufficient statistics of the mixing model: in batches, whose rows do not grow with the squared number of cycles, and in long form, as their plain definition.
 
 Rows carry ``signal``, ``calls`` (base codes), ``brightness`` and ``weight``. Positions count
 cycle * 4 + channel from 0. Ambiguous bases contribute to nothing but the signal sums.
@@ -136,3 +136,35 @@ def partial_sums(df: DataFrame, columns: list[str], kernel) -> DataFrame:
     parts = df.select("tile", *columns).mapInArrow(run, "tile int, v array<double>")
     sums = parts.select("tile", F.posexplode("v").alias("pos", "x")).groupBy("tile", "pos").agg(F.sum("x").alias("x"))
     return sums.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+
+
+def _state_sums(df: DataFrame, kernel) -> DataFrame:
+    """``partial_sums`` of signal, calls, brightness and weight as numpy arrays; all rows are one tile where there is no ``tile``."""
+    rows = df if "tile" in df.columns else df.withColumn("tile", F.lit(0))
+    return partial_sums(rows, ["signal", "calls", "brightness", "weight"], lambda tile, c: kernel(matrix_of(c[0]), matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
+
+
+def batch_long(df: DataFrame, which: str) -> DataFrame:
+    """J (``gram``) or K (``cross``) of every tile as rows tile, i, j, v from ``batch_sums``; entries that are zero are left out."""
+    sums = _state_sums(df, batch_sums)
+    width = F.round((F.sqrt(F.lit(1.0) + 2 * (F.size("v") - 1)) - 1) / 2).cast("int")
+    held = sums.select("tile", width.alias("m"), "v")
+    first = F.lit(1) if which == "gram" else F.col("m") * F.col("m") + 1
+    each = held.select("tile", "m", F.posexplode(F.slice("v", first, F.col("m") * F.col("m"))).alias("pos", "v")).where("v != 0")
+    return each.select("tile", F.floor(F.col("pos") / F.col("m")).cast("int").alias("i"), (F.col("pos") % F.col("m")).alias("j"), "v")
+
+
+def batch_band(df: DataFrame, processed: str = "signal") -> DataFrame:
+    """The weighted covariance of residuals, cycles at most one apart, of every tile as rows tile, i, j, v from ``band_sums``."""
+    rows = df.drop("signal").withColumnRenamed(processed, "signal") if processed != "signal" else df
+    sums = _state_sums(rows, lambda signal, calls, lam, w: band_sums(signal - lam[:, None] * one_hot(calls), w))
+    size = CHANNELS * CHANNELS
+    cycles = F.floor((F.size("v") - 1 + size) / (2 * size)).cast("int")
+    held = sums.select("tile", cycles.alias("c"), F.element_at("v", -1).alias("w"), F.slice("v", F.lit(1), F.size("v") - 1).alias("v"))
+    each = held.select("tile", "c", "w", F.posexplode("v").alias("pos", "x"))
+    beside = F.col("pos") >= F.col("c") * size
+    at = F.floor(F.when(beside, F.col("pos") - F.col("c") * size).otherwise(F.col("pos")) / size).cast("int")
+    i = at * CHANNELS + F.floor(F.col("pos") % size / CHANNELS).cast("int")
+    j = (at + beside.cast("int")) * CHANNELS + F.col("pos") % CHANNELS
+    pair = each.select("tile", i.alias("i"), j.alias("j"), (F.col("x") / F.col("w")).alias("v"), beside.alias("beside"))
+    return pair.drop("beside").unionByName(pair.where("beside").select("tile", F.col("j").alias("i"), F.col("i").alias("j"), "v"))

@@ -217,7 +217,8 @@ def weighted_moments(spark, sf_dir):
 
 @query("SELECT o_orderpriority, round(median(o_totalprice) FILTER (WHERE o_orderkey % 3 <> 0), 4) AS median FROM orders GROUP BY o_orderpriority")
 def median_used(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_orderkey % 3 != 0").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median"))
+    out = stats.median(read(spark, sf_dir, "orders").where("o_orderkey % 3 != 0"), ["o_orderpriority"], "o_totalprice")
+    return out.select("o_orderpriority", F.round("median", 4).alias("median"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / 1e9, 3) AS rss FROM lineitem GROUP BY l_returnflag")
@@ -350,12 +351,12 @@ def sbar(spark, sf_dir):
 
 @query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, b.cycle * 4 + b.base AS j, round(sum(w * lam * lam) / 1000 + 1.7e-6, 3) + 0.0 AS v FROM call a JOIN call b USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def gram_j(spark, sf_dir):
-    return suff.gram(called(spark, sf_dir), []).select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
+    return suff.batch_long(called(spark, sf_dir).drop("tile"), "gram").select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
 
 
 @query(f"WITH {STATE} SELECT a.cycle * 4 + a.base AS i, l.cycle * 4 + l.ch AS j, round(sum(w * lam * l.v) / 1000 + 1.7e-6, 3) + 0.0 AS v FROM call a JOIN long l USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 2")
 def cross_k(spark, sf_dir):
-    return suff.cross(called(spark, sf_dir), []).select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
+    return suff.batch_long(called(spark, sf_dir).drop("tile"), "cross").select("i", "j", r(F.col("v") / 1000, 3).alias("v"))
 
 
 _REST = STATE + ", rest AS (SELECT cluster_idx, l.cycle, l.cycle * 4 + l.ch AS i, l.v - CASE WHEN l.ch = c.base THEN lam ELSE 0 END AS x, w FROM long l JOIN call c USING (cluster_idx, cycle) JOIN st USING (cluster_idx))"
@@ -363,14 +364,12 @@ _REST = STATE + ", rest AS (SELECT cluster_idx, l.cycle, l.cycle * 4 + l.ch AS i
 
 @query(f"WITH {_REST} SELECT a.i AS i, b.i AS j, round(sum(a.w * a.x * b.x) / sum(a.w) + 1.7e-6, 3) + 0.0 AS v FROM rest a JOIN rest b ON a.cluster_idx = b.cluster_idx AND abs(a.cycle - b.cycle) <= 1 GROUP BY 1, 2")
 def band_covariance(spark, sf_dir):
-    rows = called(spark, sf_dir).withColumn("processed", F.transform("signal", lambda v: v.cast("double")))
-    return suff.band_covariance(rows, []).select("i", "j", r("v", 3).alias("v"))
+    return suff.batch_band(called(spark, sf_dir).drop("tile")).select("i", "j", r("v", 3).alias("v"))
 
 
 @query(f"WITH {_REST} SELECT cycle, round(sum(w * x * x) / (sum(w) / 4) + 1.7e-6, 3) + 0.0 AS variance FROM rest GROUP BY 1")
 def cycle_variance(spark, sf_dir):
-    rows = called(spark, sf_dir).withColumn("processed", F.transform("signal", lambda v: v.cast("double")))
-    own = suff.band_covariance(rows, []).where("i = j")
+    own = suff.batch_band(called(spark, sf_dir).drop("tile")).where("i = j")
     return own.groupBy(F.floor(F.col("i") / 4).cast("int").alias("cycle")).agg(r(F.sum("v"), 3).alias("variance"))
 
 
@@ -458,7 +457,7 @@ def spike_quality_counts(spark, sf_dir):
     return _counts(spark, sf_dir)
 
 
-@query("WITH g AS (SELECT DISTINCT l_linenumber FROM lineitem), q AS (SELECT l_linenumber, unnest(range(94)) AS q FROM g) SELECT l_linenumber, CAST(q AS INTEGER) AS q, count(l_orderkey) FILTER (WHERE l_returnflag <> CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END) AS diff, count(l_orderkey) AS obs FROM q LEFT JOIN (SELECT l_linenumber AS n, * FROM lineitem) l ON l.n = q.l_linenumber AND CAST(l.l_quantity AS INTEGER) = q.q GROUP BY 1, 2")
+@query("WITH g AS (SELECT DISTINCT l_linenumber FROM lineitem), q AS (SELECT l_linenumber, unnest(range(94)) AS q FROM g) SELECT q.l_linenumber AS l_linenumber, CAST(q.q AS INTEGER) AS q, count(l.o) FILTER (WHERE l.wrong) AS diff, count(l.o) AS obs FROM q LEFT JOIN (SELECT l_linenumber AS n, l_orderkey AS o, CAST(l_quantity AS INTEGER) AS lq, l_returnflag <> CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS wrong FROM lineitem) l ON l.n = q.l_linenumber AND l.lq = q.q GROUP BY 1, 2")
 def spike_counts_by_tile(spark, sf_dir):
     """Counts for every quality of every tile (here: line number), as spike-in mode takes them."""
     rows = read(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("call"), F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("truth"))
@@ -470,16 +469,42 @@ def empirical_quality(spark, sf_dir):
     return joins.observed_quality(_counts(spark, sf_dir)).select("q", "actual")
 
 
-# model fits: not SQL, tested against brute force
+# best paths and posterior qualities; the SQL recurs over the cycles
 
 
-@query()
+# The chain of ``chain_precision``: a base's own cost, and the cost of a base before another. With d = 1e-4 on the diagonal and
+# e = -0.3e-4 between the same channel of neighbours, cost(b) = d (lam - 2 p_b) and pair(a, b) = 2 e (lam [a = b] - q_b - p_a), where q is
+# the cycle before and p this one; the score is p'Op + lam times the least sum.
+_CHAIN = FITTED + """, w AS (SELECT cluster_idx, cycle, p, lam FROM pc JOIN lam USING (cluster_idx)),
+bs AS (SELECT cluster_idx, cycle, lam, p, list_transform([1, 2, 3, 4], lambda b: 1e-4 * (lam - 2 * p[b])) AS own, lag(p) OVER (PARTITION BY cluster_idx ORDER BY cycle) AS q, lead(p) OVER (PARTITION BY cluster_idx ORDER BY cycle) AS nx FROM w),
+pairs AS (SELECT *, [0, 1, 2, 3] AS k, list_transform([1, 2, 3, 4], lambda b: list_transform([1, 2, 3, 4], lambda a: -0.6e-4 * (CASE WHEN a = b THEN lam ELSE 0 END - q[b] - p[a]))) AS pair,
+  list_transform([1, 2, 3, 4], lambda a: list_transform([1, 2, 3, 4], lambda b: -0.6e-4 * (CASE WHEN a = b THEN lam ELSE 0 END - p[b] - nx[a]))) AS after FROM bs),
+quad AS (SELECT cluster_idx, sum(1e-4 * list_dot_product(p, p) + coalesce(-0.6e-4 * list_dot_product(p, q), 0)) AS quad FROM bs GROUP BY 1),
+fwd AS (SELECT cluster_idx, cycle, CAST([0, 0, 0, 0] AS DOUBLE[]) AS past, own AS cost, ['A', 'C', 'G', 'T'] AS path FROM pairs WHERE cycle = 0
+  UNION ALL
+  SELECT cluster_idx, cycle, past, list_transform([1, 2, 3, 4], lambda b: past[b] + own[b]), list_transform([1, 2, 3, 4], lambda b: path[CAST(list_position(step[b], list_min(step[b])) AS BIGINT)] || substr('ACGT', b, 1))
+  FROM (SELECT n.cluster_idx, n.cycle, n.own, f.path, s.step, list_transform([1, 2, 3, 4], lambda b: list_min(s.step[b])) AS past
+        FROM fwd f JOIN pairs n ON n.cluster_idx = f.cluster_idx AND n.cycle = f.cycle + 1, LATERAL (SELECT list_transform([1, 2, 3, 4], lambda b: list_transform([1, 2, 3, 4], lambda a: f.cost[a] + n.pair[b][a])) AS step) s)),
+fin AS (SELECT f.cluster_idx, f.path[CAST(list_position(f.cost, list_min(f.cost)) AS BIGINT)] AS bases, q.quad + l.lam * list_min(f.cost) AS score, q.quad, l.lam FROM fwd f JOIN quad q USING (cluster_idx) JOIN lam l USING (cluster_idx) WHERE f.cycle = 15)"""
+_RECURSIVE = "WITH RECURSIVE " + _CHAIN
+
+
+@query(_RECURSIVE + " SELECT cluster_idx, bases, round(score, 4) AS score FROM fin")
 def viterbi_calls(spark, sf_dir):
     """Best sequences and their scores under a chain precision with correlated neighbours."""
     return _with_chain(spark, sf_dir).select("cluster_idx", "bases", F.round("score", 4).alias("score"))
 
 
-@query()
+_POSTERIOR = _RECURSIVE + """, bwd AS (SELECT cluster_idx, cycle, own, CAST([0, 0, 0, 0] AS DOUBLE[]) AS future FROM pairs WHERE cycle = 15
+  UNION ALL
+  SELECT n.cluster_idx, n.cycle, n.own, list_transform([1, 2, 3, 4], lambda a: list_min(list_transform([1, 2, 3, 4], lambda b: n.after[a][b] + f.own[b] + f.future[b]))) FROM bwd f JOIN pairs n ON n.cluster_idx = f.cluster_idx AND n.cycle = f.cycle - 1),
+st4 AS (SELECT b.cluster_idx, b.cycle, CAST(instr('ACGT', substr(fin.bases, CAST(b.cycle + 1 AS BIGINT), 1)) AS BIGINT) AS k, list_transform([1, 2, 3, 4], lambda x: ln(1 + greatest(0.0, fin.quad + fin.lam * (f.past[x] + b.future[x] + b.own[x])))) AS s
+  FROM bwd b JOIN fwd f ON b.cluster_idx = f.cluster_idx AND b.cycle = f.cycle JOIN fin ON b.cluster_idx = fin.cluster_idx),
+ql AS (SELECT cluster_idx, cycle, -10 * log10(1 - (1 - pow(10, -3.8)) / list_sum(list_transform(s, lambda x: exp(-32.5 * (x - s[k]))))) AS q FROM st4)
+SELECT cluster_idx, string_agg(chr(CAST(greatest(33, least(126, floor(q + 33.5))) AS INTEGER)), '' ORDER BY cycle) AS quality FROM ql GROUP BY 1"""
+
+
+@query(_POSTERIOR)
 def posterior_quality(spark, sf_dir):
     return _with_chain(spark, sf_dir).select("cluster_idx", "quality")
 
@@ -515,15 +540,48 @@ def fit_tile(spark, sf_dir):
     return out.select("tile", "cluster_idx", "bases", "quality", F.round("brightness", 3).alias("brightness"))
 
 
+def _omega(spark, sf_dir) -> DataFrame:
+    """tile, i, j and v: the covariance of raw residuals (``v``, zero off the band) and its chain precision (``omega``), both solved for in the task of the sums."""
+    rows = called(spark, sf_dir).withColumn("tile", F.lit(0))
+    sums = suff.partial_sums(rows, ["signal", "calls", "brightness", "weight"], lambda tile, c: suff.band_sums(suff.matrix_of(c[0]) - c[2].to_numpy()[:, None] * suff.one_hot(suff.matrix_of(c[1], np.int8)), c[3].to_numpy()))
+
+    def solved(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = suff.band_matrix(batch.column("v")[k].values.to_numpy())
+                omega = solve.precision(v)
+                i, j = np.nonzero(np.ones_like(v))
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v.ravel()), pa.array(omega.ravel())], names=["i", "j", "v", "omega"])
+
+    return sums.mapInArrow(solved, "i int, j int, v double, omega double")
+
+
 @query()
 def omega_closed_form(spark, sf_dir):
     """The chain precision of the band covariance of raw residuals, in long form."""
-    rows = called(spark, sf_dir).withColumn("processed", F.transform("signal", lambda v: v.cast("double")))
-    v = np.zeros((64, 64))
-    for row in suff.band_covariance(rows, []).collect():  # 16 cycles: at most 736 numbers
-        v[row["i"], row["j"]] = row["v"]
-    omega = solve.precision(v)
-    return spark.createDataFrame([(i, j, round(float(omega[i, j]) * 1e6, 6)) for i, j in zip(*np.nonzero(omega), strict=True) for i, j in [(int(i), int(j))]], "i int, j int, v double")
+    return _omega(spark, sf_dir).where("omega != 0").select("i", "j", F.round(F.col("omega") * 1e6, 6).alias("v"))
+
+
+@query(f"WITH {_REST} SELECT a.i AS i, b.i AS j, round(sum(a.w * a.x * b.x) / sum(a.w) + 1.7e-6, 3) + 0.0 AS v FROM rest a JOIN rest b ON a.cluster_idx = b.cluster_idx AND abs(a.cycle - b.cycle) <= 1 GROUP BY 1, 2")
+def omega_inverse(spark, sf_dir):
+    """The inverse of the chain precision: on the band it is the covariance again, which defines the fit."""
+    rows = _omega(spark, sf_dir)
+
+    def inverted(batches):
+        import pyarrow as pa
+
+        held = pa.Table.from_batches(batches)
+        if held.num_rows:  # 64 x 64 numbers, which the coalesce brings to one task
+            i, j = held.column("i").to_numpy(), held.column("j").to_numpy()
+            m = np.zeros((i.max() + 1, i.max() + 1))
+            m[i, j] = held.column("omega").to_numpy()
+            v = np.linalg.inv(m)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v[i, j])], names=["i", "j", "v"])
+
+    near = F.abs(F.floor(F.col("i") / 4) - F.floor(F.col("j") / 4)) <= 1
+    return rows.coalesce(1).mapInArrow(inverted, "i int, j int, v double").where(near).select("i", "j", r("v", 3).alias("v"))
 
 
 @query("SELECT min(ascii(c)) AS lo, max(ascii(c)) AS hi, count(*) AS n FROM (SELECT substr('!\"#', CAST(1 + vec_id % 3 AS INTEGER), 1) AS c FROM embeddings)")

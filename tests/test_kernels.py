@@ -72,6 +72,41 @@ def test_sums_give_back_the_model():
     assert np.abs(found.n - noise).max() < 1.0
 
 
+def test_batch_sums_equal_the_long_form(spark):
+    """J, K and the band by batches and by the plain definition, with ambiguous bases."""
+    from fluorspark.operators import sufficient as suff
+
+    rng = np.random.default_rng(16)
+    rows = [(int(k % 2), [int(v) for v in rng.integers(-50, 900, 12)], [int(b) for b in rng.integers(0, 5, 3)], float(rng.uniform(1, 9)), float(rng.uniform(0.1, 1))) for k in range(40)]
+    df = spark.createDataFrame(rows, "tile int, signal array<smallint>, calls array<tinyint>, brightness double, weight double")
+    held = lambda d: {(r["tile"], r["i"], r["j"]): round(r["v"], 6) for r in d.collect() if abs(r["v"]) > 1e-9}
+    assert held(suff.batch_long(df, "gram")) == held(suff.gram(df, ["tile"]))
+    assert held(suff.batch_long(df, "cross")) == held(suff.cross(df, ["tile"]))
+    own = df.selectExpr("*", "transform(signal, v -> double(v)) AS processed")
+    assert held(suff.batch_band(own)) == held(suff.band_covariance(own, ["tile"]))
+
+
+def test_ranks_and_medians_of_hot_groups(spark):
+    from fluorspark.operators import statistics as stats
+
+    rng = np.random.default_rng(18)
+    rows = [("a", float(v)) for v in rng.integers(0, 40, 300)] + [("b", 1.0)] * 200 + [("c", 2.0), ("c", 5.0), ("d", 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {(r["g"], r["rank"]): (r["v"], r["n"]) for r in stats.ranked(df.where("v IS NOT NULL"), ["g"], "v").collect()}
+    for g in "abcd":
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert [got[g, k + 1] for k in range(len(values))] == [(v, len(values)) for v in values]
+    assert {r["g"]: r["median"] for r in stats.median(df, ["g"], "v").collect()} == {g: float(np.median([v for k, v in rows if k == g and v is not None])) for g in "abcd"}
+
+
+def test_sequence_with_ambiguous_bases_is_scored():
+    rng = np.random.default_rng(20)
+    omega, p, lam = chain(rng, 3), rng.normal(size=(2, 12)), rng.uniform(1, 3, 2)
+    calls = np.array([[0, 4, 2], [4, 4, 1]], dtype=np.int8)
+    rest = p - lam[:, None] * one_hot(calls)
+    assert np.allclose(kernels.path_score(p, lam, omega, calls), np.einsum("ni,ij,nj->n", rest, omega, rest))
+
+
 def test_nonnegative_squares():
     rng = np.random.default_rng(7)
     for _ in range(20):
@@ -88,6 +123,7 @@ def test_normalised_determinant():
 
 def test_first_sums_of_five_clusters():
     """Sums of a small worked example: weights, brightness and three cycles."""
+    # The example's inputs and sums.
     calls = np.array([3, 2, 3, 3, 3, 1, 3, 1, 3, 0, 1, 3, 3, 0, 2], dtype=np.int8).reshape(5, 3)
     w = np.array([0.33081400, 0.29916646, 0.79687810, 0.04376649, 0.04898477])
     lam = np.array([2.852168, 11.890647, 10.675880, 5.542096, 3.245923])
