@@ -94,13 +94,7 @@ def best_path(p: np.ndarray, lam: np.ndarray, omega: np.ndarray) -> tuple[np.nda
 
 def path_score(p: np.ndarray, lam: np.ndarray, omega: np.ndarray, calls: np.ndarray) -> np.ndarray:
     """The quadratic form of a given sequence; an ambiguous base stands for no signal."""
-    base, pair = (np.pad(x, [(0, 0), (0, 0), *[(0, 1)] * (x.ndim - 2)]) for x in _costs(p, lam, omega))
-    n, c = calls.shape
-    rows, at = np.arange(n)[:, None], calls.astype(int)
-    total = base[rows, np.arange(c), at].sum(axis=1)
-    if c > 1:
-        total = total + pair[rows, np.arange(1, c), at[:, :-1], at[:, 1:]].sum(axis=1)
-    return _quadratic(p, omega) + lam * total
+    return _quadratic(p - lam[:, None] * one_hot(calls), omega)
 
 
 def posterior_quality(p: np.ndarray, lam: np.ndarray, omega: np.ndarray, freedom: float, calls: np.ndarray, generalised: float = 38.0) -> np.ndarray:
