@@ -31,7 +31,7 @@ from .common import cut, fields, numbered, restored, slices, texts_of, with_new
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Frequent keys of a shard, the most shards (beyond them shards grow), and postings that meet one copy of a filter.
-SHARD_KEYS, MOST_SHARDS, PART_ROWS = 1 << 16, 1 << 20, 1 << 20
+SHARD_KEYS, MOST_SHARDS, PART_ROWS = 1 << 16, 1 << 20, 1 << 18
 _U = np.uint64
 
 
