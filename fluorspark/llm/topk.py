@@ -1,11 +1,13 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors become integers, floor(64 * x), packed in blocks. Every block of queries meets every
-block of candidates; a pass scores all pairs and counts each query's scores in 256 equal bins
-between its bounds. Summed over the tasks, the counts name the bin of the k-th score, which is
+Vectors become integers, floor(64 * x), packed in blocks, and candidate blocks are dealt out once.
+Every block of queries meets every block of candidates; a pass scores all pairs and counts each
+query's scores in 1024 equal bins between its bounds. A task adds up what it counts and sends the bins
+from the highest to the one in which it alone reaches the wanted number: the k-th score of all rows
+lies no lower. Summed over the tasks, the counts name the bin of the k-th score, which is
 refined until it is one score wide. A last pass keeps what lies above, and of the ties at the
 k-th score the smallest ids. Only block products meet in a task; no pair of rows is emitted
-unless it is among a task's best.
+unless it is among a block's best.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as
 rows with a null id; vectors of other lengths than the query's are no candidates of it; rows
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BINS = 256
+BINS = 1024
 CAND_BLOCK, QUERY_BLOCK = 4096, 512
-#: Candidate blocks that one copy of the queries meets.
-BLOCKS_A_CELL = 4
+#: Copies of the queries for each shuffle partition at most; several, so that partitions get about equal shares.
+CELLS_A_PARTITION = 4
+#: Query blocks whose counts a task holds at once, 4 MB each.
+HELD_BLOCKS = 16
 MOST = 1 << 61
 LEAST = -MOST - 1
 
@@ -42,6 +46,18 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(v.isNotNull() & finite & F.col("vec_id").isNotNull()).select("vec_id", scaled.alias("v"))
 
 
+def packed_numbers(v: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them all."""
+    most = np.abs(v).max(initial=0)
+    return v.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64).tobytes()
+
+
+def unpacked_numbers(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """What ``packed_numbers`` packed, as doubles; the type follows from the size."""
+    kind = {2: np.int16, 4: np.int32}.get(len(data) // max(1, rows * dim), np.float64)
+    return np.frombuffer(data, dtype=kind).reshape(rows, dim).astype(np.float64)
+
+
 def blocks(rows: DataFrame, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Vectors of equal length packed as bytes, ``size`` rows at most in a block."""
     names = ("vec_id", *extra)
@@ -51,7 +67,8 @@ def blocks(rows: DataFrame, size: int, extra: tuple[str, ...] = ()) -> DataFrame
 
         def packed(dim: int) -> pa.RecordBatch:
             parts = held.pop(dim)
-            columns = [pa.array([np.concatenate([p[k] for p in parts]).tobytes()], pa.binary()) for k in range(len(names) + 1)]
+            joined = [np.concatenate([p[k] for p in parts]) for k in range(len(names) + 1)]
+            columns = [pa.array([x], pa.binary()) for x in (*(n.tobytes() for n in joined[:-1]), packed_numbers(joined[-1]))]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *columns], names=["dim", *names, "data"])
 
         for batch in batches:
@@ -81,30 +98,49 @@ def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def scored(queries: DataFrame, cands: DataFrame, cells: int, schema: str, use: Callable) -> DataFrame:
-    """Runs ``use(query ids, lo, hi, need, candidate ids, scores)`` on every pair of blocks.
+    """Runs ``use`` on an iterator of (query ids, lo, hi, need, candidate ids, scores), one item for every pair of blocks that a task gets.
 
     Query blocks are copied to every cell of candidate blocks: a stated query set against all rows.
     """
     left = queries.select("dim", F.col("vec_id").alias("q_ids"), "lo", "hi", "need", F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     right = cands.select("dim", "vec_id", "data", "cell")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            for row in batch.to_pylist():
-                numbers = [np.frombuffer(row[k], dtype=np.int64) for k in ("q_ids", "lo", "hi", "need", "vec_id")]
-                q, c = (np.frombuffer(row[k]).reshape(len(n), row["dim"]) for k, n in (("q_data", numbers[0]), ("data", numbers[4])))
-                yield use(*numbers, products(q, c))
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                numbers = [np.frombuffer(row[c], dtype=np.int64) for c in ("q_ids", "lo", "hi", "need", "vec_id")]
+                q, c = (unpacked_numbers(row[d], len(n), row["dim"]) for d, n in (("q_data", numbers[0]), ("data", numbers[4])))
+                yield *numbers, products(q, c)
+
+    return left.join(right, ["dim", "cell"]).drop("cell").mapInArrow(lambda batches: use(pairs(batches)), schema)
+
+
+def _histograms(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Each query's counts by bin over all of a task's candidates, from the highest bin to the one that reaches the wanted number."""
+    held: dict[bytes, list[np.ndarray]] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for ids, need, counts in held.values():
+            above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
+            q, at = np.nonzero((counts > 0) & (above < need[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(at), pa.array(counts[q, at])], names=["query_id", "bin", "n"])
+        held.clear()
 
-    return left.join(right, ["dim", "cell"]).drop("cell").mapInArrow(run, schema)
+    for ids, lo, hi, need, cand, scores in pairs:
+        key = ids.tobytes()
+        if key not in held and len(held) >= HELD_BLOCKS:
+            yield from sent()
+        width = bin_width(lo, hi)[:, None]
+        inside = (scores >= lo[:, None]) & (scores <= hi[:, None]) & (cand[None, :] != ids[:, None])
+        bins = np.where(inside, (scores - lo[:, None]) // width, 0) + (np.arange(len(ids)) * BINS)[:, None]
+        held.setdefault(key, [ids, need, np.zeros((len(ids), BINS), dtype=np.int64)])[2] += np.bincount(bins[inside], minlength=len(ids) * BINS).reshape(-1, BINS)
+    yield from sent()
 
 
-def _counted(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray, cand: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    width = bin_width(lo, hi)[:, None]
-    inside = (scores >= lo[:, None]) & (scores <= hi[:, None]) & (cand[None, :] != ids[:, None])
-    bins = np.where(inside, (scores - lo[:, None]) // width, 0) + (np.arange(len(ids)) * BINS)[:, None]
-    counts = np.bincount(bins[inside], minlength=len(ids) * BINS)
-    at = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(ids[at // BINS]), pa.array(at % BINS), pa.array(counts[at])], names=["query_id", "bin", "n"])
+def _winners(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for pair in pairs:
+        yield _best(*pair)
 
 
 def _best(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray, cand: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
@@ -126,11 +162,14 @@ def bin_width(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best candidates of each query, all if there are fewer."""
     own = usable(queries, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
-    cands = cut(blocks(usable(rows, vector), CAND_BLOCK))
-    cells = max(1, cands.count() // BLOCKS_A_CELL)
-    cands = cands.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    far = usable(rows, vector).agg(F.max(length)).first()[0] or 0.0
+    far, many = usable(rows, vector).agg(F.max(length), F.count("*")).first()
+    far = far or 0.0
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, min(CELLS_A_PARTITION * partitions, -(-many // CAND_BLOCK)))
+    dealt = blocks(usable(rows, vector), CAND_BLOCK).withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int"))
+    # every pass meets the candidates where they lie
+    cands = cut(dealt.repartition(min(partitions, cells), "dim", "cell"))
     # no score is farther from 0 than the product of the lengths
     reach = F.least(F.ceil(length * F.lit(far) * (1 + 1e-9) + 1), F.lit(MOST)).cast("long")
     state = cut(own.select("vec_id", "v", (-reach).alias("lo"), reach.alias("hi"), F.lit(k).cast("long").alias("need")))
@@ -139,7 +178,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embe
         if open_.isEmpty():
             break
         open_ = blocks(open_, QUERY_BLOCK, ("lo", "hi", "need"))
-        counts = scored(open_, cands, cells, "query_id long, bin long, n long", _counted).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = scored(open_, cands, cells, "query_id long, bin long, n long", _histograms).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         reached = counts.withColumn("seen", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bin"))))
         wanted = state.select(F.col("vec_id").alias("query_id"), "need")
         # the first bin, from above, at which the wanted number is reached; none if there are too few
@@ -154,6 +193,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embe
                 F.expr("need - coalesce(over, 0)").alias("need"),
             )
         )
-    best = scored(blocks(state, QUERY_BLOCK, ("lo", "hi", "need")), cands, cells, "query_id long, vec_id long, score long", _best)
+    best = scored(blocks(state, QUERY_BLOCK, ("lo", "hi", "need")), cands, cells, "query_id long, vec_id long, score long", _winners)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -465,7 +465,7 @@ def best(vectors, queries, k):
 def test_topk_with_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "CAND_BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "BLOCKS_A_CELL", 2)
+    monkeypatch.setattr(topk, "HELD_BLOCKS", 2)
     rng = np.random.default_rng(11)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(100)] + [(k, [1.0] * 8) for k in range(100, 160)] + [(200, [0.5, -0.25])]
     bad = [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] + [0.0] * 7), (303, [None] + [0.0] * 7), (None, [0.0] * 8)]
