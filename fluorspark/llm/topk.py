@@ -1,6 +1,6 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors become integers, floor(64 * x), packed in blocks, and candidate blocks are dealt out once.
+Vectors become integers, floor(64 * x), packed in blocks of the narrowest type.
 Every block of queries meets every block of candidates; a pass scores all pairs and counts each
 query's scores in 1024 equal bins between its bounds. A task adds up what it counts and sends the bins
 from the highest to the one in which it alone reaches the wanted number: the k-th score of all rows
@@ -100,7 +100,8 @@ def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 def scored(queries: DataFrame, cands: DataFrame, cells: int, schema: str, use: Callable) -> DataFrame:
     """Runs ``use`` on an iterator of (query ids, lo, hi, need, candidate ids, scores), one item for every pair of blocks that a task gets.
 
-    Query blocks are copied to every cell of candidate blocks: a stated query set against all rows.
+    Query blocks are copied to every cell of candidate blocks: a stated query set against all rows. The merge join spills,
+    and packed candidates travel in each pass, not the queries' scores.
     """
     left = queries.select("dim", F.col("vec_id").alias("q_ids"), "lo", "hi", "need", F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     right = cands.select("dim", "vec_id", "data", "cell")
@@ -113,7 +114,7 @@ def scored(queries: DataFrame, cands: DataFrame, cells: int, schema: str, use: C
                 q, c = (unpacked_numbers(row[d], len(n), row["dim"]) for d, n in (("q_data", numbers[0]), ("data", numbers[4])))
                 yield *numbers, products(q, c)
 
-    return left.join(right, ["dim", "cell"]).drop("cell").mapInArrow(lambda batches: use(pairs(batches)), schema)
+    return left.join(right.hint("merge"), ["dim", "cell"]).drop("cell").mapInArrow(lambda batches: use(pairs(batches)), schema)
 
 
 def _histograms(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +169,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embe
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = max(1, min(CELLS_A_PARTITION * partitions, -(-many // CAND_BLOCK)))
     dealt = blocks(usable(rows, vector), CAND_BLOCK).withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int"))
-    # every pass meets the candidates where they lie
-    cands = cut(dealt.repartition(min(partitions, cells), "dim", "cell"))
+    cands = cut(dealt)
     # no score is farther from 0 than the product of the lengths
     reach = F.least(F.ceil(length * F.lit(far) * (1 + 1e-9) + 1), F.lit(MOST)).cast("long")
     state = cut(own.select("vec_id", "v", (-reach).alias("lo"), reach.alias("hi"), F.lit(k).cast("long").alias("need")))
