@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the thirteen operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, hyperminhash, langid, license_scan, line_dedup, packing, spotsigs, token_counts, topk
+from . import bpe, chat_format, conversation_trie, decontamination, hyperminhash, langid, license_scan, line_dedup, packing, spotsigs, token_counts, topk, vector_codes
 from .common import table
 
 
@@ -71,9 +71,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op8_license_scan, op9_spot_signatures, op10_line_dedup, near_fingerprints)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_token_counts, op5_tool_calls, op6_bpe_round_trip, op7_exact_topk, op8_license_scan, op9_spot_signatures, op10_line_dedup, op11_prefix_trie, op12_vector_codes, op13_decontamination, near_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_tool_calls": chat_format.ORACLE_SQL, "op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "near_fingerprints": spotsigs.near_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_tool_calls": chat_format.ORACLE_SQL, "op7_exact_topk": OP7_SQL, "op9_spot_signatures": spotsigs.oracle_sql(), "near_fingerprints": spotsigs.near_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_prefix_trie": conversation_trie.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
