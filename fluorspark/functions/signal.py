@@ -59,6 +59,18 @@ def dark_cycles(signal: Column) -> Column:
     return F.when(F.size(signal) < CHANNELS, 0).otherwise(F.size(F.filter(per_cycle(signal, lambda ch: F.forall(ch, lambda v: v == 0)), lambda dark: dark)))
 
 
+def kept(values: Column, valid: Column, each: int = 1) -> Column:
+    """The values of valid cycles, ``each`` a cycle; all where ``valid`` is null."""
+    return F.when(valid.isNull(), values).otherwise(F.filter(values, lambda v, k: F.get(valid, F.floor(k / each).cast("int"))))
+
+
+def spread(values: Column, valid: Column, fill: Column) -> Column:
+    """The values of valid cycles at their places among all cycles, and ``fill`` at the others; ``kept`` turned round."""
+    place = F.transform(valid, lambda _, c: F.size(F.filter(F.slice(valid, F.lit(1), c), lambda ok: ok)))
+    whole = let(F.struct(values.alias("v"), place.alias("p")), lambda s: F.transform(valid, lambda ok, c: F.when(ok, F.get(s["v"], F.get(s["p"], c))).otherwise(fill)))
+    return F.when(valid.isNull(), values).otherwise(whole)
+
+
 def synthetic_xy(idx: Column) -> tuple[Column, Column]:
     """Coordinates for clusters that have none: (1,1), (2,1), (2,2), (3,1) and so on."""
     x = F.floor((1 + F.sqrt(1 + 8 * idx.cast("double"))) / 2).cast("bigint")

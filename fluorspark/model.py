@@ -46,6 +46,25 @@ class Params:
     def initial(cls, cycles: int, mix: np.ndarray | None = None) -> Params:
         return cls(np.kron(np.eye(cycles), crosstalk() if mix is None else mix), np.zeros(CHANNELS * cycles))
 
+    def kept(self, valid: np.ndarray | None) -> Params:
+        """A and N of the valid cycles alone."""
+        if valid is None:
+            return self
+        at = np.repeat(np.asarray(valid, dtype=bool), CHANNELS)
+        return Params(self.a[np.ix_(at, at)], self.n[at])
+
+    def spread(self, valid: np.ndarray | None) -> Params:
+        """Parameters of all cycles: those that are not valid have the initial crosstalk, no noise and no precision."""
+        if valid is None:
+            return self
+        at = np.repeat(np.asarray(valid, dtype=bool), CHANNELS)
+        out = Params.initial(len(valid))
+        out.a[np.ix_(at, at)], out.n[at], out.scale, out.freedom = self.a, self.n, self.scale, self.freedom
+        if self.omega is not None:
+            out.omega = np.zeros_like(out.a)
+            out.omega[np.ix_(at, at)] = self.omega
+        return out
+
 
 @dataclass(frozen=True)
 class Options:
@@ -61,4 +80,6 @@ class Options:
     blocks: str = ""
     sample: str = "Sample"
     calibrate: bool = True
+    mu: float = 1e-5
+    mask_nodata: bool = False
     fixed: Params | None = field(default=None, compare=False)

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorspark.functions import signal as sig
-from fluorspark.model import CHANNELS, Options, Params
+from fluorspark.model import AMBIGUOUS, CHANNELS, MIN_PHRED, Options, Params
 from fluorspark.operators import kernels, solve
+from fluorspark.operators.masks import mask_of
 from fluorspark.operators.parameters import ParameterFiles, shared_cut
 from fluorspark.operators.sufficient import band_matrix, band_sums, batch_sums, matrix_of, one_hot, partial_sums, robust_weights, unpacked_width
 
-STATE = "cluster_idx long, tile int, signal array<smallint>, truth array<tinyint>, calls array<tinyint>, brightness double, lse double, lss double, used boolean, quality string"
+STATE = "cluster_idx long, tile int, signal array<smallint>, truth array<tinyint>, calls array<tinyint>, brightness double, lse double, lss double, used boolean, quality string, valid array<boolean>"
 SUMMED = ["signal", "calls", "brightness", "weight"]
 
 
@@ -86,20 +87,34 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
     signals of a tile have one length. ``truth`` names a column of base codes, null for most clusters: where it is known
     it stands for the calls in all iterations but the last, and such clusters are never thinned; ``spiked`` names a column
     of clusters that are not thinned either.
+
+    Where ``clusters`` has a column ``valid`` (booleans, one for each cycle, the same for all clusters of a tile; null if all cycles are valid) the
+    others take no part in sums, precision, paths and qualities: a tile is fitted as if it had its valid cycles alone, and the
+    rest is called N with the least quality. ``signal`` of the state holds valid cycles only.
     """
     files = ParameterFiles(clusters.sparkSession)
     known = F.col(truth).cast("array<tinyint>") if truth else F.lit(None).cast("array<tinyint>")
-    rows = clusters.select("cluster_idx", "tile", "signal", known.alias("truth"), (F.col(spiked) if spiked else F.lit(False)).alias("_spiked"))
+    masked = "valid" in clusters.columns
+    valid = F.col("valid") if masked else F.lit(None).cast("array<boolean>")
+    signal, known = (sig.kept(F.col("signal"), valid, CHANNELS), sig.kept(known, valid)) if masked else (F.col("signal"), known)
+    rows = clusters.select("cluster_idx", "tile", signal.alias("signal"), valid.alias("valid"), known.alias("truth"), (F.col(spiked) if spiked else F.lit(False)).alias("_spiked"))
     marked = training_mark(rows.withColumn("_spiked", F.col("_spiked") | F.col("truth").isNotNull()), options, "_spiked")
     none = {"calls": "array<tinyint>", "brightness": "double", "lse": "double", "lss": "double", "quality": "string"}
-    state = marked.select("cluster_idx", "tile", "signal", "truth", "used", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    state = marked.select("cluster_idx", "tile", "signal", "valid", "truth", "used", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    state = state.select(*(f.split()[0] for f in STATE.split(", ")))
+    none_valid = state.where(F.size("signal") == 0)
+    masks = None
+    if masked:
+        state = state.where(F.size("signal") > 0)
+        masks = state.groupBy("tile").agg(F.first("valid").alias("valid")) if options.fixed else None
 
-    def first(cycles: int) -> Params:
-        return options.fixed or Params.initial(cycles, mix)
+    def first(cycles: int, valid: np.ndarray | None) -> Params:
+        return options.fixed.kept(valid) if options.fixed else Params.initial(cycles, mix)
 
     def start(tile: int, rows: pa.RecordBatch) -> dict:
         signal = matrix_of(rows.column("signal"))
-        param, n = first(signal.shape[1] // CHANNELS), len(signal)
+        param, n = first(signal.shape[1] // CHANNELS, mask_of(rows)), len(signal)
         p = kernels.processed(signal, param.a, param.n)
         calls = kernels.strongest(p)
         at, bases = _truth(rows)
@@ -108,18 +123,18 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
         lam = kernels.brightness(signal, calls, param.a, param.n)
         return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(np.full(n, float(signal.shape[1]))), "quality": pa.array([None] * n, pa.string())}
 
-    state = shared_cut(mapped(state.select(*(f.split()[0] for f in STATE.split(", "))), start))
+    state = shared_cut(mapped(state, start))
     for step in range(options.iterations):
         used = robust_weights(state.where("used"), ["tile"])
         sums = partial_sums(used, SUMMED, lambda tile, c: batch_sums(matrix_of(c[0]), matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
 
         def mixed(tile: int, v: np.ndarray, row: dict, step: int = step) -> None:
-            begin = first(unpacked_width(v) // CHANNELS)
+            begin = first(unpacked_width(v) // CHANNELS, row.get("valid"))
             found = begin if options.fixed else solve.mixing(v, begin.a, options.ridge, options.delta)
             a, scale = solve.normalised(found.a)
             files.put(f"{step}-mixing", tile, Params(found.a if options.fixed else a, found.n, scale=scale))
 
-        _solved(sums, mixed)
+        _solved(sums if masks is None else sums.join(masks, "tile", "left"), mixed)
 
         def spread(tile: int, c: list[pa.Array], step: int = step) -> np.ndarray:
             found = files.get(f"{step}-mixing", tile)
@@ -137,17 +152,23 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
 
         _solved(partial_sums(used, SUMMED, spread).join(freedom, "tile"), precise)
 
-        def call(tile: int, rows: pa.RecordBatch, step: int = step, last: bool = step + 1 == options.iterations, g: float = options.generalised_error) -> dict:
+        def call(tile: int, rows: pa.RecordBatch, step: int = step, last: bool = step + 1 == options.iterations, g: float = options.generalised_error, mu: float = options.mu) -> dict:
             signal, n = matrix_of(rows.column("signal")), rows.num_rows
             cycles, param = signal.shape[1] // CHANNELS, files.get(str(step), tile)
             if param is None:
                 return {"calls": _lists(np.zeros((n, cycles))), "brightness": pa.array(np.zeros(n)), "lse": pa.array(np.zeros(n)), "lss": pa.array(np.zeros(n)), "quality": pa.array(["!" * cycles] * n)}
             p = kernels.processed(signal, param.a, param.n)
             lam = kernels.brightness(signal, matrix_of(rows.column("calls"), np.int8), param.a, param.n)
-            calls, lss = kernels.best_path(p, lam, param.omega)
             text = pa.array([None] * n, pa.string())
+            if cycles == 1:
+                best, quality = kernels.single_cycle_call(p, lam, param.omega, np.zeros(CHANNELS), mu)
+                calls, quality = best[:, None], quality[:, None]
+                lss = kernels.path_score(p, lam, param.omega, calls)
+            else:
+                calls, lss = kernels.best_path(p, lam, param.omega)
+                quality = kernels.posterior_quality(p, lam, param.omega, param.freedom, calls, g) if last else None
             if last:
-                text = pa.array(kernels.quality_text(kernels.posterior_quality(p, lam, param.omega, param.freedom, calls, g)))
+                text = pa.array(kernels.quality_text(quality))
             else:
                 at, bases = _truth(rows)
                 if len(at):
@@ -156,4 +177,10 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
             return {"calls": _lists(calls), "brightness": pa.array(lam), "lse": pa.array(kernels.error(p, calls, lam)), "lss": pa.array(lss), "quality": text}
 
         state, files.last = shared_cut(mapped(state, call)), str(step)
+    if masked:
+        lost = none_valid.withColumn("calls", F.array().cast("array<tinyint>")).withColumn("quality", F.lit(""))
+        state = state.unionByName(lost.fillna(0.0, ["brightness", "lse", "lss"]).withColumn("used", F.lit(False)))
+        letters = F.filter(F.split("quality", ""), lambda c: c != "")
+        state = state.withColumn("calls", sig.spread(F.col("calls"), F.col("valid"), F.lit(AMBIGUOUS).cast("tinyint")))
+        state = state.withColumn("quality", F.array_join(sig.spread(letters, F.col("valid"), F.lit(chr(MIN_PHRED))), ""))
     return state, files

@@ -31,7 +31,21 @@ def parse(text: str) -> list[list[tuple[int, int]]]:
 
 
 def split(clusters: DataFrame, text: str) -> DataFrame:
-    """A row for each cluster and block, ``signal`` cut to the block's cycles; ``block`` counts from 0."""
-    parts = [F.struct(F.lit(k).alias("block"), sig.cut(F.col("signal"), ranges).alias("signal")) for k, ranges in enumerate(parse(text))]
-    rest = [c for c in clusters.columns if c not in ("signal", "block")]
-    return clusters.select(*rest, F.explode(F.array(*parts)).alias("_b")).select(*rest, F.col("_b.block").alias("block"), F.col("_b.signal").alias("signal"))
+    """A row for each cluster and block, ``signal`` and, if there is one, ``valid`` cut to the block's cycles; ``block`` counts from 0."""
+    masked = "valid" in clusters.columns
+    parts = []
+    for k, ranges in enumerate(parse(text)):
+        fields = [F.lit(k).alias("block"), sig.cut(F.col("signal"), ranges).alias("signal")]
+        if masked:
+            own = F.concat(*(F.slice("valid", first + 1, n) for first, n in ranges))
+            fields.append(F.when(F.exists(own, lambda v: ~v), own).alias("valid"))
+        parts.append(F.struct(*fields))
+    rest = [c for c in clusters.columns if c not in ("signal", "block", "valid")]
+    cut = ["block", "signal"] + ["valid"] * masked
+    return clusters.select(*rest, F.explode(F.array(*parts)).alias("_b")).select(*rest, *(F.col(f"_b.{c}").alias(c) for c in cut))
+
+
+def wanted(text: str) -> tuple[list[int], str]:
+    """The cycles that a block string reads, from 1, and the block string over these cycles alone."""
+    cycles = [first + k + 1 for ranges in parse(text) for first, n in ranges for k in range(n)]
+    return cycles, "".join(f"{'R' if k == 0 else 'C'}{n}" for ranges in parse(text) for k, (_, n) in enumerate(ranges))

@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from fluorspark.functions import calibration
 from fluorspark.model import CHANNELS, MIN_PHRED, Options, Params
 from fluorspark.operators import joins, parameters
 from fluorspark.plans import blocks, entry
-from fluorspark.sources import cif, sinks, text
+from fluorspark.sources import cif, named, sinks, text
 
 log = logging.getLogger("fluorspark")
 #: A lane and a tile as one number, the key of a fit.
@@ -65,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
     add("-t", dest="thin", type=uint, default=1)
     add("-w", dest="working", nargs="?", const="processed", default="none", type=str.lower, choices=WORKING, help="working outputs; each level has those before it")
     add("-z", dest="zero_thin", type=uint, default=3)
+    p.add_argument("--mask-nodata", dest="mask_nodata", action="store_true", help="call N where a cycle is zero in all clusters of a tile")
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("--licence", "--license", action="version", version=LICENCE, help="show the licence and stop")
     return p
@@ -81,7 +83,7 @@ def options_of(spark: SparkSession, args: argparse.Namespace) -> Options:
     fixed = None
     if args.parameter_a:
         fixed = Params(text.read_matrix(spark, args.parameter_a), text.read_matrix(spark, args.noise).T.ravel())
-    return Options(iterations=args.iterations, generalised_error=args.generr, thin=args.thin, zero_thin=args.zero_thin, blocks=args.blocks, sample=args.sample, calibrate=not args.no_calibration, fixed=fixed)
+    return Options(iterations=args.iterations, generalised_error=args.generr, thin=args.thin, zero_thin=args.zero_thin, blocks=args.blocks, sample=args.sample, calibrate=not args.no_calibration, fixed=fixed, mu=args.mu, mask_nodata=args.mask_nodata)
 
 
 def _listed(spark: SparkSession, folder: str) -> list[str]:
@@ -91,43 +93,78 @@ def _listed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in store.listStatus(path) if x.isFile())
 
 
-def read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """All clusters that the patterns mean: lane, tile, cluster_idx, x, y, signal."""
-    if args.run_folder:
-        return read_folder(spark, args.input, args.pattern)
+def _paths(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     names = [n for p in args.pattern for n in text.select_files(_listed(spark, args.input), p, args.dataformat)]
     if not names:
         raise ValueError(f"no files for {args.pattern} in {args.input}")
-    paths = [f"{args.input}/{n}" for n in names]
+    return [f"{args.input}/{n}" for n in names]
+
+
+def read(spark: SparkSession, args: argparse.Namespace, cycles: list[int] | None = None) -> DataFrame:
+    """All clusters that the patterns mean: lane, tile, cluster_idx, x, y, signal, valid and ``name``, their file's; of binary files the ``cycles`` alone, if they are given."""
+    if args.run_folder:
+        rows = read_folder(spark, args.input, args.pattern, cycles)
+        return rows.withColumn("name", F.concat(F.lit("s_"), "lane", F.lit("_"), "tile", F.lit(".cif")))
+    paths = _paths(spark, args)
+    name = F.element_at(F.split("file", "/"), -1).alias("name")
+    valid = F.lit(None).cast("array<boolean>").alias("valid")
+    if args.dataformat == "txt":
+        rows = text.read_intensities(spark, paths)
+    else:
+        rows = cif.load(spark, cif.CifSource, cycles or (), path=",".join(paths))
+    return rows.select("lane", "tile", "cluster_idx", "x", "y", "signal", valid, name)
+
+
+def width(spark: SparkSession, args: argparse.Namespace, clusters: DataFrame) -> int:
+    """The most cycles of any tile: by the names of a run folder, the headers of binary files, the lines of text."""
+    if args.run_folder:
+        return folder_width(spark, args.input, args.pattern)
     if args.dataformat == "txt":
-        return text.read_intensities(spark, paths).drop("ncycle")
-    spark.dataSource.register(cif.CifSource)
-    lane, tile = text.lane_and_tile(F.element_at(F.split("file", "/"), -1))
-    rows = spark.read.format("intensity").option("path", ",".join(paths)).load()
-    return rows.select(lane.alias("lane"), tile.alias("tile"), "cluster_idx", "x", "y", "signal")
+        return (clusters.agg(F.max(F.size("signal"))).first()[0] or 0) // CHANNELS
 
+    def heads(batches):
+        import pyarrow as pa
 
-def _globbed(spark: SparkSession, pattern: str) -> list[str]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([cif.cycles_of(p) for p in batch.column(0).to_pylist()], pa.int32())], names=["cycles"])
+
+    paths = spark.createDataFrame([(p,) for p in _paths(spark, args)], "path string")
+    return paths.mapInArrow(heads, "cycles int").agg(F.max("cycles")).first()[0] or 0
+
+
+def _globbed(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """Paths that a pattern means, and their bytes."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(x.getPath().toString().replace("file:/", "file:///") for x in found)
+    return sorted((x.getPath().toString().replace("file:/", "file:///"), x.getLen()) for x in found)
 
 
-def read_folder(spark: SparkSession, root: str, ranges: list[str]) -> DataFrame:
+def folder_width(spark: SparkSession, root: str, ranges: list[str]) -> int:
+    """The greatest cycle that a folder of the lanes is named after."""
+    found = [0]
+    for lanes, _ in map(text.parse_range, ranges):
+        for lane in range(lanes[0], lanes[1] + 1):
+            names = _globbed(spark, f"{root}/Data/Intensities/L{lane:03d}/C*.1")
+            found += [int(m[1]) for m in (re.search(r"/C(\d+)\.1/?$", n) for n, _ in names) if m]
+    return max(found)
+
+
+def read_folder(spark: SparkSession, root: str, ranges: list[str], cycles: list[int] | None = None) -> DataFrame:
     """Tiles of a run folder, whose cycles stand in files of their own; tiles that are missing are skipped.
 
-    Coordinates come from the tile's position file; a tile without one has synthetic coordinates.
+    Coordinates come from the tile's position file; a tile without one has synthetic coordinates. The driver lists names and sizes and opens no
+    file. A tile without a cycle that others have, or that is among ``cycles``, has it marked in ``valid``.
     """
-    spark.dataSource.register(cif.FolderSource)
-    tiles, positions = {}, []
+    tiles, positions, sizes = {}, [], {}
     for lanes, numbers in map(text.parse_range, ranges):
         for lane in range(lanes[0], lanes[1] + 1):
             held: dict[int, list[str]] = {}
-            for name in _globbed(spark, f"{root}/Data/Intensities/L{lane:03d}/C*.1/s_{lane}_*.cif*"):
+            for name, size in _globbed(spark, f"{root}/Data/Intensities/L{lane:03d}/C*.1/s_{lane}_*.cif*"):
                 m = re.fullmatch(rf"s_{lane}_(\d+)\.cif(?:\.gz|\.bz2)?", name.rsplit("/", 1)[-1])
                 if m:
                     held.setdefault(int(m[1]), []).append(name)
-            placed = {int(re.search(r"_(\d+)_pos\.txt$", n)[1]): n for n in _globbed(spark, f"{root}/Data/Intensities/s_{lane}_[0-9][0-9][0-9][0-9]_pos.txt")}
+                    sizes[lane, int(m[1])] = sizes.get((lane, int(m[1])), 0) + size
+            placed = {int(re.search(r"_(\d+)_pos\.txt$", n)[1]): n for n, _ in _globbed(spark, f"{root}/Data/Intensities/s_{lane}_[0-9][0-9][0-9][0-9]_pos.txt")}
             for tile in range(numbers[0], numbers[1] + 1):
                 if tile not in held:
                     log.warning("no cycles for lane %d tile %d", lane, tile)
@@ -139,7 +176,8 @@ def read_folder(spark: SparkSession, root: str, ranges: list[str]) -> DataFrame:
                     log.warning("no coordinates for lane %d tile %d", lane, tile)
     if not tiles:
         raise ValueError(f"no tiles for {ranges}")
-    rows = spark.read.format("intensity_folder").option("tiles", json.dumps([[*at, paths] for at, paths in tiles.items()])).load()
+    listed = json.dumps([[*at, paths, sizes[at]] for at, paths in tiles.items()])
+    rows = cif.load(spark, cif.FolderSource, cycles or (), tiles=listed, width=str(folder_width(spark, root, ranges)))
     if not positions:
         return rows
     known = F.lit(False)
@@ -182,66 +220,78 @@ def read_truth(spark: SparkSession, location: str, places: DataFrame, cycles: li
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Reads, fits, calls and writes; returns the calls."""
-    clusters = read(spark, args)
-    width = clusters.agg(F.max(F.size("signal"))).first()[0] or 0
+    if args.run_folder:
+        args.dataformat = "cif"
     options = options_of(spark, args)
-    if width // CHANNELS < options.min_cycles:
-        raise ValueError(f"{width // CHANNELS} cycles; at least {options.min_cycles} are needed")
+    pushed = None
+    if options.blocks and args.dataformat == "cif":
+        pushed, own_blocks = blocks.wanted(options.blocks)
+        options = replace(options, blocks=own_blocks)
+    clusters = read(spark, args, pushed)
+    wide = len(pushed) if pushed else width(spark, args, clusters)
+    if wide < options.min_cycles:
+        raise ValueError(f"{wide} cycles; at least {options.min_cycles} are needed")
     keyed = clusters.withColumn("key", F.col("lane") * TILES_A_LANE + F.col("tile"))
     table = calibration.Table() if not args.calibration else text.parse_calibration(text._lines(spark, args.calibration))
-    places = keyed.select("cluster_idx", "key", "lane", F.col("tile").alias("of"), "x", "y")
+    places = keyed.select("cluster_idx", "key", "lane", F.col("tile").alias("of"), "x", "y", "name")
     truth = None
     if args.spikes:
-        cycles = [sum(n for _, n in own) for own in blocks.parse(options.blocks)] if options.blocks else [width // CHANNELS]
+        cycles = [sum(n for _, n in own) for own in blocks.parse(options.blocks)] if options.blocks else [wide]
         truth = parameters.shared_cut(read_truth(spark, args.spikes, places.select("lane", F.col("of").alias("tile")), cycles))
         odd = joins.unmatched(truth, keyed.select("lane", "tile", "cluster_idx"), ["lane", "tile", "cluster_idx"])
         for row in odd.limit(10).collect():
             log.warning("spike-in cluster %d is not in lane %d tile %d", row["cluster_idx"] + 1, row["lane"], row["tile"])
     known = None if truth is None else truth.select((F.col("lane") * TILES_A_LANE + F.col("tile")).alias("tile"), "block", "cluster_idx", "truth", "line")
-    calls, files = entry.fitted(keyed.select("cluster_idx", F.col("key").alias("tile"), "signal"), options, table, text.read_matrix(spark, args.crosstalk) if args.crosstalk else None, known)
-    out = calls.withColumnRenamed("tile", "key").join(places, ["key", "cluster_idx"]).withColumnRenamed("of", "tile")
+    calls, files = entry.fitted(keyed.select("cluster_idx", F.col("key").alias("tile"), "signal", "valid"), options, table, text.read_matrix(spark, args.crosstalk) if args.crosstalk else None, known)
+    # read and joined once: every output takes its rows from here
+    out = parameters.shared_cut(calls.withColumnRenamed("tile", "key").join(places, ["key", "cluster_idx"]).withColumnRenamed("of", "tile"))
+    to = sinks.Outputs(args.output, args.dataformat, len(files) > 1, args.sample if args.concatenate else None)
     if truth is not None:
-        out = _by_spikes(out, truth, args)
+        out = _by_spikes(out, truth, args, to)
     elif options.calibrate:
-        spark.createDataFrame([(text.calibration_text(table).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/calibration")
-    _working(out, files, args)
-    kind, _, packed = args.format.partition(".")
-    sinks.write_sequences(out, f"{args.output}/{options.sample}.{kind}", options.sample, fasta=kind == "fasta", compression={"": None, "gz": "gzip", "bz2": "bzip2"}[packed], blocks=len(files), concatenate=args.concatenate)
+        run_name = re.sub(r"\.[^.]*$", "", args.logfile.rsplit("/", 1)[-1]) if args.logfile else args.sample
+        held = spark.createDataFrame([(f"{run_name}.tab", 0, text.calibration_text(table).rstrip("\n"))], "file string, at int, value string")
+        named.write_text(held, args.output, ["at"])
+    _working(out, files, args, to)
+    sinks.write_sequences(out, to, options.sample, args.format)
     return out
 
 
-def _by_spikes(calls: DataFrame, truth: DataFrame, args: argparse.Namespace) -> DataFrame:
+def _by_spikes(calls: DataFrame, truth: DataFrame, args: argparse.Namespace, to: sinks.Outputs) -> DataFrame:
     """Counts the spike-ins' calls by quality, for each lane, tile and block; writes the counts, or replaces all qualities by what they show."""
     each = joins.with_truth(calls, truth, [*sinks.PLACE, "cluster_idx"]).where("spiked").select(*sinks.PLACE, F.explode(F.sequence(F.lit(1), F.length("truth"))).alias("c"), "bases", "truth", "quality")
     letter = lambda name: F.substring(name, F.col("c"), F.lit(1))
     counts = joins.quality_counts(each.select(*sinks.PLACE, letter("bases").alias("call"), letter("truth").alias("truth"), (F.ascii(letter("quality")) - MIN_PHRED).alias("q")), sinks.PLACE)
     if args.spike_calibrate:
         return joins.recalibrated_text(calls, counts, list(sinks.PLACE))
-    sinks.write_spike_counts(counts, f"{args.output}/qspike")
+    names = calls.groupBy(*sinks.PLACE).agg(F.first("name").alias("name"))
+    sinks.write_spike_counts(counts.join(names, list(sinks.PLACE)), to)
     return calls
 
 
-def _working(calls: DataFrame, files: list[parameters.ParameterFiles], args: argparse.Namespace) -> None:
+def _working(calls: DataFrame, files: list[parameters.ParameterFiles], args: argparse.Namespace, to: sinks.Outputs) -> None:
     """The working outputs of the chosen level and of those before it, and the simulation files."""
     level = WORKING.index(args.working)
+    held, runs = None, None
     for block, own in enumerate(files):
         rows = calls.where(F.col("block") == block)
         if level >= 1:
-            held = sinks.parameters(rows.select("key", *sinks.PLACE).distinct(), own)
-            sinks.write_matrices(held, args.output)
-            if level >= 2:
-                held.write.mode("append").parquet(f"{args.output}/final")
+            tiles = rows.groupBy("key", *sinks.PLACE).agg(F.first("name").alias("name"), F.first("valid").alias("valid"))
+            found = sinks.parameters(tiles, own)
+            held = found if held is None else held.unionByName(found)
         if level >= 3:
-            unmixed = sinks.processed(rows.select("key", *sinks.PLACE, "cluster_idx", "x", "y", "signal"), own).drop("signal").withColumnRenamed("processed", "signal")
-            if args.dataformat == "txt":
-                lines = unmixed.select(*sinks.PLACE, "cluster_idx", text.intensity_line(unmixed).alias("value"))
-                lines.repartition(*sinks.PLACE).sortWithinPartitions(*sinks.PLACE, "cluster_idx").drop("cluster_idx").write.mode("append").partitionBy(*sinks.PLACE).text(f"{args.output}/pif")
-            else:
-                cif.write(unmixed, f"{args.output}/pif", sinks.PLACE).write.mode("append").parquet(f"{args.output}/pif_files")
+            sinks.write_processed(rows, own, to)
         if args.simulation is not None:
-            sinks.write_simulation(rows, own, block, f"{args.output}/runfile", f"{args.simulation}\n{VERSION}\n{' '.join(map(str, args.pattern))}")
-    if level >= 2:
-        sinks.final_values(calls, f"{args.output}/state")
+            made = sinks.simulations(rows, own, f"{args.simulation}\n{VERSION}\n{' '.join(map(str, args.pattern))}")
+            runs = made if runs is None else runs.unionByName(made)
+    if held is not None:
+        held = parameters.shared_cut(held)
+        sinks.write_matrices(held, to)
+        if level >= 2:
+            held.write.mode("overwrite").parquet(f"{args.output}/final")
+            sinks.final_values(calls, f"{args.output}/state")
+    if runs is not None:
+        to.text(runs, "runfile", ["block"])
 
 
 def main(argv: list[str] | None = None) -> None:

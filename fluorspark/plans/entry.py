@@ -11,9 +11,9 @@ from fluorspark.functions import calibration
 from fluorspark.functions import nucleotides as nuc
 from fluorspark.functions import signal as sig
 from fluorspark.model import MIN_PHRED, Options, crosstalk
-from fluorspark.operators import joins
+from fluorspark.operators import joins, masks
 from fluorspark.operators.fit import fit
-from fluorspark.operators.parameters import ParameterFiles
+from fluorspark.operators.parameters import ParameterFiles, shared_cut
 from fluorspark.plans import blocks
 
 
@@ -33,11 +33,13 @@ def run(clusters: DataFrame, options: Options = Options(), table: calibration.Ta
 
 
 def fitted(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None, truth: DataFrame | None = None) -> tuple[DataFrame, list[ParameterFiles]]:
-    """``run`` and the parameters of each block.
+    """``run`` and the parameters of each block. Cycles that ``valid`` of a tile leaves out, or with ``mask_nodata`` those that are dark in all clusters of a tile, are called N.
 
     ``truth`` (tile, block, cluster_idx, truth as text, line) holds spike-ins: their bases are known in the fit, and
     qualities are left as the model gives them, for the counts to be taken.
     """
+    if options.mask_nodata:
+        clusters = masks.with_masks(clusters, shared_cut(masks.lit_cycles(clusters)))
     parts = blocks.split(clusters, options.blocks) if options.blocks else clusters.withColumn("block", F.lit(0))
     if truth is not None:
         own = joins.last_wins(truth, ["tile", "block", "cluster_idx"]).withColumn("truth", nuc.codes(F.col("truth")))

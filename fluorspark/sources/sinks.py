@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluorspark.functions import nucleotides as nuc
+from fluorspark.functions import signal as sig
 from fluorspark.model import CHANNELS
 from fluorspark.operators import kernels
 from fluorspark.operators.parameters import ParameterFiles
 from fluorspark.operators.statistics import logistic_fit
 from fluorspark.operators.sufficient import matrix_of, one_hot, partial_sums, robust_weights
+from fluorspark.sources import named
+from fluorspark.sources.text import intensity_line
 
 
 def record_name(sample: str, blocks: int) -> Column:
@@ -30,27 +34,42 @@ def sequence_text(name: Column, bases: Column, quality: Column | None = None) ->
     return F.concat(F.lit("@"), name, F.lit("\n"), bases, F.lit("\n+\n"), quality)
 
 
-def write_sequences(calls: DataFrame, folder: str, sample: str = "Sample", *, fasta: bool = False, compression: str | None = None, blocks: int = 1, concatenate: bool = False) -> None:
-    """A folder for each lane, tile and block; within a tile records keep the order of clusters.
+def output_name(name: Column, tag: str, kind: str, block: Column | None = None, sample: str | None = None) -> Column:
+    """The output of an input file. Of a binary one the tag takes the place of the suffix, of a text one that of what stands between its last underscore and
+    its first dot, and a suffix of compression goes; the block, counted from 1, stands before the tag. A sample's name stands for all inputs if it is given."""
+    digit = F.lit("") if block is None else (block + 1).cast("string")
+    if sample is not None:
+        return F.concat(F.lit(sample), F.lit("" if block is None else "_"), digit, F.lit(f".{tag}"))
+    if kind == "cif":
+        return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), digit, F.lit(f".{tag}"))
+    body, rest = F.regexp_extract(name, "^(.*)_", 1), F.regexp_extract(name, r"^[^.]*(\..*)?$", 1)
+    return F.concat(body, digit, F.when(name.contains("_"), "_").otherwise(""), F.lit(tag), F.regexp_replace(rest, r"\.(gz|bz2)$", ""))
 
-    ``concatenate`` puts all records of the sample side by side, in their order, behind what the folder holds.
-    """
-    text = sequence_text(record_name(sample, blocks), nuc.chars(F.col("calls")), None if fasta else F.col("quality"))
-    rows = calls.select("lane", "tile", "block", "cluster_idx", text.alias("value"))
-    if concatenate:
-        order = ["lane", "tile", "block", "cluster_idx"]
-        writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("append")
-        (writer.option("compression", compression) if compression else writer).text(folder)
-        return
-    ordered = rows.repartition("lane", "tile", "block").sortWithinPartitions("lane", "tile", "block", "cluster_idx").drop("cluster_idx")
-    writer = ordered.write.partitionBy("lane", "tile", "block")
-    (writer.option("compression", compression) if compression else writer).text(folder)
 
+@dataclass(frozen=True)
+class Outputs:
+    """Where a run's files go and what they are called: input ``kind`` (txt or cif), whether there are several blocks, and the sample's name if its outputs are put together."""
 
-def output_name(name: str, kind: str, block: int | None = None, sample: str | None = None) -> str:
-    """The output of an input file: its body before ``_int`` or its suffix, a block digit, the kind; or the sample's name."""
-    body = sample or name.split("_int.txt")[0].rsplit(".cif", 1)[0]
-    return body + ("" if block is None else str(block + 1)) + "." + kind
+    folder: str
+    kind: str
+    blocks: bool = False
+    sample: str | None = None
+
+    def named(self, rows: DataFrame, tag: str) -> DataFrame:
+        return rows.withColumn("file", output_name(F.col("name"), tag, self.kind, F.col("block") if self.blocks else None, self.sample))
+
+    def text(self, rows: DataFrame, tag: str, order: list[str], packed: str = "") -> None:
+        """Lines ``value`` of rows with ``name``, lane, tile and block as files, one for each tile and block; those of a sample put together follow what its file holds."""
+        named.write_text(self.named(rows, tag), self.folder, [*PLACE, *order] if self.sample else [*order], packed, append=self.sample is not None)
+
+
+def write_sequences(calls: DataFrame, out: Outputs, sample: str = "Sample", form: str = "fastq") -> None:
+    """The records of each tile and block in the order of clusters; ``form`` is fasta or fastq, with .gz or .bz2."""
+    kind, _, packed = form.partition(".")
+    record = F.concat_ws("/", record_name(sample, 1), (F.col("block") + 1).cast("string"))
+    text = sequence_text(record, nuc.chars(F.col("calls")), F.col("quality") if kind == "fastq" else None)
+    rows = calls.select("name", *PLACE, "cluster_idx", text.alias("value"))
+    out.text(rows, form if out.kind == "cif" else "seq", ["cluster_idx"], packed if out.kind == "cif" else "")
 
 
 PLACE = ("lane", "tile", "block")
@@ -61,10 +80,9 @@ def spike_text(counts: DataFrame) -> DataFrame:
     return counts.orderBy("q").select(F.concat_ws("\t", "q", "diff", "obs").alias("value"))
 
 
-def write_spike_counts(counts: DataFrame, folder: str) -> None:
-    """The counts of each lane, tile and block as 94 lines in quality order."""
-    rows = counts.select(*PLACE, "q", F.concat_ws("\t", "q", "diff", "obs").alias("value"))
-    rows.repartition(*PLACE).sortWithinPartitions(*PLACE, "q").drop("q").write.partitionBy(*PLACE).text(folder)
+def write_spike_counts(counts: DataFrame, out: Outputs) -> None:
+    """The counts of each lane, tile and block (and ``name``) as 94 lines in quality order."""
+    out.text(counts.select("name", *PLACE, "q", F.concat_ws("\t", "q", "diff", "obs").alias("value")), "qspike", ["q"])
 
 
 def simulation_text(cycles: int, location: float, scale: float, covariance: list[list[float]], command: str = "", version: int = 5) -> str:
@@ -73,10 +91,11 @@ def simulation_text(cycles: int, location: float, scale: float, covariance: list
     return "\n".join([*head, f"{cycles} L {location:.6f} {scale:.6f}", *(" ".join(f"{v:.6f}" for v in row) for row in covariance)]) + "\n"
 
 
-def write_simulation(calls: DataFrame, files: ParameterFiles, block: int, folder: str, command: str = "") -> None:
-    """A simulation file for each tile (``key``, lane, tile) of one block: the logistic fit of all brightness but zero, and
-    the whole weighted covariance of the residuals of the clusters that the fit used."""
-    used = robust_weights(calls.where("used").select(F.col("key").alias("tile"), "signal", "calls", "brightness", "lse"), ["tile"])
+def simulations(calls: DataFrame, files: ParameterFiles, command: str = "") -> DataFrame:
+    """``name``, lane, tile, block and the text of a simulation file for each tile (``key``) of one block: the logistic fit of all brightness but zero, and
+    the whole weighted covariance of the residuals, in valid cycles, of the clusters that the fit used."""
+    kept = sig.kept(F.col("calls"), F.col("valid"))
+    used = robust_weights(calls.where("used AND size(signal) > 0").select(F.col("key").alias("tile"), "signal", kept.alias("calls"), "brightness", "lse"), ["tile"])
 
     def spread(tile: int, c: list[pa.Array]) -> np.ndarray:
         found, signal, w = files[tile], matrix_of(c[0]), c[3].to_numpy()
@@ -86,7 +105,7 @@ def write_simulation(calls: DataFrame, files: ParameterFiles, block: int, folder
         return np.r_[((r * w[:, None]).T @ r).ravel(), w.sum()]
 
     location, scale = logistic_fit(F.col("brightness"))
-    light = calls.where("brightness != 0").groupBy("key", *PLACE).agg(location.alias("location"), scale.alias("scale"))
+    light = calls.where("brightness != 0").groupBy("key", "name", *PLACE).agg(location.alias("location"), scale.alias("scale"))
     sums = partial_sums(used, ["signal", "calls", "brightness", "weight"], spread).withColumnRenamed("tile", "key")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,24 +115,25 @@ def write_simulation(calls: DataFrame, files: ParameterFiles, block: int, folder
                 v = batch.column("v")[k].values.to_numpy()
                 m = int(round((len(v) - 1) ** 0.5))
                 made.append(simulation_text(m // CHANNELS, batch.column("location")[k].as_py(), batch.column("scale")[k].as_py() or 0.0, (v[:-1] / max(v[-1], 1e-300)).reshape(m, m).tolist(), command).rstrip("\n"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PLACE), pa.array(made, pa.string())], names=[*PLACE, "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *(batch.column(c) for c in PLACE), pa.array(made, pa.string())], names=["name", *PLACE, "value"])
 
-    light.join(sums, "key").select(*PLACE, "location", "scale", "v").mapInArrow(write, "lane int, tile int, block int, value string").write.mode("append").partitionBy(*PLACE).text(folder)
+    return light.join(sums, "key").select("name", *PLACE, "location", "scale", "v").mapInArrow(write, "name string, lane int, tile int, block int, value string")
 
 
 def parameters(tiles: DataFrame, files: ParameterFiles) -> DataFrame:
-    """The fitted parameters of ``tiles`` (key, lane, tile, block), read by tasks: a (by rows), n, omega, scale and effdf; tiles without any are left out."""
+    """The fitted parameters of ``tiles`` (key, name, lane, tile, block, valid), read by tasks: a (by rows), n, omega, scale and effdf over all cycles; tiles without any are left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [files[t] for t in batch.column("key").to_pylist()]
             own = batch.filter(pa.array([p is not None for p in found], pa.bool_()))
-            found = [p for p in found if p is not None]
+            found = [p.spread(v) for p, v in zip((p for p in found if p is not None), own.column("valid").to_pylist(), strict=True)]
             lists = lambda get: pa.array([get(p).ravel().tolist() for p in found], pa.list_(pa.float64()))
             numbers = lambda get: pa.array([get(p) for p in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in PLACE), lists(lambda p: p.a), lists(lambda p: p.n), lists(lambda p: p.omega), numbers(lambda p: p.scale), numbers(lambda p: p.freedom)], names=[*PLACE, "a", "n", "omega", "scale", "effdf"])
+            values = [lists(lambda p: p.a), lists(lambda p: p.n), lists(lambda p: p.omega), numbers(lambda p: p.scale), numbers(lambda p: p.freedom)]
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("name", *PLACE)), *values], names=["name", *PLACE, "a", "n", "omega", "scale", "effdf"])
 
-    return tiles.select("key", *PLACE).mapInArrow(read, "lane int, tile int, block int, a array<double>, n array<double>, omega array<double>, scale double, effdf double")
+    return tiles.select("key", "name", *PLACE, "valid").mapInArrow(read, "name string, lane int, tile int, block int, a array<double>, n array<double>, omega array<double>, scale double, effdf double")
 
 
 def matrix_lines(values: Column, rows: int | Column) -> Column:
@@ -124,12 +144,23 @@ def matrix_lines(values: Column, rows: int | Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), m.cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), m - 1), column), "\n"))
 
 
-def write_matrices(held: DataFrame, folder: str) -> None:
-    """A and N of every tile as matrix files below ``A`` and ``N``; N has a column for each cycle."""
+def write_matrices(held: DataFrame, out: Outputs) -> None:
+    """A and N of every tile and block as matrix files; N has a column for each cycle."""
     cycles = F.floor(F.size("n") / CHANNELS).cast("int")
     by_channel = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda ch: F.transform(F.sequence(F.lit(0), cycles - 1), lambda c: F.get("n", c * CHANNELS + ch))))
-    for name, text in (("A", matrix_lines(F.col("a"), F.size("n"))), ("N", matrix_lines(by_channel, CHANNELS))):
-        held.select(*PLACE, text.alias("value")).write.mode("append").partitionBy(*PLACE).text(f"{folder}/{name}")
+    for tag, text in (("A", matrix_lines(F.col("a"), F.size("n"))), ("N", matrix_lines(by_channel, CHANNELS))):
+        out.text(held.select("name", *PLACE, text.alias("value")), tag, ["block"])
+
+
+def write_processed(calls: DataFrame, files: ParameterFiles, out: Outputs) -> None:
+    """The un-mixed intensities of one block in the form of the input, a file for each tile; cycles without data are zeros."""
+    rows = processed(calls.where("size(signal) > 0").select("key", "name", *PLACE, "cluster_idx", "x", "y", "signal", "valid"), files).drop("signal")
+    each = F.flatten(F.transform("valid", lambda v: F.array_repeat(v, CHANNELS)))
+    rows = rows.withColumn("signal", sig.spread(F.col("processed"), each, F.lit(0.0)))
+    if out.kind == "txt":
+        out.text(rows.withColumn("value", intensity_line(rows)), "pif", ["cluster_idx"])
+    else:
+        named.write_intensities(out.named(rows, "pif"), out.folder)
 
 
 def processed(calls: DataFrame, files: ParameterFiles) -> DataFrame:
@@ -149,5 +180,5 @@ def processed(calls: DataFrame, files: ParameterFiles) -> DataFrame:
 
 
 def final_values(state: DataFrame, folder: str) -> None:
-    """The fit's cluster state as Parquet, a folder for each tile."""
-    state.drop("signal").write.partitionBy("tile").parquet(folder)
+    """The fit's cluster state as Parquet, a folder for each lane, tile and block, in place of what was there."""
+    state.drop("signal").write.mode("overwrite").partitionBy(*PLACE).parquet(folder)

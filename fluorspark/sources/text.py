@@ -26,7 +26,7 @@ def read_intensities(spark: SparkSession, path: str | list[str], cycles: int = 0
     signal = F.transform(numbers, lambda v: clip(v.cast("double")))
     read = rows.where(F.size("f") - 4 >= wanted).select("file", "_line", F.col("f")[0].cast("int").alias("lane"), F.col("f")[1].cast("int").alias("tile"), F.col("f")[2].cast("bigint").alias("x"), F.col("f")[3].cast("bigint").alias("y"), signal.alias("signal"))
     place = F.row_number().over(Window.partitionBy("file", "lane", "tile").orderBy("_line")) - 1
-    return read.select("lane", "tile", place.cast("bigint").alias("cluster_idx"), "x", "y", F.floor(F.size("signal") / CHANNELS).cast("int").alias("ncycle"), "signal")
+    return read.select("file", "lane", "tile", place.cast("bigint").alias("cluster_idx"), "x", "y", F.floor(F.size("signal") / CHANNELS).cast("int").alias("ncycle"), "signal")
 
 
 def read_positions(spark: SparkSession, paths: list[str]) -> DataFrame:

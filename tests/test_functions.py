@@ -72,7 +72,15 @@ def test_matrix_text():
 def test_files_and_ranges():
     assert text.select_files(["b_int.txt", "A_1_int.txt", "a.cif"], "a+", "txt") == ["A_1_int.txt"]
     assert text.parse_range("L2T8") == ((2, 2), (8, 8)) and text.parse_range("l1-2t5-9") == ((1, 2), (5, 9))
-    assert sinks.output_name("s_1_2_int.txt", "fastq", 0) == "s_1_21.fastq"
+
+
+def test_output_names(spark):
+    def name(of, tag, kind, block=None, sample=None):
+        return spark.range(1).select(sinks.output_name(F.lit(of), tag, kind, None if block is None else F.lit(block), sample)).first()[0]
+
+    assert name("s_1_2.cif", "fastq.gz", "cif") == "s_1_2.fastq.gz" and name("s_1_2.cif", "A", "cif", 0) == "s_1_21.A"
+    assert name("s_1_0002_int.txt", "seq", "txt") == "s_1_0002_seq.txt" and name("s_1_0002_int.txt.gz", "seq", "txt", 1) == "s_1_00022_seq.txt"
+    assert name("s_1_2.cif", "fastq", "cif", None, "S") == "S.fastq" and name("s_1_2.cif", "fastq", "cif", 1, "S") == "S_2.fastq" and name("plain", "seq", "txt") == "seq"
 
 
 def test_text_round_trip(spark, tmp_path):
@@ -169,6 +177,6 @@ def test_failed_tile_gets_null_calls(spark):
 
 
 def test_sequence_sink(spark, tmp_path):
-    df = spark.createDataFrame([(1, 1, 0, 0, 4, 5, [0, 3], "II")], "lane int, tile int, block int, cluster_idx long, x long, y long, calls array<tinyint>, quality string")
-    sinks.write_sequences(df, str(tmp_path / "o"), compression="gzip")
-    assert [x["value"] for x in spark.read.text(str(tmp_path / "o")).collect()] == ["@Sample:1:1:4:5", "AT", "+", "II"]
+    df = spark.createDataFrame([("s_1_1.cif", 1, 1, 0, 0, 4, 5, [0, 3], "II")], "name string, lane int, tile int, block int, cluster_idx long, x long, y long, calls array<tinyint>, quality string")
+    sinks.write_sequences(df, sinks.Outputs(str(tmp_path / "o"), "cif"), form="fastq.gz")
+    assert [x["value"] for x in spark.read.text(str(tmp_path / "o/s_1_1.fastq.gz")).collect()] == ["@Sample:1:1:4:5/1", "AT", "+", "II"]
