@@ -43,10 +43,23 @@ def _load(folder: str, step: str, tile: int) -> Params | None:
     return Params(**{k: held[k] if held[k].ndim else float(held[k]) for k in held.files})
 
 
+class BlockFiles:
+    """The parameters of one block of a fit whose keys are tile * blocks + block."""
+
+    def __init__(self, files: ParameterFiles, blocks: int, block: int) -> None:
+        self.files, self.blocks, self.block = files, blocks, block
+
+    def __iter__(self) -> Iterator[int]:
+        return (k // self.blocks for k in self.files if k % self.blocks == self.block)
+
+    def __getitem__(self, tile: int) -> Params | None:
+        return self.files[tile * self.blocks + self.block]
+
+
 class ParameterFiles:
     """Parameters that tasks write, tile by tile, and other tasks read as they need them: none passes through the driver.
 
-    The first file of a step and tile stays, so an attempt that runs again changes nothing that was read.
+    The first file of a step and tile stays; solves start from sums that are cut, so the file of an attempt that runs again, or beside another, holds the same numbers.
     A tile without a file has no parameters.
     """
 

@@ -93,24 +93,68 @@ def weibull_fit(df: DataFrame, by: list[str], value: str, weighted_fit: bool = F
     return line.select(*by, F.col("slope").alias("shape"), F.exp(-F.col("intercept") / F.col("slope")).alias("scale"))
 
 
-def mixture_start(df: DataFrame, value: str, k: int) -> list[tuple[float, float, float]]:
-    """(share, mean, sd) of each component, spread over two deviations about the mean."""
-    row = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
-    return [(1 / k, row["m"] + (2 - 4 * (j + 1) / (k + 1)) * row["s"], row["s"] / k) for j in range(k)]
+#: Groups whose mixtures are sent to every task; with more the rows are joined by group.
+MOST_GROUPS = 50_000
+#: The least deviation of a component, that of one whose values are all equal.
+LEAST_SD = 1e-9
+
+
+def mixture_starts(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """Each group's ``n``, ``share``, ``mean`` and ``sd`` (arrays of ``k``), spread over two deviations about the mean."""
+    x = F.col(value).cast("double")
+    own = df.where(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s")).where("n > 0")
+    each = lambda use: F.array(*(use(j) for j in range(k)))
+    return own.select(*by, "n", each(lambda j: F.lit(1.0 / k)).alias("share"), each(lambda j: F.col("_m") + (2 - 4 * (j + 1) / (k + 1)) * F.col("_s")).alias("mean"), each(lambda j: F.greatest(F.col("_s") / k, F.lit(LEAST_SD))).alias("sd"))
+
+
+def _mixture_round(rows: DataFrame, parts: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """One round of EM for all groups of ``parts``: ``next`` (share, mean, sd) and ``new_like``, by one aggregate."""
+    x = F.col(value).cast("double")
+    held = rows.where(x.isNotNull()).select(*by, x.alias("_x")).join(parts, by)
+    at = lambda name, j: F.get(name, F.lit(j))
+    log = lambda j: F.when(at("share", j) > 0, F.log(at("share", j)) - F.log(at("sd", j)) - 0.5 * math.log(2 * math.pi) - 0.5 * F.pow((F.col("_x") - at("mean", j)) / at("sd", j), 2)).otherwise(float("-inf"))
+    logs = held.select(*by, "_x", "n", "share", "mean", "sd", F.array(*(log(j) for j in range(k))).alias("_l")).withColumn("_top", F.array_max("_l"))
+    weights = logs.withColumn("_w", F.transform("_l", lambda v: F.exp(v - F.col("_top"))))
+    whole = weights.withColumn("_t", F.aggregate("_w", F.lit(0.0), lambda a, v: a + v))
+    share = lambda j: F.get("_w", F.lit(j)) / F.col("_t")
+    sums = [f(j).alias(f"{n}{j}") for j in range(k) for n, f in (("_p", lambda j: F.sum(share(j))), ("_x", lambda j: F.sum(share(j) * F.col("_x"))), ("_y", lambda j: F.sum(share(j) * F.col("_x") * F.col("_x"))))]
+    before = [F.first(c).alias(c) for c in ("n", "share", "mean", "sd")]
+    found = whole.groupBy(*by).agg(*before, F.sum(F.col("_top") + F.log("_t")).alias("new_like"), *sums)
+    # a component that holds nothing keeps its place
+    mean = lambda j: F.when(F.col(f"_p{j}") > 0, F.col(f"_x{j}") / F.col(f"_p{j}")).otherwise(at("mean", j))
+    sd = lambda j: F.when(F.col(f"_p{j}") > 0, F.greatest(F.lit(LEAST_SD), F.sqrt(F.greatest(F.lit(0.0), F.col(f"_y{j}") / F.col(f"_p{j}") - F.pow(mean(j), 2))))).otherwise(at("sd", j))
+    each = lambda use: F.array(*(use(j) for j in range(k)))
+    return found.select(*by, "n", each(lambda j: F.col(f"_p{j}") / F.col("n")).alias("share"), each(mean).alias("mean"), each(sd).alias("sd"), "new_like")
+
+
+def mixture_fits(df: DataFrame, by: list[str], value: str, k: int = 3, rounds: int = 100, tolerance: float = 0.0) -> DataFrame:
+    """Normal mixtures of all groups by EM: ``n``, ``share``, ``mean`` and ``sd`` (arrays of ``k``), ``like``, the log-likelihood that the last round began with, and ``rounds``.
+
+    The parameters are a table, a row for each group, joined to the rows; a round is one aggregate for all groups that go on, which tasks
+    begin on their own rows, so that a large group is no larger task. With ``tolerance`` a group stops when a round raises its log-likelihood by
+    no more than that, and its rows take no further part. Null values take no part; groups without values have no row.
+    """
+    parts = shared_cut(mixture_starts(df, by, value, k).withColumn("like", F.lit(None).cast("double")).withColumn("rounds", F.lit(0)))
+    few = parts.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    columns = [*by, "n", "share", "mean", "sd", "like", "rounds"]
+    stopped = parts.limit(0)
+    for _ in range(rounds):
+        known = parts.drop("like", "rounds")
+        new = _mixture_round(df, F.broadcast(known) if few else known, by, value, k)
+        last = parts.select(*by, F.col("like").alias("_like"), (F.col("rounds") + 1).alias("rounds"))
+        both = new.join(last, by)
+        # a round reports the likelihood of the parameters it began with
+        done = F.coalesce(F.col("new_like") - F.col("_like") <= F.lit(tolerance), F.lit(False)) if tolerance > 0 else F.lit(False)
+        step = shared_cut(both.withColumn("done", done).withColumn("like", F.col("new_like")).select(*columns, "done"))
+        parts = step.where("NOT done").drop("done")
+        if tolerance > 0:
+            stopped = stopped.unionByName(step.where("done").drop("done"))
+            if parts.isEmpty():
+                break
+    return parts.unionByName(stopped)
 
 
 def mixture_fit(df: DataFrame, value: str, k: int = 3, rounds: int = 100) -> tuple[list[tuple[float, float, float]], float]:
-    """Normal mixture by EM, one aggregate a round; the components and the last round's log-likelihood."""
-    parts, like = mixture_start(df, value, k), float("nan")
-    x = F.col(value)
-    for _ in range(rounds):
-        logs = [math.log(p) - math.log(s) - 0.5 * math.log(2 * math.pi) - 0.5 * F.pow((x - m) / s, 2) if p > 0 else F.lit(float("-inf")) for p, m, s in parts]
-        top = F.greatest(*logs) if k > 1 else logs[0]
-        total = sum((F.exp(e - F.col("top")) for e in (F.col(f"l{j}") for j in range(k))), F.lit(0.0))
-        shares = df.select(x, *(e.alias(f"l{j}") for j, e in enumerate(logs)), top.alias("top")).withColumn("total", total)
-        each = [F.exp(F.col(f"l{j}") - F.col("top")) / F.col("total") for j in range(k)]
-        row = shares.agg(F.count("*").alias("n"), F.sum(F.col("top") + F.log("total")).alias("like"), *(F.sum(e).alias(f"p{j}") for j, e in enumerate(each)), *(F.sum(e * x).alias(f"x{j}") for j, e in enumerate(each)), *(F.sum(e * x * x).alias(f"y{j}") for j, e in enumerate(each))).first()
-        means = [row[f"x{j}"] / row[f"p{j}"] for j in range(k)]
-        parts = [(row[f"p{j}"] / row["n"], m, math.sqrt(max(0.0, row[f"y{j}"] / row[f"p{j}"] - m * m))) for j, m in enumerate(means)]
-        like = row["like"]
-    return parts, like
+    """The mixture of all rows: (share, mean, sd) of each component and the log-likelihood that the last round began with."""
+    row = mixture_fits(df.select(value, F.lit(0).alias("_all")), ["_all"], value, k, rounds).first()
+    return list(zip(row["share"], row["mean"], row["sd"], strict=True)), row["like"]

@@ -10,11 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorspark.model import CHANNELS
 
+#: Numbers of a slice of a tile's sums, and numbers that a task holds before it sends them.
+SLICE, HELD_NUMBERS = 4096, 8 << 20
+
 
 def robust_weights(df: DataFrame, by: list[str], error: str = "lse") -> DataFrame:
     """Adds ``weight``: 1 / (1 + half the squared standardised distance of a row's error from its group's mean); 1 where all errors agree."""
@@ -119,23 +123,56 @@ def band_matrix(sums: np.ndarray) -> np.ndarray:
 
 
 def partial_sums(df: DataFrame, columns: list[str], kernel) -> DataFrame:
-    """``tile`` and ``v``, the sum of ``kernel(tile, arrays)``, a flat vector: each task adds up its rows, and the sums of
-    tasks are added in Spark."""
+    """``tile`` and ``v``, the sum of ``kernel(tile, arrays)``, a flat vector.
+
+    Each task adds up its rows and sends its sums in dense slices of ``SLICE`` numbers; the task that gets a slice of a tile adds up what
+    comes, slice by slice and in the order of the tasks, so that sums do not depend on timing; a tile's few slices are then put side by side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        part, sent, held = TaskContext.get().partitionId(), 0, {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for tile, total in held.items():
+                cuts = range(0, len(total), SLICE)
+                n = len(cuts)
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([(part << 20) + sent] * n, pa.int64()), pa.array([total[k : k + SLICE] for k in cuts], pa.list_(pa.float64()))], names=["tile", "slice", "part", "v"])
+            held.clear()
+
         for batch in batches:
             tiles = batch.column("tile").to_numpy()
             for tile in np.unique(tiles):
                 own = batch.take(pa.array(np.flatnonzero(tiles == tile)))
-                part = kernel(int(tile), [own.column(c) for c in columns])
-                held[int(tile)] = held[int(tile)] + part if int(tile) in held else part
-        for tile, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([total])], names=["tile", "v"])
-
-    parts = df.select("tile", *columns).mapInArrow(run, "tile int, v array<double>")
-    sums = parts.select("tile", F.posexplode("v").alias("pos", "x")).groupBy("tile", "pos").agg(F.sum("x").alias("x"))
-    return sums.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+                new = kernel(int(tile), [own.column(c) for c in columns])
+                held[int(tile)] = held[int(tile)] + new if int(tile) in held else new
+            if sum(map(len, held.values())) > HELD_NUMBERS:
+                yield from flushed()
+                sent += 1
+        yield from flushed()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            done = []
+            for k, key in enumerate(zip(batch.column("tile").to_pylist(), batch.column("slice").to_pylist(), strict=True)):
+                own = batch.column("v")[k].values.to_numpy()
+                if key == now:
+                    total = total + own
+                else:
+                    if now is not None:
+                        done.append((*now, total))
+                    now, total = key, own
+            yield _slices(done)
+        if now is not None:
+            yield _slices([(*now, total)])
+
+    parts = df.select("tile", *columns).mapInArrow(run, "tile int, slice int, part long, v array<double>")
+    sums = parts.repartition("tile", "slice").sortWithinPartitions("tile", "slice", "part").drop("part").mapInArrow(added, "tile int, slice int, v array<double>")
+    return sums.groupBy("tile").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "v"))), lambda s: s["v"])).alias("v"))
+
+
+def _slices(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["tile", "slice", "v"])
 
 
 def _state_sums(df: DataFrame, kernel) -> DataFrame:

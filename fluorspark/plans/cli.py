@@ -269,7 +269,7 @@ def _by_spikes(calls: DataFrame, truth: DataFrame, args: argparse.Namespace, to:
     return calls
 
 
-def _working(calls: DataFrame, files: list[parameters.ParameterFiles], args: argparse.Namespace, to: sinks.Outputs) -> None:
+def _working(calls: DataFrame, files: list[parameters.BlockFiles], args: argparse.Namespace, to: sinks.Outputs) -> None:
     """The working outputs of the chosen level and of those before it, and the simulation files."""
     level = WORKING.index(args.working)
     held, runs = None, None

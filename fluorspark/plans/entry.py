@@ -13,7 +13,7 @@ from fluorspark.functions import signal as sig
 from fluorspark.model import MIN_PHRED, Options, crosstalk
 from fluorspark.operators import joins, masks
 from fluorspark.operators.fit import fit
-from fluorspark.operators.parameters import ParameterFiles, shared_cut
+from fluorspark.operators.parameters import BlockFiles, shared_cut
 from fluorspark.plans import blocks
 
 
@@ -32,7 +32,7 @@ def run(clusters: DataFrame, options: Options = Options(), table: calibration.Ta
     return fitted(clusters, options, table, mix, truth)[0]
 
 
-def fitted(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None, truth: DataFrame | None = None) -> tuple[DataFrame, list[ParameterFiles]]:
+def fitted(clusters: DataFrame, options: Options = Options(), table: calibration.Table = calibration.Table(), mix=None, truth: DataFrame | None = None) -> tuple[DataFrame, list[BlockFiles]]:
     """``run`` and the parameters of each block. Cycles that ``valid`` of a tile leaves out, or with ``mask_nodata`` those that are dark in all clusters of a tile, are called N.
 
     ``truth`` (tile, block, cluster_idx, truth as text, line) holds spike-ins: their bases are known in the fit, and
@@ -45,12 +45,11 @@ def fitted(clusters: DataFrame, options: Options = Options(), table: calibration
         own = joins.last_wins(truth, ["tile", "block", "cluster_idx"]).withColumn("truth", nuc.codes(F.col("truth")))
         parts = parts.join(own, ["tile", "block", "cluster_idx"], "left")
     n = len(blocks.parse(options.blocks)) if options.blocks else 1
-    out, found = None, []
-    for k in range(n):
-        state, files = fit(parts.where(F.col("block") == k), replace(options, blocks=""), mix=mix, truth=None if truth is None else "truth")
-        found.append(files)
-        own = state.drop("truth").withColumn("block", F.lit(k))
-        out = own if out is None else out.unionByName(own)
+    # all blocks are fitted side by side: a block of a tile is a tile of its own
+    keyed = parts.withColumn("tile", F.col("tile") * n + F.col("block")) if n > 1 else parts
+    state, files = fit(keyed, replace(options, blocks=""), mix=mix, truth=None if truth is None else "truth")
+    found = [BlockFiles(files, n, k) for k in range(n)]
+    out = state.drop("truth").withColumn("block", F.pmod("tile", F.lit(n)).cast("int")).withColumn("tile", F.floor(F.col("tile") / n).cast("int"))
     if options.calibrate and truth is None:
         values = F.transform(F.filter(F.split("quality", ""), lambda c: c != ""), lambda c: (F.ascii(c) - MIN_PHRED).cast("double"))
         new = calibration.calibrate(values, F.col("calls"), F.col("brightness"), table)

@@ -6,10 +6,11 @@ channels; ``lineitem`` gives signals with cycles that are missing; the others gi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluorspark.functions import calibration, weights
@@ -17,12 +18,12 @@ from fluorspark.functions import nucleotides as nuc
 from fluorspark.functions import signal as sig
 from fluorspark.model import INITIAL_CROSSTALK, MIN_PHRED, Options, Params, crosstalk
 from fluorspark.operators import fit as fits
-from fluorspark.operators import joins, kernels, solve
+from fluorspark.operators import joins, kernels, masks, solve
 from fluorspark.operators import statistics as stats
 from fluorspark.operators import sufficient as suff
-from fluorspark.operators.parameters import shared_cut
-from fluorspark.plans import blocks, entry
-from fluorspark.sources import sinks
+from fluorspark.operators.parameters import shared_cut, shared_folder
+from fluorspark.plans import blocks, cli, entry
+from fluorspark.sources import cif, named, sinks
 from fluorspark.sources import text as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,3 +682,139 @@ def split_categories(spark, sf_dir):
     """Rows that pass a predicate, dealt to categories by a function of the row."""
     rows = read(spark, sf_dir, "orders").where("o_totalprice > 1000").withColumn("category", F.floor(F.col("o_totalprice") / 100000))
     return rows.groupBy("o_orderpriority", "category").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
+# cycles without data, files and their push-down
+
+
+_KEPT = "(c.tile % 3 <> 0 OR c.cycle NOT IN (1, 4, 6))"
+
+
+def _masked(spark, sf_dir):
+    """Clusters whose tiles with a number divisible by 3 lack cycles 2, 5 and 7 of 16."""
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: ~c.isin(1, 4, 6))
+    return called(spark, sf_dir).withColumn("valid", F.when(F.col("tile") % 3 == 0, gaps))
+
+
+@query(f"""WITH {STATE}, c AS MATERIALIZED (SELECT c.*, lam, w FROM call c JOIN st USING (cluster_idx) WHERE {_KEPT}), x AS MATERIALIZED (SELECT c.* FROM long c WHERE {_KEPT}),
+e AS (
+SELECT a.tile, 'J' AS kind, a.cycle * 4 + a.base AS i, b.cycle * 4 + b.base AS j, sum(a.w * a.lam * a.lam) AS v FROM c a JOIN c b USING (cluster_idx) GROUP BY 1, 3, 4
+UNION ALL SELECT a.tile, 'K', a.cycle * 4 + a.base, x.cycle * 4 + x.ch, sum(a.w * a.lam * x.v) FROM c a JOIN x USING (cluster_idx) GROUP BY 1, 3, 4
+UNION ALL SELECT tile, 'S', cycle * 4 + base, 0, sum(w * lam) FROM c GROUP BY 1, 3
+UNION ALL SELECT x.tile, 'I', x.cycle * 4 + x.ch, 0, sum(w * x.v) FROM x JOIN st USING (cluster_idx) GROUP BY 1, 3
+UNION ALL SELECT tile, 'w', 0, 0, sum(w) FROM st GROUP BY 1)
+SELECT tile, kind, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v / 1000 + 1.7e-6, 3) + 0.0 AS v FROM e WHERE abs(v) > 1e-6""")
+def masked_sums(spark, sf_dir):
+    """The sums of a fit over the valid cycles of each tile."""
+    sums = masks.masked_sums(_masked(spark, sf_dir)).where("abs(v) > 1e-6")
+    return sums.select("tile", "kind", "i", "j", r(F.col("v") / 1000, 3).alias("v"))
+
+
+@query(f"WITH {SIG}, d AS (SELECT cluster_idx, tile, list_transform(signal, lambda v, k: CASE WHEN tile % 4 = 1 AND (k - 1) // 4 IN (2, 9) THEN 0 ELSE v END) AS signal FROM sig), u AS (SELECT tile, (k - 1) // 4 AS cycle, max(abs(signal[k])) AS top FROM (SELECT *, unnest(range(1, 65)) AS k FROM d) GROUP BY 1, 2) SELECT tile, CASE WHEN min(top) = 0 THEN string_agg(CASE WHEN top > 0 THEN '1' ELSE '0' END, '' ORDER BY cycle) END AS valid FROM u GROUP BY tile")
+def nodata_masks(spark, sf_dir):
+    """The cycles that are dark in all clusters of a tile; here two cycles of every fourth tile."""
+    rows = clusters(spark, sf_dir)
+    dark = F.transform("signal", lambda v, k: F.when((F.col("tile") % 4 == 1) & F.floor(k / 4).isin(2, 9), F.lit(0).cast("smallint")).otherwise(v))
+    found = masks.lit_cycles(rows.withColumn("signal", dark))
+    return found.select("tile", F.array_join(F.transform("valid", lambda v: v.cast("int").cast("string")), "").alias("valid"))
+
+
+def _placed(spark, sf_dir):
+    """Clusters numbered from 0 in each tile, as files number them."""
+    place = F.row_number().over(Window.partitionBy("tile").orderBy("cluster_idx")) - 1
+    return clusters(spark, sf_dir).select(F.lit(1).alias("lane"), "tile", place.cast("long").alias("cluster_idx"), "signal")
+
+
+_PLACED = SIG + ", pl AS (SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY cluster_idx) - 1 AS cluster_idx, signal FROM sig)"
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_PLACED} SELECT 1 AS lane, tile, cluster_idx, array_to_string(list_concat(signal[9:24], signal[45:48]), ' ') AS signal FROM pl WHERE tile BETWEEN 2 AND 7 AND cluster_idx >= 5")
+def binary_files(spark, sf_dir):
+    """Clusters written as a binary file for each tile; of the files a range of tiles and clusters and the cycles of a block string are read."""
+    folder = _folder(spark, "binary")
+    cif.write(_placed(spark, sf_dir), folder)
+    names = cli._globbed(spark, f"{folder}/*.cif")
+    rows = cif.load(spark, cif.CifSource, blocks.wanted("I2R4I5C1")[0], path=",".join(n for n, _ in names))
+    return rows.where("tile BETWEEN 2 AND 7 AND cluster_idx >= 5").select("lane", "tile", "cluster_idx", text(F.col("signal")).alias("signal"))
+
+
+@query(f"WITH {_PLACED} SELECT tile, cluster_idx, CAST(floor((cluster_idx + 0.25) * 10 + 0.5) + 1000 AS BIGINT) AS x, cluster_idx * 20 + 1000 AS y, array_to_string(list_transform(signal, lambda v, k: CASE WHEN tile % 3 = 1 AND (k - 1) // 4 IN (1, 4) THEN 0 ELSE v END), ' ') AS signal, CASE WHEN tile % 3 = 1 THEN '1011011111111111' END AS valid FROM pl")
+def run_folder_files(spark, sf_dir):
+    """Clusters written as a run folder, a file for each tile and cycle, two cycles missing of every third tile, with position files; then read as a run reads it."""
+    folder, rows = _folder(spark, "run"), _placed(spark, sf_dir)
+    each = rows.select("tile", "cluster_idx", F.posexplode(sig.per_cycle(F.col("signal"), lambda ch: ch)).alias("c", "signal")).where(~((F.col("tile") % 3 == 1) & F.col("c").isin(1, 4)))
+    path = F.format_string("Data/Intensities/L001/C%d.1/s_1_%d.cif", F.col("c") + 1, "tile")
+    named.write_intensities(each.select(path.alias("file"), "cluster_idx", "signal", (F.col("c") + 1).alias("first_cycle")), folder)
+    places = rows.select(F.format_string("Data/Intensities/s_1_%04d_pos.txt", "tile").alias("file"), "cluster_idx", F.format_string("%d.25 %d.0", "cluster_idx", F.col("cluster_idx") * 2).alias("value"))
+    named.write_text(places, folder, ["cluster_idx"])
+    read_back = cli.read_folder(spark, folder, ["L1T0-9"])
+    valid = F.array_join(F.transform("valid", lambda v: v.cast("int").cast("string")), "")
+    return read_back.select("tile", "cluster_idx", "x", "y", text(F.col("signal")).alias("signal"), valid.alias("valid"))
+
+
+@query(f"WITH {_PLACED} SELECT 3 AS lane, tile, cluster_idx, cluster_idx + 7 AS x, tile AS y, array_to_string(signal[1:40], ' ') AS signal FROM pl")
+def text_files(spark, sf_dir):
+    """Clusters written as gzipped text, a file for each tile; the first ten cycles are read."""
+    folder = _folder(spark, "text")
+    rows = _placed(spark, sf_dir).withColumn("lane", F.lit(3)).withColumn("x", F.col("cluster_idx") + 7).withColumn("y", F.col("tile"))
+    named.write_text(rows.select(F.concat(F.lit("s_3_"), "tile", F.lit("_int.txt.gz")).alias("file"), "cluster_idx", sources.intensity_line(rows).alias("value")), folder, ["cluster_idx"], "gz")
+    read_back = sources.read_intensities(spark, f"{folder}/*_int.txt.gz", 10)
+    return read_back.select("lane", "tile", "cluster_idx", "x", "y", text(F.col("signal")).alias("signal"))
+
+
+@query("SELECT o_orderkey AS cluster_idx, substr('ACGTN', CAST(1 + o_custkey % 5 AS INTEGER), 1) || substr('ACGTN', CAST(1 + o_orderkey % 4 AS INTEGER), 1) AS truth FROM orders")
+def truth_files(spark, sf_dir):
+    """Truth written as a file, a line for each cluster counted from 1, of three bases; two are read."""
+    folder = _folder(spark, "truth")
+    base = lambda c, n: F.substring(F.lit("ACGTN"), (1 + F.col(c) % n).cast("int"), F.lit(1))
+    rows = read(spark, sf_dir, "orders")
+    line = F.concat((F.col("o_orderkey") + 1).cast("string"), F.lit("\t"), base("o_custkey", 5), base("o_orderkey", 4), F.lit("a"))
+    named.write_text(rows.select(F.lit("s_1_1_spike.txt").alias("file"), "o_orderkey", line.alias("value")), folder, ["o_orderkey"])
+    return sources.read_spikes(spark, f"{folder}/s_1_1_spike.txt", 2).select("cluster_idx", "truth")
+
+
+_ONE = f"""WITH {FITTED}, one AS (SELECT cluster_idx, p, lam FROM pc JOIN lam USING (cluster_idx) WHERE cycle = 0),
+f AS (SELECT cluster_idx, lam, b, 1e-5 * (list_dot_product(p, p) - 2 * lam * p[b + 1] + lam * lam) AS form FROM one, (SELECT unnest(range(4)) AS b)),
+g AS (SELECT cluster_idx, any_value(lam) AS lam, arg_min(b, (form, b)) AS b, min(form) AS least, list(form) AS forms FROM f GROUP BY 1),
+h AS (SELECT *, greatest(-0.5 * least, ln(1e-5)) AS top FROM g),
+q AS (SELECT *, exp(-0.5 * least - top) AS best, exp(ln(1e-5) - top) AS odd FROM h)
+SELECT cluster_idx, CAST(CASE WHEN lam = 0 THEN 0 ELSE b END AS INTEGER) AS base,
+  round(CASE WHEN lam = 0 THEN 0 ELSE -10 * log10(1 - (odd + best) / (4 * odd + best * list_sum(list_transform(forms, lambda v: exp(-0.5 * (v - least)))))) END + 1.7e-6, 4) + 0.0 AS quality FROM q"""
+
+
+@query(_ONE)
+def single_cycle_calls(spark, sf_dir):
+    """Calls and qualities of the first cycle on its own, under a precision of one for all channels."""
+
+    def use(signal, p, calls, lam):
+        base, quality = kernels.single_cycle_call(p[:, :4], lam, np.eye(4) * 1e-5, np.zeros(4), 1e-5)
+        return {"base": base.astype(np.int32), "quality": quality}
+
+    return _kernel(spark, sf_dir, "base int, quality double", use).select("cluster_idx", "base", r("quality").alias("quality"))
+
+
+def _group_mix_sql(rounds: int) -> str:
+    """EM of two components in each group, ``rounds`` times."""
+    steps = ["x AS (SELECT event_type AS g, ln(value + 1) AS v FROM events)", "s0 AS (SELECT g, count(*) AS n, 0.5 AS p0, 0.5 AS p1, avg(v) + (2 - 4 / 3.0) * stddev_pop(v) AS m0, avg(v) + (2 - 8 / 3.0) * stddev_pop(v) AS m1, stddev_pop(v) / 2 AS d0, stddev_pop(v) / 2 AS d1, 0.0 AS l FROM x GROUP BY g)"]
+    for k in range(rounds):
+        log = lambda j: f"ln(p{j}) - ln(d{j}) - 0.5 * ln(2 * pi()) - 0.5 * pow((v - m{j}) / d{j}, 2)"
+        steps.append(f"e{k} AS (SELECT g, n, v, {log(0)} AS a, {log(1)} AS b FROM x JOIN s{k} USING (g))")
+        steps.append(f"w{k} AS (SELECT g, n, v, greatest(a, b) AS top, exp(a - greatest(a, b)) AS a, exp(b - greatest(a, b)) AS b FROM e{k})")
+        mean = lambda c: f"sum({c} / (a + b) * v) / sum({c} / (a + b))"
+        sd = lambda c: f"sqrt(sum({c} / (a + b) * v * v) / sum({c} / (a + b)) - pow({mean(c)}, 2))"
+        steps.append(f"s{k + 1} AS (SELECT g, any_value(n) AS n, sum(a / (a + b)) / any_value(n) AS p0, sum(b / (a + b)) / any_value(n) AS p1, {mean('a')} AS m0, {mean('b')} AS m1, {sd('a')} AS d0, {sd('b')} AS d1, sum(top + ln(a + b)) AS l FROM w{k} GROUP BY g)")
+    out = " UNION ALL ".join(f"SELECT g AS event_type, {j} AS component, round(p{j} + 1.7e-6, 4) + 0.0 AS share, round(m{j} + 1.7e-6, 4) + 0.0 AS mean, round(d{j} + 1.7e-6, 4) + 0.0 AS sd, round(l + 1.7e-6, 3) + 0.0 AS log_likelihood FROM s{rounds}" for j in (0, 1))
+    return f"WITH {', '.join(steps)} {out}"
+
+
+@query(_group_mix_sql(3))
+def mixnormal_em_groups(spark, sf_dir):
+    """Mixtures of two components in each type of event, three rounds, all groups in one aggregate a round."""
+    rows = shared_cut(read(spark, sf_dir, "events").select("event_type", F.log(F.col("value") + 1).alias("v")))
+    fits_ = stats.mixture_fits(rows, ["event_type"], "v", 2, 3)
+    each = fits_.select("event_type", "like", F.posexplode(F.arrays_zip("share", "mean", "sd")).alias("component", "c"))
+    return each.select("event_type", "component", r("c.share").alias("share"), r("c.mean").alias("mean"), r("c.sd").alias("sd"), r("like", 3).alias("log_likelihood"))

@@ -338,8 +338,8 @@ def encoded(values: np.ndarray, width: int = 2, first: int = 1) -> bytes:
 
 def interleaved(parts: list[tuple[str, int]], write: Callable[[bytes], object]) -> None:
     """A tile's file from parts (path, clusters) that are such files of ranges of its clusters, in order: column by column, a range at a time."""
-    width, _, cycles, _ = _header_of(parts[0][0])
-    write(HEADER.pack(b"CIF", 1, width, 1, cycles, sum(n for _, n in parts)))
+    width, first, cycles, _ = _header_of(parts[0][0])
+    write(HEADER.pack(b"CIF", 1, width, first, cycles, sum(n for _, n in parts)))
     with ExitStack() as stack:
         readers = [(stack.enter_context(_opened(path)), n) for path, n in parts]
         for k in range(cycles * CHANNELS):

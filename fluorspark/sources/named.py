@@ -119,6 +119,7 @@ class _Writer(DataSourceWriter):
         store, base = store_of(self.folder)
         for message in messages:
             for temporary, final in message.files if message else ():
+                store.create_dir(final.rsplit("/", 1)[0])
                 if store.get_file_info(final).type != fs.FileType.NotFound:
                     store.delete_file(final)
                 store.move(temporary, final)
@@ -172,11 +173,12 @@ def write_text(rows: DataFrame, folder: str, order: list[str], packed: str = "",
 
 
 def write_intensities(rows: DataFrame, folder: str, width: int = 2) -> None:
-    """Writes ``signal`` of each ``file``, clusters in order, as binary intensity files."""
+    """Writes ``signal`` of each ``file``, clusters in order, as binary intensity files; their first cycle is 1 or, if there is such a column, ``first_cycle``."""
+    first = ["first_cycle"] if "first_cycle" in rows.columns else []
 
     def encode(batch: pa.RecordBatch) -> bytes:
         signal = batch.column("signal")
-        return cif.encoded(signal.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(signal), -1), width)
+        return cif.encoded(signal.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(signal), -1), width, batch.column("first_cycle")[0].as_py() if first else 1)
 
-    _commit(rows.sparkSession, _parts(rows, ["signal"], ["cluster_idx"], encode), folder, kind="intensities")
+    _commit(rows.sparkSession, _parts(rows, ["signal", *first], ["cluster_idx"], encode), folder, kind="intensities")
 

@@ -14,7 +14,7 @@ from fluorspark.functions import nucleotides as nuc
 from fluorspark.functions import signal as sig
 from fluorspark.model import CHANNELS
 from fluorspark.operators import kernels
-from fluorspark.operators.parameters import ParameterFiles
+from fluorspark.operators.parameters import BlockFiles
 from fluorspark.operators.statistics import logistic_fit
 from fluorspark.operators.sufficient import matrix_of, one_hot, partial_sums, robust_weights
 from fluorspark.sources import named
@@ -91,7 +91,7 @@ def simulation_text(cycles: int, location: float, scale: float, covariance: list
     return "\n".join([*head, f"{cycles} L {location:.6f} {scale:.6f}", *(" ".join(f"{v:.6f}" for v in row) for row in covariance)]) + "\n"
 
 
-def simulations(calls: DataFrame, files: ParameterFiles, command: str = "") -> DataFrame:
+def simulations(calls: DataFrame, files: BlockFiles, command: str = "") -> DataFrame:
     """``name``, lane, tile, block and the text of a simulation file for each tile (``key``) of one block: the logistic fit of all brightness but zero, and
     the whole weighted covariance of the residuals, in valid cycles, of the clusters that the fit used."""
     kept = sig.kept(F.col("calls"), F.col("valid"))
@@ -120,7 +120,7 @@ def simulations(calls: DataFrame, files: ParameterFiles, command: str = "") -> D
     return light.join(sums, "key").select("name", *PLACE, "location", "scale", "v").mapInArrow(write, "name string, lane int, tile int, block int, value string")
 
 
-def parameters(tiles: DataFrame, files: ParameterFiles) -> DataFrame:
+def parameters(tiles: DataFrame, files: BlockFiles) -> DataFrame:
     """The fitted parameters of ``tiles`` (key, name, lane, tile, block, valid), read by tasks: a (by rows), n, omega, scale and effdf over all cycles; tiles without any are left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def write_matrices(held: DataFrame, out: Outputs) -> None:
         out.text(held.select("name", *PLACE, text.alias("value")), tag, ["block"])
 
 
-def write_processed(calls: DataFrame, files: ParameterFiles, out: Outputs) -> None:
+def write_processed(calls: DataFrame, files: BlockFiles, out: Outputs) -> None:
     """The un-mixed intensities of one block in the form of the input, a file for each tile; cycles without data are zeros."""
     rows = processed(calls.where("size(signal) > 0").select("key", "name", *PLACE, "cluster_idx", "x", "y", "signal", "valid"), files).drop("signal")
     each = F.flatten(F.transform("valid", lambda v: F.array_repeat(v, CHANNELS)))
@@ -163,7 +163,7 @@ def write_processed(calls: DataFrame, files: ParameterFiles, out: Outputs) -> No
         named.write_intensities(out.named(rows, "pif"), out.folder)
 
 
-def processed(calls: DataFrame, files: ParameterFiles) -> DataFrame:
+def processed(calls: DataFrame, files: BlockFiles) -> DataFrame:
     """Adds ``processed``, the un-mixed intensities under the fitted parameters of each tile (``key``); tiles without any are left out."""
     schema = ", ".join(f"`{c}` {t}" for c, t in calls.dtypes)
 
