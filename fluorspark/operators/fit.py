@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fluorspark.functions import signal as sig
 from fluorspark.model import AMBIGUOUS, CHANNELS, MIN_PHRED, Options, Params
-from fluorspark.operators import kernels, solve, statistics
+from fluorspark.operators import kernels, solve
 from fluorspark.operators.masks import mask_of
 from fluorspark.operators.parameters import ParameterFiles, shared_cut
 from fluorspark.operators.sufficient import band_matrix, band_sums, batch_sums, matrix_of, one_hot, partial_sums, robust_weights, unpacked_width
@@ -76,8 +76,8 @@ def _solved(sums: DataFrame, use) -> None:
                     done.append(False)
             yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(done)], names=["tile", "done"])
 
-    # sums are cut first: every attempt at a solve starts from the same numbers and writes the same file
-    shared_cut(shared_cut(sums).mapInArrow(run, "tile int, done boolean"))
+    # attempts at one solve read the same shuffled sums, added up in one order: they write the same file
+    shared_cut(sums.mapInArrow(run, "tile int, done boolean"))
 
 
 def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None = None, mix: np.ndarray | None = None, truth: str | None = None) -> tuple[DataFrame, ParameterFiles]:
@@ -144,7 +144,7 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
                 return band_sums(np.zeros_like(signal), np.zeros(len(signal)))
             return band_sums(kernels.processed(signal, found.a, found.n) - (c[2].to_numpy() * found.scale)[:, None] * one_hot(calls), w)
 
-        freedom = statistics.median(state.where("used"), ["tile"], "lss").withColumnRenamed("median", "freedom")
+        freedom = state.where("used").groupBy("tile").agg(F.median("lss").alias("freedom"))
 
         def precise(tile: int, v: np.ndarray, row: dict, step: int = step) -> None:
             found = files.get(f"{step}-mixing", tile)

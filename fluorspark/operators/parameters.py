@@ -59,7 +59,7 @@ class BlockFiles:
 class ParameterFiles:
     """Parameters that tasks write, tile by tile, and other tasks read as they need them: none passes through the driver.
 
-    The first file of a step and tile stays; solves start from sums that are cut, so the file of an attempt that runs again, or beside another, holds the same numbers.
+    The first file of a step and tile stays, and attempts beside each other write the same numbers, as sums are added up in the order of their tasks.
     A tile without a file has no parameters.
     """
 

@@ -131,24 +131,29 @@ def mixture_fits(df: DataFrame, by: list[str], value: str, k: int = 3, rounds: i
     """Normal mixtures of all groups by EM: ``n``, ``share``, ``mean`` and ``sd`` (arrays of ``k``), ``like``, the log-likelihood that the last round began with, and ``rounds``.
 
     The parameters are a table, a row for each group, joined to the rows; a round is one aggregate for all groups that go on, which tasks
-    begin on their own rows, so that a large group is no larger task. With ``tolerance`` a group stops when a round raises its log-likelihood by
+    begin on their own rows, so that a large group is no larger task. While there are no more than ``MOST_GROUPS`` groups the table passes through the driver and is sent to every task;
+    with more it stays in the shared folder and the rows are joined by group. With ``tolerance`` a group stops when a round raises its log-likelihood by
     no more than that, and its rows take no further part. Null values take no part; groups without values have no row.
     """
-    parts = shared_cut(mixture_starts(df, by, value, k).withColumn("like", F.lit(None).cast("double")).withColumn("rounds", F.lit(0)))
-    few = parts.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    spark = df.sparkSession
+    parts = mixture_starts(df, by, value, k).withColumn("like", F.lit(None).cast("double")).withColumn("rounds", F.lit(0))
     columns = [*by, "n", "share", "mean", "sd", "like", "rounds"]
+    known = parts.limit(MOST_GROUPS + 1).collect()
+    few = len(known) <= MOST_GROUPS
+    # the table goes on as rows of the driver while they are few, else as rows of the shared folder
+    held = (lambda d: spark.createDataFrame(d.collect(), d.schema)) if few else shared_cut
+    parts = spark.createDataFrame(known, parts.schema) if few else shared_cut(parts)
     stopped = parts.limit(0)
     for _ in range(rounds):
-        known = parts.drop("like", "rounds")
-        new = _mixture_round(df, F.broadcast(known) if few else known, by, value, k)
-        last = parts.select(*by, F.col("like").alias("_like"), (F.col("rounds") + 1).alias("rounds"))
-        both = new.join(last, by)
+        before = parts.select(*by, F.col("like").alias("_like"), "rounds")
+        now = parts.drop("like", "rounds")
+        new = _mixture_round(df, F.broadcast(now) if few else now, by, value, k).join(F.broadcast(before) if few else before, by)
         # a round reports the likelihood of the parameters it began with
         done = F.coalesce(F.col("new_like") - F.col("_like") <= F.lit(tolerance), F.lit(False)) if tolerance > 0 else F.lit(False)
-        step = shared_cut(both.withColumn("done", done).withColumn("like", F.col("new_like")).select(*columns, "done"))
-        parts = step.where("NOT done").drop("done")
+        step = held(new.select(*by, "n", "share", "mean", "sd", F.col("new_like").alias("like"), (F.col("rounds") + 1).alias("rounds"), done.alias("done")))
+        parts = step.where("NOT done").select(*columns)
         if tolerance > 0:
-            stopped = stopped.unionByName(step.where("done").drop("done"))
+            stopped = stopped.unionByName(step.where("done").select(*columns))
             if parts.isEmpty():
                 break
     return parts.unionByName(stopped)

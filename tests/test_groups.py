@@ -52,8 +52,8 @@ def test_a_thousand_groups_in_as_many_jobs_as_one(spark, monkeypatch):
     values = {g: np.r_[rng.normal(0, 1, 12), rng.normal(6 + g % 5, 1, 12)] for g in range(1000)}
     values[1000], values[1001] = np.array([2.5]), np.array([4.0] * 5)
     df = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v] + [(7, None), (2000, None)], "g int, v double")
-    cuts, cut = [0], stats.shared_cut
-    monkeypatch.setattr(stats, "shared_cut", lambda d: (cuts.__setitem__(0, cuts[0] + 1), cut(d))[1])
+    cuts, one_round = [0], stats._mixture_round
+    monkeypatch.setattr(stats, "_mixture_round", lambda *a: (cuts.__setitem__(0, cuts[0] + 1), one_round(*a))[1])
     one = stats.mixture_fits(df.where("g = 3"), ["g"], "v", 2, 4)
     alone, cuts[0] = cuts[0], 0
     got = {r["g"]: r for r in stats.mixture_fits(df, ["g"], "v", 2, 4).collect()}
