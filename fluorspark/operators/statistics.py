@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from fluorspark.operators.parameters import shared_cut
@@ -107,10 +107,14 @@ def mixture_starts(df: DataFrame, by: list[str], value: str, k: int) -> DataFram
     return own.select(*by, "n", each(lambda j: F.lit(1.0 / k)).alias("share"), each(lambda j: F.col("_m") + (2 - 4 * (j + 1) / (k + 1)) * F.col("_s")).alias("mean"), each(lambda j: F.greatest(F.col("_s") / k, F.lit(LEAST_SD))).alias("sd"))
 
 
-def _mixture_round(rows: DataFrame, parts: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
-    """One round of EM for all groups of ``parts``: ``next`` (share, mean, sd) and ``new_like``, by one aggregate."""
+def _mixture_round(rows: DataFrame, parts: DataFrame | Row, by: list[str], value: str, k: int) -> DataFrame:
+    """One round of EM for all groups of ``parts``, or of all rows as one group with a row's parameters: ``n``, ``share``, ``mean``, ``sd`` and ``new_like``, by one aggregate."""
     x = F.col(value).cast("double")
-    held = rows.where(x.isNotNull()).select(*by, x.alias("_x")).join(parts, by)
+    held = rows.where(x.isNotNull()).select(*by, x.alias("_x"))
+    if isinstance(parts, Row):
+        held = held.select("*", F.lit(parts["n"]).alias("n"), *(F.array(*map(F.lit, parts[c])).alias(c) for c in ("share", "mean", "sd")))
+    else:
+        held = held.join(parts, by)
     at = lambda name, j: F.get(name, F.lit(j))
     log = lambda j: F.when(at("share", j) > 0, F.log(at("share", j)) - F.log(at("sd", j)) - 0.5 * math.log(2 * math.pi) - 0.5 * F.pow((F.col("_x") - at("mean", j)) / at("sd", j), 2)).otherwise(float("-inf"))
     logs = held.select(*by, "_x", "n", "share", "mean", "sd", F.array(*(log(j) for j in range(k))).alias("_l")).withColumn("_top", F.array_max("_l"))
@@ -136,24 +140,36 @@ def mixture_fits(df: DataFrame, by: list[str], value: str, k: int = 3, rounds: i
     no more than that, and its rows take no further part. Null values take no part; groups without values have no row.
     """
     spark = df.sparkSession
-    parts = mixture_starts(df, by, value, k).withColumn("like", F.lit(None).cast("double")).withColumn("rounds", F.lit(0))
-    columns = [*by, "n", "share", "mean", "sd", "like", "rounds"]
-    known = parts.limit(MOST_GROUPS + 1).collect()
-    few = len(known) <= MOST_GROUPS
-    # the table goes on as rows of the driver while they are few, else as rows of the shared folder
-    held = (lambda d: spark.createDataFrame(d.collect(), d.schema)) if few else shared_cut
-    parts = spark.createDataFrame(known, parts.schema) if few else shared_cut(parts)
-    stopped = parts.limit(0)
+    start = mixture_starts(df, by, value, k).withColumn("like", F.lit(None).cast("double")).withColumn("rounds", F.lit(0))
+    known = start.limit(MOST_GROUPS + 1).collect()
+    if len(known) > MOST_GROUPS:
+        return _many_mixtures(df, shared_cut(start), by, value, k, rounds, tolerance)
+    going, stopped = known, []
+    for done in range(1, rounds + 1):
+        if not going:
+            break
+        before = {tuple(r[c] for c in by): r["like"] for r in going}
+        parts = going[0] if not by else F.broadcast(spark.createDataFrame(going, start.schema).drop("like", "rounds"))
+        going = []
+        for r in _mixture_round(df, parts, by, value, k).collect():
+            key, last = tuple(r[c] for c in by), before[tuple(r[c] for c in by)]
+            # a round reports the likelihood of the parameters it began with
+            closed = tolerance > 0 and last is not None and r["new_like"] - last <= tolerance
+            (stopped if closed else going).append(Row(*start.columns)(*key, r["n"], r["share"], r["mean"], r["sd"], r["new_like"], done))
+    return spark.createDataFrame(going + stopped, start.schema)
+
+
+def _many_mixtures(df: DataFrame, parts: DataFrame, by: list[str], value: str, k: int, rounds: int, tolerance: float) -> DataFrame:
+    """``mixture_fits`` of more groups than the driver takes: the parameters are joined to the rows and stay in the shared folder."""
+    columns, stopped = parts.columns, parts.limit(0)
     for _ in range(rounds):
         before = parts.select(*by, F.col("like").alias("_like"), "rounds")
-        now = parts.drop("like", "rounds")
-        new = _mixture_round(df, F.broadcast(now) if few else now, by, value, k).join(F.broadcast(before) if few else before, by)
-        # a round reports the likelihood of the parameters it began with
-        done = F.coalesce(F.col("new_like") - F.col("_like") <= F.lit(tolerance), F.lit(False)) if tolerance > 0 else F.lit(False)
-        step = held(new.select(*by, "n", "share", "mean", "sd", F.col("new_like").alias("like"), (F.col("rounds") + 1).alias("rounds"), done.alias("done")))
-        parts = step.where("NOT done").select(*columns)
+        new = _mixture_round(df, parts.drop("like", "rounds"), by, value, k).join(before, by)
+        closed = F.coalesce(F.col("new_like") - F.col("_like") <= F.lit(tolerance), F.lit(False)) if tolerance > 0 else F.lit(False)
+        step = shared_cut(new.select(*by, "n", "share", "mean", "sd", F.col("new_like").alias("like"), (F.col("rounds") + 1).alias("rounds"), closed.alias("closed")))
+        parts = step.where("NOT closed").select(*columns)
         if tolerance > 0:
-            stopped = stopped.unionByName(step.where("done").select(*columns))
+            stopped = stopped.unionByName(step.where("closed").select(*columns))
             if parts.isEmpty():
                 break
     return parts.unionByName(stopped)
@@ -161,5 +177,5 @@ def mixture_fits(df: DataFrame, by: list[str], value: str, k: int = 3, rounds: i
 
 def mixture_fit(df: DataFrame, value: str, k: int = 3, rounds: int = 100) -> tuple[list[tuple[float, float, float]], float]:
     """The mixture of all rows: (share, mean, sd) of each component and the log-likelihood that the last round began with."""
-    row = mixture_fits(df.select(value, F.lit(0).alias("_all")), ["_all"], value, k, rounds).first()
+    row = mixture_fits(df, [], value, k, rounds).first()
     return list(zip(row["share"], row["mean"], row["sd"], strict=True)), row["like"]
