@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files whose results are cut: Spark removes them when its driver collects garbage, which a driver with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder path for ``name`` inside the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids, numbered, restored, slices, texts_of, with_new
+from .common import cut, long_ids, numbered, release, restored, slices, texts_of, with_new
 from .components import connected_components
 from .shingles import links, shingle_set
 
@@ -270,6 +270,7 @@ def starred(star: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept for every row."""
     docs = long_ids(docs)
+    release(docs.sparkSession)
     seen = cut(features(docs.select("doc_id", "text")))
     usable = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
     sets = cut(usable.groupBy("high", "low").agg(F.min("doc_id").alias("node")))
@@ -281,10 +282,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     buckets = cut(buckets.withColumn("blocks", blocks).drop("weight"))
     members = cut(banded.drop("n_shingles").join(buckets, ["band", "key"]))
+    release(docs.sparkSession)
     texts = shared_texts(docs, members)
     star = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    labels = starred(cut(estimated(star, nodes, percent)), texts, percent)
+    hopeful_star = cut(estimated(star, nodes, percent))
+    release(docs.sparkSession)
+    labels = starred(hopeful_star, texts, percent)
+    release(docs.sparkSession)
     more = cut(across(members, nodes, texts, labels, percent))
+    release(docs.sparkSession)
     if not more.isEmpty():
         labels = _joined(more, labels)
     repeated = usable.groupBy("doc_id").agg(F.min("high").alias("h0"), F.max("high").alias("h1")).where("h0 != h1").select("doc_id")
