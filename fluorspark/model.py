@@ -82,4 +82,5 @@ class Options:
     calibrate: bool = True
     mu: float = 1e-5
     mask_nodata: bool = False
+    solver: str = "cholesky"
     fixed: Params | None = field(default=None, compare=False)

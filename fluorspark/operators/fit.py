@@ -131,7 +131,7 @@ def fit(clusters: DataFrame, options: Options = Options(), spiked: str | None =
 
         def mixed(tile: int, v: np.ndarray, row: dict, step: int = step) -> None:
             begin = first(unpacked_width(v) // CHANNELS, row.get("valid"))
-            found = begin if options.fixed else solve.mixing(v, begin.a, options.ridge, options.delta)
+            found = begin if options.fixed else solve.mixing(v, begin.a, options.ridge, options.delta, options.solver)
             a, scale = solve.normalised(found.a)
             files.put(f"{step}-mixing", tile, Params(found.a if options.fixed else a, found.n, scale=scale))
 

@@ -33,14 +33,14 @@ def shared_cut(df: DataFrame) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=16)
-def _load(folder: str, step: str, tile: int) -> Params | None:
+def _load(folder: str, step: str, tile: int, kind: type = Params):
     store, base = fs.FileSystem.from_uri(folder)
     name = f"{base}/{step}/{tile}.npz"
     if store.get_file_info(name).type == fs.FileType.NotFound:
         return None
     with store.open_input_stream(name) as file:
         held = np.load(io.BytesIO(file.read()))
-    return Params(**{k: held[k] if held[k].ndim else float(held[k]) for k in held.files})
+    return kind(**{k: held[k] if held[k].ndim else float(held[k]) for k in held.files})
 
 
 class BlockFiles:
@@ -60,13 +60,13 @@ class ParameterFiles:
     """Parameters that tasks write, tile by tile, and other tasks read as they need them: none passes through the driver.
 
     The first file of a step and tile stays, and attempts beside each other write the same numbers, as sums are added up in the order of their tasks.
-    A tile without a file has no parameters.
+    A tile without a file has no parameters. ``kind`` is the parameters' data class.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.folder, self.last = f"{shared_folder(spark).rstrip('/')}/fit-{uuid.uuid4().hex}", ""
+    def __init__(self, spark: SparkSession, kind: type = Params) -> None:
+        self.folder, self.last, self.kind = f"{shared_folder(spark).rstrip('/')}/fit-{uuid.uuid4().hex}", "", kind
 
-    def put(self, step: str, tile: int, params: Params) -> None:
+    def put(self, step: str, tile: int, params) -> None:
         store, base = fs.FileSystem.from_uri(self.folder)
         name = f"{base}/{step}/{tile}.npz"
         if store.get_file_info(name).type != fs.FileType.NotFound:
@@ -79,8 +79,8 @@ class ParameterFiles:
             out.write(raw.getvalue())
         store.move(part, name)
 
-    def get(self, step: str, tile: int) -> Params | None:
-        return _load(self.folder, step, int(tile))
+    def get(self, step: str, tile: int):
+        return _load(self.folder, step, int(tile), self.kind)
 
     def __iter__(self) -> Iterator[int]:
         """The tiles that have parameters after the last step."""
@@ -88,6 +88,6 @@ class ParameterFiles:
         found = store.get_file_info(fs.FileSelector(f"{base}/{self.last}", allow_not_found=True))
         return iter(sorted(int(x.base_name.removesuffix(".npz")) for x in found if x.base_name.endswith(".npz")))
 
-    def __getitem__(self, tile: int) -> Params | None:
+    def __getitem__(self, tile: int):
         """The parameters of the last step."""
         return self.get(self.last, tile)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fluorspark.functions import calibration
 from fluorspark.model import CHANNELS, MIN_PHRED, Options, Params
 from fluorspark.operators import joins, parameters
+from fluorspark.operators.solve import SOLVERS
 from fluorspark.plans import blocks, entry
 from fluorspark.sources import cif, named, sinks, text
 
@@ -67,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     add("-w", dest="working", nargs="?", const="processed", default="none", type=str.lower, choices=WORKING, help="working outputs; each level has those before it")
     add("-z", dest="zero_thin", type=uint, default=3)
     p.add_argument("--mask-nodata", dest="mask_nodata", action="store_true", help="call N where a cycle is zero in all clusters of a tile")
+    p.add_argument("--solver", dest="solver", type=str.lower, choices=SOLVERS, default="cholesky", help="how the mixing matrix is solved for")
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("--licence", "--license", action="version", version=LICENCE, help="show the licence and stop")
     return p
@@ -83,7 +85,7 @@ def options_of(spark: SparkSession, args: argparse.Namespace) -> Options:
     fixed = None
     if args.parameter_a:
         fixed = Params(text.read_matrix(spark, args.parameter_a), text.read_matrix(spark, args.noise).T.ravel())
-    return Options(iterations=args.iterations, generalised_error=args.generr, thin=args.thin, zero_thin=args.zero_thin, blocks=args.blocks, sample=args.sample, calibrate=not args.no_calibration, fixed=fixed, mu=args.mu, mask_nodata=args.mask_nodata)
+    return Options(iterations=args.iterations, generalised_error=args.generr, thin=args.thin, zero_thin=args.zero_thin, blocks=args.blocks, sample=args.sample, calibrate=not args.no_calibration, fixed=fixed, mu=args.mu, mask_nodata=args.mask_nodata, solver=args.solver)
 
 
 def _listed(spark: SparkSession, folder: str) -> list[str]:

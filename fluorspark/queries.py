@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from fluorspark.functions import nucleotides as nuc
 from fluorspark.functions import signal as sig
 from fluorspark.model import INITIAL_CROSSTALK, MIN_PHRED, Options, Params, crosstalk
 from fluorspark.operators import fit as fits
-from fluorspark.operators import joins, kernels, masks, solve
+from fluorspark.operators import joins, kernels, masks, separable, solve
 from fluorspark.operators import statistics as stats
 from fluorspark.operators import sufficient as suff
 from fluorspark.operators.parameters import shared_cut, shared_folder
@@ -818,3 +819,77 @@ def mixnormal_em_groups(spark, sf_dir):
     fits_ = stats.mixture_fits(rows, ["event_type"], "v", 2, 3)
     each = fits_.select("event_type", "like", F.posexplode(F.arrays_zip("share", "mean", "sd")).alias("component", "c"))
     return each.select("event_type", "component", r("c.share").alias("share"), r("c.mean").alias("mean"), r("c.sd").alias("sd"), r("like", 3).alias("log_likelihood"))
+
+
+# the separable model, and mixing over non-negative values
+
+#: A phasing that leaks to both neighbouring cycles, and an offset, for sums and un-mixing at fixed parameters.
+PHASE = np.where(np.eye(16) > 0, 0.8, 0.0) + 0.1 * (np.eye(16, k=1) + np.eye(16, k=-1))
+OFFSET = (np.arange(64) % 7).reshape(16, 4).astype(float)
+_MIX = f"CAST({crosstalk().tolist()} AS DOUBLE[][])"
+_ALIKE = f"CAST({(crosstalk().T @ crosstalk()).tolist()} AS DOUBLE[][])"
+
+
+@query(f"""WITH {STATE}, ph AS (SELECT CAST(c AS INTEGER) AS cycle, CAST(d AS INTEGER) AS d, CAST(CASE WHEN c = d THEN 0.8 ELSE 0.1 END AS DOUBLE) AS p FROM range(16) a(c) JOIN range(16) b(d) ON abs(c - d) <= 1),
+x AS MATERIALIZED (SELECT call.cluster_idx, call.tile, base, d, sum(lam * p) AS x, any_value(w) AS w FROM call JOIN st USING (cluster_idx) JOIN ph USING (cycle) GROUP BY 1, 2, 3, 4),
+e AS (
+SELECT a.tile, 'M left' AS side, a.base AS i, b.base AS j, sum(a.w * a.x * b.x) AS v FROM x a JOIN x b USING (cluster_idx, d) GROUP BY 1, 3, 4
+UNION ALL SELECT tile, 'M left', base, 4 + d, sum(w * x) FROM x GROUP BY 1, 3, 4
+UNION ALL SELECT tile, 'M left', 4 + d, base, sum(w * x) FROM x GROUP BY 1, 3, 4
+UNION ALL SELECT tile, 'M left', 4 + d, 4 + d, sum(w) FROM st, range(16) r(d) GROUP BY 1, 3
+UNION ALL SELECT x.tile, 'M right', x.base, l.ch, sum(w * x * l.v) FROM x JOIN long l ON x.cluster_idx = l.cluster_idx AND x.d = l.cycle GROUP BY 1, 3, 4
+UNION ALL SELECT l.tile, 'M right', 4 + l.cycle, l.ch, sum(w * l.v) FROM long l JOIN st USING (cluster_idx) GROUP BY 1, 3, 4
+UNION ALL SELECT a.tile, 'P left', a.cycle, b.cycle, sum(w * lam * lam * ({_ALIKE})[a.base + 1][b.base + 1]) FROM call a JOIN call b USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 3, 4
+UNION ALL SELECT c.tile, 'P right', c.cycle, l.cycle, sum(w * lam * ({_MIX})[l.ch + 1][c.base + 1] * (l.v - (l.cycle * 4 + l.ch) % 7)) FROM call c JOIN long l USING (cluster_idx) JOIN st USING (cluster_idx) GROUP BY 1, 3, 4)
+SELECT tile, side, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v / 1000 + 1.7e-6, 3) + 0.0 AS v FROM e WHERE abs(v) > 1e-6""")
+def separable_sides(spark, sf_dir):
+    """Both systems of the separable model, at fixed parameters."""
+    found = separable.sides(called(spark, sf_dir), crosstalk(), PHASE, OFFSET).where("abs(v) > 1e-6")
+    return found.select("tile", "side", "i", "j", r(F.col("v") / 1000, 3).alias("v"))
+
+
+@query("""WITH t AS (SELECT DISTINCT label AS tile FROM embeddings), n AS (SELECT CAST(range AS INTEGER) AS n FROM range(16))
+SELECT tile, equation, a.n AS i, b.n AS j, 0.0::DOUBLE AS off FROM t, n a, n b, (VALUES ('M', 4, 4), ('P', 16, 16), ('N', 16, 4)) e(equation, rows, columns) WHERE a.n < rows AND b.n < columns""")
+def separable_residuals(spark, sf_dir):
+    """What is left of the normal equations of each tile's fit, from another reading of its clusters."""
+    rows = called(spark, sf_dir)
+    _, files = separable.fit(rows, 2000, 1e-14)
+    return separable.normal_equations(rows, files).select("tile", "equation", "i", "j", r("off").alias("off"))
+
+
+@query()
+def separable_fit(spark, sf_dir):
+    """The separable model of each tile: M, P, N, the cycles' variances and the error."""
+    return separable.fit(called(spark, sf_dir), by_variance=True)[0]
+
+
+_INVERSE_PHASE = f"CAST({np.linalg.inv(PHASE).tolist()} AS DOUBLE[][])"
+
+
+@query(f"""WITH {LONG}, m AS (SELECT cluster_idx, cycle, list(v - (cycle * 4 + ch) % 7 ORDER BY ch) AS s FROM long GROUP BY 1, 2),
+q AS (SELECT cluster_idx, cycle, b, list_dot_product(s, (CAST({INVERSE} AS DOUBLE[][]))[b + 1]) AS q FROM m, range(4) r(b)),
+p AS (SELECT cluster_idx, d AS cycle, b, sum(q * ({_INVERSE_PHASE})[cycle + 1][d + 1]) AS p FROM q, range(16) r(d) GROUP BY 1, 2, 3)
+SELECT cluster_idx, CAST(cycle AS INTEGER) AS cycle, round(max(p) FILTER (WHERE b = 0) + 1.7e-6, 4) + 0.0 AS a, round(max(p) FILTER (WHERE b = 3) + 1.7e-6, 4) + 0.0 AS t FROM p GROUP BY 1, 2""")
+def separable_unmix(spark, sf_dir):
+    """M^-1 (I - N) P^-1 at fixed parameters."""
+    rows = separable.unmixed(clusters(spark, sf_dir), fixed=separable.Separable(crosstalk(), PHASE, OFFSET))
+    each = rows.select("cluster_idx", F.posexplode(sig.per_cycle(F.col("processed"), lambda ch: ch)).alias("cycle", "q"))
+    return each.select("cluster_idx", "cycle", r(F.col("q")[0]).alias("a"), r(F.col("q")[3]).alias("t"))
+
+
+@query("SELECT DISTINCT label AS tile, 0 AS negatives, 0.0::DOUBLE AS off FROM embeddings")
+def nonnegative_mixing(spark, sf_dir):
+    """Each tile's mixing over A >= 0 from the sums of its clusters: its negative entries, and how far it is from the optimum."""
+    rows = called(spark, sf_dir)
+    sums = suff.partial_sums(rows, ["signal", "calls", "brightness", "weight"], lambda tile, c: suff.batch_sums(suff.matrix_of(c[0]), suff.matrix_of(c[1], np.int8), c[2].to_numpy(), c[3].to_numpy()))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                v = batch.column("v")[k].values.to_numpy()
+                start = Params.initial(suff.unpacked_width(v) // 4).a
+                found.append(solve.off_optimum(*solve.system(v, start, 1.0), solve.mixing(v, start, 1.0, solver="nonnegative")))
+            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.float64())], names=["tile", "negatives", "off"])
+
+    return sums.mapInArrow(run, "tile int, negatives int, off double").withColumn("off", r("off"))
