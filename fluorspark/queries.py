@@ -26,6 +26,7 @@ from fluorspark.operators.parameters import shared_cut, shared_folder
 from fluorspark.plans import blocks, cli, entry
 from fluorspark.sources import cif, named, sinks
 from fluorspark.sources import text as sources
+from fluorspark.streaming import assembly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -893,3 +894,26 @@ def nonnegative_mixing(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.float64())], names=["tile", "negatives", "off"])
 
     return sums.mapInArrow(run, "tile int, negatives int, off double").withColumn("off", r("off"))
+
+
+# a stream of cycles
+
+
+@query(f"""WITH {PROC}, b AS (SELECT cluster_idx, cycle, CASE WHEN cluster_idx % 5 = 0 AND cycle IN (3, 9) THEN 'N' ELSE substr('ACGT', b + 1, 1) END AS base FROM pc)
+SELECT 1 AS lane, tile, cluster_idx, string_agg(base, '' ORDER BY cycle) AS bases FROM b JOIN sig USING (cluster_idx) GROUP BY tile, cluster_idx""")
+def streamed_calls(spark, sf_dir):
+    """Cycles written as files, read as a stream, put together cluster by cluster and called; two cycles of every fifth cluster never come."""
+    folder = _folder(spark, "stream")
+    rows = clusters(spark, sf_dir).select(F.lit(1).alias("lane"), "tile", "cluster_idx", F.posexplode(sig.per_cycle(F.col("signal"), lambda ch: ch)).alias("cycle", "signal"))
+    sent = rows.where(~((F.col("cluster_idx") % 5 == 0) & F.col("cycle").isin(3, 9)))
+    sent.withColumn("at", F.timestamp_seconds(F.lit(1 << 30) + F.col("cycle"))).write.parquet(f"{folder}/in")
+    # clusters wait for 5 seconds after their first cycle; the watermark passes that when the first batch has been read
+    provider, name = assembly.PROVIDER, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+        assembly.call_to(stream, 16, 5000, f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.parquet(f"{folder}/out/calls").select("lane", "tile", "cluster_idx", "bases")
