@@ -7,8 +7,10 @@ compared without the texts. A text without a signature has the hash of its whole
 
 ``near_pairs`` joins documents by set: copies of a fingerprint are represented by the smallest id; sets are
 partitioned by length so that a set meets only its own and the next partition; only a set's rarest
-signatures (as many as a pair at the threshold must share one of) are matched, and a pair only at the first
-that it shares. Signatures that many sets have among their rarest are dealt out as pairs of blocks.
+signatures (as many as a pair at the threshold must share one of) are matched. A pair is taken at the first
+that both have among their very rarest, which travel along; pairs that share none of those are made distinct afterwards, so
+what travels grows with a text's length and not with its square. Signatures that many sets have among their rarest are dealt out as pairs of blocks,
+and a signature's frequency is told to its sets in as many copies as it has sets for.
 Pairs that pass the length bound are confirmed by their full Jaccard likeness.
 
 Defined results: a null text is an empty one; rows with a null id stand before the smallest id
@@ -36,8 +38,8 @@ ANCHORS = (
 ).split()
 #: Rows of an id range, the most ranges (beyond them ranges grow; they are sorted and may spill), and sampled rows of a range.
 ROWS_A_BUCKET, MOST_BUCKETS, SAMPLE = 512, 4096, 20
-#: Sets of a block, and copies of a signature's frequency.
-BLOCK_ROWS, SALTS = 1024, 16
+#: Sets of a block, sets that one copy of a signature's frequency serves at most, on average, and a set's rarest signatures that travel with each of its rows.
+BLOCK_ROWS, SETS_A_SALT, SHOWN = 1024, 65536, 64
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -127,26 +129,28 @@ def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, Dat
     classes = cut(known.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")))
     members = known.select("doc_id", "set").join(classes.select("set", F.col("id").alias("representative")), "set").select("doc_id", "representative").distinct()
     sized = classes.select("set", "id", "sigs", F.size("sigs").alias("n"))
-    # every signature's frequency, in copies, as some are in most sets
-    each = sized.select("set", "n", F.explode("sigs").alias("sig"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).alias("salt"))
-    often = each.groupBy("sig").agg(F.count("*").alias("often")).select("sig", "often", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # every signature's frequency; as some are in most sets, it is told to shares of the sets, and only to those that have it
+    salts = classes.count() // SETS_A_SALT + 1
+    each = sized.select("set", "n", F.explode("sigs").alias("sig"), F.pmod(F.xxhash64("set"), F.lit(salts)).alias("salt"))
+    shares = each.groupBy("sig", "salt").agg(F.count("*").alias("own"))
+    often = shares.join(shares.groupBy("sig").agg(F.sum("own").alias("often")), "sig").select("sig", "salt", "often")
     ranked = each.join(often, ["sig", "salt"]).groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("order"))
     length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
     part = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / threshold)) + 1e-9)
     rarest = cut(ranked.select("set", "n", part.alias("part"), F.transform(F.slice("order", F.lit(1), length), lambda s: s["sig"]).alias("head")))
-    heads = rarest.select("set", "n", "part", "head", F.explode("head").alias("sig"))
+    heads = rarest.select("set", "n", "part", F.slice("head", F.lit(1), F.lit(SHOWN)).alias("shown"), F.explode("head").alias("sig"))
     left = heads.withColumn("meet", F.explode(F.array("part", F.col("part") + 1)))
     right = heads.withColumn("meet", F.col("part"))
     blocks = lambda rows, name: rows.groupBy("meet", "sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
     cells = cut(blocks(left, "n_left").join(blocks(right, "n_right"), ["meet", "sig"]))
     own = lambda name: F.pmod(F.xxhash64("set"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    side = lambda rows, x: rows.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"p_{x}"), F.col("head").alias(f"head_{x}"), "meet", "sig", "i", "j")
+    side = lambda rows, x: rows.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"p_{x}"), F.col("shown").alias(f"shown_{x}"), "meet", "sig", "i", "j")
     a = side(left.join(cells, ["meet", "sig"]).withColumn("i", own("n_left")).withColumn("j", every("n_right")), "a")
     b = side(right.join(cells, ["meet", "sig"]).withColumn("j", own("n_right")).withColumn("i", every("n_left")), "b")
     apart = (F.col("meet") > F.col("p_a")) | (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    here = F.get(F.array_intersect("head_a", "head_b"), F.lit(0)) == F.col("sig")
-    pairs = a.join(b, ["meet", "sig", "i", "j"]).where(apart & (F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & here).select("a", "b")
+    here = F.coalesce(F.get(F.array_intersect("shown_a", "shown_b"), F.lit(0)) == F.col("sig"), F.lit(True))
+    pairs = a.join(b, ["meet", "sig", "i", "j"]).where(apart & (F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & here).select("a", "b").distinct()
     whole = lambda x: sized.select(F.col("set").alias(x), F.col("id").alias(f"id_{x}"), F.col("sigs").alias(f"sigs_{x}"))
     alike = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"))).where(F.col("likeness") >= threshold)
     return alike.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "likeness"), members

@@ -606,6 +606,9 @@ def test_edited_texts_over_buckets(spark, docs, texts, monkeypatch):
 @pytest.mark.parametrize("block", [1024, 3])
 def test_spot_pairs_equal_brute_force(spark, docs, monkeypatch, block):
     monkeypatch.setattr(spotsigs, "BLOCK_ROWS", block)
+    if block == 3:
+        monkeypatch.setattr(spotsigs, "SETS_A_SALT", 7)
+        monkeypatch.setattr(spotsigs, "SHOWN", 2)
     rng = np.random.default_rng(14)
     words = [str(w) for w in rng.choice(["the", "of", "in", *(f"w{k}" for k in range(40))], 300)]
     more = documents(spark, [(50_000 + k, edited(rng, words, share)) for k, share in enumerate(rng.uniform(0, 0.08, 40))] + [(None, "a cat sat"), (60_000, ""), (60_001, None)])
@@ -728,7 +731,7 @@ def test_matches_sql(spark, tmp_path, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     queries.queries()[name](spark, SF).write.parquet(str(tmp_path / "o"))
     got, want = con.sql(f"SELECT * FROM '{tmp_path}/o/*.parquet'").df(), con.sql(queries.oracle_sql()[name]).df()
