@@ -4,7 +4,7 @@ Calls and results are hash-joined by conversation and call id. A call's level in
 order is one more than the highest level it depends on. Chains of calls with one dependency each are
 passed by pointer doubling, so a chain of n calls takes log n rounds; calls with several dependencies are
 settled in rounds, when all they depend on are; what never settles is cyclic. Arguments are parsed once, checked
-against the tool's schema and written as canonical JSON: keys sorted, no blanks.
+against the tool's schema (types, required members, values to choose from, bounds, items and nested objects) and written as canonical JSON: keys sorted, no blanks.
 
 Defined results: a call without a result is ``unanswered``, a result without a call is
 ``orphan``; of calls or results that repeat an id the first (by turn, text, then the other columns) is linked and
@@ -16,17 +16,40 @@ tool. Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Parameters of each tool: name -> (JSON type, required).
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: A parameter's rule: (JSON type, required), or JSON-Schema words: type, required (true or false), enum, minimum, maximum, minItems, maxItems, items (a rule), properties (rules by name).
+Rule = tuple[str, bool] | dict
+#: Rules of each tool's parameters.
+Schemas = dict[str, dict[str, Rule]]
 #: The names of parsed values' types that each JSON type may have.
 _KINDS = {"string": "STRING", "integer": "BIGINT|DECIMAL\\(\\d+,0\\)", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 CALL_KEY = ["conv_id", "call_id"]
 REPLY: Schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+LIMIT = {"type": "integer", "minimum": 1, "maximum": 100}
+#: ``REPLY`` and a tool with nested parameters, item types, values to choose from and bounds.
+TOOLS: Schemas = REPLY | {
+    "search": {
+        "filter": {"type": "object", "required": True, "properties": {"lang": {"type": "string", "required": True, "enum": ["de", "en", "fr"]}, "limit": LIMIT}},
+        "tags": {"type": "array", "items": {"type": "string"}, "maxItems": 3},
+    }
+}
+#: Arguments of the calls of ``search`` that ``tool_messages`` makes, their canonical form and their errors.
+SEARCHES = (
+    ('{"tags": [], "filter": {"limit": 10, "lang": "en"}}', '{"filter":{"lang":"en","limit":10},"tags":[]}', ""),
+    ('{"filter": {"limit": 0, "lang": "de"}}', '{"filter":{"lang":"de","limit":0}}', "filter.limit is below 1"),
+    ('{"filter": {"limit": 500, "lang": "fr"}}', '{"filter":{"lang":"fr","limit":500}}', "filter.limit is above 100"),
+    ('{"filter": {"lang": "xx"}, "tags": "a"}', '{"filter":{"lang":"xx"},"tags":"a"}', "filter.lang is none of its values; tags is no array"),
+    ('{"tags": ["a", 1, null], "filter": {"lang": "en"}}', '{"filter":{"lang":"en"},"tags":["a",1,null]}', "tags[1] is no string; tags[2] is no string"),
+    ('{"tags": ["a", "b", "c", "d"]}', '{"tags":["a","b","c","d"]}', "filter is missing; tags has more than 3 items"),
+    ('{"filter": {"deep": true, "limit": "10"}, "more": 1}', '{"filter":{"deep":true,"limit":"10"},"more":1}', "filter.lang is missing; filter.limit is no integer; unknown parameter filter.deep; unknown parameter more"),
+    ("search now", '"search now"', "arguments are no JSON object"),
+)
 
 
 def embedded(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,17 +72,75 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+_NONE = "CAST(array() AS array<string>)"
+
+
+def _members(value: Column, keys: Column, rules: dict[str, Rule], prefix: str | Column) -> Column:
+    """The errors of an object's members, by name, and then its unknown members."""
+    within = F.lit(prefix) if isinstance(prefix, str) else prefix
+    checks = []
+    for name, rule in sorted(rules.items()):
+        label = F.concat(within, F.lit(name))
+        required = rule[1] if isinstance(rule, tuple) else rule.get("required", False)
+        absent = F.array(F.concat(label, F.lit(" is missing"))) if required else F.expr(_NONE)
+        checks.append(F.when(F.array_contains(keys, name), _faults(F.try_variant_get(value, f"$['{name}']", "variant"), rule, label)).otherwise(absent))
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, rules)) if rules else F.expr(_NONE)))
+    return F.concat(*checks, F.transform(unknown, lambda k: F.concat(F.lit("unknown parameter "), within, k)))
+
+
+def _faults(value: Column, rule: Rule, label: Column) -> Column:
+    """The errors of a value against its rule; what has the wrong type has no others."""
+    if isinstance(rule, tuple):
+        rule = {"type": rule[0]}
+    typed = F.coalesce(F.schema_of_variant(value).rlike(f"^(?:{_KINDS[rule['type']]})$"), F.lit(False))
+    says = lambda when, text: F.when(when, F.array(F.concat(label, F.lit(text)))).otherwise(F.expr(_NONE))
+    found = [F.expr(_NONE)]
+    if "enum" in rule:
+        values = [json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in rule["enum"]]
+        found.append(says(~F.to_json(value).isin(values), " is none of its values"))
+    number = F.try_variant_get(value, "$", "double")
+    if "minimum" in rule:
+        found.append(says(number < rule["minimum"], f" is below {rule['minimum']}"))
+    if "maximum" in rule:
+        found.append(says(number > rule["maximum"], f" is above {rule['maximum']}"))
+    if rule["type"] == "array":
+        items = F.try_variant_get(value, "$", "array<variant>")
+        if "minItems" in rule:
+            found.append(says(F.size(items) < rule["minItems"], f" has less than {rule['minItems']} items"))
+        if "maxItems" in rule:
+            found.append(says(F.size(items) > rule["maxItems"], f" has more than {rule['maxItems']} items"))
+        if "items" in rule:
+            found.append(F.flatten(F.transform(items, lambda v, k: _faults(v, rule["items"], F.concat(label, F.lit("["), k.cast("string"), F.lit("]"))))))
+    if "properties" in rule:
+        found.append(_members(value, F.json_object_keys(F.to_json(value)), rule["properties"], F.concat(label, F.lit("."))))
+    return F.when(typed, F.concat(*found)).otherwise(F.array(F.concat(label, F.lit(f" is no {rule['type']}"))))
+
+
+def tool_messages(chats: DataFrame) -> DataFrame:
+    """Plain chats as messages with tool calls, for ``embedded``, by rule: a user's turn t calls ``call_t`` and ``look_t``, the assistant's next turn answers.
+
+    ``call_t`` comes after ``call_(t-2)``; ``look_t`` in every third conversation after both ``call_t`` and ``call_(t-2)``; in every fifteenth ``call_t``
+    comes after ``look_t`` as well, a cycle. Some ids repeat, some are null, some tools are unknown, and ``SEARCHES`` has errors of every kind.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    every = lambda n, k, of=c: F.coalesce(F.pmod(of, F.lit(n)) == k, F.lit(False))
+    call, look = (lambda t: F.concat(F.lit("call_"), t.cast("string"))), (lambda t: F.concat(F.lit("look_"), t.cast("string")))
+    reply = F.struct(call(t).alias("id"), F.when(every(11, 0, c + t), "shout").otherwise("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), t.alias("turn"))).alias("arguments"), F.array_compact(F.array(call(t - 2), F.when(every(15, 6), look(t)))).alias("after"))
+    asked = F.element_at(F.array(*(F.lit(a) for a, _, _ in SEARCHES)), F.coalesce(F.pmod(c + t, F.lit(len(SEARCHES))), F.lit(0)).cast("int") + 1)
+    search = F.struct(F.when(~every(17, 5), look(t)).alias("id"), F.lit("search").alias("name"), asked.alias("arguments"), F.when(every(3, 0), F.array(call(t), call(t - 2))).otherwise(F.expr(_NONE)).alias("after"))
+    calls = chats.where("role = 'user'").select(c, t, F.lit("assistant").alias("role"), F.to_json(F.struct(F.when(every(4, 2), F.array(reply, reply, search)).otherwise(F.array(reply, search)).alias("tool_calls"))).alias("text"))
+    said = F.struct(call(t - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    seen = F.struct(F.when(~every(13, 0, c + t), look(t - 1)).alias("tool_call_id"), F.lit("found").alias("content"))
+    answers = F.explode(F.array_compact(F.array(said, F.when(every(6, 1), said), F.when(every(2, 0, c + t), seen))))
+    results = chats.where("role = 'assistant'").select(c, t, F.lit("tool").alias("role"), answers.alias("r")).select("conv_id", "turn", "role", F.to_json("r").alias("text"))
+    return calls.unionByName(results)
+
+
 def errors_of(parsed: Column, keys: Column, name: Column, schemas: Schemas) -> Column:
-    """The arguments' errors against the schema of the tool ``name``, as an array of strings."""
+    """The arguments' errors (nested names as ``a.b`` and ``a[0]``) against the schema of the tool ``name``, as an array of strings."""
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("null"))))
     for tool, parameters in schemas.items():
-        checks = []
-        for parameter, (kind, required) in sorted(parameters.items()):
-            seen = F.schema_of_variant(F.try_variant_get(parsed, f"$['{parameter}']", "variant"))
-            given = F.array_contains(keys, parameter)
-            checks.append(F.when(given & ~F.coalesce(seen.rlike(f"^(?:{_KINDS[kind]})$"), F.lit(False)), F.lit(f"{parameter} is no {kind}")).when(~given & F.lit(required), F.lit(f"{parameter} is missing")))
-        unknown = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, parameters)))), lambda k: F.concat(F.lit("unknown parameter "), k))
-        out = F.when(name == tool, F.concat(F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"), unknown)).otherwise(out)
+        out = F.when(name == tool, _members(parsed, keys, parameters, "")).otherwise(out)
     return F.when(keys.isNull(), F.array(F.lit("arguments are no JSON object"))).otherwise(out)
 
 
@@ -155,19 +236,44 @@ def _linked(calls: DataFrame, results: DataFrame, schemas: Schemas, every: bool)
     return checked.select(*CALL_KEY, "status", F.col("level").cast("int").alias("level"), F.array_join("errors", "; ").alias("errors"), record.alias("record"))
 
 
-ORACLE_SQL = """
-WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
-v AS (
-  SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
-  UNION ALL
-  SELECT u.conv_id, u.turn, v.level + 1 FROM u JOIN v ON u.conv_id = v.conv_id AND u.turn = v.turn + 2
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, text, conv_id + turn AS s FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text, conv_id + turn AS s FROM conversations WHERE role = 'assistant'),
+k AS (
+  SELECT conv_id, 'call_' || turn AS id, CASE WHEN s % 11 = 0 THEN 'shout' ELSE 'reply' END AS name,
+         CASE WHEN text IS NULL THEN '{{"turn":' || turn || '}}' ELSE CAST(json_object('prompt', text, 'turn', turn) AS VARCHAR) END AS arguments,
+         CASE WHEN s % 11 = 0 THEN 'unknown tool shout' WHEN text IS NULL THEN 'prompt is missing' ELSE '' END AS errors, rep
+  FROM u, (VALUES (1), (2)) r(rep) WHERE rep = 1 OR conv_id % 4 = 2
+  UNION ALL SELECT conv_id, CASE WHEN conv_id % 17 <> 5 THEN 'look_' || turn END, 'search', ({_listed(c for _, c, _ in SEARCHES)})[s % 8 + 1], ({_listed(e for _, _, e in SEARCHES)})[s % 8 + 1], 1 FROM u
+),
+r AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS id, text AS content, rep FROM a, (VALUES (1), (2)) r(rep) WHERE rep = 1 OR conv_id % 6 = 1
+  UNION ALL SELECT conv_id, CASE WHEN s % 13 <> 0 THEN 'look_' || (turn - 1) END, 'found', 1 FROM a WHERE s % 2 = 0
+),
+n AS (SELECT conv_id, id FROM k WHERE rep = 1 AND id IS NOT NULL),
+e AS (
+  SELECT x.* FROM (
+    SELECT conv_id, 'call_' || turn AS id, 'call_' || (turn - 2) AS b FROM u
+    UNION ALL SELECT conv_id, 'call_' || turn, 'look_' || turn FROM u WHERE conv_id % 15 = 6
+    UNION ALL SELECT conv_id, 'look_' || turn, 'call_' || turn FROM u WHERE conv_id % 3 = 0
+    UNION ALL SELECT conv_id, 'look_' || turn, 'call_' || (turn - 2) FROM u WHERE conv_id % 3 = 0
+  ) x JOIN n USING (conv_id, id) JOIN n m ON m.conv_id = x.conv_id AND m.id = x.b
+),
+size AS (SELECT conv_id, count(*) AS n FROM n GROUP BY 1),
+p AS (SELECT conv_id, id, 0 AS len FROM n UNION SELECT e.conv_id, e.id, p.len + 1 FROM e JOIN p ON e.conv_id = p.conv_id AND e.b = p.id JOIN size ON size.conv_id = e.conv_id WHERE p.len < size.n),
+lv AS (SELECT p.conv_id, p.id, CASE WHEN max(len) < max(n) THEN max(len) END AS level FROM p JOIN size USING (conv_id) GROUP BY 1, 2),
+o AS (
+  SELECT k.conv_id, k.id, CASE WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, level, errors, arguments, name, content
+  FROM k JOIN lv ON k.conv_id = lv.conv_id AND k.id = lv.id LEFT JOIN r ON k.conv_id = r.conv_id AND k.id = r.id AND r.rep = 1 WHERE k.rep = 1
+  UNION ALL SELECT conv_id, id, CASE WHEN id IS NULL THEN 'unanswered' ELSE 'repeated' END, NULL, errors, arguments, name, NULL FROM k WHERE rep = 2 OR id IS NULL
+  UNION ALL SELECT conv_id, id, CASE WHEN rep = 2 THEN 'repeated' ELSE 'orphan' END, NULL, '', NULL, NULL, content FROM r WHERE rep = 2 OR id IS NULL OR (conv_id, id) NOT IN (SELECT (conv_id, id) FROM n)
 )
-SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, 'call_' || coalesce(u.turn, a.turn) AS call_id,
-       CASE WHEN u.conv_id IS NULL THEN 'orphan' WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(v.level AS INTEGER) AS level,
-       CASE WHEN u.conv_id IS NOT NULL AND u.text IS NULL THEN 'prompt is missing' ELSE '' END AS errors,
-       '{"arguments":' || CASE WHEN u.conv_id IS NULL THEN 'null' ELSE CAST(json_object('prompt', u.text, 'turn', u.turn) AS VARCHAR) END
-       || ',"id":"call_' || coalesce(u.turn, a.turn) || '","level":' || coalesce(CAST(v.level AS VARCHAR), 'null') || ',"name":' || CASE WHEN u.conv_id IS NULL THEN 'null' ELSE '"reply"' END
-       || ',"result":' || CASE WHEN a.text IS NULL THEN 'null' ELSE CAST(to_json(a.text) AS VARCHAR) END || '}' AS record
-FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn LEFT JOIN v ON u.conv_id = v.conv_id AND u.turn = v.turn
+SELECT conv_id, id AS call_id, status, CAST(level AS INTEGER) AS level, errors,
+       '{{"arguments":' || coalesce(arguments, 'null') || ',"id":' || CASE WHEN id IS NULL THEN 'null' ELSE '"' || id || '"' END || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || CASE WHEN content IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END || '}}' AS record
+FROM o
 """

@@ -27,8 +27,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return chat_format.link_all(calls, results, chat_format.REPLY)
+    calls, results = chat_format.embedded(chat_format.tool_messages(table(spark, sf_dir, "conversations")))
+    return chat_format.link_all(calls, results, chat_format.TOOLS)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -442,6 +442,25 @@ def test_levels_of_a_random_graph(spark):
     assert {int(r["call_id"][1:]): r["level"] for r in got.collect()} == want
 
 
+def test_every_status_and_error_occurs(spark):
+    rows = queries.op5_tool_calls(spark, SF.replace("0.001", "0.01")).collect()
+    assert {r["status"] for r in rows} == {"linked", "unanswered", "orphan", "repeated"} and any(r["call_id"] is None for r in rows)
+    assert {e for r in rows for e in r["errors"].split("; ")} >= {"unknown tool shout"} | {e for *_, x in chat_format.SEARCHES for e in x.split("; ")}
+    assert {r["level"] for r in rows if r["status"] == "linked"} >= {None, 0, 1, 2, 3}
+
+
+def test_nested_rules(spark):
+    rules = {"t": {"a": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"x": {"type": "number", "minimum": 0.5, "required": True}, "k": {"type": "array", "items": ("boolean", True)}}}}, "e": {"type": "integer", "enum": [1, 2]}}}
+    cases = {
+        '{"a":[{"x":1},{"x":0.25,"k":[true,1]},{"k":[]},3]}': "a[1].k[1] is no boolean; a[1].x is below 0.5; a[2].x is missing; a[3] is no object",
+        '{"a":[],"e":3}': "a has less than 1 items; e is none of its values",
+        '{"e":2}': "", '{"e":null}': "e is no integer", '{"a":{"x":1}}': "a is no array", '{"a":[{"x":1,"y":{}}]}': "unknown parameter a[0].y", "[]": "arguments are no JSON object",
+    }
+    calls = spark.createDataFrame([(1, k, str(k), "t", a, []) for k, a in enumerate(cases)], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    got = chat_format.link_all(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), rules).collect()
+    assert {int(r["call_id"]): r["errors"] for r in got} == dict(enumerate(cases.values()))
+
+
 def test_embedded_calls(spark):
     messages = [(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "k", "name": "say", "arguments": '{"text":"x"}'}]})), (1, 1, "tool", json.dumps({"tool_call_id": "k", "content": "done"})), (1, 2, "assistant", "plain"), (1, 3, "assistant", None)]
     rows = chat_format.link(*chat_format.embedded(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")), {"say": {"text": ("string", True)}}).collect()
