@@ -8,9 +8,10 @@ smallest id. Pairs must pass the collision-corrected estimate and are then confi
 shingle sets, so hashing decides only which pairs are looked at: first one pair of each document,
 then the pairs that do not lie in one component by then. A bucket that is left in several components is dealt
 out as pairs of blocks; blocks of sketches come first, and texts are fetched only of the documents
-that have a likely partner in another component. They are fetched from those that a bitmap of fixed size let
-through in one scan: all that share a bucket, and few others while members are fewer than its bits. Texts
-travel, not shingle sets, which are larger than compressed texts.
+that have a likely partner in another component. They are fetched from those that a bitmap let
+through in one scan: all that share a bucket, and few others. The bitmap has eight bits for each different text, 128 MB at most;
+beyond 10^8 different texts more of the others pass, and the results stay the same. Texts
+travel, not shingle sets, which are larger than compressed texts. Sketches, bucket members and texts between the steps are Parquet in the shared folder.
 
 A pair at the threshold is lost, unless other documents link it, if it shares no band, with probability
 (1 - 0.75**4)**32, about 5 in a million, or if its estimate is more than five standard deviations too low.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids, numbered, release, restored, slices, texts_of, with_new
+from .common import cut, long_ids, numbered, release, restored, slices, stored, texts_of, with_new
 from .components import connected_components
 from .shingles import links, shingle_set
 
@@ -47,8 +48,8 @@ COLLISION = 0.169919487159739093975315012348 / (1 << MANTISSA)
 DEVIATIONS, BORROWED = 5, 0.4
 #: Partners that one copy of a document meets; documents and shingles of a block.
 SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 64, 2048, 2_000_000
-#: Bits of the bitmap of documents that share a bucket: 8 MB, whatever the corpus.
-BITMAP_BITS = 1 << 26
+#: Bits of the bitmap of documents that share a bucket: for each node, and the least and most of them (128 MB), powers of two.
+BITS_A_NODE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
 _U = np.uint64
 
 
@@ -127,14 +128,19 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(run, "a long, b long, size long")
 
 
-def shared_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+def bitmap_bits(nodes: int) -> int:
+    """The size of the bitmap for so many nodes."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_NODE * nodes - 1).bit_length()))
+
+
+def shared_texts(docs: DataFrame, members: DataFrame, bits_wanted: int) -> DataFrame:
     """node and text of all documents in ``members``, and of few others: one scan, no shuffle."""
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("node"), F.lit(BITMAP_BITS))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits_wanted))
     # the functions count values from 1
     rows = members.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in rows:  # at most BITMAP_BITS / 32768 of them
+    bitmap = np.zeros(-(-bits_wanted // 8), dtype=np.uint8)
+    for r in rows:  # at most MOST_BITS / 32768 of them
         begin = (r["bucket"] - 1) * len(r["bits"])
         bitmap[begin : begin + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: len(bitmap) - begin]
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
@@ -146,7 +152,7 @@ def shared_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["node", "_text"])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_at", place)
-    return cut(texts.mapInArrow(run, "node long, _text string"))
+    return stored(texts.mapInArrow(run, "node long, _text string"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -271,19 +277,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept for every row."""
     docs = long_ids(docs)
     release(docs.sparkSession)
-    seen = cut(features(docs.select("doc_id", "text")))
+    seen = stored(features(docs.select("doc_id", "text")), "sketches")
     usable = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
     sets = cut(usable.groupBy("high", "low").agg(F.min("doc_id").alias("node")))
-    nodes = cut(usable.join(sets, ["high", "low"]).where("doc_id = node").select("node", "high", "low", "n_shingles", "bands").dropDuplicates(["node", "high", "low"]))
+    nodes = stored(usable.join(sets, ["high", "low"]).where("doc_id = node").select("node", "high", "low", "n_shingles", "bands").dropDuplicates(["node", "high", "low"]), "nodes")
     # an id seen with several sets represents or belongs to each of them
     same = usable.join(sets, ["high", "low"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     buckets = cut(buckets.withColumn("blocks", blocks).drop("weight"))
-    members = cut(banded.drop("n_shingles").join(buckets, ["band", "key"]))
+    members = stored(banded.drop("n_shingles").join(buckets, ["band", "key"]), "members")
     release(docs.sparkSession)
-    texts = shared_texts(docs, members)
+    texts = shared_texts(docs, members, bitmap_bits(nodes.count()))
     star = members.where("node != center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
     hopeful_star = cut(estimated(star, nodes, percent))
     release(docs.sparkSession)

@@ -119,10 +119,21 @@ def test_language_equals_naive_counts_and_sums(spark, docs, monkeypatch):
             assert got[r["doc_id"]]["lang_pred"] == "und"
 
 
-def test_too_many_languages(spark, docs, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
-    with pytest.raises(ValueError):
-        langid.fit(docs)
+def test_languages_in_blocks_of_columns(spark, monkeypatch):
+    """300 labels over five blocks give what one block gives; ties between blocks go to the first label."""
+    rng = np.random.default_rng(31)
+    kinds = [[f"{chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))}" for _ in range(6)] for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(kinds[k % 300], 12)), f"l{k % 300:03d}") for k in range(900)] + [(900, None, "l001"), (901, "", "l002"), (902, "123", None)]
+    rows += [(1000 + k, "zz top", lang) for k, lang in enumerate(("a", "zzz") * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: r for r in (monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 1000), langid.identify(docs).collect())[1]}
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 64)
+    model = langid.fit(docs)
+    assert len(model["langs"]) == 302 and len(model["logp"]) == 5 and all(isinstance(x, str) for x in model["logp"])
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and len({r["lang_pred"] for r in got}) > 250
+    for r in got:
+        assert r["lang_pred"] == whole[r["doc_id"]]["lang_pred"] and abs(r["score"] - whole[r["doc_id"]]["score"]) < 1e-9
 
 
 def test_language_runs_equal_whole():
@@ -282,6 +293,18 @@ def test_unlike_members_fetch_no_texts(spark, monkeypatch):
     assert fetched == [0] or sum(fetched) < len(rows)
 
 
+def test_near_duplicates_with_a_full_bitmap(spark, monkeypatch):
+    """A bitmap of 64 bits lets every text through, and the results stay the same."""
+    assert [hyperminhash.bitmap_bits(n) for n in (0, 1 << 20, 10**7, 10**12)] == [1 << 20, 1 << 23, 1 << 27, 1 << 30]
+    rng = np.random.default_rng(33)
+    words = [f"w{rng.integers(500)}" for _ in range(120)]
+    rows = [(k, edited(rng, words, rng.uniform(0.0, 0.06))) for k in range(80)] + [(k, f"alone {k} one two three four") for k in range(100, 180)]
+    want = components(rows)
+    monkeypatch.setattr(hyperminhash, "LEAST_BITS", 64)
+    monkeypatch.setattr(hyperminhash, "MOST_BITS", 64)
+    assert {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()} == want
+
+
 def test_estimates_of_every_size_let_pairs_at_the_threshold_pass():
     rng = np.random.default_rng(22)
     for n in (3, 6, 12, 30, 90, 240, 600):
