@@ -36,11 +36,14 @@ ANCHORS = (
     "als auf aus das dem den der die ein eine einer für ich im ist mit nicht sich sie sind und von war wie zu zum "
     "al como con del el ella es lo los las más no para pero por si su sus y"
 ).split()
-#: Rows of an id range, the most ranges (beyond them ranges grow; they are sorted and may spill), and sampled rows of a range.
+#: Rows of an id range, the most ranges whose bounds come from a sample (beyond them ranges are cut into equal spans of ids), and sampled rows of a range.
 ROWS_A_BUCKET, MOST_BUCKETS, SAMPLE = 512, 4096, 20
 #: Sets of a block, sets that one copy of a signature's frequency serves at most, on average, and a set's rarest signatures that travel with each of its rows.
 BLOCK_ROWS, SETS_A_SALT, SHOWN = 1024, 65536, 64
 
+#: Where rows with a null id stand.
+NULL_ID = -(1 << 63)
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
@@ -67,38 +70,72 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
-def _bucket(bounds: list[tuple[int, int]]) -> Column:
-    """How many of the sorted bounds are not above (``_id``, ``_tie``), by binary search."""
+def _bucket(bounds: list[tuple[int, int]], equal: bool = True) -> Column:
+    """How many of the sorted bounds are below (``_id``, ``_tie``), or ``equal`` to it, by binary search."""
     if not bounds:
         return F.lit(0)
-    ids, ties = (F.array(*map(F.lit, x)) if len(x) < 2 else F.lit(list(x)) for x in zip(*bounds, strict=True))
+    ids, ties = _lists(bounds)
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def step(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
         at, tie = F.get(ids, middle), F.get(ties, middle)
-        over = (F.col("_id") > at) | ((F.col("_id") == at) & (F.col("_tie") >= tie))
+        over = (F.col("_id") > at) | ((F.col("_id") == at) & ((F.col("_tie") >= tie) if equal else (F.col("_tie") > tie)))
         return F.when(s["lo"] >= s["hi"], s).when(over, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step)["lo"]
 
 
+def _lists(keys: list[tuple[int, int]]) -> list[Column]:
+    return [F.array(*map(F.lit, x)) if len(x) < 2 else F.lit(list(x)) for x in zip(*keys, strict=True)]
+
+
+def _span(seen: list[tuple[int, int]], bounds: list[tuple[int, int]], spans: int) -> Column:
+    """The place of a row of range ``_range`` among the range's equal spans of ids, or of hashes where its bounds have one id; equal rows of a range with equal bounds are spread over all."""
+    if spans == 1:
+        return F.lit(0)
+    least = next((x[0] for x in seen if x[0] > NULL_ID), NULL_ID)
+    ends = [*zip([seen[0], *bounds], [*bounds, seen[-1]], strict=True)]
+    # a range that begins among null ids has its spans from the least id on
+    ids = [(max(lo[0], least) if hi[0] > lo[0] else lo[0], hi[0]) for lo, hi in ends]
+    one_key = F.lit([0 < k < len(ends) - 1 and lo == hi for k, (lo, hi) in enumerate(ends)])
+    (lo_id, hi_id), (lo_tie, hi_tie) = _lists(ids), _lists([(lo[1], hi[1]) for lo, hi in ends])
+    at = lambda values: F.get(values, F.col("_range")).cast("double")
+    part = lambda x, lo, hi: F.floor(F.least(F.greatest((x.cast("double") - at(lo)) / F.greatest(at(hi) - at(lo) + 1, F.lit(1.0)), F.lit(0.0)), F.lit(1.0)) * spans)
+    # the first and last range reach beyond what the sample has seen
+    by_tie = F.when(F.col("_id") < F.get(lo_id, F.col("_range")), F.lit(0)).when(F.col("_id") > F.get(hi_id, F.col("_range")), F.lit(spans)).otherwise(part(F.col("_tie"), lo_tie, hi_tie))
+    place = F.when(F.get(one_key, F.col("_range")), F.pmod(F.xxhash64("_spread"), F.lit(spans))).when(F.get(hi_id, F.col("_range")) > F.get(lo_id, F.col("_range")), part(F.col("_id"), lo_id, hi_id)).otherwise(by_tie)
+    return F.least(place, F.lit(spans - 1))
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
     """doc_id, text and a window over ascending ids in which the next row is the next document.
 
     Rows are dealt to ranges of (id, hash of the text), whose bounds are a sample's, so ids that repeat are
-    split too; the first row of a range stands, marked ``ghost``, at the end of the range before it, and the first of all after the last.
+    split too. A key so frequent that it is a bound several times has its rows, which are equal, spread over as many ranges. Where there are
+    more rows than ``MOST_BUCKETS`` ranges should hold, every range is cut into equal spans, so ranges stay as small at every size while the
+    ids between two bounds lie evenly; no key that is split less has more than two of ``MOST_BUCKETS`` shares. The first row of a range stands, marked ``ghost``, at the end of the
+    range with rows before it, and the first of all after the last.
     """
-    rows = long_ids(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).withColumn("_tie", F.xxhash64("text"))
+    rows = long_ids(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).withColumns({"_tie": F.xxhash64("text"), "_spread": F.monotonically_increasing_id()})
     n = docs.count()
     wanted = max(1, min(MOST_BUCKETS, n // ROWS_A_BUCKET))
     share = int(min(1.0, wanted * SAMPLE / max(1, n)) * (1 << 30))
-    # at most about MOST_BUCKETS * SAMPLE keys
-    seen = sorted(tuple(r) for r in rows.select("_id", "_tie").where(F.pmod(F.xxhash64("_tie", "_id"), F.lit(1 << 30)) < share).distinct().collect()) if wanted > 1 else []
-    bounds = sorted({seen[k * len(seen) // wanted] for k in range(1, wanted)} - set(seen[:1])) if seen else []
-    dealt = rows.withColumn("_bucket", _bucket(bounds))
-    first = dealt.groupBy("_bucket").agg(F.min(F.struct("_id", "_tie", "text", "doc_id")).alias("f"))
-    ghosts = first.select("f.doc_id", "f.text", "f._id", "f._tie", F.pmod(F.col("_bucket") - 1, F.lit(len(bounds) + 1)).alias("_bucket"), F.lit(True).alias("ghost"))
+    # about MOST_BUCKETS * SAMPLE keys
+    seen = sorted(tuple(r) for r in rows.select("_id", "_tie", "_spread").where(F.pmod(F.xxhash64("_tie", "_id", "_spread"), F.lit(1 << 30)) < share).select("_id", "_tie").collect()) if wanted > 1 else []
+    bounds = [seen[k * len(seen) // wanted] for k in range(1, wanted)] if seen else []
+    spans = -(-n // (wanted * ROWS_A_BUCKET)) if bounds and n > 2 * wanted * ROWS_A_BUCKET else 1
+    upper = _bucket(bounds)
+    if len(set(bounds)) < len(bounds):
+        lower = _bucket(bounds, equal=False)
+        upper = F.when(upper > lower, lower + 1 + F.pmod(F.xxhash64("_spread", F.lit(1)), upper - lower)).otherwise(upper)
+    dealt = rows.withColumn("_range", upper.cast("int")).withColumn("_bucket", F.col("_range").cast("long") * spans + _span(seen, bounds, spans)).drop("_range", "_spread")
+    first = cut(dealt.groupBy("_bucket").agg(F.min(F.struct("_id", "_tie", "text", "doc_id")).alias("f")).withColumn("_range", F.floor(F.col("_bucket") / spans)))
+    # at most MOST_BUCKETS rows
+    lasts = first.groupBy("_range").agg(F.max("_bucket").alias("last"))
+    before = lasts.select("_range", F.coalesce(F.lag("last").over(Window.orderBy("_range")), F.max("last").over(Window.partitionBy())).alias("last"))
+    back = F.coalesce(F.lag("_bucket").over(Window.partitionBy("_range").orderBy("_bucket")), "last")
+    ghosts = first.join(before, "_range").select("f.doc_id", "f.text", "f._id", "f._tie", back.alias("_bucket"), F.lit(True).alias("ghost"))
     both = dealt.select("doc_id", "text", "_id", "_tie", "_bucket", F.lit(False).alias("ghost")).unionByName(ghosts)
     return both, Window.partitionBy("_bucket").orderBy("ghost", "_id", "_tie", "text")
 
