@@ -4,7 +4,7 @@ Training rows are made from the templates below: copies that lost a few words be
 family; copies that lost most words, sentences that merely mention a licence and sentences that use its words for
 other things are unknown. A multinomial logistic regression over
 sparse word 1- to 3-grams (each with a licence word in it) learns the families; on held-out
-copies the unknown class is calibrated, so that of unknown copies at most ``FALSE_RATE`` pass.
+copies the classes that are no family's are calibrated, so that of their copies at most ``FALSE_RATE`` pass as a family.
 A paragraph without a feature is unknown by construction, so paragraphs without any licence word are not
 looked at further. What is predicted as a family must also hold most n-grams of one of its templates.
 
@@ -12,9 +12,13 @@ A paragraph is a line, or a window over neighbouring lines without an empty one
 are wrapped are found: windows begin and end at lines with a licence word or beside one and reach as far as a notice of the longest
 template can. Of a family's confirmed windows as many count as do not overlap. Headings such as ``MIT License`` and SPDX tags are too short to be
 learned; a line that is one, as a whole, names its families with confidence 1. A grant that is denied (``not licensed
-under``) is no grant: the words that deny it, over line ends too, become a mark on the line of what they deny, and a
+under``), past (``formerly released under``), forbidden (``cannot use this under``), another's (``unlike projects released under``) or asked
+for is no grant: the words that say so, over line ends too, become a mark on the line of what they speak of, and a
 paragraph with the mark is unknown.
 
+Grants of licences that are no family's are a class of their own, learned from a list of such licences and meant for all
+others; it has no template, so it is never confirmed and its texts come out as ``unknown``, as do tags of other identifiers.
+
 The model depends on the templates only; it is trained once for each Spark application, on one cached partition.
 
 The weights and template n-grams come from the templates alone, so their size does not
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-UNKNOWN = "unknown"
+UNKNOWN, UNLISTED = "unknown", "unlisted"
 COPIES, KEEP, LOSE = 48, 0.85, 0.2
 FALSE_RATE, SURE, CONFIRM = 0.005, 0.5, 0.6
 
@@ -58,7 +62,7 @@ TEMPLATES = {
     "GPL": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL, version 2 or later."),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "Use of this source code is governed by an MIT-style license"),
     "Unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain"),
     "WTFPL": ("Licensed under the WTFPL, version 2.", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
     "Zlib": ("Licensed under the zlib License.", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
@@ -106,8 +110,22 @@ NAMES = {
     "ISC": "ISC License", "LGPL": "GNU Lesser General Public License", "MIT": "MIT License", "MPL-2.0": "Mozilla Public License", "Unlicense": "Unlicense", "WTFPL": "WTFPL", "Zlib": "zlib License",
 }
 MENTIONS = ("The talk compared the {} with other texts.", "He wrote a paper about the {}.", "A history of the {} was printed last year.", "Lawyers argued over the {} in court.", "They discussed the {} and its terms at the meeting.")
-#: Words that deny a grant up to the word before the licence, over at most one line end each; and the mark that replaces them.
-DENIAL = r"(?i)\b(?:not|never|no longer|neither|isn't|wasn't|nor)\s+(?:\w+\s+){0,3}?(?:licen[sc]ed|released|distributed|available|covered|offered|published|provided)\s+(?:under|by|with)\s+"
+#: Grants of licences that are no family's, as forms and names.
+GRANTS = ("Licensed under the {}.", "Released under the {}, version 2.", "This software is distributed under the terms of the {}.", "Use of this source code is governed by the {}.")
+UNLISTED_NAMES = (
+    "Academic Free License", "PHP License", "Ruby License", "Python Software Foundation License", "Microsoft Public License", "Open Software License", "OpenLDAP Public License", "Common Development and Distribution License",
+    "License", "Public License", "Open Source License", "Software License", "Sleepycat License", "Vim License", "SIL Open Font License", "Community Data License Agreement", "Server Side Public License", "Elastic License", "Business Source License", "Acme Corporation Proprietary License",
+)
+#: Words of a grant up to the word before the licence, over at most one line end each.
+_GRANT = r"(?:licen[sc]ed|released|distributed|available|covered|offered|published|provided)\s+(?:under|by|with)\s+"
+#: Grants that are denied or past, forbidden, another's, and asked for; and the mark that replaces them.
+DENIALS = (
+    r"(?:not|never|no longer|neither|isn't|wasn't|nor|formerly|previously|once|originally|used to be)\s+(?:\w+\s+){0,3}?" + _GRANT,
+    r"(?:cannot|can't|can not|may not|must not|mustn't|do not|don't)\s+(?:use|copy|modify|distribute|redistribute|share|release|publish)\s+(?:(?!except\b|unless\b)\w+\s+){0,4}?under\s+",
+    r"unlike\s+(?:[\w'-]+\s+){0,6}?" + _GRANT,
+    r"(?:is|are|was|were|be|do|does|can|could|should|may)\s+(?:[\w'-]+\s+){0,6}?" + _GRANT + r"(?=[^.?!\n]{0,120}(?:\n[^.?!\n]{0,120})?\?)",
+)
+DENIAL = rf"(?i)\b(?:{'|'.join(DENIALS)})"
 DENIED = "grantdenied"
 
 
@@ -143,7 +161,7 @@ def grams_of(w: Column) -> Column:
 
 @dataclass
 class Model:
-    """The classes in order, the intercepts, the offset of the unknown class, and the n-gram tables."""
+    """The classes in order (the last two are no family's), the intercepts, the offset of those two, and the n-gram tables."""
 
     classes: list[str]
     intercepts: list[float]
@@ -155,11 +173,11 @@ class Model:
 def training_rows(spark: SparkSession) -> DataFrame:
     """label, copy and text: the templates' copies that lost a few or most words, and the other sentences'."""
     other = [*OTHERS, *(m.format(NAMES[f]) for f in sorted(NAMES) for m in MENTIONS)]
-    rows = [(family, t) for family, notices in TEMPLATES.items() for t in notices] + [(UNKNOWN, t) for t in other]
+    rows = [(family, t) for family, notices in TEMPLATES.items() for t in notices] + [(UNLISTED, g.format(x)) for x in UNLISTED_NAMES for g in GRANTS] + [(UNKNOWN, t) for t in other]
     base = spark.createDataFrame(rows, "label string, notice string").coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2 * COPIES - 1))))
     few = F.col("copy") < COPIES
-    # a mention is the same for every family: few copies say so
-    base = base.where((F.col("label") != UNKNOWN) | (F.col("copy") % 8 < 2))
+    # a mention is the same for every family: few copies say so; what is left of a grant of any licence is no class's
+    base = base.where((F.col("label") != UNKNOWN) | (F.col("copy") % 8 < 2)).where((F.col("label") != UNLISTED) | (F.col("copy") < COPIES))
     share = F.when(F.col("copy") % COPIES == 0, F.when(few, 1.0).otherwise(0.0)).when(few, KEEP).otherwise(LOSE)
     kept = F.filter(words(F.col("notice")), lambda w, i: F.pmod(F.xxhash64(w, i, "copy", "notice"), F.lit(1000)) < share * 1000)
     return base.select(F.when(few, F.col("label")).otherwise(UNKNOWN).alias("label"), "copy", F.array_join(kept, " ").alias("text"))
@@ -176,7 +194,7 @@ def fit(spark: SparkSession) -> Model:
         _TRAINED.clear()
         _TRAINED[key] = _learned(spark)
     vocabulary, matrix, intercepts, offset = _TRAINED[key]
-    classes = [*sorted(TEMPLATES), UNKNOWN]
+    classes = [*sorted(TEMPLATES), UNLISTED, UNKNOWN]
     weights = spark.createDataFrame([(g, row) for g, row in zip(vocabulary, matrix, strict=True)], "gram string, w array<double>")
     notices = spark.createDataFrame([(f"{family} {k}", family, t) for family, texts in TEMPLATES.items() for k, t in enumerate(texts)], "template string, family string, notice string").coalesce(1)
     held_grams = notices.withColumn("gs", grams(F.col("notice"))).select("template", "family", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
@@ -184,22 +202,23 @@ def fit(spark: SparkSession) -> Model:
 
 
 def _learned(spark: SparkSession) -> tuple[list[str], list[list[float]], list[float], float]:
-    """The vocabulary, each n-gram's weights by class, the intercepts and the offset of the unknown class."""
+    """The vocabulary, each n-gram's weights by class, the intercepts and the offset of the classes that are no family's."""
     rows = training_rows(spark).withColumn("grams", grams(F.col("text")))
-    classes = [*sorted(TEMPLATES), UNKNOWN]
+    classes = [*sorted(TEMPLATES), UNLISTED, UNKNOWN]
     place = F.create_map(*(x for k, c in enumerate(classes) for x in (F.lit(c), F.lit(float(k)))))
     rows = rows.withColumn("y", place[F.col("label")]).select("label", "copy", "grams", "y").cache()
     learn, held = rows.where("copy % 4 != 1"), rows.where("copy % 4 = 1")
     vectorizer = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=2, vocabSize=1 << 14).fit(learn)
     model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.001, maxIter=40).fit(vectorizer.transform(learn))
     last = len(classes) - 1
-    raw = model.transform(vectorizer.transform(held.where(F.col("label") == UNKNOWN))).select(vector_to_array("rawPrediction").alias("r"))
-    margin = F.array_max(F.slice("r", 1, last)) - F.col("r")[last]
+    raw = model.transform(vectorizer.transform(held.where(F.col("label").isin(UNKNOWN, UNLISTED)))).select(vector_to_array("rawPrediction").alias("r"))
+    margin = F.array_max(F.slice("r", 1, last - 1)) - F.greatest(F.col("r")[last - 1], F.col("r")[last])
     least = raw.agg(F.percentile(margin, 1 - FALSE_RATE)).first()[0] or 0.0
     rows.unpersist()
     # the empty paragraph must be unknown too
     intercepts = [float(x) for x in model.interceptVector]
-    offset = max(0.0, least, max(intercepts[:last]) - intercepts[last])
+    intercepts[last - 1] = min(intercepts[last - 1], intercepts[last] - 0.1)
+    offset = max(0.0, least, max(intercepts[: last - 1]) - intercepts[last])
     return list(vectorizer.vocabulary), model.coefficientMatrix.toArray().T.tolist(), intercepts, offset
 
 
@@ -211,10 +230,11 @@ def calibration(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def named(line: Column) -> Column:
-    """The families of a line that is a heading or holds an SPDX tag."""
+    """The families of a line that is a heading or holds an SPDX tag; a tag of another identifier is unlisted."""
     whole = F.array_join(words(line), " ")
     tag = F.regexp_replace(F.regexp_extract(F.lower(line), r"spdx-license-identifier:\s*(.*)", 1), "[^a-z0-9.+-]+", " ")
-    return F.array_compact(F.array(*(F.when(whole.rlike(f"^(?:{HEADINGS[f]})$") | tag.rlike(f"(?:^| )(?:{SPDX[f]})(?: |$)"), F.lit(f)) for f in sorted(TEMPLATES))))
+    other = F.when((F.trim(tag) != "") & ~tag.rlike(f"(?:^| )(?:{'|'.join(SPDX[f] for f in sorted(TEMPLATES))}|none|noassertion)(?: |$)"), F.lit(UNLISTED))
+    return F.array_compact(F.array(other, *(F.when(whole.rlike(f"^(?:{HEADINGS[f]})$") | tag.rlike(f"(?:^| )(?:{SPDX[f]})(?: |$)"), F.lit(f)) for f in sorted(TEMPLATES))))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -265,7 +285,7 @@ def classified(docs: DataFrame, model: Model) -> DataFrame:
     found = parts.select(*key, F.explode_outer("grams").alias("gram"))
     count = len(model.classes)
     sums = found.join(F.broadcast(model.weights), "gram", "left").groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(count)))
-    scores = F.array(*(F.col(f"s{k}") + F.lit(model.intercepts[k] + (model.offset if k == count - 1 else 0.0)) for k in range(count)))
+    scores = F.array(*(F.col(f"s{k}") + F.lit(model.intercepts[k] + (model.offset if k >= count - 2 else 0.0)) for k in range(count)))
     scored = sums.select(*key, scores.alias("scores")).withColumn("top", F.array_max("scores"))
     names = F.array(*map(F.lit, model.classes))
     total = F.aggregate(F.transform("scores", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
@@ -274,7 +294,7 @@ def classified(docs: DataFrame, model: Model) -> DataFrame:
     held = found.join(F.broadcast(model.templates.withColumnRenamed("family", "of")), "gram").groupBy(*key, "template", "of").agg((F.count("*") / F.max("n")).alias("share"))
     best = held.groupBy(*key, F.col("of").alias("family")).agg(F.max("share").alias("share"))
     joined = known.alias("k").join(best.alias("b"), [*(F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key), F.col("k.family") == F.col("b.family")], "left")
-    by_name = parts.select(*key, F.explode("named").alias("family"), F.lit(1.0).alias("score"), F.lit(True).alias("confirmed"))
+    by_name = parts.select(*key, F.explode("named").alias("family"), F.lit(1.0).alias("score")).withColumn("confirmed", F.col("family") != UNLISTED)
     return joined.select(*(f"k.{c}" for c in key), "k.family", "score", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed")).unionByName(by_name)
 
 
@@ -296,7 +316,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, licence, confidence and n_notices of every document.
 
     ``licence`` names the confirmed families; ``unknown`` means that a paragraph was predicted to
-    be of a family and none was confirmed; ``none`` is everything else.
+    be of a family, or of a licence that is none's, and none was confirmed; ``none`` is everything else.
     """
     model = model or fit(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -603,6 +603,24 @@ def test_licences_of_other_texts(spark):
     assert precision >= 0.95 and recall >= 0.9, wrong
 
 
+#: Texts that speak of a licence and do not grant it, and grants of licences that are no family's and not among the learned names.
+NO_GRANTS = (
+    "You cannot use this under the Apache License, Version 2.0.", "The library was formerly licensed under the MIT License, but is now proprietary.", "Unlike projects released under the MIT License, ours is closed source.",
+    "Is this licensed under the MIT License? No.", "Are the files\nreleased under the BSD 3-Clause License?", "It used to be distributed under the Mozilla Public License, version 2.0.", "You may not redistribute this work under the ISC License.",
+)
+OTHER_GRANTS = ("Licensed under the OpenSSL License.", "This software is distributed under the terms of the PostgreSQL License.", "Released under the NASA Open Source Agreement License, version 2.", "# SPDX-License-Identifier: OpenSSL", "Licensed under the Moon License.")
+
+
+def test_licences_not_granted_and_unlisted(spark):
+    said = {"Use of this source code is governed by an MIT-style license": "MIT", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "Apache-2.0"}
+    texts = [*NO_GRANTS, *OTHER_GRANTS, *said, "SPDX-License-Identifier: NONE"]
+    got = [r["licence"] for r in license_scan.scan(documents(spark, [(k, f"First words.\n\n{t}\n\nLast words.") for k, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    a, b = len(NO_GRANTS), len(NO_GRANTS) + len(OTHER_GRANTS)
+    assert set(got[:a]) <= {"none", "unknown"}, got[:a]
+    assert set(got[a:b]) == {"unknown"}, got[a:b]
+    assert got[b:-1] == list(said.values()) and got[-1] in ("none", "unknown")
+
+
 def test_licence_scores_equal_brute_force(spark):
     """Scores of one-line texts from the learned numbers, one text at a time; and the held-out copies are as right as they are sure."""
     model = license_scan.fit(spark)
@@ -615,7 +633,7 @@ def test_licence_scores_equal_brute_force(spark):
         w = re.findall("[a-z0-9]+", texts[k].lower())
         grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
         total = np.array(model.intercepts) + sum(weights[g] for g in grams if g in weights and set(g.split()) & marks)
-        total[-1] += model.offset
+        total[-2:] += model.offset
         share = np.exp(total - total.max())
         assert abs(r["score"] - share.max() / share.sum()) < 1e-9
     table = {r["tenth"]: r for r in license_scan.calibration(spark, model).collect()}
