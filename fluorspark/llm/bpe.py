@@ -5,7 +5,8 @@ over the word read backwards. The encoder takes the longest token, shortens it w
 cannot stand beside the token before it (pair-compatibility table), and steps back when no
 shorter one is left; positions found dead are marked, so the work is linear in the word's
 length and the result equals that of the merges. All words of a batch advance together as
-numpy arrays, and words seen before come from a bounded cache.
+numpy arrays. Arrow splits a batch into words and numbers the distinct ones; each of those is
+looked up once in a bounded cache of two generations, and Arrow lays their ids out for all texts.
 
 Defined results: a null or empty text has no ids; special tokens written in a text give
 their id, as the tokenizers library does by default; other columns are ignored; repeated
@@ -19,23 +20,28 @@ import functools
 import hashlib
 import itertools
 import json
+import operator
+import string
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fields, slices, texts_of, with_new
 
-MAX_CACHED = 800_000
-GROUP_CHARS = 1 << 20
+MAX_CACHED = 600_000
+MAX_CACHED_CHARS = 100
+GROUP_CHARS = 1 << 23
 WORD_END = "</w>"
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+_WIDE_SPACE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LATIN = regex.compile(r"[\x00-ɏ]*")
+_LATIN1 = regex.compile(r"[\x00-\xff]*")
+_MARKS = string.punctuation.replace("<", "")
 _U64 = np.uint64
 
 
@@ -244,6 +250,15 @@ class Merges:
         return stack[np.arange(width + 1)[None, :] < depth[:, None]]
 
 
+def _prepared(text: str) -> str:
+    """The text with plain blanks for wide ones, in lower case where that is the same for its words one by one."""
+    if not _LATIN1.fullmatch(text):
+        return _WIDE_SPACE.sub(" ", text)
+    if not text.isascii():
+        text = text.replace("\x85", " ").replace("\xa0", " ")
+    return text if "<" in text else text.lower()
+
+
 class Encoder:
     """Texts to ids and back for one tokenizer file with the word-ending kind of byte pairs."""
 
@@ -265,12 +280,8 @@ class Encoder:
         spelled = [(names.get(k, "") + " ").encode() for k in range(max(names) + 1)]
         self.bytes_at = np.r_[0, np.cumsum([len(x) for x in spelled])]
         self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _parts(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a piece of text without white space; special tokens as ids."""
@@ -284,77 +295,66 @@ class Encoder:
                 out += self.pieces.findall(plain)
         return out
 
-    def _pieces(self, chunks: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-        """The chunks in a new order, the distinct pre-tokens, the number of pre-tokens of each chunk, and which
-        they are: their place in the list, or -1 - id for a special token."""
-        plain, odd = chunks, []
+    def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of new chunks as bytes; pre-tokens that chunks share are encoded once."""
+        odd: dict[str, list[str | int]] = {}
         if "<" in (joined := "\n".join(chunks)) or not _LATIN.fullmatch(joined):
-            plain = [c for c in chunks if "<" not in c and (c.isascii() or _LATIN.fullmatch(c))]
-            odd = list(set(chunks).difference(plain))
-            joined = "\n".join(plain)
-        low = unicodedata.normalize("NFC", joined).lower().split("\n") if plain else []
-        body = [x.rstrip(".,") for x in low]
-        simple = np.fromiter(map(str.isalpha, body), dtype=bool, count=len(body))
-        if not simple.all():
-            odd += [plain[k] for k in np.flatnonzero(~simple)]
-            keep = np.flatnonzero(simple).tolist()
-            plain, low, body = [plain[k] for k in keep], [low[k] for k in keep], [body[k] for k in keep]
+            odd = dict.fromkeys(c for c in chunks if "<" in c or not _LATIN.fullmatch(c))
+            joined = "\n".join("" if c in odd else c for c in chunks)
+        low = unicodedata.normalize("NFC", joined).lower().split("\n")
+        body = [x.rstrip(_MARKS) for x in low]
         tail = [x[len(y) :] for x, y in zip(low, body, strict=True)]
-        rows = [self._parts(c) for c in odd]
+        for k, x in enumerate(body):
+            if not x.isalpha() and x:
+                odd[chunks[k]], body[k], tail[k] = None, "", ""
+        odd = {c: self._parts(c) for c in odd}
         texts = dict.fromkeys(body)
         texts.update(dict.fromkeys(tail))
-        texts.update(dict.fromkeys(x for row in rows for x in row if isinstance(x, str)))
-        texts.pop("", None)
-        number = dict(zip(texts, range(len(texts)), strict=True))
-        none = -(1 << 40)
-        pair = np.empty((len(plain), 2), dtype=np.int64)
-        pair[:, 0] = np.fromiter(map(number.__getitem__, body), dtype=np.int64, count=len(body))
-        pair[:, 1] = np.fromiter((number.get(x, none) for x in tail), dtype=np.int64, count=len(tail))
-        rest = np.fromiter((number[x] if isinstance(x, str) else -1 - x for row in rows for x in row), dtype=np.int64)
-        counts = np.r_[1 + (pair[:, 1] != none), np.array([len(row) for row in rows], dtype=np.int64)]
-        return plain + odd, list(texts), counts, np.r_[pair[pair != none], rest]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks into the cache; pre-tokens that chunks share are encoded once."""
-        chunks, texts, n_parts, order = self._pieces(chunks)
-        flat, counts = self.merges.encode_words("\n".join(texts).encode("utf-8", "surrogatepass").split(b"\n") if texts else [])
-        starts, counts, flat = np.r_[0, np.cumsum(counts)], np.r_[counts, 0], np.r_[flat, np.uint32(0)]
-        plain = order >= 0
-        sizes = np.where(plain, counts[np.maximum(order, 0)], 1)
-        ends = np.cumsum(sizes)
-        into = np.repeat(np.where(plain, starts[np.maximum(order, 0)], 0) - (ends - sizes), sizes) + np.arange(sizes.sum())
-        ids = flat[np.minimum(into, len(flat) - 1)]
-        ids[(ends - sizes)[~plain]] = -1 - order[~plain]
-        edge = np.r_[0, ends][np.r_[0, np.cumsum(n_parts)]]
-        first, need = len(self.known), self.used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.r_[self.flat[: self.used], np.zeros(max(need, len(self.flat)), dtype=np.uint32)]
-        if first + len(chunks) > len(self.starts):
-            more = max(first + len(chunks), len(self.starts))
-            self.starts = np.r_[self.starts[:first], np.zeros(more, dtype=np.int64)]
-            self.sizes = np.r_[self.sizes[:first], np.zeros(more, dtype=np.int32)]
-        self.flat[self.used : need] = ids
-        self.starts[first : first + len(chunks)] = self.used + edge[:-1]
-        self.sizes[first : first + len(chunks)] = np.diff(edge)
-        self.used = need
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        spelled = {x: ids for x in texts if (ids := self.known.get(x) or self.older.get(x)) is not None}
+        texts.update(dict.fromkeys(x for row in odd.values() for x in row if isinstance(x, str)))
+        fresh = [x for x in texts if x and x not in spelled]
+        flat, counts = self.merges.encode_words("\n".join(fresh).encode("utf-8", "surrogatepass").split(b"\n") if fresh else [])
+        raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        spelled.update(zip(fresh, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        spelled[""] = b""
+        whole = {c: b"".join(spelled[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in row) for c, row in odd.items()}
+        plain = map(operator.add, map(spelled.__getitem__, body), map(spelled.__getitem__, tail))
+        return (whole.get(c, ids) for c, ids in zip(chunks, plain, strict=True)) if whole else plain
+
+    def _spelled(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks as bytes. The cache has two generations: when the younger one is full it becomes the
+        older one, from which chunks that are met again move on, and what was the older one is dropped. Very long chunks are not kept."""
+        found = list(map(self.known.get, chunks))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if not at:
+            return found
+        new = [chunks[k] for k in at]
+        got = list(map(self.older.get, new))
+        if len(self.known) + len(new) > MAX_CACHED:
+            self.known, self.older = {c: ids for c, ids in zip(chunks, found, strict=True) if ids is not None}, self.known
+        fresh = [k for k, ids in enumerate(got) if ids is None]
+        for k, ids in zip(fresh, self._learn([new[k] for k in fresh]), strict=False):
+            got[k] = ids
+        for k, ids in zip(at, got, strict=True):
+            found[k] = ids
+        short = max(map(len, new)) <= MAX_CACHED_CHARS
+        self.known.update(zip(new, got, strict=True) if short else ((c, ids) for c, ids in zip(new, got, strict=True) if len(c) <= MAX_CACHED_CHARS))
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the texts' borders in them."""
-        split = [[w for w in _SPACE.split(t) if w] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > MAX_CACHED and self.known:
-            self._reset()
-            new = set(words)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        sizes = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(sizes)
-        into = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(sizes.sum())
-        return self.flat[into], np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
+        words = pc.ascii_split_whitespace(pa.array(map(_prepared, texts), pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        # one long string becomes Python words faster than single Arrow values do
+        spelled = self._spelled(pc.binary_join(distinct, "\n")[0].as_py().split("\n"))
+        edges = np.r_[0, np.cumsum(np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)))]
+        ids = pa.Array.from_buffers(pa.large_binary(), len(spelled), [None, pa.py_buffer(edges), pa.py_buffer(b"".join(spelled))]).take(coded.indices)
+        borders = np.r_[0, np.cumsum(words.value_lengths().to_numpy())]
+        _, ends, data = ids.buffers()
+        if data is None:
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(borders), dtype=np.int64)
+        return np.frombuffer(data, dtype="<u4"), np.frombuffer(ends, dtype=np.int64)[borders] // 4
 
     def encode_groups(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, for a bounded run of texts at a time; a text stays whole."""
@@ -365,7 +365,7 @@ class Encoder:
                 chars += len(texts[end])
                 end += 1
             ids, edges = self.encode(texts[begin:end])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in itertools.pairwise(edges.tolist()):
                 yield ids[a:b]
             begin = end
 

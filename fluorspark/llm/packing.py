@@ -13,6 +13,7 @@ empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,8 @@ SEPARATOR = 1
 
 def lengths(n: int, most: int = MAX_LENGTH) -> np.ndarray:
     """The piece lengths of a document of ``n`` tokens; ``most`` is a power of two."""
-    rest = n % most
-    bits = [1 << k for k in range(most.bit_length() - 2, -1, -1) if rest >> k & 1]
-    return np.r_[np.full(n // most, most, dtype=np.int64), np.array(bits, dtype=np.int64)]
+    bits = [1 << k for k in range(most.bit_length() - 2, -1, -1)]
+    return np.array([most] * (n // most) + [bit for bit in bits if n & bit], dtype=np.int64)
 
 
 def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
@@ -44,27 +44,27 @@ def pack(docs: DataFrame, path: str | None = None, *, most: int = MAX_LENGTH, se
         raise ValueError("the longest sequence must be a power of two")
     shared = SharedEncoder(docs.sparkSession, path)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    last = np.uint32(separator).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()
         for batch in slices(batches):
             sizes, starts, digests, totals, cuts, tokens = [], [], [], [], [], []
             for ids in encoder.encode_groups(texts_of(batch)):
-                ids = np.append(ids, np.uint32(separator)).astype("<u4")
-                own = lengths(len(ids), most)
-                begin = np.cumsum(own) - own
-                raw = memoryview(ids.tobytes())
-                sizes.append(own)
-                starts.append(begin)
-                digests += [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), own.tolist(), strict=True)]
-                totals.append(np.full(len(own), len(ids)))
+                raw = memoryview(ids.tobytes() + last)
+                own = lengths(len(raw) // 4, most).tolist()
+                begin = [0, *itertools.accumulate(own[:-1])]
+                sizes += own
+                starts += begin
+                digests += [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin, own, strict=True)]
+                totals += [len(raw) // 4] * len(own)
                 cuts.append(len(own))
                 if with_ids:
-                    tokens += np.split(ids.astype(np.int32), begin[1:])
+                    tokens += np.split(np.frombuffer(raw, dtype="<i4"), begin[1:])
             if not cuts:
                 continue
-            length = np.concatenate(sizes)
-            new = {"start": np.concatenate(starts), "length": length, "ids_crc32": np.array(digests, dtype=np.int64), "doc_tokens": np.concatenate(totals), "bucket": np.log2(length).astype(np.int32)}
+            length = np.array(sizes, dtype=np.int64)
+            new = {"start": np.array(starts, dtype=np.int64), "length": length, "ids_crc32": np.array(digests, dtype=np.int64), "doc_tokens": np.array(totals, dtype=np.int64), "bucket": np.log2(length).astype(np.int32)}
             yield with_new(batch, ("doc_id",), new | ({"ids": tokens} if with_ids else {}), cuts)
 
     pieces = rows.mapInArrow(run, fields(rows, "doc_id") + ", start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids)

@@ -181,6 +181,24 @@ def test_encoder_on_random_words(library):
     assert next(own.encode_groups(["fresh words"])).tolist() == expected_ids(library, "fresh words") and len(own.known) < 10
 
 
+def test_words_met_again_stay_cached(library, monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        own = bpe.Encoder(file.read())
+    monkeypatch.setattr(bpe, "MAX_CACHED", 40)
+    encode_words, asked = own.merges.encode_words, []
+    monkeypatch.setattr(own.merges, "encode_words", lambda words: asked.extend(words) or encode_words(words))
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        rare = ["".join(rng.choice(list("aeinrstßé"), 9)) for _ in range(15)]
+        texts = ["Common\xa0words stay, STAY%%% <b> <|endoftext|>\u2003" + " ".join(rare), "", "\x1c stay.stay 'S\x85" + rare[0] * 20, "Σ common words İ."]
+        for text, ids in zip(texts, own.encode_groups(texts), strict=True):
+            assert ids.tolist() == expected_ids(library, text), repr(text)
+        assert len(own.known) <= 40 and len(own.older) <= 40 and max(map(len, own.known)) <= bpe.MAX_CACHED_CHARS
+    assert asked.count(b"common") == 1 and asked.count(b"words") == 1
+
+
 def test_encode_decode_interface(docs):
     rows = bpe.encode(docs.limit(5), keep=("doc_id",))
     assert bpe.decode(rows).count() == 5
