@@ -7,6 +7,8 @@ shorter one is left; positions found dead are marked, so the work is linear in t
 length and the result equals that of the merges. All words of a batch advance together as
 numpy arrays. Arrow splits a batch into words and numbers the distinct ones; each of those is
 looked up once in a bounded cache of two generations, and Arrow lays their ids out for all texts.
+The tables have the size of the vocabulary; they are made once and broadcast, so that tasks
+neither build nor keep them: a worker lets go of tables and cache when its next task has no use for them.
 
 Defined results: a null or empty text has no ids; special tokens written in a text give
 their id, as the tokenizers library does by default; other columns are ignored; repeated
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import fields, slices, texts_of, with_new
 
-MAX_CACHED = 600_000
+#: Words of a generation of the cache (about 150 bytes each), and the longest one.
+MAX_CACHED = 200_000
 MAX_CACHED_CHARS = 100
-GROUP_CHARS = 1 << 23
+GROUP_CHARS = 1 << 21
 WORD_END = "</w>"
 _WIDE_SPACE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LATIN = regex.compile(r"[\x00-ɏ]*")
@@ -273,9 +276,7 @@ class Encoder:
         self.pieces = regex.compile(kinds[0]["pattern"]["Regex"])
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(raw.decode())
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.normalizer = Tokenizer.from_str(raw.decode()).normalizer
         names = {**{v: k for k, v in spec["model"]["vocab"].items()}, **{v: k for k, v in named.items()}}
         spelled = [(names.get(k, "") + " ").encode() for k in range(max(names) + 1)]
         self.bytes_at = np.r_[0, np.cumsum([len(x) for x in spelled])]
@@ -283,6 +284,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def __getstate__(self) -> dict:
+        """The tables travel, the cache does not."""
+        return vars(self) | {"known": {}, "older": {}}
+
     def _parts(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a piece of text without white space; special tokens as ids."""
         out: list[str | int] = []
@@ -291,7 +296,7 @@ class Encoder:
                 out.append(self.special[part])
             elif part:
                 # other scripts' tables differ between Unicode versions: the library's own normalizer decides there
-                plain = unicodedata.normalize("NFC", part).lower() if _LATIN.fullmatch(part) else self.library.normalizer.normalize_str(part)
+                plain = unicodedata.normalize("NFC", part).lower() if _LATIN.fullmatch(part) else self.normalizer.normalize_str(part)
                 out += self.pieces.findall(plain)
         return out
 
@@ -323,7 +328,7 @@ class Encoder:
 
     def _spelled(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks as bytes. The cache has two generations: when the younger one is full it becomes the
-        older one, from which chunks that are met again move on, and what was the older one is dropped. Very long chunks are not kept."""
+        older one, from which chunks that are met again move on, and what was the older one is dropped. Very long chunks and those beyond a generation's bound are not kept."""
         found = list(map(self.known.get, chunks))
         at = [k for k, ids in enumerate(found) if ids is None]
         if not at:
@@ -338,7 +343,8 @@ class Encoder:
         for k, ids in zip(at, got, strict=True):
             found[k] = ids
         short = max(map(len, new)) <= MAX_CACHED_CHARS
-        self.known.update(zip(new, got, strict=True) if short else ((c, ids) for c, ids in zip(new, got, strict=True) if len(c) <= MAX_CACHED_CHARS))
+        kept = zip(new, got, strict=True) if short else ((c, ids) for c, ids in zip(new, got, strict=True) if len(c) <= MAX_CACHED_CHARS)
+        self.known.update(itertools.islice(kept, MAX_CACHED - len(self.known)))
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -387,19 +393,18 @@ def _encoder(raw: bytes, special: bool) -> Encoder:
 
 
 class SharedEncoder:
-    """A tokenizer file read on the driver and broadcast; each worker builds the encoder once."""
+    """A tokenizer file's encoder, made on the driver and broadcast: a worker holds its tables and cache as long as its tasks use this broadcast."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, special: bool = True) -> None:
-        self.special = special
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
         with open(path, "rb") as file:
-            self.raw = spark.sparkContext.broadcast(file.read())
+            self.encoder = spark.sparkContext.broadcast(_encoder(file.read(), special))
 
     def get(self) -> Encoder:
-        return _encoder(self.raw.value, self.special)
+        return self.encoder.value
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

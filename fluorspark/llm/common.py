@@ -64,10 +64,14 @@ def long_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of few rows, so that few texts at a time become Python objects; Spark bounds a batch's bytes itself."""
+    """Arrow batches in slices of few rows, so that few texts at a time become Python objects; Spark bounds a batch's bytes itself.
+
+    After the last one Arrow gives back what it holds unused: a worker that waits for its next task shares its executor's memory with others.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def fields(df: DataFrame, *names: str) -> str:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import itertools
 import json
+import os
+import pickle
 import re
 import textwrap
 import zlib
@@ -199,6 +202,44 @@ def test_words_met_again_stay_cached(library, monkeypatch):
     assert asked.count(b"common") == 1 and asked.count(b"words") == 1
 
 
+def test_cache_is_bounded_and_stays_behind(library, monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        own = bpe.Encoder(file.read())
+    monkeypatch.setattr(bpe, "MAX_CACHED", 40)
+    text = " ".join(f"w{k}x <|endoftext|> Ünïcode Σ{k}" for k in range(200))  # more words than a generation holds
+    for _ in range(3):
+        assert next(own.encode_groups([text])).tolist() == expected_ids(library, text)
+        assert len(own.known) <= 40 and len(own.older) <= 40
+    sent = pickle.loads(pickle.dumps(own))
+    assert own.known and not sent.known and not sent.older
+    assert next(sent.encode_groups([text])).tolist() == expected_ids(library, text)
+
+
+def test_workers_let_go_of_the_encoder(spark, docs):
+    def held(batches):
+        import pyarrow as pa
+
+        gc.collect()
+        # the class is looked up by its name: the task may be the first one of its worker
+        kept = sum(type(x).__name__ == "Encoder" and type(x).__module__ == bpe.__name__ for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "kept": [kept]})
+
+    def used(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()]})
+
+    packing.pack(docs.repartition(8)).write.format("noop").mode("overwrite").save()
+    seen = {r["pid"] for r in docs.select("doc_id").repartition(8).mapInArrow(used, "pid long").collect()}
+    packing.pack(docs.repartition(8)).write.format("noop").mode("overwrite").save()
+    after = docs.select("doc_id").repartition(8).mapInArrow(held, "pid long, kept long").collect()
+    assert seen & {r["pid"] for r in after} and {r["kept"] for r in after} == {0}
+
+
 def test_encode_decode_interface(docs):
     rows = bpe.encode(docs.limit(5), keep=("doc_id",))
     assert bpe.decode(rows).count() == 5
