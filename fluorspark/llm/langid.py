@@ -35,7 +35,7 @@ SMOOTHING = 0.5
 CHUNK = 1 << 18
 #: Languages of a block of the matrix (64 MB at the default buckets), and the products of a sparse block that are held at once.
 BLOCK_LANGUAGES = 256
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 
 
 @functools.cache

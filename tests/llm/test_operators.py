@@ -11,6 +11,7 @@ import os
 import pickle
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -122,6 +123,21 @@ def test_language_equals_naive_counts_and_sums(spark, docs, monkeypatch):
             assert got[r["doc_id"]]["lang_pred"] == "und"
 
 
+def test_language_blocks_stay_small(texts):
+    langs = 10
+    rng = np.random.default_rng(3)
+    rows, prior, logp = langid.sparse_rows(4 * list(texts.values()), langid.BUCKETS), np.zeros(langs), rng.normal(size=(langid.BUCKETS, langs))
+    tracemalloc.start()
+    got = langid.log_likelihoods(rows, prior, logp)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    begin, at, n = rows
+    for k in range(0, len(got), 50):
+        part = slice(begin[k], begin[k + 1])
+        assert np.allclose(got[k], (n[part, None] * logp[at[part]]).sum(axis=0))
+    assert begin[-1] * langs > 1 << 22 and most < 16 << 20
+
+
 def test_languages_in_blocks_of_columns(spark, monkeypatch):
     """300 labels over five blocks give what one block gives; ties between blocks go to the first label."""
     rng = np.random.default_rng(31)
