@@ -5,13 +5,14 @@ the content word after that; common words between the two are passed over. A doc
 fingerprint is the sorted set of its signatures' hashes, eight hexadecimal digits each, so two fingerprints can be
 compared without the texts. A text without a signature has the hash of its whole text for one.
 
-``near_pairs`` joins documents by set: copies of a fingerprint are represented by the smallest id; sets are
-partitioned by length so that a set meets only its own and the next partition; only a set's rarest
-signatures (as many as a pair at the threshold must share one of) are matched. A pair is taken at the first
-that both have among their very rarest, which travel along; pairs that share none of those are made distinct afterwards, so
-what travels grows with a text's length and not with its square. Signatures that many sets have among their rarest are dealt out as pairs of blocks,
-and a signature's frequency is told to its sets in as many copies as it has sets for.
-Pairs that pass the length bound are confirmed by their full Jaccard likeness.
+``near_pairs`` joins documents by set: copies of a fingerprint are represented by the smallest id, and a set's signatures, whole
+numbers of four bytes, leave it once, to be counted. Most come back to no set, as only one has them; the others are ranked by
+frequency, and a set's rarest (as many as a pair at the threshold must share one of) are matched. Signatures that a sample shows to be in many sets are not
+counted but ranked last, by the sample.
+A set's hub is the smallest hash among the sets that it shares such a signature with, so near copies have one. Sets of a hub and a range of lengths
+are dealt to homes of bounded size, and a set goes once to each pair of homes in which it has a partner, never along with a signature or a pair: a group of near copies
+is sent once for each of its homes. In a pair of homes sets of like length that show a common signature are confirmed by their full Jaccard likeness; pairs
+are made there and nowhere else, so they are distinct and only counts leave. What is shuffled grows with a text's length and not with its square.
 
 Defined results: a null text is an empty one; rows with a null id stand before the smallest id
 and rows that share an id follow one another by a hash of the text; the document after the last is the first,
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids
+from .common import cut, long_ids, release, stored
 
 #: Common words of English, French, German and Spanish that anchor the signatures.
 ANCHORS = (
@@ -38,8 +39,10 @@ ANCHORS = (
 ).split()
 #: Rows of an id range, the most ranges whose bounds come from a sample (beyond them ranges are cut into equal spans of ids), and sampled rows of a range.
 ROWS_A_BUCKET, MOST_BUCKETS, SAMPLE = 512, 4096, 20
-#: Sets of a block, sets that one copy of a signature's frequency serves at most, on average, and a set's rarest signatures that travel with each of its rows.
-BLOCK_ROWS, SETS_A_SALT, SHOWN = 1024, 65536, 64
+#: Sets and signatures of a home, sets beyond which frequent signatures are found by a sample instead of counted, and bits by which a set shows the signatures it is matched by.
+BLOCK_ROWS, BLOCK_SIGS, SETS_A_SALT, SHOWN = 1024, 1 << 19, 65536, 64
+#: Sets of that sample, in how many of them a frequent signature is, and how many such signatures are taken (the others are counted).
+SAMPLED_SETS, OFTEN, MOST_OFTEN = 16384, 16, 1 << 17
 
 #: Where rows with a null id stand.
 NULL_ID = -(1 << 63)
@@ -159,45 +162,74 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.withColumn("fingerprint", F.concat_ws("", "sigs"))
 
 
+def _counted(each: DataFrame) -> DataFrame:
+    """The rows of signatures that several sets have, ranked by how many."""
+    return each.withColumn("rank", F.count("*").over(Window.partitionBy("sig"))).where("rank > 1")
+
+
+def _heads(classes: DataFrame, threshold: float) -> DataFrame:
+    """set, n, part (its range of lengths), head (the rarest signatures by which it is matched) and marks (which of ``SHOWN`` bits those have), of sets that can have a partner."""
+    each = classes.select("set", F.explode("sigs").alias("sig"))
+    total = classes.count()
+    if total > SETS_A_SALT:
+        share = int(min(1.0, SAMPLED_SETS / total) * (1 << 30))
+        sample = classes.where(F.pmod(F.xxhash64("set"), F.lit(1 << 30)) < share).select(F.explode("sigs").alias("sig"))
+        often = sample.groupBy("sig").agg((F.count("*") + (1 << 30)).alias("rank")).where(F.col("rank") >= (1 << 30) + OFTEN)
+        often = F.broadcast(cut(often.orderBy(F.desc("rank"), "sig").limit(MOST_OFTEN)))
+        shared = _counted(each.join(often, "sig", "left_anti")).unionByName(each.join(often, "sig"))
+    else:
+        shared = _counted(each)
+    key = F.shiftleft(F.least("rank", F.lit((1 << 31) - 1)), 32) + F.col("sig").cast("long") + F.lit(1 << 31)
+    order = shared.groupBy("set").agg(F.sort_array(F.collect_list(key)).alias("order")).join(classes.select("set", "n"), "set")
+    # signatures that no other set has are the rarest of all
+    length = (F.size("order") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    part = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / threshold)) + 1e-9)
+    heads = order.where(length > 0).select("set", "n", part.alias("part"), F.transform(F.slice("order", F.lit(1), length), lambda key: (key.bitwiseAND((1 << 32) - 1) - F.lit(1 << 31)).cast("int")).alias("head"))
+    mark = lambda seen, sig: seen.bitwiseOR(F.element_at(F.lit([1 << k if k < 63 else NULL_ID for k in range(SHOWN)]), F.pmod(F.xxhash64(sig), F.lit(SHOWN)).cast("int") + 1))
+    return heads.withColumn("marks", F.aggregate("head", F.lit(0).cast("long"), mark))
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of unlike fingerprints at the threshold or more, by representatives, and the
     membership (doc_id, representative) of all documents with an id."""
-    known = fingerprints(long_ids(docs.select("doc_id", "text"))).where("doc_id IS NOT NULL").select("doc_id", "sigs", F.md5("fingerprint").alias("set"))
-    classes = cut(known.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")))
-    members = known.select("doc_id", "set").join(classes.select("set", F.col("id").alias("representative")), "set").select("doc_id", "representative").distinct()
-    sized = classes.select("set", "id", "sigs", F.size("sigs").alias("n"))
-    # every signature's frequency; as some are in most sets, it is told to shares of the sets, and only to those that have it
-    salts = classes.count() // SETS_A_SALT + 1
-    each = sized.select("set", "n", F.explode("sigs").alias("sig"), F.pmod(F.xxhash64("set"), F.lit(salts)).alias("salt"))
-    shares = each.groupBy("sig", "salt").agg(F.count("*").alias("own"))
-    often = shares.join(shares.groupBy("sig").agg(F.sum("own").alias("often")), "sig").select("sig", "salt", "often")
-    ranked = each.join(often, ["sig", "salt"]).groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("order"))
-    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    part = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / threshold)) + 1e-9)
-    rarest = cut(ranked.select("set", "n", part.alias("part"), F.transform(F.slice("order", F.lit(1), length), lambda s: s["sig"]).alias("head")))
-    heads = rarest.select("set", "n", "part", F.slice("head", F.lit(1), F.lit(SHOWN)).alias("shown"), F.explode("head").alias("sig"))
-    left = heads.withColumn("meet", F.explode(F.array("part", F.col("part") + 1)))
-    right = heads.withColumn("meet", F.col("part"))
-    blocks = lambda rows, name: rows.groupBy("meet", "sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-    cells = cut(blocks(left, "n_left").join(blocks(right, "n_right"), ["meet", "sig"]))
-    own = lambda name: F.pmod(F.xxhash64("set"), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    side = lambda rows, x: rows.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"p_{x}"), F.col("shown").alias(f"shown_{x}"), "meet", "sig", "i", "j")
-    a = side(left.join(cells, ["meet", "sig"]).withColumn("i", own("n_left")).withColumn("j", every("n_right")), "a")
-    b = side(right.join(cells, ["meet", "sig"]).withColumn("j", own("n_right")).withColumn("i", every("n_left")), "b")
-    apart = (F.col("meet") > F.col("p_a")) | (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    here = F.coalesce(F.get(F.array_intersect("shown_a", "shown_b"), F.lit(0)) == F.col("sig"), F.lit(True))
-    pairs = a.join(b, ["meet", "sig", "i", "j"]).where(apart & (F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & here).select("a", "b").distinct()
-    whole = lambda x: sized.select(F.col("set").alias(x), F.col("id").alias(f"id_{x}"), F.col("sigs").alias(f"sigs_{x}"))
-    alike = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"))).where(F.col("likeness") >= threshold)
-    return alike.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "likeness"), members
+    spark = docs.sparkSession
+    whole = F.transform("sigs", lambda x: F.conv(x, 16, 10).cast("long") - F.lit(1 << 31)).cast("array<int>")
+    known = stored(fingerprints(long_ids(docs.select("doc_id", "text")).where("doc_id IS NOT NULL")).select("doc_id", F.unhex(F.md5("fingerprint")).alias("key"), whole.alias("sigs")), "known")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs"))
+    classes = stored(classes.select("key", F.monotonically_increasing_id().alias("set"), "id", "sigs", F.size("sigs").alias("n")), "classes")
+    members = known.select("doc_id", "key").join(classes.select("key", F.col("id").alias("representative")), "key").select("doc_id", "representative").distinct()
+    release(spark)
+    heads = stored(_heads(classes, threshold), "heads")
+    release(spark)
+    posts = heads.select("set", "n", "part", F.explode("head").alias("sig"))
+    met = stored(posts.join(posts.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.xxhash64("set")).alias("hub")).where("m > 1"), "sig"), "met")
+    hubs = met.groupBy("set", "n", "part").agg(F.min("hub").alias("hub"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SIGS))
+    homes = hubs.join(hubs.groupBy("hub", "part").agg(blocks.alias("blocks")), ["hub", "part"])
+    homes = cut(homes.select("set", F.xxhash64("hub", "part", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks"))).alias("home")))
+    placed = met.join(homes, "set").select("sig", "m", "set", "part", "home")
+    # a frequent signature's sets are dealt out, and its homes told to each share of them
+    shares = F.ceil(F.col("m") / BLOCK_ROWS)
+    groups = placed.select("sig", "m", "part", F.col("home").alias("other")).distinct()
+    groups = groups.select("sig", "other", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    partners = placed.withColumn("share", F.pmod(F.xxhash64("set"), shares)).join(groups, ["sig", "share", "part"]).where("other != home").select("set", "other").distinct()
+    inside = homes.withColumn("size", F.count("*").over(Window.partitionBy("home"))).where("size > 1").select("set", F.col("home").alias("other"))
+    own = classes.select("set", "id", "sigs", "n").join(heads.select("set", "marks"), "set").join(homes, "set")
+    cells = partners.unionByName(inside).join(own, "set")
+    dealt = stored(cells.withColumns({"lo": F.least("home", "other"), "hi": F.greatest("home", "other")}).drop("other"), "dealt")
+    release(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda x: dealt.where(F.col("home") == F.col("lo" if x == "a" else "hi")).select("lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in ("set", "id", "n", "marks", "sigs"))).repartition(parts, "lo", "hi")
+    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & (F.col("marks_a").bitwiseAND(F.col("marks_b")) != 0)
+    likely = likeness(F.col("sigs_a"), F.col("sigs_b"))
+    pairs = side("a").join(side("b"), ["lo", "hi"]).where(((F.col("lo") < F.col("hi")) | (F.col("set_a") < F.col("set_b"))) & near & (likely >= threshold))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), likely.alias("likeness")), members
 
 
 def near_fingerprints(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """doc_id, class_id (smallest id with the same fingerprint) and n_links (unlike fingerprints at the threshold or more) of every document with an id."""
     pairs, members = near_pairs(docs, threshold)
-    pairs = cut(pairs)
-    links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("representative")).agg(F.count("*").alias("n_links"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n_links"))
     return members.join(links, "representative", "left").select("doc_id", F.col("representative").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -758,6 +758,34 @@ def test_spot_pairs_equal_brute_force(spark, docs, monkeypatch, block):
     assert set(got) == want and len(got) == len(want) > 100
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s := stages.apply(k)).stageId(): s.shuffleWriteBytes() for k in range(stages.size())}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_spot_links_of_a_group_of_near_copies(spark, monkeypatch, small):
+    """Sets of a large group go to pairs of homes and not to their pairs, and most signatures are counted only."""
+    if small:  # several homes, and frequent signatures by a sample
+        for name, value in (("BLOCK_ROWS", 100), ("BLOCK_SIGS", 9000), ("SETS_A_SALT", 100), ("SAMPLED_SETS", 200)):
+            monkeypatch.setattr(spotsigs, name, value)
+    rng = np.random.default_rng(23)
+    words = [x for k in range(150) for x in ("the", f"word{k}")]
+    rows = [(k, " ".join(f"own{k}x{j}" if j % 2 and rng.random() < share else w for j, w in enumerate(words))) for k, share in enumerate(rng.uniform(0, 0.1, 300))]
+    rows += [(1000 + k, " ".join(f"the other{k}y{j}" for j in range(100))) for k in range(200)] + [(2000, rows[7][1])]
+    docs = documents(spark, rows)
+    known = {r["doc_id"]: frozenset(r["sigs"]) for r in spotsigs.fingerprints(docs).collect()}
+    first = {s: i for i, s in sorted(known.items(), reverse=True)}
+    links = collections.Counter(i for a, b in itertools.combinations(first, 2) if 4 * len(a & b) >= 3 * len(a | b) for i in (first[a], first[b]))
+    before = shuffled(spark)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spotsigs.near_fingerprints(docs).collect()}
+    assert got == {i: (first[s], links[first[s]]) for i, s in known.items()} and sum(links.values()) > 20_000
+    assert 0 < sum(b for k, b in shuffled(spark).items() if k not in before) < 4 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize("most", [4096, 4])
 def test_spot_ids_that_repeat(spark, none, monkeypatch, most):
     """Null ids, one id on many rows and many equal rows are split over ranges, and few ranges into spans; every row has the next one's first half."""
